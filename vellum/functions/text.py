@@ -120,8 +120,8 @@ def short_model(model) -> Column:
 
 
 def match_percent(sim) -> Column:
-    """`(sim*100).toFixed(1) + '% match'`."""
-    return F.concat(F.format_string("%.1f", F.round(_c(sim) * 100, 1)), F.lit("% match"))
+    """`(sim*100).toFixed(1) + '% match'` (half-up on the similarity first rounded to 6 places)."""
+    return F.concat(F.format_string("%.1f", F.floor(F.round(_c(sim), 6) * 1000 + 0.5) / 10), F.lit("% match"))
 
 
 # URL pieces, parsed the way the WHATWG URL parser treats well-formed urls:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.vectors import cosine_similarity, dimension_ok
-from vellum.operators.search import (MAX_QUERY_BYTES, _collect_queries, _pandas_batch, _stack, _unit_rows,
+from vellum.operators.search import (MAX_QUERY_BYTES, SIM_DIGITS, _collect_queries, _pandas_batch, _stack, _unit_rows,
                                      flat_topk, rank_window)
 
 DEFAULT_TABLES = 12
@@ -127,7 +127,7 @@ def _probe(library: DataFrame, id_col: str, vec_col: str, qid_col: str, qids, Q,
                 rows, cols = rows[keep], cols[keep]
             if not len(rows):
                 continue
-            sims = np.einsum("ij,ij->i", X[rows], Q_[cols])
+            sims = np.round(np.einsum("ij,ij->i", X[rows], Q_[cols]), SIM_DIGITS)
             acc_c = np.concatenate([acc_c, cols])
             acc_s = np.concatenate([acc_s, sims])
             acc_i = ids[rows] if acc_i is None else np.concatenate([acc_i, ids[rows]])
@@ -165,7 +165,8 @@ def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, di
     lv = library.select(id_col, F.col(vec_col).alias("_v"))
     qv = queries.select(qid_col, F.col(qvec_col).alias("_qv"))
     scored = (pairs.join(lv, id_col).join(qv, qid_col)
-              .select(qid_col, id_col, cosine_similarity(F.col("_v"), F.col("_qv"), on_mismatch="null").alias("sim")))
+              .select(qid_col, id_col, F.round(cosine_similarity(F.col("_v"), F.col("_qv"), on_mismatch="null"), SIM_DIGITS)
+                      .alias("sim")))
     return scored
 
 

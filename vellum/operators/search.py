@@ -28,6 +28,8 @@ from vellum.functions.vectors import dimension_ok, dot, l2_norm
 MAX_QUERY_BYTES = 256 << 20
 # Cells of one score block (rows x queries) held in memory at a time.
 BLOCK_CELLS = 4 << 20
+# Similarities are kept to 12 decimals so equal vectors tie exactly (ties then go by id).
+SIM_DIGITS = 12
 
 
 def _unit_rows(mat: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ def _score_partitions(library: DataFrame, id_col: str, vec_col: str, qid_col: st
                 ids_all = ids_all.astype(str)
             for s in range(0, len(pdf), step):
                 X, ids = X_all[s:s + step], ids_all[s:s + step]
-                S = X @ Q_.T
+                S = np.round(X @ Q_.T, SIM_DIGITS)
                 if exclude_self:
                     S[ids[:, None] == qids_[None, :]] = -np.inf
                 c, sv, iv = block_topk(S, ids, k)

@@ -242,7 +242,7 @@ def q_short_model(spark, sf):
 _K2_SQL = """
 SELECT qid, vec_id, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM (
   SELECT q.vec_id AS qid, e.vec_id, {cos} AS sim,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY {cos} DESC, e.vec_id) AS rank
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cos}, 12) DESC, e.vec_id) AS rank
   FROM embeddings q JOIN embeddings e ON true
 ) WHERE rank <= {k}"""
 
@@ -477,3 +477,7 @@ def q_preview(spark, sf):
     m = F.col("metadata")
     c = F.coalesce(F.nullif(P.compose_text(m["title"], m["url"], m["summary"], m["notes"]), F.lit("")), F.col("text"))
     return lib.select("id", P.preview(c).alias("preview"))
+
+
+# The rest of the registry lives in two sibling modules; importing them registers their queries.
+from vellum.plans import catalog_ops, catalog_vectors  # noqa: E402,F401

@@ -85,7 +85,7 @@ def short_model(m: str) -> str:
 
 
 def match_percent(s: str) -> str:
-    return f"printf('%.1f', round({s} * 100, 1)) || '% match'"
+    return f"printf('%.1f', floor(round({s}, 6) * 1000 + 0.5) / 10) || '% match'"
 
 
 def summary120(x: str, n: int = 120) -> str:
