@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import _c, collapse_ws, truthy
+from vellum.functions.text import _c, bind, collapse_ws, truthy
 
 # Elements removed before main-text selection, in this order.
 NOISE_TAGS = ["script", "style", "nav", "header", "footer", "aside"]
@@ -41,13 +41,24 @@ def strip_noise_blocks(html) -> Column:
 
 def select_main(html) -> Column:
     """H2: first <main> body, else first <article> body, else everything."""
-    c = _c(html)
-    out = None
-    for t in MAIN_TAGS:
-        hit = c.rlike(_body(t))
-        body = F.regexp_extract(c, _body(t), 1)
-        out = F.when(hit, body) if out is None else out.when(hit, body)
-    return out.otherwise(c)
+    def pick(c):
+        out = None
+        for t in MAIN_TAGS:
+            hit = c.rlike(_body(t))
+            body = F.regexp_extract(c, _body(t), 1)
+            out = F.when(hit, body) if out is None else out.when(hit, body)
+        return out.otherwise(c)
+
+    h = _c(html)
+    return pick(h) if _is_attr(h) else bind(h, pick)
+
+
+def _is_attr(c: Column) -> bool:
+    """True for a plain column reference (cheap to repeat)."""
+    try:
+        return c._jc.expr().getClass().getSimpleName() in ("UnresolvedAttribute", "AttributeReference")
+    except Exception:  # noqa: BLE001 - Spark Connect columns: bind to be safe
+        return False
 
 
 def strip_tags(html) -> Column:
@@ -92,4 +103,4 @@ def page_title(html) -> Column:
     h = _c(html)
     og = decode_entities(F.regexp_extract(F.regexp_extract(h, _OG_TAG, 0), _CONTENT_ATTR, 1))
     title = F.trim(F.regexp_replace(decode_entities(F.regexp_extract(h, _TITLE, 1)), r"[\t\n\f\r ]+", " "))
-    return F.when(truthy(og), og).otherwise(title)
+    return bind(og, lambda o: F.when(o != "", o).otherwise(title))

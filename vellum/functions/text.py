@@ -33,6 +33,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(expr: Column, fn) -> Column:
+    """Evaluate `expr` once and pass it to `fn` (a one-element `transform`).
+
+    Catalyst does not share a repeated sub-expression inside one column, so a
+    costly value (a regex chain, a chunk walk) used several times is bound
+    here instead of being rebuilt at each use.
+    """
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def js_trim(c) -> Column:
     """`String.prototype.trim`: strips the JS whitespace set from both ends."""
     return F.regexp_replace(_c(c), f"^{JS_WS}+|{JS_WS}+$", "")

@@ -104,7 +104,10 @@ def embed_udf(factory=None, key: str | None = None):
                     ok[i], err[i] = False, str(exc) or type(exc).__name__
         return pd.DataFrame({"success": ok, "embedding": vecs, "error": err})
 
-    return _embed
+    # A model call is expensive: marking it non-deterministic keeps Catalyst from
+    # copying it into pushed-down filters (which would run it twice) and from
+    # inlining the projection that feeds it.
+    return _embed.asNondeterministic()
 
 
 def embed(df: DataFrame, text_col: str = "text", factory=None, model: str = HASH_MODEL,

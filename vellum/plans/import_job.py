@@ -19,7 +19,7 @@ from vellum.functions.html import extract_content
 from vellum.operators.dedupe import dedupe_batch, new_only
 from vellum.operators.embed import HASH_MODEL, embed_udf
 from vellum.operators.library import METADATA_TYPE, add_records
-from vellum.operators.summarize import summarize_doc
+from vellum.operators.summarize import summarize_frame
 from vellum.sources.tree import flatten_tree
 
 
@@ -30,7 +30,7 @@ def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder
     todo = dedupe_batch(new_only(marks, existing), url_col="url", pos_col="path")
     j = todo.join(pages.select("url", "html"), "url", "left")
     j = j.withColumn("_x", F.when(F.col("html").isNotNull(), extract_content(F.col("html"))))
-    j = j.withColumn("summary", summarize_doc(F.col("url"), F.col("_x"), summarizer))
+    j = summarize_frame(j, "url", "_x", "summary", summarizer)
     composed = P.compose_text(F.col("title"), F.col("url"), F.col("summary"), F.lit(""))
     fallback = F.concat(F.coalesce("title", F.lit("")), F.lit(" - "), F.coalesce("url", F.lit("")))
     j = j.withColumn("text", F.coalesce(F.nullif(composed, F.lit("")), fallback))
