@@ -43,9 +43,14 @@ def bind(expr: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(expr), fn), 1)
 
 
+# The same set as plain characters, for `btrim`.
+JS_WS_CHARS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                                0x205F, 0x3000, 0xFEFF]))
+
+
 def js_trim(c) -> Column:
-    """`String.prototype.trim`: strips the JS whitespace set from both ends."""
-    return F.regexp_replace(_c(c), f"^{JS_WS}+|{JS_WS}+$", "")
+    """`String.prototype.trim`: strips the JS whitespace set from both ends (no regex)."""
+    return F.btrim(_c(c), F.lit(JS_WS_CHARS))
 
 
 def collapse_ws(c) -> Column:

@@ -9,7 +9,6 @@ without model files.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -25,9 +24,9 @@ DEFAULT_DIM = 64
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
-@functools.lru_cache(maxsize=1 << 18)
 def _bucket(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
+    """First 32 bits of md5(token), modulo dim (the same bucket the SQL form computes)."""
+    return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big") % dim
 
 
 def hash_embedder(dim: int = DEFAULT_DIM):
@@ -41,6 +40,7 @@ def hash_embedder(dim: int = DEFAULT_DIM):
         import regex
 
         tok = regex.compile(TOKEN_PATTERN)
+        seen: dict[str, int] = {}
 
         def embed(texts):
             out = np.zeros((len(texts), dim), dtype=np.float64)
@@ -50,7 +50,15 @@ def hash_embedder(dim: int = DEFAULT_DIM):
                 toks = tok.findall(t.lower())
                 if not toks:
                     continue
-                counts = np.bincount([_bucket(w, dim) for w in toks], minlength=dim).astype(np.float64)
+                ids = []
+                for w in toks:
+                    b = seen.get(w)
+                    if b is None:
+                        if len(seen) > 1 << 20:
+                            seen.clear()
+                        b = seen[w] = _bucket(w, dim)
+                    ids.append(b)
+                counts = np.bincount(ids, minlength=dim).astype(np.float64)
                 out[i] = counts / np.sqrt((counts * counts).sum())
             return out
 

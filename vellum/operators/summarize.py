@@ -25,7 +25,9 @@ MIN_LENGTH_FINAL = 60
 
 def default_summary(text, n_words: int = MAX_NEW_TOKENS) -> Column:
     """H10 offline default: the first `n_words` whitespace-separated words of the trimmed text."""
-    return F.array_join(F.slice(F.split(js_trim(_c(text)), f"{JS_WS}+"), 1, n_words), " ")
+    nws = f"[^{JS_WS[1:-1]}]"
+    head = F.regexp_extract(js_trim(_c(text)), f"^{nws}+(?:{JS_WS}+{nws}+){{0,{n_words - 1}}}", 0)
+    return F.regexp_replace(head, f"{JS_WS}+", " ")
 
 
 def _keep(sums: Column) -> Column:
