@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import _c, bind, collapse_ws, truthy
+from vellum.functions.text import _c, collapse_ws, truthy
 
 # Elements removed before main-text selection, in this order.
 NOISE_TAGS = ["script", "style", "nav", "header", "footer", "aside"]
@@ -27,10 +27,6 @@ def _block(tag: str) -> str:
     return rf"(?i)<{tag}[\s\S]*?</{tag}>"
 
 
-def _body(tag: str) -> str:
-    return rf"(?i)<{tag}[^>]*>([\s\S]*?)</{tag}>"
-
-
 def strip_noise_blocks(html) -> Column:
     """H1: delete script/style/nav/header/footer/aside blocks (non-greedy, first close)."""
     c = _c(html)
@@ -39,26 +35,17 @@ def strip_noise_blocks(html) -> Column:
     return c
 
 
-def select_main(html) -> Column:
-    """H2: first <main> body, else first <article> body, else everything."""
-    def pick(c):
-        out = None
-        for t in MAIN_TAGS:
-            hit = c.rlike(_body(t))
-            body = F.regexp_extract(c, _body(t), 1)
-            out = F.when(hit, body) if out is None else out.when(hit, body)
-        return out.otherwise(c)
-
-    h = _c(html)
-    return pick(h) if _is_attr(h) else bind(h, pick)
+# One anchored pattern with an alternative per container: the first alternative
+# that matches anywhere wins, its body replaces the whole text; no match leaves
+# the text as it is.  The input is referenced once, so the step stays in
+# whole-stage codegen even when it follows the noise-stripping chain.
+_MAIN_PICK = "|".join(rf"^[\s\S]*?<{t}[^>]*>([\s\S]*?)</{t}>[\s\S]*$" for t in MAIN_TAGS)
+_MAIN_GROUPS = "".join(f"${i + 1}" for i in range(len(MAIN_TAGS)))
 
 
-def _is_attr(c: Column) -> bool:
-    """True for a plain column reference (cheap to repeat)."""
-    try:
-        return c._jc.expr().getClass().getSimpleName() in ("UnresolvedAttribute", "AttributeReference")
-    except Exception:  # noqa: BLE001 - Spark Connect columns: bind to be safe
-        return False
+def select_main(html) -> Column:
+    """H2: first <main> body, else first <article> body, else everything."""
+    return F.regexp_replace(_c(html), "(?i)" + _MAIN_PICK, _MAIN_GROUPS)
 
 
 def strip_tags(html) -> Column:
@@ -103,4 +90,4 @@ def page_title(html) -> Column:
     h = _c(html)
     og = decode_entities(F.regexp_extract(F.regexp_extract(h, _OG_TAG, 0), _CONTENT_ATTR, 1))
     title = F.trim(F.regexp_replace(decode_entities(F.regexp_extract(h, _TITLE, 1)), r"[\t\n\f\r ]+", " "))
-    return bind(og, lambda o: F.when(o != "", o).otherwise(title))
+    return F.when(og != "", og).otherwise(title)
