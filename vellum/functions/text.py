@@ -99,6 +99,11 @@ def normalize_note(c) -> Column:
     return F.coalesce(js_trim(_c(c)), F.lit(""))
 
 
+def normalize_query(df, col: str = "query"):
+    """P17 (query form): trim the query and reject empty ones."""
+    return df.withColumn(col, js_trim(F.col(col))).where(F.coalesce(F.col(col) != "", F.lit(False)))
+
+
 def note_changed(draft, stored) -> Column:
     """Trimmed draft differs from the trimmed stored note."""
     return normalize_note(draft) != normalize_note(stored)

@@ -479,5 +479,20 @@ def q_preview(spark, sf):
     return lib.select("id", P.preview(c).alias("preview"))
 
 
+
+@query("note_preview", LIB + f"SELECT id, coalesce({S.js_trim('notes')}, '') AS note_preview, "
+                             f"{S.trunc(f'''coalesce({S.js_trim('notes')}, '')''', 220)} AS note_line FROM library")
+def q_note_preview(spark, sf):
+    lib = library(spark, sf)
+    prev = P.note_preview(F.col("metadata.notes"))
+    return lib.select("id", prev.alias("note_preview"), P.truncate_text(prev, 220).alias("note_line"))
+
+
+@query("normalize_query", f"SELECT item_id, {S.js_trim('text')} AS query FROM benchmark WHERE {S.js_trim('text')} <> ''")
+def q_normalize_query(spark, sf):
+    from vellum.functions.text import normalize_query
+    return normalize_query(table(spark, sf, "benchmark"), "text").select("item_id", F.col("text").alias("query"))
+
+
 # The rest of the registry lives in two sibling modules; importing them registers their queries.
 from vellum.plans import catalog_ops, catalog_vectors  # noqa: E402,F401
