@@ -132,3 +132,33 @@ def test_running_progress_blocks_agree(spark):
     a = running_progress(it, block=7).select("run_id", "pos", "processed", "success_count").collect()
     b = running_progress(it, block=1 << 30).select("run_id", "pos", "processed", "success_count").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_ann_join_plan_splits_hot_keys(spark):
+    """A hot bucket (a third of the rows are one repeated vector, plus a dense cluster) is split, not joined whole."""
+    import random
+
+    from vellum.operators.ann import ann_topk
+    from vellum.operators.search import batch_topk
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        if i % 3 == 0:
+            v = [1.0] + [0.0] * 15                                   # exact duplicates
+        elif i % 3 == 1:
+            v = [1.0] + [rnd.gauss(0, 0.05) for _ in range(15)]      # dense cluster near them
+        else:
+            v = [rnd.gauss(0, 1) for _ in range(16)]
+        rows.append((i, v))
+    lib = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = lib.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
+    exact = batch_topk(lib, q, 5, qvec_col="qv").select("qid", "id", "rank")
+    joined = ann_topk(lib, q, 5, qvec_col="qv", tables=4, bits=2, max_query_bytes=1_000, hot_rows=20)
+    got = {}
+    for r in joined.collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    for qid in range(0, 300, 3):  # the repeated vector: the 5 smallest ids of its copies, all at similarity 1
+        assert [i for _, i in sorted(got[qid])] == [0, 3, 6, 9, 12]
+    hits = exact.join(joined.select("qid", "id"), ["qid", "id"]).count()
+    assert hits / exact.count() > 0.5

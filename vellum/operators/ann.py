@@ -155,11 +155,85 @@ def _key_rows(df: DataFrame, id_col: str, vec_col: str, keys, dim: int, query: b
     return df.select(id_col, vec_col).where(dimension_ok(F.col(vec_col), dim)).mapInPandas(run, schema)
 
 
-def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, dim, exclude_self):
+def refine_planes(level: int, extra: int, dim: int) -> np.ndarray:
+    """+-1 planes used to split hot keys at refinement `level` (md5('r<level>:j:i'))."""
+    h = np.empty((extra, dim), dtype=np.float64)
+    for j in range(extra):
+        for i in range(dim):
+            h[j, i] = 1.0 if int(hashlib.md5(f"r{level}:{j}:{i}".encode()).hexdigest()[0], 16) < 8 else -1.0
+    return h
+
+
+def _refine(rows: DataFrame, vecs: DataFrame, id_col: str, vec_col: str, level: int, extra: int,
+            dim: int) -> DataFrame:
+    """New key = key * 2^extra + sign bits of the row's vector against this level's planes."""
+    bc = rows.sparkSession.sparkContext.broadcast(refine_planes(level, extra, dim))
+    weights = (1 << np.arange(extra)).astype(np.int64)
+    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("key", T.LongType())])
+
+    def run(it):
+        H = bc.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            X = _unit_rows(_stack(pdf[vec_col], dim))
+            sub_ = ((X @ H.T) >= 0).astype(np.int64) @ weights
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "key": pdf["key"].to_numpy() * (1 << extra) + sub_})
+
+    return rows.join(vecs, id_col).select(id_col, "key", vec_col).mapInPandas(run, schema)
+
+
+# A key holding more library rows than this is split before the join.
+HOT_KEY_ROWS = 50_000
+REFINE_BITS = 4
+MAX_REFINE = 6
+
+
+def _key_pairs(lk: DataFrame, qk: DataFrame, lib_vecs: DataFrame, q_vecs: DataFrame, id_col: str, qid_col: str,
+               vec_col: str, dim: int, k: int, hot_rows: int) -> DataFrame:
+    """(qid, id) candidate pairs sharing a key, with hot keys split instead of joined whole.
+
+    A key with more than `hot_rows` library rows is re-keyed with extra sign
+    bits (new planes per level) until it is small.  A key still hot after the
+    last level whose rows all hold the same vector keeps only its k+1 smallest
+    ids: equal vectors score equally and ties go by id, so that cut is exact.
+    Anything left is joined as is, where AQE splits the skewed partition.
+    """
+    parts = []
+    for level in range(MAX_REFINE + 1):
+        lk = lk.checkpoint()
+        hot = lk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key")
+        n_hot = hot.count()
+        if n_hot == 0:
+            break
+        hot = F.broadcast(hot) if n_hot <= 1_000_000 else hot
+        if level == MAX_REFINE:
+            hv = lk.join(hot, "key").join(lib_vecs, id_col)
+            same = hv.groupBy("key").agg(F.count_distinct(F.xxhash64(vec_col)).alias("nv")).where(F.col("nv") == 1) \
+                .select("key")
+            w = Window.partitionBy("key").orderBy(id_col)
+            firsts = lk.join(same, "key").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1) \
+                .drop("_r")
+            lk = lk.join(same, "key", "left_anti").unionByName(firsts)
+            break
+        parts.append(qk.join(hot, "key", "left_anti").join(lk.join(hot, "key", "left_anti"), "key"))
+        lk = _refine(lk.join(hot, "key", "left_semi"), lib_vecs, id_col, vec_col, level, REFINE_BITS, dim)
+        qk = _refine(qk.join(hot, "key", "left_semi"), q_vecs, qid_col, vec_col, level, REFINE_BITS, dim)
+    parts.append(qk.join(lk, "key"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(qid_col, id_col)
+
+
+def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, dim, exclude_self,
+               hot_rows: int = HOT_KEY_ROWS):
     lk = _key_rows(library, id_col, vec_col, keys, dim, query=False)
     qk = _key_rows(queries.select(F.col(qid_col), F.col(qvec_col).alias(vec_col)), qid_col, vec_col, keys, dim,
                    query=True)
-    pairs = qk.join(lk, "key").select(qid_col, id_col).distinct()
+    lib_vecs = library.select(id_col, vec_col)
+    q_vecs = queries.select(qid_col, F.col(qvec_col).alias(vec_col))
+    pairs = _key_pairs(lk, qk, lib_vecs, q_vecs, id_col, qid_col, vec_col, dim, k, hot_rows).distinct()
     if exclude_self:
         pairs = pairs.where(F.col(qid_col) != F.col(id_col))
     lv = library.select(id_col, F.col(vec_col).alias("_v"))
@@ -193,7 +267,7 @@ def build_keys(library: DataFrame, vec_col: str, dim: int, method: str = "lsh",
 def ann_topk(library: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
              qid_col: str = "qid", qvec_col: str | None = None, method: str = "lsh", tables: int = DEFAULT_TABLES,
              bits: int = DEFAULT_BITS, cells: int | None = None, nprobe: int = 4, exclude_self: bool = False,
-             keys=None, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+             keys=None, max_query_bytes: int = MAX_QUERY_BYTES, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """K4: approximate top-k -> (qid, id, sim, rank); every candidate is scored exactly."""
     qvec_col = qvec_col or vec_col
     d, batches = _collect_queries(queries, qid_col, qvec_col, max_query_bytes)
@@ -209,7 +283,7 @@ def ann_topk(library: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
         qids, Q = _pandas_batch(batches[0], qid_col, qvec_col, d)
         scored = _probe(lib, out_id, vec_col, qid_col, qids, Q, keys, k, exclude_self, schema)
     else:
-        scored = _join_plan(lib, queries, out_id, vec_col, qid_col, qvec_col, keys, k, d, exclude_self)
+        scored = _join_plan(lib, queries, out_id, vec_col, qid_col, qvec_col, keys, k, d, exclude_self, hot_rows)
     return rank_window(scored, qid_col, out_id, k)
 
 
@@ -221,18 +295,25 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_co
 
 
 def knn_graph(vectors: DataFrame, m: int = 16, id_col: str = "id", vec_col: str = "embedding",
-              method: str = "exact", **ann_args) -> DataFrame:
-    """K7: each vector's m nearest others -> (src, dst, dist, rank), ascending distance."""
+              method: str = "auto", max_exact_bytes: int = 4 * MAX_QUERY_BYTES, **ann_args) -> DataFrame:
+    """K7: each vector's m nearest others -> (src, dst, dist, rank), ascending distance.
+
+    `auto` is exact while all vectors fit a few broadcast batches (each batch
+    is one scan of the library) and approximate (LSH join plan) beyond that.
+    """
     from vellum.operators.search import batch_topk
 
     q = vectors.select(F.col(id_col).alias("src"), F.col(vec_col).alias("_qv"))
     lib = vectors.select(F.col(id_col).alias("dst"), F.col(vec_col))
+    if method == "auto":
+        st = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+        method = "exact" if (st["n"] or 0) * (st["d"] or 0) * 8 <= max_exact_bytes else "lsh"
     if method == "exact":
         hits = batch_topk(lib, q, m, id_col="dst", vec_col=vec_col, qid_col="src", qvec_col="_qv",
                           exclude_self=True)
     else:
         hits = ann_topk(lib, q, m, id_col="dst", vec_col=vec_col, qid_col="src", qvec_col="_qv",
-                        exclude_self=True, **ann_args)
+                        exclude_self=True, method=method, **ann_args)
     return hits.select("src", "dst", (F.lit(1.0) - F.col("sim")).alias("dist"), "rank")
 
 
