@@ -78,7 +78,7 @@ def fold_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     new = latest_per_key(batch)
     if state is None:
         return new.select(*cols)
-    return latest_per_key(state.select(*cols).unionByName(new.select(*cols)))
+    return latest_per_key(state.select(*cols).unionByName(new.select(*cols))).select(*cols)
 
 
 def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=None) -> DataFrame:
