@@ -63,3 +63,23 @@ def test_model_udf_does_not_run_twice(spark):
     out = embed(docs, "text").where(F.col("emb.success"))
     p = plan(out)
     assert p.count("ArrowEvalPython") == 1
+
+
+def test_snapshot_files_hold_disjoint_id_ranges(spark, tmp_path):
+    from vellum.plans.derived import library
+    from vellum.sources.library_io import get_by_id, scan_library, write_library
+
+    path = write_library(library(spark, SF_SMALL), str(tmp_path / "snap"), files=4)
+    lib = scan_library(path, spark)
+    ranges = (lib.select(F.input_file_name().alias("f"), "id").groupBy("f")
+              .agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("lo").collect())
+    assert len(ranges) == 4 and all(a["hi"] < b["lo"] for a, b in zip(ranges, ranges[1:]))
+    assert get_by_id(lib, "emb_000000000007").count() == 1
+
+
+def test_small_patch_is_broadcast(spark):
+    from vellum.operators.library import apply_patch, patch_from_labels
+    from vellum.plans.derived import library, table
+
+    out = apply_patch(library(spark, SF_SMALL), patch_from_labels(table(spark, SF_SMALL, "labels")))
+    assert "BroadcastHashJoin" in plan(out)

@@ -39,6 +39,19 @@ LIBRARY_SCHEMA = T.StructType([
 LIBRARY_COLUMNS = [f.name for f in LIBRARY_SCHEMA.fields]
 
 
+# Change sets up to this many rows are broadcast into the join with the library.
+BROADCAST_ROWS = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast `df` only when a count shows it is small; otherwise both sides shuffle on the key.
+
+    A mutation usually touches a few records of a large library: broadcasting
+    the change set keeps the library where it is instead of shuffling all of it.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Select the library columns in schema order, adding missing ones as nulls."""
     cols = []
@@ -98,7 +111,7 @@ def apply_patch(current: DataFrame, patch: DataFrame, now: Column | None = None)
     now = now if now is not None else F.current_timestamp()
     pcols = [c for c in patch.columns if c != "id"]
     p = patch.select("id", *[F.col(c).alias(f"_p_{c}") for c in pcols]).withColumn("_hit", F.lit(True))
-    j = current.join(p, "id", "left")
+    j = current.join(sized_broadcast(p), "id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     out = []
     for f in LIBRARY_SCHEMA.fields:
@@ -121,7 +134,7 @@ def deep_patch_metadata(current: DataFrame, patch: DataFrame) -> DataFrame:
     """P5: view-side merge; metadata keys merge one by one (patch wins where it has a value)."""
     pcols = [c for c in patch.columns if c != "id"]
     p = patch.select("id", *[F.col(c).alias(f"_p_{c}") for c in pcols]).withColumn("_hit", F.lit(True))
-    j = current.join(p, "id", "left")
+    j = current.join(sized_broadcast(p), "id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     out = []
     for f in LIBRARY_SCHEMA.fields:
@@ -167,7 +180,7 @@ def add_records(current: DataFrame | None, new: DataFrame, id_cols: list[str] |
 
 def delete_records(current: DataFrame, ids: DataFrame) -> DataFrame:
     """M3: remove the given ids; unknown ids are fine."""
-    return current.join(ids.select("id").distinct(), "id", "left_anti")
+    return current.join(sized_broadcast(ids.select("id").distinct()), "id", "left_anti")
 
 
 def clear_library(current: DataFrame) -> DataFrame:
