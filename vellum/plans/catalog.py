@@ -432,20 +432,27 @@ def q_summarize_chunks(spark, sf):
     return c.select("doc_id", _long(F.col("pos")).alias("pos"), default_summary(F.col("chunk")).alias("summary"))
 
 
+def summary_ctes(src: str, key: str, content: str, url: str) -> str:
+    """CTEs ending in `summ(k, summary)`: H11 with the default summariser over rows of `src`.
+
+    Only the CTE bodies; put them after a `WITH RECURSIVE` (the chunk walk recurses).
+    """
+    return chunk_sql(f"(SELECT * FROM {src} WHERE regexp_matches({url}, '(?i)^https?://') AND {content} <> '')",
+                     key, content) + f""",
+sums AS (SELECT k, pos, {S.js_trim(S.summary120('chunk'))} AS s FROM kept),
+good AS (SELECT k, pos, s FROM sums WHERE s <> ''),
+agg AS (SELECT k, count(*) AS n, string_agg(s, ' ' ORDER BY pos) AS joined, min(s) AS one_s FROM good GROUP BY k),
+summ AS (
+  SELECT k, CASE WHEN n = 1 THEN one_s
+                 ELSE coalesce(nullif({S.js_trim(S.summary120('substr(joined, 1, 4000)'))}, ''),
+                               {S.js_trim('substr(joined, 1, 4000)')}) END AS summary
+  FROM agg)"""
+
+
 def summarize_doc_sql(src: str, key: str, content: str, url: str) -> str:
     """H11 with the default summariser, over (key, content, url) rows of `src`."""
-    return "WITH RECURSIVE " + chunk_sql(f"(SELECT * FROM {src} WHERE regexp_matches({url}, '(?i)^https?://') "
-                                         f"AND {content} <> '')", key, content) + f""",
-sums AS (
-  SELECT k, pos, {S.js_trim(S.summary120('chunk'))} AS s FROM kept
-),
-good AS (SELECT k, pos, s FROM sums WHERE s <> ''),
-agg AS (SELECT k, count(*) AS n, string_agg(s, ' ' ORDER BY pos) AS joined, min(s) AS only FROM good GROUP BY k)
-SELECT x.{key} AS page_id,
-  CASE WHEN a.n IS NULL THEN NULL WHEN a.n = 1 THEN a.only
-       ELSE coalesce(nullif({S.js_trim(S.summary120('substr(a.joined, 1, 4000)'))}, ''),
-                     {S.js_trim('substr(a.joined, 1, 4000)')}) END AS summary
-FROM {src} x LEFT JOIN agg a ON a.k = x.{key}"""
+    return ("WITH RECURSIVE " + summary_ctes(src, key, content, url)
+            + f"\nSELECT x.{key} AS page_id, s.summary FROM {src} x LEFT JOIN summ s ON s.k = x.{key}")
 
 
 _PAGE_CONTENT = f"(SELECT page_id, url, {S.extract('html')} AS content FROM pages)"

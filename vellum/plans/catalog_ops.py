@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.plans import sqlparts as S
-from vellum.plans.catalog import LIB, _long, chunk_sql, query
+from vellum.plans.catalog import LIB, _long, chunk_sql, query, summary_ctes
 from vellum.plans.derived import SELECTED_MODEL, changes, existing_urls, items, library, millis, table, tree
 
 # ---------------------------------------------------------------- J: dedupe and key joins
@@ -323,15 +323,23 @@ def q_regenerate_all(spark, sf):
     return out.select("id", "text", "model", _long(F.col("dimensions")).alias("dimensions"))
 
 
-@query("process_bookmark", S.with_(S.CHANGES) + f"""
-SELECT event_id, key, {S.compose('title', 'url', 'NULL', "''")} AS text, CAST(64 AS BIGINT) AS dimensions,
-       key AS bookmark_id FROM changes WHERE op = 'created' AND url <> ''""")
+_CREATED = f"""(SELECT c.event_id, c.key, c.title, c.url, {S.extract('p.html')} AS content
+  FROM changes c LEFT JOIN pages p ON p.url = c.url WHERE c.op = 'created' AND c.url <> '')"""
+
+
+@query("process_bookmark", "WITH RECURSIVE " + S.CHANGES.strip() + ", " + summary_ctes(_CREATED, "event_id", "content", "url")
+       + f"""
+SELECT c.event_id, c.key, s.summary,
+       coalesce(nullif({S.compose('c.title', 'c.url', 's.summary', "''")}, ''),
+                nullif({S.js_trim("coalesce(c.title, '') || ' - ' || coalesce(c.url, '')")}, ''), c.key) AS text,
+       CAST(64 AS BIGINT) AS dimensions, c.key AS bookmark_id
+FROM {_CREATED} c LEFT JOIN summ s ON s.k = c.event_id""")
 def q_process_bookmark(spark, sf):
     from vellum.plans.import_job import process_bookmarks
     created = changes(spark, sf).where(F.col("op") == "created")
-    recs = process_bookmarks(created)
-    return recs.select("event_id", "key", "text", _long(F.col("dimensions")).alias("dimensions"),
-                       F.col("metadata.bookmark_id").alias("bookmark_id"))
+    recs = process_bookmarks(created, pages=table(spark, sf, "pages"))
+    return recs.select("event_id", "key", F.col("metadata.summary").alias("summary"), "text",
+                       _long(F.col("dimensions")).alias("dimensions"), F.col("metadata.bookmark_id").alias("bookmark_id"))
 
 
 def _bulk_import_sql() -> str:

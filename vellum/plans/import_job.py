@@ -49,13 +49,24 @@ def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder
     return recs, status
 
 
-def process_bookmarks(created: DataFrame, embedder=None, model: str = HASH_MODEL) -> DataFrame:
+def process_bookmarks(created: DataFrame, pages: DataFrame | None = None, embedder=None, summarizer=None,
+                      model: str = HASH_MODEL) -> DataFrame:
     """M8: each created bookmark with a url -> a record carrying its bookmark id (no url dedupe).
 
-    Keeps `event_id` and `key` next to the record columns.
+    With `pages`, the page of each url is extracted and summarised first, as
+    the create handler does; without it the summary is null.  Keeps
+    `event_id` and `key` next to the record columns.
     """
     c = created.where(P.truthy(F.col("url")))
-    composed = P.compose_text(F.col("title"), F.col("url"), F.lit(None).cast("string"), F.lit(""))
+    if pages is not None:
+        # each distinct url is fetched and summarised once, however many events name it
+        urls = c.select("url").distinct().join(pages.select("url", "html"), "url")
+        urls = urls.withColumn("_x", extract_content(F.col("html")))
+        sums = summarize_frame(urls, "url", "_x", "summary", summarizer).select("url", "summary")
+        c = c.join(sums, "url", "left")
+    else:
+        c = c.withColumn("summary", F.lit(None).cast("string"))
+    composed = P.compose_text(F.col("title"), F.col("url"), F.col("summary"), F.lit(""))
     text = P.text_fallback(composed, F.col("title"), F.col("url"), F.col("key"))
     c = c.withColumn("text", text).withColumn("_e", embed_udf(embedder)(F.col("text")))
     return c.where(F.col("_e.success")).select(
@@ -63,5 +74,5 @@ def process_bookmarks(created: DataFrame, embedder=None, model: str = HASH_MODEL
         F.size("_e.embedding").alias("dimensions"), F.lit(model).alias("model"), F.col("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("key").alias("bookmark_id"),
                  F.coalesce(F.col("ts"), F.current_timestamp()).alias("date_added"),
-                 F.lit(None).cast("string").alias("summary"), F.lit("").alias("notes")).cast(METADATA_TYPE)
+                 F.col("summary"), F.lit("").alias("notes")).cast(METADATA_TYPE)
         .alias("metadata"))
