@@ -43,7 +43,7 @@ def scan_library(df_or_path, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(LIBRARY_SCHEMA).parquet(df_or_path)
 
 
-def write_library(df: DataFrame, path: str, files: int | None = None) -> str:
+def write_library(df: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> str:
     """Write a library snapshot range-partitioned and sorted by id.
 
     Each file then covers a disjoint id range and its row groups carry tight
@@ -53,7 +53,7 @@ def write_library(df: DataFrame, path: str, files: int | None = None) -> str:
     """
     out = conform(df)
     n = files or max(1, out.sparkSession.sparkContext.defaultParallelism)
-    out.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("errorifexists").parquet(path)
+    out.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode(mode).parquet(path)
     return path
 
 

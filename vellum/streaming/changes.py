@@ -128,6 +128,50 @@ def snapshot_writer(root: str):
     return write
 
 
+def library_writer(root: str, initial: str, embedder=None):
+    """`foreachBatch` function: apply a micro-batch of changes to the newest library snapshot.
+
+    Events may arrive out of order across micro-batches, so the batch is first
+    folded into the order-free key state (`root/state/batch=<id>`); the library
+    then receives, for every key the batch touched, the *merged* newest event,
+    which makes a late older event a no-op.  The library snapshot goes to
+    `root/library/batch=<id>`; both are written in overwrite mode, so a
+    replayed batch rewrites the same snapshots.
+    """
+    from vellum.sources.library_io import scan_library, write_library
+
+    state_root, lib_root = os.path.join(root, "state"), os.path.join(root, "library")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ev = read_changes_batch(batch)
+        prev_s = [b for b in _batches(spark, state_root) if b < batch_id]
+        prev = spark.read.parquet(os.path.join(state_root, f"batch={prev_s[-1]}")) if prev_s else None
+        state_path = os.path.join(state_root, f"batch={batch_id}")
+        fold_state(prev, ev).write.mode("overwrite").parquet(state_path)
+        touched = spark.read.parquet(state_path).join(ev.select("key").distinct(), "key", "left_semi")
+        prev_l = [b for b in _batches(spark, lib_root) if b < batch_id]
+        current = scan_library(os.path.join(lib_root, f"batch={prev_l[-1]}") if prev_l else initial, spark)
+        new = apply_changes(current, touched, embedder=embedder)
+        write_library(new, os.path.join(lib_root, f"batch={batch_id}"), mode="overwrite")
+
+    return write
+
+
+def run_library_stream(spark: SparkSession, source: str, initial: str, root: str, checkpoint: str,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """T1 end to end: change files -> micro-batches -> library snapshots; returns the newest snapshot."""
+    from vellum.sources.library_io import scan_library
+
+    stream = read_changes_stream(spark, source, max_files_per_trigger)
+    q = (stream.writeStream.foreachBatch(library_writer(root, initial))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    lib_root = os.path.join(root, "library")
+    batches = _batches(spark, lib_root)
+    return scan_library(os.path.join(lib_root, f"batch={batches[-1]}") if batches else initial, spark)
+
+
 def run_change_stream(spark: SparkSession, source: str, state_root: str, checkpoint: str,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """T1/T3 driver: process all available change files in micro-batches, return the final state."""
