@@ -135,8 +135,10 @@ def _probe(library: DataFrame, id_col: str, vec_col: str, qid_col: str, qids, Q,
         if acc_i is not None and len(acc_c):
             yield pd.DataFrame({qid_col: qids_[acc_c], id_col: acc_i, "sim": acc_s})
 
+    from vellum.session import spread
+
     lib = library.select(id_col, vec_col).where(dimension_ok(F.col(vec_col), dim))
-    return lib.mapInPandas(run, schema)
+    return spread(lib).mapInPandas(run, schema)
 
 
 def _key_rows(df: DataFrame, id_col: str, vec_col: str, keys, dim: int, query: bool) -> DataFrame:

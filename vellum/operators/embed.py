@@ -13,12 +13,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions.text import _c
-
 HASH_MODEL = "vellum/hash-embed"
 DEFAULT_DIM = 64
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
@@ -121,8 +119,10 @@ def embed_udf(factory=None, key: str | None = None):
 def embed(df: DataFrame, text_col: str = "text", factory=None, model: str = HASH_MODEL,
           out: str = "emb") -> DataFrame:
     """V1: add a struct {success, embedding, dimensions, model, text, error}."""
+    from vellum.session import spread
+
     res = embed_udf(factory)(F.col(text_col))
-    return df.withColumn(out, res).withColumn(
+    return spread(df).withColumn(out, res).withColumn(
         out,
         F.struct(
             F.col(f"{out}.success").alias("success"),
@@ -137,8 +137,10 @@ def embed(df: DataFrame, text_col: str = "text", factory=None, model: str = HASH
 
 def hash_embed(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM, out: str = "embedding") -> DataFrame:
     """V2 as a column: the offline stand-in model."""
+    from vellum.session import spread
+
     res = embed_udf(hash_embedder(dim), key=f"hash-{dim}")(F.col(text_col))
-    return df.withColumn(out, res["embedding"])
+    return spread(df).withColumn(out, res["embedding"])
 
 
 def mean_pool(df: DataFrame, group_col: str, vec_col: str = "embedding", out: str = "embedding") -> DataFrame:
@@ -158,12 +160,3 @@ def mean_pool(df: DataFrame, group_col: str, vec_col: str = "embedding", out: st
     pooled = F.when(norm == 0, arr).otherwise(F.transform(arr, lambda x: x / norm))
     return means.select(group_col, pooled.alias(out))
 
-
-def explode_vector(df: DataFrame, keys: list[str], vec_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """Long form (keys..., pos, value rounded) for comparing vectors as rows."""
-    return df.select(*keys, F.posexplode(vec_col).alias("pos", "_v")).select(
-        *keys, F.col("pos").cast("int").alias("pos"), F.round(F.col("_v").cast("double"), digits).alias("value"))
-
-
-def vec_col_sizes(col: Column) -> Column:
-    return F.size(_c(col))

@@ -77,7 +77,10 @@ def _schema(id_type: T.DataType, qid_type: T.DataType, qid_col: str, id_col: str
 
 
 def _collect_queries(queries: DataFrame, qid_col: str, qvec_col: str, max_bytes: int):
-    """Yield bounded query batches as (qids, unit matrix); the budget is checked before collecting."""
+    """Measure the query side, then split it into batches that each fit the byte budget.
+
+    Returns (dimension, list of query DataFrames); nothing is collected here.
+    """
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d")).first()
     n, d = int(stats["n"] or 0), int(stats["d"] or 0)
     if n == 0:
@@ -135,8 +138,10 @@ def _score_partitions(library: DataFrame, id_col: str, vec_col: str, qid_col: st
         if acc_i is not None and len(acc_c):
             yield pd.DataFrame({qid_col: qids_[acc_c], id_col: acc_i, "sim": acc_s})
 
+    from vellum.session import spread
+
     lib = library.select(id_col, vec_col).where(dimension_ok(F.col(vec_col), dim))
-    return lib.mapInPandas(run, schema)
+    return spread(lib).mapInPandas(run, schema)
 
 
 def rank_window(df: DataFrame, part_col: str, id_col: str, k: int | None, score: str = "sim",
@@ -215,11 +220,15 @@ def adaptive_topk(library: DataFrame, queries: DataFrame, k: int | None, id_col:
     """K5: exact when the library is empty, k is unset or k >= N, or the index fails; else approximate."""
     from vellum.operators.ann import ann_topk
 
-    n = library.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).count()
+    usable = library.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0))
+    if k is None:
+        return batch_topk(library, queries, max(1, usable.count()), id_col, vec_col, qid_col)
+    # "k >= N" needs at most k+1 rows read, not a count of the whole library
+    n = usable.limit(k + 1).count()
     if n == 0:
         return batch_topk(library.limit(0), queries, 1, id_col, vec_col, qid_col)
-    if k is None or k >= n:
-        return batch_topk(library, queries, k or n, id_col, vec_col, qid_col)
+    if k >= n:
+        return batch_topk(library, queries, k, id_col, vec_col, qid_col)
     try:
         return ann_topk(library, queries, k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, **ann_args)
     except Exception:  # noqa: BLE001 - the exact path is always correct

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.plans import sqlparts as S
-from vellum.plans.derived import changes, existing_urls, flat_library, items, library, millis, table, tree
+from vellum.plans.derived import changes, existing_urls, flat_library, heavy_table, items, library, millis, table, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -341,29 +341,29 @@ from vellum.functions.chunk import chunk_text  # noqa: E402
 
 @query("strip_noise_blocks", f"SELECT page_id, {S.strip_noise('html')} AS stripped FROM pages")
 def q_strip_noise(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.strip_noise_blocks("html").alias("stripped"))
+    return heavy_table(spark, sf, "pages").select("page_id", H.strip_noise_blocks("html").alias("stripped"))
 
 
 @query("select_main", f"SELECT page_id, {S.select_main(S.strip_noise('html'))} AS main FROM pages")
 def q_select_main(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.select_main(H.strip_noise_blocks("html")).alias("main"))
+    return heavy_table(spark, sf, "pages").select("page_id", H.select_main(H.strip_noise_blocks("html")).alias("main"))
 
 
 @query("strip_tags", f"SELECT page_id, {S.strip_tags(S.select_main(S.strip_noise('html')))} AS bare FROM pages")
 def q_strip_tags(spark, sf):
-    p = table(spark, sf, "pages")
+    p = heavy_table(spark, sf, "pages")
     return p.select("page_id", H.strip_tags(H.select_main(H.strip_noise_blocks("html"))).alias("bare"))
 
 
 @query("collapse_ws", f"SELECT doc_id, {S.collapse('text')} AS collapsed FROM documents")
 def q_collapse_ws(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.collapse_ws("text").alias("collapsed"))
+    return heavy_table(spark, sf, "documents").select("doc_id", P.collapse_ws("text").alias("collapsed"))
 
 
 @query("extract_content", f"SELECT page_id, true AS success, {S.extract('html')} AS content, "
                           f"CAST(length({S.extract('html')}) AS BIGINT) AS n_chars FROM pages")
 def q_extract_content(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", H.extract_content("html").alias("r"))
+    p = heavy_table(spark, sf, "pages").select("page_id", H.extract_content("html").alias("r"))
     return p.select("page_id", F.col("r.success").alias("success"), F.col("r.content").alias("content"),
                     _long(F.length("r.content")).alias("n_chars"))
 
@@ -371,7 +371,7 @@ def q_extract_content(spark, sf):
 @query("extract_content_dom", None)
 def q_extract_content_dom(spark, sf):
     from vellum.functions.dom import extract_content_dom
-    p = table(spark, sf, "pages")
+    p = heavy_table(spark, sf, "pages")
     r = extract_content_dom(F.col("html"))
     return p.select("page_id", r["success"].alias("success"), r["content"].alias("content"),
                     r["title"].alias("title"))
@@ -379,13 +379,13 @@ def q_extract_content_dom(spark, sf):
 
 @query("page_title", f"SELECT page_id, {S.page_title('html')} AS title FROM pages")
 def q_page_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.page_title("html").alias("title"))
+    return heavy_table(spark, sf, "pages").select("page_id", H.page_title("html").alias("title"))
 
 
 @query("extract_with_fallback", None)
 def q_extract_with_fallback(spark, sf):
     from vellum.functions.dom import extract_with_fallback
-    p = table(spark, sf, "pages")
+    p = heavy_table(spark, sf, "pages")
     r = extract_with_fallback(F.col("html"))
     return p.select("page_id", r["success"].alias("success"), r["content"].alias("content"))
 
@@ -418,7 +418,7 @@ kept AS (
 @query("chunk_text", "WITH RECURSIVE " + chunk_sql("documents", "doc_id", "text")
        + "\nSELECT k AS doc_id, pos, chunk FROM kept")
 def q_chunk_text(spark, sf):
-    d = table(spark, sf, "documents")
+    d = heavy_table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(chunk_text(F.col("text"))).alias("pos", "chunk")) \
         .select("doc_id", _long(F.col("pos")).alias("pos"), "chunk")
 
@@ -427,7 +427,7 @@ def q_chunk_text(spark, sf):
        + f"\nSELECT k AS doc_id, pos, {S.summary120('chunk')} AS summary FROM kept")
 def q_summarize_chunks(spark, sf):
     from vellum.operators.summarize import default_summary
-    d = table(spark, sf, "documents")
+    d = heavy_table(spark, sf, "documents")
     c = d.select("doc_id", F.posexplode(chunk_text(F.col("text"))).alias("pos", "chunk"))
     return c.select("doc_id", _long(F.col("pos")).alias("pos"), default_summary(F.col("chunk")).alias("summary"))
 
@@ -461,7 +461,7 @@ _PAGE_CONTENT = f"(SELECT page_id, url, {S.extract('html')} AS content FROM page
 @query("summarize_doc", summarize_doc_sql(_PAGE_CONTENT, "page_id", "content", "url"))
 def q_summarize_doc(spark, sf):
     from vellum.operators.summarize import summarize_doc
-    p = table(spark, sf, "pages").select("page_id", "url", H.extract_content("html").alias("r"))
+    p = heavy_table(spark, sf, "pages").select("page_id", "url", H.extract_content("html").alias("r"))
     return p.select("page_id", summarize_doc(F.col("url"), F.col("r")).alias("summary"))
 
 

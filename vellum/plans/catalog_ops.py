@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.plans import sqlparts as S
 from vellum.plans.catalog import LIB, _long, chunk_sql, query, summary_ctes
-from vellum.plans.derived import SELECTED_MODEL, changes, existing_urls, items, library, millis, table, tree
+from vellum.plans.derived import SELECTED_MODEL, changes, existing_urls, heavy_table, items, library, millis, table, tree
 
 # ---------------------------------------------------------------- J: dedupe and key joins
 
@@ -389,7 +389,7 @@ def q_bulk_import(spark, sf):
 def q_summarizer(spark, sf):
     from vellum.functions.chunk import chunk_text
     from vellum.operators.summarize import first_words_summarizer, summarizer_udf
-    d = table(spark, sf, "documents").select("doc_id", chunk_text(F.col("text")).alias("chunks"))
+    d = heavy_table(spark, sf, "documents").select("doc_id", chunk_text(F.col("text")).alias("chunks"))
     s = d.select("doc_id", summarizer_udf(first_words_summarizer)(F.col("chunks")).alias("sums"))
     return s.select("doc_id", F.posexplode("sums").alias("pos", "summary")).select(
         "doc_id", _long(F.col("pos")).alias("pos"), "summary")

@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table feeding CPU-heavy row work (regex chains, chunk walks): at least one task per core."""
+    from vellum.session import spread
+
+    return spread(table(spark, sf_dir, name))
+
+
 def millis(ts: Column) -> Column:
     """Epoch millis of a TIMESTAMP or TIMESTAMP_NTZ (session time zone is UTC)."""
     return F.unix_millis(ts.cast("timestamp"))
@@ -40,8 +47,8 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url",
-                                                 page_title(F.col("html")).alias("title"))
+    pages = heavy_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url",
+                                                       page_title(F.col("html")).alias("title"))
     notes = (table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
              .select(F.col("conv_id").alias("doc_id"), F.col("text").alias("note")))
     j = docs.join(emb, "doc_id", "left").join(ev, "doc_id", "left").join(pages, "doc_id", "left") \

@@ -63,3 +63,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, floor: int | None = None):
+    """Give a CPU-heavy step at least `floor` tasks (default: the cluster's parallelism).
+
+    Only when the input has fewer partitions than that (a few large files) is
+    it redistributed round-robin; a large input already split into thousands
+    of scan partitions passes through untouched, so no shuffle is added where
+    the scan already spreads the work.
+    """
+    want = floor or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
