@@ -9,10 +9,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_batch_topk_scans_two_columns_and_never_shuffles_vectors(spark):
+def test_batch_topk_scans_two_columns_and_never_shuffles_vectors(spark, tmp_path):
     from vellum.operators.search import batch_topk
 
-    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    # a library split over many files, as at scale: the scan alone spreads the work
+    path = str(tmp_path / "emb")
+    spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").repartition(16).write.parquet(path)
+    e = spark.read.parquet(path)
     q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
     p = plan(batch_topk(e, q, 5, id_col="vec_id", qvec_col="qv"))
     assert "MapInPandas" in p and "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in p
@@ -21,6 +24,15 @@ def test_batch_topk_scans_two_columns_and_never_shuffles_vectors(spark):
     assert "WindowGroupLimit" in p or "Window" in p
 
 
+def test_single_file_input_gets_a_parallelism_floor(spark):
+    from vellum.operators.search import batch_topk
+
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")  # one file, one split
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    below = plan(batch_topk(e, q, 5, id_col="vec_id", qvec_col="qv")).split("MapInPandas", 1)[1]
+    assert "RoundRobinPartitioning" in below and "hashpartitioning" not in below
+
+
 def test_get_by_id_pushes_filter_to_parquet(spark, tmp_path):
     from vellum.plans.derived import library
     from vellum.sources.library_io import get_by_id, scan_library
