@@ -86,7 +86,12 @@ def main(argv):
     names = argv[2:]
     from __spark_entry__ import queries
 
-    spark = get_spark()
+    if os.environ.get("HARNESS_PLAIN") == "1":  # a default session, as a driver might build it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark()
     con = duck(sf_dir)
     names = names or list(queries())
     bad = 0

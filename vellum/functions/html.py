@@ -35,17 +35,33 @@ def strip_noise_blocks(html) -> Column:
     return c
 
 
-# One anchored pattern with an alternative per container: the first alternative
-# that matches anywhere wins, its body replaces the whole text; no match leaves
-# the text as it is.  The input is referenced once, so the step stays in
-# whole-stage codegen even when it follows the noise-stripping chain.
-_MAIN_PICK = "|".join(rf"^[\s\S]*?<{t}[^>]*>([\s\S]*?)</{t}>[\s\S]*$" for t in MAIN_TAGS)
-_MAIN_GROUPS = "".join(f"${i + 1}" for i in range(len(MAIN_TAGS)))
+def _first_body(x: Column, tag: str):
+    """(found, body) of the first `<tag ...>body</tag>`, from positions instead of a capture.
+
+    The leftmost match of `<tag[^>]*>([\s\S]*?)</tag>` starts at the first
+    `<tag` (case-insensitive), its body begins after the next `>`, and ends at
+    the first `</tag>` after that; if that closing tag is missing, no later
+    start can match either.  Three linear scans, no backtracking capture.
+    """
+    start = F.regexp_instr(x, F.lit(f"(?i)<{tag}"), F.lit(0))
+    gt = F.call_function("locate", F.lit(">"), x, start + len(tag) + 1)
+    rest = x.substr(gt + 1, F.lit(2147483647))
+    close = F.regexp_instr(rest, F.lit(f"(?i)</{tag}>"), F.lit(0))
+    return (start > 0) & (gt > 0) & (close > 0), rest.substr(F.lit(1), close - 1)
 
 
 def select_main(html) -> Column:
-    """H2: first <main> body, else first <article> body, else everything."""
-    return F.regexp_replace(_c(html), "(?i)" + _MAIN_PICK, _MAIN_GROUPS)
+    """H2: first <main> body, else first <article> body, else everything.
+
+    Every reference to the (noise-stripped) input sits in the same codegen'd
+    projection, where subexpression elimination computes it once.
+    """
+    x = _c(html)
+    out = None
+    for t in MAIN_TAGS:
+        hit, body = _first_body(x, t)
+        out = F.when(hit, body) if out is None else out.when(hit, body)
+    return out.otherwise(x)
 
 
 def strip_tags(html) -> Column:
