@@ -77,9 +77,11 @@ def extract_text(html) -> Column:
 def extract_content(html) -> Column:
     """H5: the fetch-path result struct {success, content, title, error}."""
     h = _c(html)
+    # No CASE around the chain: a null page gives a null text anyway, and an
+    # unconditional chain lets codegen compute the stripped page once.
     return F.struct(
         h.isNotNull().alias("success"),
-        F.when(h.isNotNull(), extract_text(h)).alias("content"),
+        extract_text(h).alias("content"),
         F.lit(None).cast("string").alias("title"),
         F.when(h.isNull(), F.lit("empty response")).alias("error"),
     )

@@ -26,10 +26,10 @@ from vellum.sources.tree import flatten_tree
 def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder=None, summarizer=None,
                 model: str = HASH_MODEL) -> tuple[DataFrame, DataFrame]:
     """M6: (new records, item statuses (pos, url, status, error))."""
-    marks = flatten_tree(tree)
+    marks = flatten_tree(tree, ordered=False)
     todo = dedupe_batch(new_only(marks, existing), url_col="url", pos_col="path")
     j = todo.join(pages.select("url", "html"), "url", "left")
-    j = j.withColumn("_x", F.when(F.col("html").isNotNull(), extract_content(F.col("html"))))
+    j = j.withColumn("_x", extract_content(F.col("html")))
     j = summarize_frame(j, "url", "_x", "summary", summarizer)
     composed = P.compose_text(F.col("title"), F.col("url"), F.col("summary"), F.lit(""))
     fallback = F.concat(F.coalesce("title", F.lit("")), F.lit(" - "), F.coalesce("url", F.lit("")))

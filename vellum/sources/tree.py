@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def flatten_tree(nodes: DataFrame, max_depth: int = 100, ordered: bool = True) -> DataFrame:
     """Bookmarks (nodes with a url) in pre-order -> (id, title, url, path, depth).
 
     `nodes` has (id, parent_id, title, url, sort_key); roots have a null parent.
+    `path` is the pre-order key; `ordered=False` skips the global sort for
+    callers that only need the key (e.g. "first per url" as a `min_by`).
     """
     spark = nodes.sparkSession
     view = f"vellum_tree_{uuid.uuid4().hex[:10]}"
@@ -31,4 +33,5 @@ def flatten_tree(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
           FROM {view} t JOIN walk w ON t.parent_id = w.id
         )
         SELECT id, title, url, path, depth FROM walk""")
-    return walked.where(F.col("url").isNotNull() & (F.col("url") != "")).orderBy("path")
+    marks = walked.where(F.col("url").isNotNull() & (F.col("url") != ""))
+    return marks.orderBy("path") if ordered else marks
