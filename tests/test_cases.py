@@ -204,3 +204,17 @@ def test_changes_unknown_change_creates_and_double_remove(spark):
     st = {r["key"]: r for r in key_state(spark.createDataFrame(rows, CHANGE_SCHEMA)).collect()}
     assert st["k1"]["live"] and st["k1"]["text"] == "Title: T\n\nURL: http://a"
     assert not st["k2"]["live"]
+
+
+def test_reimport_gives_new_records_and_skip_mode(spark, tmp_path):
+    from vellum.plans.derived import library
+    from vellum.sources.library_io import export_backup, import_backup
+
+    lib = library(spark, "/root/testdata/sf0.001")
+    path = export_backup(lib, str(tmp_path / "bk"))
+    a = import_backup(spark, path, batch="one")
+    b = import_backup(spark, path, batch="two")
+    n = a.count()
+    assert n > 0 and a.select("id").distinct().count() == n
+    assert a.unionByName(b).select("id").distinct().count() == 2 * n
+    assert import_backup(spark, path, on_conflict="skip", current=a).count() == 0

@@ -130,6 +130,7 @@ def embed(df: DataFrame, text_col: str = "text", factory=None, model: str = HASH
             F.when(F.col(f"{out}.success"), F.size(f"{out}.embedding")).alias("dimensions"),
             F.when(F.col(f"{out}.success"), F.lit(model)).alias("model"),
             F.col(text_col).alias("text"),
+            F.when(F.col(f"{out}.success"), F.current_timestamp()).alias("timestamp"),
             F.col(f"{out}.error").alias("error"),
         ),
     )

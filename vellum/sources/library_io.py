@@ -146,18 +146,25 @@ def check_backup_is_array(spark: SparkSession, path: str) -> None:
 
 
 def import_backup(spark: SparkSession, path: str, on_conflict: str | None = None,
-                  current: DataFrame | None = None) -> DataFrame:
+                  current: DataFrame | None = None, batch: str | None = None) -> DataFrame:
     """Keep items with a present embedding and non-empty text; every item gets a new id.
 
-    `on_conflict="skip"` drops items whose content id is already in `current`
-    (the reference always duplicates on re-import).
+    The new id hashes the import batch, the file and the row's position in
+    its split (stable when a task is retried), so importing the same backup
+    twice yields two sets of records, as the reference does.  With
+    `on_conflict="skip"`, items whose content (text, time, model) is already
+    in `current` are dropped instead.
     """
     check_backup_is_array(spark, path)
     recs = read_backup(spark, path).where(is_importable(F.col("embedding"), F.col("text")))
-    new = add_records(None, recs.drop("id").drop("updated_at"), id_cols=["text", "ts", "model"])
+    token = F.lit(batch) if batch is not None else F.concat(F.lit(path), F.current_timestamp().cast("string"))
+    recs = recs.withColumn("_origin", F.concat_ws("#", token, F.input_file_name(),
+                                                  F.monotonically_increasing_id().cast("string")))
     if on_conflict == "skip" and current is not None:
-        new = new.join(current.select("id"), "id", "left_anti")
-    return new
+        have = current.select("text", "ts", "model").distinct()
+        recs = recs.join(have, [recs.text.eqNullSafe(have.text), recs.ts.eqNullSafe(have.ts),
+                                recs.model.eqNullSafe(have.model)], "left_anti")
+    return add_records(None, recs.drop("id").drop("updated_at"), id_cols=["_origin"])
 
 
 def read_pages(pages: DataFrame, status_col: str | None = None) -> DataFrame:
