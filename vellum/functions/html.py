@@ -36,7 +36,7 @@ def strip_noise_blocks(html) -> Column:
 
 
 def _first_body(x: Column, tag: str):
-    """(found, body) of the first `<tag ...>body</tag>`, from positions instead of a capture.
+    r"""(found, body) of the first `<tag ...>body</tag>`, from positions instead of a capture.
 
     The leftmost match of `<tag[^>]*>([\s\S]*?)</tag>` starts at the first
     `<tag` (case-insensitive), its body begins after the next `>`, and ends at
