@@ -218,3 +218,21 @@ def test_library_stream_equals_batch_application(spark, tmp_path):
 
     assert view(streamed) == view(batch)
     assert streamed.count() == batch.count()
+
+
+def test_streaming_progress_totals_match_batch_counters(spark, tmp_path):
+    from vellum.operators.progress import task_counters
+    from vellum.plans.derived import items
+    from vellum.streaming.progress import run_progress_stream
+
+    it = items(spark, SF_SMALL).select("run_id", "task", "pos", "status", "error", "thrown")
+    src = str(tmp_path / "items")
+    it.repartition(4).write.parquet(src)
+    rows = run_progress_stream(spark, src, "run_id long, task string, pos long, status string, error string, "
+                                            "thrown boolean", str(tmp_path / "ck")).orderBy("batch_id").collect()
+    assert len(rows) == 4
+    assert rows[-1]["total_processed"] == it.count()
+    assert all(a["total_processed"] <= b["total_processed"] for a, b in zip(rows, rows[1:]))
+    total = task_counters(it.withColumn("k", F.lit(1)), keys=["k"]).first()
+    assert (rows[-1]["total_success"], rows[-1]["total_skipped"], rows[-1]["total_failed"]) == \
+        (total["success"], total["skipped"], total["failed"])
