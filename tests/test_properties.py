@@ -236,3 +236,17 @@ def test_streaming_progress_totals_match_batch_counters(spark, tmp_path):
     total = task_counters(it.withColumn("k", F.lit(1)), keys=["k"]).first()
     assert (rows[-1]["total_success"], rows[-1]["total_skipped"], rows[-1]["total_failed"]) == \
         (total["success"], total["skipped"], total["failed"])
+
+
+@pytest.mark.parametrize("block", ["7 minutes", "1 hour", "30 days"])
+def test_blocked_debounce_equals_session_window(spark, block):
+    from vellum.streaming.changes import debounce
+
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    t = F.col("ts").cast("timestamp")
+    ref = ev.groupBy("user_id", F.session_window(t, "6 hours").alias("session")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.max_by("event_type", F.struct(t, F.col("event_id"))).alias("last"))
+    got = debounce(ev, "user_id", "ts", "6 hours", payload="event_type", block=block)
+    key = lambda df: sorted((r["user_id"], r["session"]["start"], r["session"]["end"], r["n_events"], r["last"])
+                            for r in df.collect())
+    assert key(got) == key(ref)

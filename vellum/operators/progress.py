@@ -130,19 +130,38 @@ def running_progress(items: DataFrame, part: str = "run_id", order: str = "pos",
     )
 
 
-def blocked_lag(df: DataFrame, part: str, order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """The previous row's `value` within `part` by `order`, computed per block of positions."""
+def blocked_lag(df: DataFrame, part: str, order: str, value: str, out: str, block: int = BLOCK,
+                tie: str | None = None) -> DataFrame:
+    """The previous row's `value` within `part` by (`order`, `tie`), computed per block of `order`.
+
+    The last value of every block comes from a partial `max_by`; a window
+    over the (few) blocks of a part carries it to the next block, and the
+    lag inside a block only sees that block's rows.
+    """
+    keys = [F.col(order)] + ([F.col(tie)] if tie else [])
     b = df.withColumn("_b", F.floor(F.col(order) / block))
-    last = b.groupBy(part, "_b").agg(F.max_by(value, order).alias("_last"))
+    last = b.groupBy(part, "_b").agg(F.max_by(value, F.struct(*keys)).alias("_last"))
     wb = Window.partitionBy(part).orderBy("_b")
     carry = last.select(part, "_b", F.lag("_last").over(wb).alias("_carry"))
-    wi = Window.partitionBy(part, "_b").orderBy(order)
+    wi = Window.partitionBy(part, "_b").orderBy(*keys)
     j = b.join(carry, [part, "_b"])
     first_in_block = F.row_number().over(wi) == 1
     return j.withColumn(out, F.when(first_in_block, F.col("_carry")).otherwise(F.lag(value).over(wi))) \
         .drop("_b", "_carry")
 
 
+def blocked_cumsum(df: DataFrame, part: str, order: str, value: str, out: str, block: int = BLOCK,
+                   tie: str | None = None) -> DataFrame:
+    """Running sum of `value` within `part` by (`order`, `tie`): block totals, then a scan inside each block."""
+    keys = [F.col(order)] + ([F.col(tie)] if tie else [])
+    b = df.withColumn("_b", F.floor(F.col(order) / block))
+    tot = b.groupBy(part, "_b").agg(F.sum(value).alias("_t"))
+    wb = Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    pre = tot.select(part, "_b", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_pre"))
+    wi = Window.partitionBy(part, "_b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return b.join(pre, [part, "_b"]).withColumn(out, F.col("_pre") + F.sum(value).over(wi)).drop("_b", "_pre")
+
+
 def emit_on_increase(progress: DataFrame) -> DataFrame:
     """T5: pass a running-progress row only when the success count rose while the task is running.
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,13 +200,56 @@ def _list_dirs(spark: SparkSession, root: str) -> list[str]:
 
 
 def debounce(events: DataFrame, key: str, ts: str, gap: str = "500 milliseconds",
-             payload: str | None = None) -> DataFrame:
-    """One row per burst (session) of a key: the last payload, once the gap has passed."""
-    t = F.col(ts).cast("timestamp")
-    order = F.struct(t.alias("t"), F.col("event_id")) if "event_id" in events.columns else t
+             payload: str | None = None, block: str = "1 hour", tie: str = "event_id") -> DataFrame:
+    """T2 (batch): one row per burst (session) of a key: the last payload, and the burst's span.
+
+    A new burst starts when the previous event of the key is `gap` or more
+    earlier.  Same output as `session_window` (session.start, session.end =
+    last + gap), computed without a per-key window so one very busy key is
+    spread over its time blocks:
+
+    1. rows are partitioned by (key, block); inside a block a lag gives the
+       previous time and a "new burst" flag for every row but the first;
+    2. per block: first and last time and the count of inner flags
+       (an aggregate on the same partitioning, no new shuffle);
+    3. over the few blocks of a key: the previous block's last time decides
+       the first row's flag, and a running sum gives the bursts before the block;
+    4. burst id = bursts before + first flag + running count inside the block;
+       bursts are a partial aggregate.
+    """
+    gap_us, block_us = _micros(gap), _micros(block)
+    tie = tie if tie in events.columns else None
+    keys = [F.col("_t")] + ([F.col(tie)] if tie else [])
+    e = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))) \
+        .withColumn("_b", F.floor(F.col("_t") / block_us))
+    wi = Window.partitionBy(key, "_b").orderBy(*keys)
+    e = e.withColumn("_rn", F.row_number().over(wi)).withColumn("_prev", F.lag("_t").over(wi))
+    e = e.withColumn("_inner", F.when((F.col("_rn") > 1) & (F.col("_t") - F.col("_prev") >= gap_us), 1).otherwise(0))
+    stats = e.groupBy(key, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+                                     F.sum("_inner").alias("_n_inner"))
+    wb = Window.partitionBy(key).orderBy("_b")
+    stats = stats.withColumn("_head", F.when(F.lag("_last").over(wb).isNull()
+                                             | (F.col("_first") - F.lag("_last").over(wb) >= gap_us), 1).otherwise(0))
+    stats = stats.withColumn("_before", F.coalesce(
+        F.sum(F.col("_head") + F.col("_n_inner")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    e = e.join(stats.select(key, "_b", "_head", "_before"), [key, "_b"])
+    run = F.sum("_inner").over(wi.rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("_sid", F.col("_before") + F.col("_head") + run)
     pay = F.col(payload) if payload else F.struct(*[F.col(c) for c in events.columns])
-    g = events.groupBy(F.col(key), F.session_window(t, gap).alias("session"))
-    return g.agg(F.count(F.lit(1)).alias("n_events"), F.max_by(pay, order).alias("last"))
+    order = F.struct(*keys)
+    g = e.groupBy(key, "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"),
+                                   F.count(F.lit(1)).alias("n_events"), F.max_by(pay, order).alias("last"))
+    session = F.struct(F.timestamp_micros(F.col("_s")).alias("start"),
+                       F.timestamp_micros(F.col("_e") + gap_us).alias("end"))
+    return g.select(key, session.alias("session"), "n_events", "last")
+
+
+def _micros(interval: str) -> int:
+    """'6 hours' / '500 milliseconds' -> microseconds."""
+    n, unit = interval.split()
+    scale = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6,
+             "day": 86400 * 10**6}[unit.rstrip("s")]
+    return int(float(n) * scale)
 
 
 def debounce_stream(events: DataFrame, key: str, ts: str, gap: str, watermark: str,
