@@ -218,3 +218,17 @@ def test_reimport_gives_new_records_and_skip_mode(spark, tmp_path):
     assert n > 0 and a.select("id").distinct().count() == n
     assert a.unionByName(b).select("id").distinct().count() == 2 * n
     assert import_backup(spark, path, on_conflict="skip", current=a).count() == 0
+
+
+def test_pooling_masks_padding_and_normalises():
+    import numpy as np
+
+    from vellum.operators.embed import onnx_embedder, pool_and_normalize
+
+    hidden = np.array([[[1.0, 0.0], [3.0, 4.0], [100.0, 100.0]]])
+    mask = np.array([[1, 1, 0]])
+    out = pool_and_normalize(hidden, mask)
+    assert np.allclose(out, [[2.0, 2.0]] / np.sqrt(8.0))
+    assert np.allclose(pool_and_normalize(np.zeros((1, 2, 2)), np.ones((1, 2))), 0.0)
+    with pytest.raises(FileNotFoundError):
+        onnx_embedder("/nonexistent")()

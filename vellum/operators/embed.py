@@ -65,6 +65,54 @@ def hash_embedder(dim: int = DEFAULT_DIM):
     return make
 
 
+def pool_and_normalize(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of the token vectors under the attention mask, then unit length (V1's pooling)."""
+    m = mask[..., None].astype(np.float64)
+    pooled = (hidden.astype(np.float64) * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1e-9)
+    norm = np.linalg.norm(pooled, axis=1, keepdims=True)
+    return pooled / np.where(norm == 0, 1.0, norm)
+
+
+def onnx_embedder(model_dir: str, max_length: int = 256, batch_size: int = 64):
+    """U1 factory for a sentence-embedding model exported to ONNX (`model.onnx` + `tokenizer.json`).
+
+    The model is loaded once per Python worker (the factory runs there); the
+    output is the token-level hidden state, mean-pooled and normalised.
+    Needs `onnxruntime` and `tokenizers`; no model files ship with this repo.
+    """
+
+    def make():
+        import os
+
+        import onnxruntime as ort
+        from tokenizers import Tokenizer
+
+        model, vocab = os.path.join(model_dir, "model.onnx"), os.path.join(model_dir, "tokenizer.json")
+        if not (os.path.exists(model) and os.path.exists(vocab)):
+            raise FileNotFoundError(f"expected model.onnx and tokenizer.json in {model_dir}")
+        tok = Tokenizer.from_file(vocab)
+        tok.enable_truncation(max_length)
+        tok.enable_padding()
+        sess = ort.InferenceSession(model, providers=["CPUExecutionProvider"])
+        names = {i.name for i in sess.get_inputs()}
+
+        def embed(texts):
+            parts = []
+            for s in range(0, len(texts), batch_size):
+                enc = tok.encode_batch([t or "" for t in texts[s:s + batch_size]])
+                ids = np.array([e.ids for e in enc], dtype=np.int64)
+                mask = np.array([e.attention_mask for e in enc], dtype=np.int64)
+                feed = {"input_ids": ids, "attention_mask": mask}
+                if "token_type_ids" in names:
+                    feed["token_type_ids"] = np.zeros_like(ids)
+                parts.append(pool_and_normalize(sess.run(None, feed)[0], mask))
+            return np.vstack(parts) if parts else np.zeros((0, 0))
+
+        return embed
+
+    return make
+
+
 _MODELS: dict = {}
 
 
