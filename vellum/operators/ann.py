@@ -35,8 +35,8 @@ from vellum.functions.vectors import cosine_similarity, dimension_ok
 from vellum.operators.search import (MAX_QUERY_BYTES, SIM_DIGITS, _collect_queries, _pandas_batch, _stack, _unit_rows,
                                      flat_topk, rank_window)
 
-DEFAULT_TABLES = 12
-DEFAULT_BITS = 5
+DEFAULT_TABLES = 32
+DEFAULT_BITS = 6
 
 
 def hyperplanes(tables: int, bits: int, dim: int) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import vectors as V
+from vellum.operators.ann import DEFAULT_BITS, DEFAULT_TABLES
 from vellum.plans import sqlparts as S
 from vellum.plans.catalog import LIB, _K2_SQL, _k2, _long, query
 from vellum.plans.derived import library, millis, table
@@ -178,7 +179,7 @@ def q_result_card(spark, sf):
     return result_card(hits.join(lib, "doc_id"))
 
 
-def lsh_sql(tables: int = 12, bits: int = 5, dim: int = 64, k: int = 5) -> str:
+def lsh_sql(tables: int = DEFAULT_TABLES, bits: int = DEFAULT_BITS, dim: int = 64, k: int = 5) -> str:
     return f"""
 WITH planes AS (
   SELECT t, j, i, CASE WHEN CAST(('0x' || substr(md5(CAST(t AS VARCHAR) || ':' || CAST(j AS VARCHAR) || ':'
