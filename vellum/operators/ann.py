@@ -37,6 +37,8 @@ from vellum.operators.search import (MAX_QUERY_BYTES, SIM_DIGITS, _collect_queri
 
 DEFAULT_TABLES = 32
 DEFAULT_BITS = 6
+# Candidate pairs scored at once inside one task (bounds memory under a hot bucket).
+PAIR_BUDGET = 1 << 21
 
 
 def hyperplanes(tables: int, bits: int, dim: int) -> np.ndarray:
@@ -114,24 +116,30 @@ def _probe(library: DataFrame, id_col: str, vec_col: str, qid_col: str, qids, Q,
         acc_c = np.zeros(0, np.int64)
         acc_s = np.zeros(0)
         acc_i = None
+        # a block of library rows pairs with at most every query: bound the block
+        # so the candidate pairs held at once stay under PAIR_BUDGET
+        step = max(1, PAIR_BUDGET // max(len(qids_), 1))
         for pdf in it:
             if len(pdf) == 0 or len(qids_) == 0:
                 continue
-            X = _unit_rows(_stack(pdf[vec_col], dim))
-            ids = pdf[id_col].to_numpy()
-            if ids.dtype == object:
-                ids = ids.astype(str)
-            rows, cols = _pairs(keys_.record_keys(X), qk)
-            if exclude_self and len(rows):
-                keep = ids[rows] != qids_[cols]
-                rows, cols = rows[keep], cols[keep]
-            if not len(rows):
-                continue
-            sims = np.round(np.einsum("ij,ij->i", X[rows], Q_[cols]), SIM_DIGITS)
-            acc_c = np.concatenate([acc_c, cols])
-            acc_s = np.concatenate([acc_s, sims])
-            acc_i = ids[rows] if acc_i is None else np.concatenate([acc_i, ids[rows]])
-            acc_c, acc_s, acc_i = flat_topk(acc_c, acc_s, acc_i, k)
+            X_all = _unit_rows(_stack(pdf[vec_col], dim))
+            ids_all = pdf[id_col].to_numpy()
+            if ids_all.dtype == object:
+                ids_all = ids_all.astype(str)
+            keys_all = keys_.record_keys(X_all)
+            for s in range(0, len(pdf), step):
+                X, ids = X_all[s:s + step], ids_all[s:s + step]
+                rows, cols = _pairs(keys_all[s:s + step], qk)
+                if exclude_self and len(rows):
+                    keep = ids[rows] != qids_[cols]
+                    rows, cols = rows[keep], cols[keep]
+                if not len(rows):
+                    continue
+                sims = np.round(np.einsum("ij,ij->i", X[rows], Q_[cols]), SIM_DIGITS)
+                acc_c = np.concatenate([acc_c, cols])
+                acc_s = np.concatenate([acc_s, sims])
+                acc_i = ids[rows] if acc_i is None else np.concatenate([acc_i, ids[rows]])
+                acc_c, acc_s, acc_i = flat_topk(acc_c, acc_s, acc_i, k)
         if acc_i is not None and len(acc_c):
             yield pd.DataFrame({qid_col: qids_[acc_c], id_col: acc_i, "sim": acc_s})
 
