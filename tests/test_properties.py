@@ -218,6 +218,9 @@ def test_library_stream_equals_batch_application(spark, tmp_path):
 
     assert view(streamed) == view(batch)
     assert streamed.count() == batch.count()
+    from vellum.streaming.changes import compact_library
+    compacted = scan_library(compact_library(spark, init, str(tmp_path / "libs"), str(tmp_path / "lib1")), spark)
+    assert view(compacted) == view(streamed) and compacted.count() == streamed.count()
 
 
 def test_streaming_progress_totals_match_batch_counters(spark, tmp_path):

@@ -81,38 +81,118 @@ def fold_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     return latest_per_key(state.select(*cols).unionByName(new.select(*cols))).select(*cols)
 
 
-def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=None) -> DataFrame:
-    """T1 on the library: match by bookmark id (J3); remove deletes, create/change re-embeds and upserts.
+# Most ids whose metadata one micro-batch may look up by an IN filter (row-group pruning);
+# beyond this the lookup is a semi-join.
+LOOKUP_IDS = 100_000
+
 
-    Records of a key that the last event removes are deleted; live keys with
-    a match get text/embedding/metadata patched (dimensions, model and time
-    are left as they were, as the change handler does); live keys without a
-    match are added as bookmark records.
+def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embedder=None, now=None) -> DataFrame:
+    """The library delta of a set of key states: library columns plus `_kind` (insert / patch / delete).
+
+    `matches` is (key, id) of the first record per key (J3, id null when
+    none), `old_meta` is (id, metadata) of the matched records.  A removed key
+    deletes its record; a live key with a record patches text, embedding and
+    metadata (dimensions, model and time stay, as the change handler leaves
+    them); a live key without one inserts a new bookmark record.
     """
-    from vellum.operators.dedupe import match_by_key
     from vellum.operators.embed import HASH_MODEL, embed_udf
-    from vellum.operators.library import METADATA_TYPE, add_records, apply_patch, conform
+    from vellum.operators.library import METADATA_TYPE, add_records, conform
 
     now = now if now is not None else F.current_timestamp()
-    st = key_state(changes)
-    matched = match_by_key(library, st.select("key"))
-    gone = st.where(~F.col("live")).join(matched, "key").select("id")
-    kept = library.join(gone, "id", "left_anti")
-    live = st.where(F.col("live")).join(matched, "key", "left")
-    live = live.withColumn("_e", embed_udf(embedder)(F.col("text")))
-    upd = live.where(F.col("id").isNotNull() & F.col("_e.success")).join(
-        library.select("id", F.col("metadata").alias("_old")), "id")
-    patch = upd.select(
-        "id", F.col("text"), F.col("_e.embedding").alias("embedding"),
+    st = state.join(matches, "key", "left")
+    deletes = conform(st.where(~F.col("live") & F.col("id").isNotNull()).select("id")) \
+        .withColumn("_kind", F.lit("delete"))
+    live = st.where(F.col("live")).withColumn("_e", embed_udf(embedder)(F.col("text")))
+    patches = live.where(F.col("id").isNotNull() & F.col("_e.success")).join(
+        old_meta.select("id", F.col("metadata").alias("_old")), "id").select(
+        "id", "text", F.col("_e.embedding").alias("embedding"), now.alias("updated_at"),
         F.col("_old").withField("title", F.col("title")).withField("url", F.col("url")).alias("metadata"))
-    patched = apply_patch(kept, patch, now)
+    patches = conform(patches).withColumn("_kind", F.lit("patch"))
     fresh = live.where(F.col("id").isNull() & F.col("_e.success")).select(
         F.col("text"), F.col("_e.embedding").alias("embedding"), F.size("_e.embedding").alias("dimensions"),
         F.lit(HASH_MODEL).alias("model"), F.col("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("key").alias("bookmark_id"),
                  F.col("ts").alias("date_added"), F.lit(None).cast("string").alias("summary"),
                  F.lit("").alias("notes")).cast(METADATA_TYPE).alias("metadata"))
-    return add_records(conform(patched), fresh, id_cols=["metadata.bookmark_id", "text"])
+    inserts = add_records(None, fresh, id_cols=["metadata.bookmark_id", "text"]).withColumn("_kind", F.lit("insert"))
+    return deletes.unionByName(patches).unionByName(inserts)
+
+
+def resolve_delta(delta: DataFrame) -> DataFrame:
+    """Fold every id's deltas (ordered by `_batch`) into one row: deleted?, inserted record, last patch."""
+    from vellum.operators.library import LIBRARY_COLUMNS
+
+    patch = F.struct("_kind", "text", "embedding", "metadata", "updated_at")
+    record = F.struct(*[F.col(c) for c in LIBRARY_COLUMNS])
+    is_ins = F.col("_kind") == "insert"
+    return delta.groupBy("id").agg(F.max_by(patch, "_batch").alias("_last"),
+                                   F.max_by(F.when(is_ins, record), F.when(is_ins, F.col("_batch"))).alias("_ins"))
+
+
+def apply_delta(library: DataFrame, delta: DataFrame) -> DataFrame:
+    """Merge-on-read: base records patched or dropped by their latest delta, plus inserted records.
+
+    The resolved delta is small and is broadcast after a size check; the
+    base is never shuffled.
+    """
+    from vellum.operators.library import LIBRARY_SCHEMA, conform, sized_broadcast
+
+    res = resolve_delta(delta if "_batch" in delta.columns else delta.withColumn("_batch", F.lit(0)))
+    last, ins = F.col("_last"), F.col("_ins")
+    gone = last["_kind"] == "delete"
+    patched = last["_kind"] == "patch"
+    j = conform(library).join(sized_broadcast(res), "id", "left") \
+        .where(~F.coalesce(gone, F.lit(False)) & ins.isNull())
+    cols = []
+    for f in LIBRARY_SCHEMA.fields:
+        c = f.name
+        if c in ("text", "embedding", "metadata", "updated_at"):
+            cols.append(F.when(F.coalesce(patched, F.lit(False)), last[c]).otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(c))
+    base = j.select(*cols)
+    added = res.where(ins.isNotNull() & ~gone).select(*[
+        (F.when(patched, last[f.name]).otherwise(ins[f.name]) if f.name in ("text", "embedding", "metadata",
+                                                                           "updated_at") else ins[f.name]).alias(f.name)
+        for f in LIBRARY_SCHEMA.fields])
+    return base.unionByName(added)
+
+
+def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=None) -> DataFrame:
+    """T1 on the library (batch): match by bookmark id (J3), then apply the change delta."""
+    from vellum.operators.dedupe import match_by_key
+
+    st = key_state(changes)
+    matches = match_by_key(library, st.select("key"))
+    delta = change_delta(matches, library.select("id", "metadata"), st, embedder, now)
+    return apply_delta(library, delta)
+
+
+def library_view(spark: SparkSession, base: str, root: str, upto: int | None = None) -> DataFrame:
+    """The library as of the deltas written so far (merge-on-read over `root/delta/batch=<n>`)."""
+    from vellum.sources.library_io import scan_library
+
+    lib = scan_library(base, spark)
+    delta_root = os.path.join(root, "delta")
+    done = [b for b in _batches(spark, delta_root) if upto is None or b < upto]
+    if not done:
+        return lib
+    paths = [os.path.join(delta_root, f"batch={b}") for b in done]
+    delta = spark.read.option("basePath", delta_root).parquet(*paths).withColumnRenamed("batch", "_batch")
+    return apply_delta(lib, delta)
+
+
+def key_index(lib: DataFrame) -> DataFrame:
+    """(key, id): the first record (id order) of every bookmark id, a small table."""
+    return lib.where(F.col("metadata.bookmark_id").isNotNull()).groupBy(
+        F.col("metadata.bookmark_id").alias("key")).agg(F.min("id").alias("id"))
+
+
+def compact_library(spark: SparkSession, base: str, root: str, out: str) -> str:
+    """Fold all deltas into a new id-sorted base snapshot (run now and then, not per batch)."""
+    from vellum.sources.library_io import write_library
+
+    return write_library(library_view(spark, base, root), out)
 
 
 def snapshot_writer(root: str):
@@ -129,47 +209,73 @@ def snapshot_writer(root: str):
 
 
 def library_writer(root: str, initial: str, embedder=None):
-    """`foreachBatch` function: apply a micro-batch of changes to the newest library snapshot.
-
-    Events may arrive out of order across micro-batches, so the batch is first
-    folded into the order-free key state (`root/state/batch=<id>`); the library
-    then receives, for every key the batch touched, the *merged* newest event,
-    which makes a late older event a no-op.  The library snapshot goes to
-    `root/library/batch=<id>`; both are written in overwrite mode, so a
-    replayed batch rewrites the same snapshots.
+    """`foreachBatch` function: T1 on a library kept as a base snapshot plus per-batch deltas.
+
+    Per micro-batch:
+    1. fold the events into the order-free key state (`root/state/batch=<id>`),
+       so a late older event is a no-op; take the merged newest event of
+       every key the batch touched;
+    2. match keys to records through the key index (`root/index/batch=<id>`,
+       one small row per bookmark id), never through the library itself;
+    3. read the metadata of the matched records only: an IN filter on the
+       id-sorted base prunes files and row groups (a semi-join past
+       LOOKUP_IDS ids);
+    4. write the delta (inserts, patches, deletes) to `root/delta/batch=<id>`
+       and the updated index.
+    Every write is an overwrite keyed by batch id, so a replayed batch
+    rewrites the same files.  Read with `library_view`; fold with
+    `compact_library`.
     """
-    from vellum.sources.library_io import scan_library, write_library
+    from vellum.operators.library import sized_broadcast
+    from vellum.sources.library_io import scan_library
 
-    state_root, lib_root = os.path.join(root, "state"), os.path.join(root, "library")
+    state_root, index_root = os.path.join(root, "state"), os.path.join(root, "index")
+    delta_root = os.path.join(root, "delta")
+
+    def latest(spark, where, batch_id):
+        done = [b for b in _batches(spark, where) if b < batch_id]
+        return os.path.join(where, f"batch={done[-1]}") if done else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ev = read_changes_batch(batch)
-        prev_s = [b for b in _batches(spark, state_root) if b < batch_id]
-        prev = spark.read.parquet(os.path.join(state_root, f"batch={prev_s[-1]}")) if prev_s else None
+        prev = latest(spark, state_root, batch_id)
         state_path = os.path.join(state_root, f"batch={batch_id}")
-        fold_state(prev, ev).write.mode("overwrite").parquet(state_path)
-        touched = spark.read.parquet(state_path).join(ev.select("key").distinct(), "key", "left_semi")
-        prev_l = [b for b in _batches(spark, lib_root) if b < batch_id]
-        current = scan_library(os.path.join(lib_root, f"batch={prev_l[-1]}") if prev_l else initial, spark)
-        new = apply_changes(current, touched, embedder=embedder)
-        write_library(new, os.path.join(lib_root, f"batch={batch_id}"), mode="overwrite")
+        fold_state(spark.read.parquet(prev) if prev else None, ev).write.mode("overwrite").parquet(state_path)
+        touched = key_state(spark.read.parquet(state_path).join(ev.select("key").distinct(), "key", "left_semi"))
+
+        idx_prev = latest(spark, index_root, batch_id)
+        index = spark.read.parquet(idx_prev) if idx_prev else key_index(scan_library(initial, spark))
+        matches = touched.select("key").join(index, "key", "left")
+        ids = matches.where(F.col("id").isNotNull()).select("id")
+        view = library_view(spark, initial, root, upto=batch_id).select("id", "metadata")
+        n = ids.limit(LOOKUP_IDS + 1).count()
+        if n <= LOOKUP_IDS:
+            old_meta = view.where(F.col("id").isin([r["id"] for r in ids.collect()]))
+        else:
+            old_meta = view.join(sized_broadcast(ids), "id", "left_semi")
+        delta = change_delta(matches, old_meta, touched)
+        delta_path = os.path.join(delta_root, f"batch={batch_id}")
+        delta.write.mode("overwrite").parquet(delta_path)
+
+        d = spark.read.parquet(delta_path)
+        gone = d.where(F.col("_kind") == "delete").select("id")
+        added = d.where(F.col("_kind") == "insert").select(F.col("metadata.bookmark_id").alias("key"), "id")
+        new_index = index.join(gone, "id", "left_anti").unionByName(added.select("key", "id")) \
+            .groupBy("key").agg(F.min("id").alias("id"))
+        new_index.write.mode("overwrite").parquet(os.path.join(index_root, f"batch={batch_id}"))
 
     return write
 
 
 def run_library_stream(spark: SparkSession, source: str, initial: str, root: str, checkpoint: str,
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """T1 end to end: change files -> micro-batches -> library snapshots; returns the newest snapshot."""
-    from vellum.sources.library_io import scan_library
-
+    """T1 end to end: change files -> micro-batches -> deltas; returns the library view after them."""
     stream = read_changes_stream(spark, source, max_files_per_trigger)
     q = (stream.writeStream.foreachBatch(library_writer(root, initial))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    lib_root = os.path.join(root, "library")
-    batches = _batches(spark, lib_root)
-    return scan_library(os.path.join(lib_root, f"batch={batches[-1]}") if batches else initial, spark)
+    return library_view(spark, initial, root)
 
 
 def run_change_stream(spark: SparkSession, source: str, state_root: str, checkpoint: str,
