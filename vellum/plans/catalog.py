@@ -304,9 +304,9 @@ def q_normalize_note(spark, sf):
 
 
 @query("model_dims", LIB + """
-SELECT id, model, CASE model WHEN 'Xenova/all-MiniLM-L6-v2' THEN 384 WHEN 'Xenova/all-mpnet-base-v2' THEN 768
+SELECT id, model, CAST(CASE model WHEN 'Xenova/all-MiniLM-L6-v2' THEN 384 WHEN 'Xenova/all-mpnet-base-v2' THEN 768
   WHEN 'Xenova/bge-small-en-v1.5' THEN 384 WHEN 'Xenova/bge-base-en-v1.5' THEN 768
-  WHEN 'nomic-ai/nomic-embed-text-v1.5' THEN 768 END AS declared_dim,
+  WHEN 'nomic-ai/nomic-embed-text-v1.5' THEN 768 END AS BIGINT) AS declared_dim,
   CASE WHEN model IN ('Xenova/all-MiniLM-L6-v2', 'Xenova/all-mpnet-base-v2', 'Xenova/bge-small-en-v1.5',
     'Xenova/bge-base-en-v1.5', 'nomic-ai/nomic-embed-text-v1.5') THEN 'registered' ELSE 'custom' END AS model_class
 FROM library""")

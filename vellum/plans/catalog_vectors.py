@@ -176,7 +176,7 @@ def q_result_card(spark, sf):
     from vellum.operators.library import result_card
     hits = _search(spark, sf)
     lib = library(spark, sf).drop("embedding")
-    return result_card(hits.join(lib, "doc_id"))
+    return result_card(hits.join(lib, "doc_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
 def lsh_sql(tables: int = DEFAULT_TABLES, bits: int = DEFAULT_BITS, dim: int = 64, k: int = 5) -> str:

@@ -79,7 +79,8 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_library(lib: DataFrame) -> DataFrame:
     """Scalar view of the library (what the oracle compares)."""
-    return lib.select("id", "text", "dimensions", "model", millis(F.col("ts")).alias("ts_ms"),
+    return lib.select("id", "text", F.col("dimensions").cast("long").alias("dimensions"), "model",
+                      millis(F.col("ts")).alias("ts_ms"),
                       F.col("metadata.type").alias("type"), F.col("metadata.url").alias("url"),
                       F.col("metadata.title").alias("title"), F.col("metadata.bookmark_id").alias("bookmark_id"),
                       F.col("metadata.summary").alias("summary"), F.col("metadata.notes").alias("notes"))
