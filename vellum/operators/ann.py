@@ -254,9 +254,15 @@ def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, di
     return scored
 
 
+# IVF centers are trained on at most this many vectors (a seeded sample); every
+# vector is still assigned to a cell and searched, so no result is dropped.
+MAX_TRAIN = 1_000_000
+
+
 def build_keys(library: DataFrame, vec_col: str, dim: int, method: str = "lsh", tables: int = DEFAULT_TABLES,
-               bits: int = DEFAULT_BITS, cells: int | None = None, nprobe: int = 4, seed: int = 7):
-    """The index: LSH planes (no pass over data) or IVF centers (one distributed KMeans)."""
+               bits: int = DEFAULT_BITS, cells: int | None = None, nprobe: int = 4, seed: int = 7,
+               max_train: int = MAX_TRAIN):
+    """The index: LSH planes (no pass over data) or IVF centers (a distributed KMeans on a sample)."""
     if method == "lsh":
         return LSHKeys(tables, bits, dim)
     if method == "ivf":
@@ -265,9 +271,12 @@ def build_keys(library: DataFrame, vec_col: str, dim: int, method: str = "lsh",
 
         from vellum.functions.vectors import normalize
 
-        n = library.where(dimension_ok(F.col(vec_col), dim)).count()
+        usable = library.where(dimension_ok(F.col(vec_col), dim))
+        n = usable.count()
         cells = cells or max(2, int(math.sqrt(max(n, 1))))
-        train = library.where(dimension_ok(F.col(vec_col), dim)).select(array_to_vector(normalize(vec_col)).alias("features"))
+        if n > max_train:
+            usable = usable.sample(fraction=max_train / n, seed=seed)
+        train = usable.select(array_to_vector(normalize(vec_col)).alias("features"))
         model = KMeans(k=cells, seed=seed, maxIter=20).fit(train)
         centers = np.stack([np.asarray(c) for c in model.clusterCenters()])
         return IVFKeys(centers, nprobe)
