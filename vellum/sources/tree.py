@@ -33,5 +33,6 @@ def flatten_tree(nodes: DataFrame, max_depth: int = 100, ordered: bool = True) -
           FROM {view} t JOIN walk w ON t.parent_id = w.id
         )
         SELECT id, title, url, path, depth FROM walk""")
+    spark.catalog.dropTempView(view)  # the plan is already resolved; keep the catalog clean
     marks = walked.where(F.col("url").isNotNull() & (F.col("url") != ""))
     return marks.orderBy("path") if ordered else marks
