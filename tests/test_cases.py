@@ -232,3 +232,17 @@ def test_pooling_masks_padding_and_normalises():
     assert np.allclose(pool_and_normalize(np.zeros((1, 2, 2)), np.ones((1, 2))), 0.0)
     with pytest.raises(FileNotFoundError):
         onnx_embedder("/nonexistent")()
+
+
+@pytest.mark.parametrize("size,max_chunks", [(3, 2), (5, 3), (8, 2), (13, 4)])
+def test_chunk_random_whitespace_heavy_texts(spark, size, max_chunks):
+    """Seeded random texts full of blanks, dots and NBSP: the expression equals the Python rule."""
+    import random
+
+    rnd = random.Random(size * 100 + max_chunks)
+    alphabet = ["a", "b", ".", " ", " ", " ", "\n", "\t", "\xa0", ". "]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = {r["i"]: r["c"] for r in df.select("i", chunk_text(F.col("v"), size, max_chunks).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == chunk_text_py(t, size, max_chunks), (size, max_chunks, repr(t))
