@@ -148,6 +148,26 @@ def q_task_summary(spark, sf):
     return task_summary(task_counters(it), task_error(it)).select("run_id", "task", "text", "type")
 
 
+@query("task_summary_running", S.with_(S.ITEMS, _PROGRESS) + """
+SELECT run_id, pos,
+  CASE WHEN processed < total THEN
+    CASE WHEN task = 'import' THEN 'Importing bookmarks... ' ELSE 'Re-generating embeddings... ' END
+    || processed || '/' || total || ' ('
+    || CAST(CASE WHEN total > 0 THEN floor(processed * 100.0 / total + 0.5) ELSE 0 END AS BIGINT) || '%)'
+  ELSE CASE WHEN task = 'import' THEN 'Import complete! ' || success_count || ' imported, ' || skipped_count
+         || ' skipped, ' || failed_count || ' failed'
+       ELSE 'Regeneration complete! ' || success_count || ' regenerated, ' || failed_count || ' failed' END
+  END AS text,
+  CASE WHEN processed < total THEN 'loading' ELSE 'success' END AS type
+FROM progress""")
+def q_task_summary_running(spark, sf):
+    from vellum.operators.progress import task_summary
+    p = _progress(spark, sf).select("run_id", "task", "pos", "total", "processed",
+                                    F.col("success_count").alias("success"), F.col("skipped_count").alias("skipped"),
+                                    F.col("failed_count").alias("failed"))
+    return task_summary(p).select("run_id", "pos", "text", "type")
+
+
 @query("task_flags", S.with_(S.ITEMS, _PROGRESS) + """
 SELECT run_id, pos, (processed < total) OR processed > 0 AS has_activity,
        (processed < total) OR (total > 0 AND processed < total) AS has_remaining_work FROM progress""")
