@@ -242,9 +242,9 @@ def hydrate(hits: DataFrame, records: DataFrame, k: int, id_col: str = "id", qid
     The hit list is at most k rows per query; it is broadcast only when its
     row count is under the bound, else both sides shuffle on id.
     """
-    h = hits.select(qid_col, id_col, score)
-    if h.count() <= max_broadcast_rows:
-        h = F.broadcast(h)
+    from vellum.operators.library import sized_broadcast
+
+    h = sized_broadcast(hits.select(qid_col, id_col, score), max_broadcast_rows)
     joined = records.join(h, id_col, "inner")
     return rank_window(joined, qid_col, id_col, k, score=score)
 
