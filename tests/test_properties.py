@@ -253,3 +253,27 @@ def test_blocked_debounce_equals_session_window(spark, block):
     key = lambda df: sorted((r["user_id"], r["session"]["start"], r["session"]["end"], r["n_events"], r["last"])
                             for r in df.collect())
     assert key(got) == key(ref)
+
+
+def test_progress_snapshots_survive_a_restart(spark, tmp_path):
+    from vellum.operators.progress import task_counters
+    from vellum.plans.derived import items
+    from vellum.streaming.progress import progress_writer
+
+    it = items(spark, SF_SMALL).select("run_id", "task", "pos", "status", "error", "thrown")
+    src, root, ck = str(tmp_path / "items"), str(tmp_path / "progress"), str(tmp_path / "ck")
+    it.repartition(4).write.parquet(src)
+    schema = "run_id long, task string, pos long, status string, error string, thrown boolean"
+
+    def run(max_batches):
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(src)
+        w = s.writeStream.foreachBatch(progress_writer(root)).option("checkpointLocation", ck)
+        q = (w.trigger(availableNow=True) if max_batches is None else w.trigger(once=True)).start()
+        q.awaitTermination()
+
+    run(1)            # first run stops after one micro-batch
+    run(None)         # a restart resumes from the checkpoint and the stored totals
+    last = sorted(spark.read.parquet(root).collect(), key=lambda r: r["batch_id"])[-1]
+    want = task_counters(it.withColumn("k", F.lit(1)), keys=["k"]).first()
+    assert (last["processed"], last["success"], last["skipped"], last["failed"]) == \
+        (want["processed"], want["success"], want["skipped"], want["failed"])

@@ -75,3 +75,31 @@ def run_progress_stream(spark: SparkSession, items_path: str, schema: str, check
     cols = "batch_id long, processed long, success long, skipped long, failed long, " \
            "total_processed long, total_success long, total_skipped long, total_failed long"
     return spark.createDataFrame([tuple(b[c.split()[0]] for c in cols.split(", ")) for b in listener.batches], cols)
+
+
+def progress_writer(root: str):
+    """`foreachBatch` function: cumulative counters after every micro-batch, kept in storage.
+
+    The batch's counts (one aggregate row) are added to the newest snapshot
+    below this batch id and written to `root/batch=<id>`; a restarted stream
+    picks up the stored totals, and a replayed batch rewrites the same file.
+    """
+    import os
+
+    from vellum.operators.progress import task_counters
+    from vellum.streaming.changes import _batches
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cur = task_counters(batch.withColumn("_all", F.lit(1)), keys=["_all"]).drop("_all", "total")
+        done = [b for b in _batches(spark, root) if b < batch_id]
+        if done:
+            prev = spark.read.parquet(os.path.join(root, f"batch={done[-1]}"))
+            cur = cur.unionByName(prev.drop("batch_id")).agg(
+                *[F.sum(c).alias(c) for c in ("processed", "success", "skipped", "failed")])
+        cur = cur.select(F.lit(batch_id).cast("long").alias("batch_id"),
+                         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                           for c in ("processed", "success", "skipped", "failed")])
+        cur.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, f"batch={batch_id}"))
+
+    return write
