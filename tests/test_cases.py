@@ -246,3 +246,17 @@ def test_chunk_random_whitespace_heavy_texts(spark, size, max_chunks):
     got = {r["i"]: r["c"] for r in df.select("i", chunk_text(F.col("v"), size, max_chunks).alias("c")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == chunk_text_py(t, size, max_chunks), (size, max_chunks, repr(t))
+
+
+def test_read_pages_status_codes(spark):
+    from vellum.sources.library_io import read_pages
+
+    df = spark.createDataFrame([(1, "http://a", "<p>x</p>", 200), (2, "http://b", "", 404), (3, "http://c", "", 503)],
+                               "page_id long, url string, html string, status int")
+    got = {r["page_id"]: (r["success"], r["error"]) for r in read_pages(df, "status").collect()}
+    assert got == {1: (True, None), 2: (False, "HTTP 404"), 3: (False, "HTTP 503")}
+
+
+def test_is_http_url_cases(spark):
+    df = spark.createDataFrame([("HTTPS://x",), ("ftp://x",), ("",), (None,), ("http:/x",)], "u string")
+    assert [r[0] for r in df.select(P.is_http_url("u")).collect()] == [True, False, False, False, False]
