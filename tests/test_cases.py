@@ -105,6 +105,12 @@ def test_short_url_cases(spark):
     assert one(spark, P.short_url(F.col("v"), 30, 50), "HTTPS://Ex.COM:8080") == "ex.com/"
     assert one(spark, P.short_url(F.col("v"), 30, 50), "http://a.b/p?q=1#frag") == "a.b/p?q=1"
     assert one(spark, P.short_url(F.col("v"), 30, 50), None) == ""
+    assert one(spark, P.short_url(F.col("v"), 30, 50), "mailto:someone@example.org?subject=hi") == \
+        "someone@example.org?subject=hi"
+    assert one(spark, P.short_url(F.col("v"), 30, 50), "javascript:void(0)") == "void(0)"
+    assert one(spark, P.short_url(F.col("v"), 30, 50), "file:///tmp/notes.txt") == "/tmp/notes.txt"
+    assert one(spark, P.short_url(F.col("v"), 30, 50), "http://") == "http://"
+    assert one(spark, P.short_url(F.col("v"), 30, 50), "foo://h/p") == "h/p"
 
 
 def test_short_model_and_kind(spark):

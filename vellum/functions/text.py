@@ -145,25 +145,40 @@ def match_percent(sim) -> Column:
 
 
 # URL pieces, parsed the way the WHATWG URL parser treats well-formed urls:
-# scheme://[userinfo@]host[:port]path[?query][#fragment]; special schemes get
-# path '/' when empty.  Anything else counts as unparsable.
-_URL_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^@/?#]*@)?([^:/?#]+)(?::[0-9]*)?([^?#]*)(\?[^#]*)?"
+# scheme://[userinfo@]host[:port]path[?query][#fragment] (special schemes need
+# a host, except file:, and get path '/' when empty); a non-special scheme
+# without '//' has no host and an opaque path (mailto:, javascript:).
+# Anything else counts as unparsable.
+_URL_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^@/?#]*@)?([^:/?#]*)(?::[0-9]*)?([^?#]*)(\?[^#]*)?"
+_OPAQUE_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):([^?#]*)(\?[^#]*)?"
+# The special schemes of the URL standard.
+SPECIAL_SCHEMES = ["ftp", "file", "http", "https", "ws", "wss"]
 
 
 def short_url(url, path_cut: int = LIBRARY_URL_PATH_CUT, raw_cut: int = LIBRARY_URL_RAW_CUT) -> Column:
     """P10: host + (path+query cut at `path_cut` with '...'); unparsable -> raw cut."""
     u = _c(url)
-    ok = F.coalesce(u.rlike(_URL_RE), F.lit(False))
+    scheme = F.lower(F.regexp_extract(u, _OPAQUE_RE, 1))
+    special = scheme.isin(*SPECIAL_SCHEMES)
     host = F.lower(F.regexp_extract(u, _URL_RE, 2))
+    hier = F.coalesce(u.rlike(_URL_RE), F.lit(False)) & ((host != "") | ~special | (scheme == "file"))
+    opaque = F.coalesce(u.rlike(_OPAQUE_RE), F.lit(False)) & ~special & ~F.coalesce(u.rlike(_URL_RE), F.lit(False))
     path = F.regexp_extract(u, _URL_RE, 3)
-    scheme = F.lower(F.regexp_extract(u, _URL_RE, 1))
-    path = F.when((path == "") & scheme.isin("http", "https", "ws", "wss", "ftp"), F.lit("/")).otherwise(path)
+    path = F.when((path == "") & special, F.lit("/")).otherwise(path)
     query = F.regexp_extract(u, _URL_RE, 4)
-    search = F.when(F.char_length(query) > 1, query).otherwise(F.lit(""))
-    pq = F.concat(path, search)
-    pq_cut = F.when(F.char_length(pq) > path_cut, F.concat(F.substring(pq, 1, path_cut), F.lit("..."))).otherwise(pq)
+    o_path, o_query = F.regexp_extract(u, _OPAQUE_RE, 2), F.regexp_extract(u, _OPAQUE_RE, 3)
+
+    def cut(pq):
+        return F.when(F.char_length(pq) > path_cut, F.concat(F.substring(pq, 1, path_cut), F.lit("..."))).otherwise(pq)
+
+    def search(q):
+        return F.when(F.char_length(q) > 1, q).otherwise(F.lit(""))
+
     raw = F.when(F.char_length(u) > raw_cut, F.concat(F.substring(u, 1, raw_cut), F.lit("..."))).otherwise(u)
-    return F.when(~truthy(u), F.lit("")).when(ok, F.concat(host, pq_cut)).otherwise(raw)
+    return (F.when(~truthy(u), F.lit(""))
+            .when(hier, F.concat(host, cut(F.concat(path, search(query)))))
+            .when(opaque, cut(F.concat(o_path, search(o_query))))
+            .otherwise(raw))
 
 
 def preview(text, n: int = 50) -> Column:

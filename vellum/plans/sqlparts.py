@@ -66,18 +66,26 @@ def compose(title: str, url: str, summary: str, notes: str) -> str:
     return f"concat_ws({NL2}, {', '.join(parts)})"
 
 
-URL_RE = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^@/?#]*@)?([^:/?#]+)(?::[0-9]*)?([^?#]*)(\?[^#]*)?'"
+URL_RE = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^@/?#]*@)?([^:/?#]*)(?::[0-9]*)?([^?#]*)(\?[^#]*)?'"
+OPAQUE_RE = r"'^([A-Za-z][A-Za-z0-9+.\-]*):([^?#]*)(\?[^#]*)?'"
+SPECIAL = "('ftp', 'file', 'http', 'https', 'ws', 'wss')"
 
 
 def short_url(u: str, path_cut: int, raw_cut: int) -> str:
+    scheme = f"lower(regexp_extract({u}, {OPAQUE_RE}, 1))"
     host = f"lower(regexp_extract({u}, {URL_RE}, 2))"
-    scheme = f"lower(regexp_extract({u}, {URL_RE}, 1))"
+    hier = (f"(coalesce(regexp_matches({u}, {URL_RE}), false) AND ({host} <> '' OR {scheme} NOT IN {SPECIAL} "
+            f"OR {scheme} = 'file'))")
+    opaque = (f"(coalesce(regexp_matches({u}, {OPAQUE_RE}), false) AND {scheme} NOT IN {SPECIAL} "
+              f"AND NOT coalesce(regexp_matches({u}, {URL_RE}), false))")
     path0 = f"regexp_extract({u}, {URL_RE}, 3)"
-    path = f"(CASE WHEN {path0} = '' AND {scheme} IN ('http','https','ws','wss','ftp') THEN '/' ELSE {path0} END)"
+    path = f"(CASE WHEN {path0} = '' AND {scheme} IN {SPECIAL} THEN '/' ELSE {path0} END)"
     q = f"regexp_extract({u}, {URL_RE}, 4)"
     pq = f"({path} || CASE WHEN length({q}) > 1 THEN {q} ELSE '' END)"
-    return (f"CASE WHEN NOT {truthy(u)} THEN '' WHEN regexp_matches({u}, {URL_RE}) THEN {host} || {trunc(pq, path_cut)} "
-            f"ELSE {trunc(u, raw_cut)} END")
+    oq = f"regexp_extract({u}, {OPAQUE_RE}, 3)"
+    opq = f"(regexp_extract({u}, {OPAQUE_RE}, 2) || CASE WHEN length({oq}) > 1 THEN {oq} ELSE '' END)"
+    return (f"CASE WHEN NOT {truthy(u)} THEN '' WHEN {hier} THEN {host} || {trunc(pq, path_cut)} "
+            f"WHEN {opaque} THEN {trunc(opq, path_cut)} ELSE {trunc(u, raw_cut)} END")
 
 
 def short_model(m: str) -> str:
