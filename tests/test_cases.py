@@ -266,3 +266,8 @@ def test_read_pages_status_codes(spark):
 def test_is_http_url_cases(spark):
     df = spark.createDataFrame([("HTTPS://x",), ("ftp://x",), ("",), (None,), ("http:/x",)], "u string")
     assert [r[0] for r in df.select(P.is_http_url("u")).collect()] == [True, False, False, False, False]
+
+
+def test_og_title_single_quotes_and_attribute_order(spark):
+    html = "<head><meta content='Single &amp; quoted' property='og:title'><title>T</title></head>"
+    assert one(spark, H.page_title(F.col("v")), html) == "Single & quoted"

@@ -95,7 +95,7 @@ def decode_entities(c) -> Column:
 
 
 _OG_TAG = r"""(?i)<meta\b[^>]*\bproperty\s*=\s*["']og:title["'][^>]*>"""
-_CONTENT_ATTR = r"""(?i)\bcontent\s*=\s*"([^"]*)\""""
+_CONTENT_ATTR = r"""(?i)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 _TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
 
 
@@ -106,6 +106,7 @@ def page_title(html) -> Column:
     whitespace stripped and collapsed, as a DOM reports it.
     """
     h = _c(html)
-    og = decode_entities(F.regexp_extract(F.regexp_extract(h, _OG_TAG, 0), _CONTENT_ATTR, 1))
+    tag = F.regexp_extract(h, _OG_TAG, 0)
+    og = decode_entities(F.concat(F.regexp_extract(tag, _CONTENT_ATTR, 1), F.regexp_extract(tag, _CONTENT_ATTR, 2)))
     title = F.trim(F.regexp_replace(decode_entities(F.regexp_extract(h, _TITLE, 1)), r"[\t\n\f\r ]+", " "))
     return F.when(og != "", og).otherwise(title)

@@ -53,8 +53,9 @@ def extract(x: str) -> str:
 
 def page_title(x: str) -> str:
     og_tag = r"""'(?i)<meta\b[^>]*\bproperty\s*=\s*["'']og:title["''][^>]*>'"""
-    content = r"""'(?i)\bcontent\s*=\s*"([^"]*)"'"""
-    og = decode(f"regexp_extract(regexp_extract({x}, {og_tag}, 0), {content}, 1)")
+    content = r"""'(?i)\bcontent\s*=\s*(?:"([^"]*)"|''([^'']*)'')'"""
+    tag = f"regexp_extract({x}, {og_tag}, 0)"
+    og = decode(f"(regexp_extract({tag}, {content}, 1) || regexp_extract({tag}, {content}, 2))")
     title = decode(rf"regexp_extract({x}, '(?i)<title[^>]*>([\s\S]*?)</title>', 1)")
     return (f"CASE WHEN {og} <> '' THEN {og} "
             f"ELSE trim(regexp_replace({title}, '[\\t\\n\\f\\r ]+', ' ', 'g')) END")
