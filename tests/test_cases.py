@@ -271,3 +271,8 @@ def test_is_http_url_cases(spark):
 def test_og_title_single_quotes_and_attribute_order(spark):
     html = "<head><meta content='Single &amp; quoted' property='og:title'><title>T</title></head>"
     assert one(spark, H.page_title(F.col("v")), html) == "Single & quoted"
+
+
+def test_dom_without_body_tag_skips_head():
+    r = extract_dom("<html><head><title>Only title</title></head><p>Text here</p></html>")
+    assert r["content"] == "Text here" and r["title"] == "Only title"

@@ -149,7 +149,13 @@ def extract_dom(html: str) -> dict:
         t = _find_tag(root, "title")
         if t is not None:
             head_title = _ASCII_WS.sub(" ", _text(t)).strip(" ")
-        body = _find_tag(root, "body") or root
+        body = _find_tag(root, "body")
+        if body is None:  # the implied body: everything outside <head>
+            body = root
+            body.children = [c for c in body.children if isinstance(c, str) or c.tag != "head"]
+            for c in body.children:
+                if not isinstance(c, str) and c.tag == "html":
+                    c.children = [g for g in c.children if isinstance(g, str) or g.tag != "head"]
         _clean(body)
         container = None
         for kind, value in CONTENT_SELECTORS:
