@@ -277,3 +277,12 @@ def test_progress_snapshots_survive_a_restart(spark, tmp_path):
     want = task_counters(it.withColumn("k", F.lit(1)), keys=["k"]).first()
     assert (last["processed"], last["success"], last["skipped"], last["failed"]) == \
         (want["processed"], want["success"], want["skipped"], want["failed"])
+
+
+def test_predict_batch_embedder_equals_arrow_udf(spark):
+    from vellum.operators.embed import embed_udf, predict_batch_embedder
+
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    a = {r["doc_id"]: r["v"] for r in d.select("doc_id", embed_udf()(F.col("text"))["embedding"].alias("v")).collect()}
+    b = {r["doc_id"]: r["v"] for r in d.select("doc_id", predict_batch_embedder()(F.col("text")).alias("v")).collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)

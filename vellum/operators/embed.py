@@ -164,6 +164,28 @@ def embed_udf(factory=None, key: str | None = None):
     return _embed.asNondeterministic()
 
 
+def predict_batch_embedder(factory=None, batch_size: int = 1024):
+    """U1 through `pyspark.ml.functions.predict_batch_udf`: same factory contract, vectors only.
+
+    Spark's helper batches the input, caches the model per Python worker and
+    returns `array<float>`; use `embed_udf` when per-row failure reporting is
+    needed.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    factory = factory or hash_embedder()
+
+    def make_predict_fn():
+        fn = factory()
+
+        def predict(texts):
+            return np.asarray(fn([None if t is None else str(t) for t in texts]), dtype=np.float32)
+
+        return predict
+
+    return predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+
+
 def embed(df: DataFrame, text_col: str = "text", factory=None, model: str = HASH_MODEL,
           out: str = "emb") -> DataFrame:
     """V1: add a struct {success, embedding, dimensions, model, text, error}."""
