@@ -286,3 +286,21 @@ def test_predict_batch_embedder_equals_arrow_udf(spark):
     a = {r["doc_id"]: r["v"] for r in d.select("doc_id", embed_udf()(F.col("text"))["embedding"].alias("v")).collect()}
     b = {r["doc_id"]: r["v"] for r in d.select("doc_id", predict_batch_embedder()(F.col("text")).alias("v")).collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_dense_hot_key_is_scored_exactly_without_pairs(spark):
+    """A key that stays hot after refinement and holds distinct vectors goes to the bounded probe."""
+    import random
+
+    from vellum.operators.ann import ann_topk
+    from vellum.operators.search import batch_topk
+
+    rnd = random.Random(11)
+    rows = [(i, [1.0] + [rnd.gauss(0, 1e-4) for _ in range(7)]) for i in range(120)]   # near-identical cluster
+    rows += [(1000 + i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    lib = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = lib.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
+    got = ann_topk(lib, q, 5, qvec_col="qv", tables=2, bits=2, max_query_bytes=500, hot_rows=10, refine_levels=1)
+    exact = batch_topk(lib, q, 5, qvec_col="qv")
+    cluster = lambda df: sorted((r["qid"], r["id"], r["rank"]) for r in df.where(F.col("qid") < 120).collect())
+    assert cluster(got) == cluster(exact)  # inside the dense key the result is exact

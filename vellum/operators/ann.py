@@ -200,31 +200,40 @@ MAX_REFINE = 6
 
 
 def _key_pairs(lk: DataFrame, qk: DataFrame, lib_vecs: DataFrame, q_vecs: DataFrame, id_col: str, qid_col: str,
-               vec_col: str, dim: int, k: int, hot_rows: int) -> DataFrame:
-    """(qid, id) candidate pairs sharing a key, with hot keys split instead of joined whole.
+               vec_col: str, dim: int, k: int, hot_rows: int, levels: int = MAX_REFINE):
+    """Candidate pairs sharing a key, with hot keys split instead of joined whole.
+
+    Returns (pairs, dense): `pairs` is (qid, id) for ordinary keys; `dense`
+    is None or the (key-rows of library, key-rows of queries) of keys still
+    hot after the last level, which are scored by `_dense_probe` instead of
+    being expanded into pairs.
 
     A key with more than `hot_rows` library rows is re-keyed with extra sign
     bits (new planes per level) until it is small.  A key still hot after the
-    last level whose rows all hold the same vector keeps only its k+1 smallest
-    ids: equal vectors score equally and ties go by id, so that cut is exact.
-    Anything left is joined as is, where AQE splits the skewed partition.
+    last level whose rows all hold the same vector keeps only its k+1
+    smallest ids: equal vectors score equally and ties go by id, so that cut
+    is exact.
     """
     parts = []
-    for level in range(MAX_REFINE + 1):
+    dense = None
+    for level in range(levels + 1):
         lk = lk.checkpoint()
         hot = lk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key")
         n_hot = hot.count()
         if n_hot == 0:
             break
         hot = F.broadcast(hot) if n_hot <= 1_000_000 else hot
-        if level == MAX_REFINE:
+        if level == levels:
             hv = lk.join(hot, "key").join(lib_vecs, id_col)
-            same = hv.groupBy("key").agg(F.count_distinct(F.xxhash64(vec_col)).alias("nv")).where(F.col("nv") == 1) \
-                .select("key")
+            kinds = hv.groupBy("key").agg(F.count_distinct(F.xxhash64(vec_col)).alias("nv"))
+            same = kinds.where(F.col("nv") == 1).select("key")
+            rest = kinds.where(F.col("nv") > 1).select("key")
             w = Window.partitionBy("key").orderBy(id_col)
             firsts = lk.join(same, "key").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1) \
                 .drop("_r")
-            lk = lk.join(same, "key", "left_anti").unionByName(firsts)
+            dense = (lk.join(rest, "key"), qk.join(rest, "key"))
+            qk = qk.join(rest, "key", "left_anti")
+            lk = lk.join(same, "key", "left_anti").join(rest, "key", "left_anti").unionByName(firsts)
             break
         parts.append(qk.join(hot, "key", "left_anti").join(lk.join(hot, "key", "left_anti"), "key"))
         lk = _refine(lk.join(hot, "key", "left_semi"), lib_vecs, id_col, vec_col, level, REFINE_BITS, dim)
@@ -233,17 +242,78 @@ def _key_pairs(lk: DataFrame, qk: DataFrame, lib_vecs: DataFrame, q_vecs: DataFr
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(qid_col, id_col)
+    return out.select(qid_col, id_col), dense
+
+
+def _dense_probe(lib_rows: DataFrame, q_rows: DataFrame, lib_vecs: DataFrame, q_vecs: DataFrame, id_col: str,
+                 qid_col: str, vec_col: str, dim: int, k: int, exclude_self: bool, schema: T.StructType,
+                 max_query_bytes: int) -> DataFrame:
+    """Exact scores inside keys too dense to split: broadcast key-sharing queries, top-K per task.
+
+    Like the probe plan, restricted to these keys: the queries (in batches
+    under the byte budget) are broadcast with their key, each library task
+    scores the pairs that share a key block by block and keeps its top-K per
+    query row; nothing quadratic is materialised or shuffled.
+    """
+    spark = lib_rows.sparkSession
+    lib = lib_rows.join(lib_vecs, id_col)
+    qs = q_rows.join(q_vecs, qid_col)
+    n = qs.count()
+    n_batches = max(1, math.ceil(n * max(dim, 1) * 8 / max_query_bytes))
+    outs = []
+    for b in range(n_batches):
+        part = qs if n_batches == 1 else qs.where(F.pmod(F.xxhash64(qid_col, "key"), F.lit(n_batches)) == b)
+        pdf = part.select(qid_col, "key", vec_col).toPandas()
+        qids = pdf[qid_col].to_numpy()
+        if qids.dtype == object:
+            qids = qids.astype(str)
+        Q = _unit_rows(_stack(pdf[vec_col], dim))
+        bc = spark.sparkContext.broadcast((qids, Q, pdf["key"].to_numpy().astype(np.int64)[:, None]))
+
+        def run(it, bc=bc):
+            qids_, Q_, qk = bc.value
+            acc_c, acc_s, acc_i = np.zeros(0, np.int64), np.zeros(0), None
+            step = max(1, PAIR_BUDGET // max(len(qids_), 1))
+            for chunk in it:
+                if len(chunk) == 0:
+                    continue
+                X_all = _unit_rows(_stack(chunk[vec_col], dim))
+                ids_all = chunk[id_col].to_numpy()
+                if ids_all.dtype == object:
+                    ids_all = ids_all.astype(str)
+                keys_all = chunk["key"].to_numpy().astype(np.int64)[:, None]
+                for s in range(0, len(chunk), step):
+                    X, ids = X_all[s:s + step], ids_all[s:s + step]
+                    rows, cols = _pairs(keys_all[s:s + step], qk)
+                    if exclude_self and len(rows):
+                        keep = ids[rows] != qids_[cols]
+                        rows, cols = rows[keep], cols[keep]
+                    if not len(rows):
+                        continue
+                    sims = np.round(np.einsum("ij,ij->i", X[rows], Q_[cols]), SIM_DIGITS)
+                    acc_c = np.concatenate([acc_c, cols])
+                    acc_s = np.concatenate([acc_s, sims])
+                    acc_i = ids[rows] if acc_i is None else np.concatenate([acc_i, ids[rows]])
+                    acc_c, acc_s, acc_i = flat_topk(acc_c, acc_s, acc_i, k)
+            if acc_i is not None and len(acc_c):
+                yield pd.DataFrame({qid_col: qids_[acc_c], id_col: acc_i, "sim": acc_s})
+
+        outs.append(lib.select(id_col, "key", vec_col).mapInPandas(run, schema))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
 
 
 def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, dim, exclude_self,
-               hot_rows: int = HOT_KEY_ROWS):
+               hot_rows: int = HOT_KEY_ROWS, levels: int = MAX_REFINE, max_query_bytes: int = MAX_QUERY_BYTES):
     lk = _key_rows(library, id_col, vec_col, keys, dim, query=False)
     qk = _key_rows(queries.select(F.col(qid_col), F.col(qvec_col).alias(vec_col)), qid_col, vec_col, keys, dim,
                    query=True)
     lib_vecs = library.select(id_col, vec_col)
     q_vecs = queries.select(qid_col, F.col(qvec_col).alias(vec_col))
-    pairs = _key_pairs(lk, qk, lib_vecs, q_vecs, id_col, qid_col, vec_col, dim, k, hot_rows).distinct()
+    pairs, dense = _key_pairs(lk, qk, lib_vecs, q_vecs, id_col, qid_col, vec_col, dim, k, hot_rows, levels)
+    pairs = pairs.distinct()
     if exclude_self:
         pairs = pairs.where(F.col(qid_col) != F.col(id_col))
     lv = library.select(id_col, F.col(vec_col).alias("_v"))
@@ -251,6 +321,13 @@ def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, di
     scored = (pairs.join(lv, id_col).join(qv, qid_col)
               .select(qid_col, id_col, F.round(cosine_similarity(F.col("_v"), F.col("_qv"), on_mismatch="null"), SIM_DIGITS)
                       .alias("sim")))
+    if dense is not None:
+        schema = T.StructType([T.StructField(qid_col, queries.schema[qid_col].dataType),
+                               T.StructField(id_col, library.schema[id_col].dataType),
+                               T.StructField("sim", T.DoubleType())])
+        extra = _dense_probe(dense[0], dense[1], lib_vecs, q_vecs, id_col, qid_col, vec_col, dim, k, exclude_self,
+                             schema, max_query_bytes)
+        scored = scored.unionByName(extra).groupBy(qid_col, id_col).agg(F.max("sim").alias("sim"))
     return scored
 
 
@@ -286,7 +363,8 @@ def build_keys(library: DataFrame, vec_col: str, dim: int, method: str = "lsh",
 def ann_topk(library: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
              qid_col: str = "qid", qvec_col: str | None = None, method: str = "lsh", tables: int = DEFAULT_TABLES,
              bits: int = DEFAULT_BITS, cells: int | None = None, nprobe: int = 4, exclude_self: bool = False,
-             keys=None, max_query_bytes: int = MAX_QUERY_BYTES, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+             keys=None, max_query_bytes: int = MAX_QUERY_BYTES, hot_rows: int = HOT_KEY_ROWS,
+             refine_levels: int = MAX_REFINE) -> DataFrame:
     """K4: approximate top-k -> (qid, id, sim, rank); every candidate is scored exactly."""
     qvec_col = qvec_col or vec_col
     d, batches = _collect_queries(queries, qid_col, qvec_col, max_query_bytes)
@@ -302,7 +380,8 @@ def ann_topk(library: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
         qids, Q = _pandas_batch(batches[0], qid_col, qvec_col, d)
         scored = _probe(lib, out_id, vec_col, qid_col, qids, Q, keys, k, exclude_self, schema)
     else:
-        scored = _join_plan(lib, queries, out_id, vec_col, qid_col, qvec_col, keys, k, d, exclude_self, hot_rows)
+        scored = _join_plan(lib, queries, out_id, vec_col, qid_col, qvec_col, keys, k, d, exclude_self, hot_rows,
+                            refine_levels, max_query_bytes)
     return rank_window(scored, qid_col, out_id, k)
 
 
