@@ -154,7 +154,8 @@ def test_ann_join_plan_splits_hot_keys(spark):
     lib = spark.createDataFrame(rows, "id long, embedding array<float>")
     q = lib.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
     exact = batch_topk(lib, q, 5, qvec_col="qv").select("qid", "id", "rank")
-    joined = ann_topk(lib, q, 5, qvec_col="qv", tables=4, bits=2, max_query_bytes=1_000, hot_rows=20)
+    joined = ann_topk(lib, q, 5, qvec_col="qv", tables=4, bits=2, max_query_bytes=1_000, hot_rows=20,
+                      refine_levels=2)
     got = {}
     for r in joined.collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
