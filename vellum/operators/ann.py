@@ -325,8 +325,9 @@ def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, di
         schema = T.StructType([T.StructField(qid_col, queries.schema[qid_col].dataType),
                                T.StructField(id_col, library.schema[id_col].dataType),
                                T.StructField("sim", T.DoubleType())])
+        # the dense probe batches its own queries under the standard broadcast budget
         extra = _dense_probe(dense[0], dense[1], lib_vecs, q_vecs, id_col, qid_col, vec_col, dim, k, exclude_self,
-                             schema, max_query_bytes)
+                             schema, MAX_QUERY_BYTES)
         scored = scored.unionByName(extra).groupBy(qid_col, id_col).agg(F.max("sim").alias("sim"))
     return scored
 
