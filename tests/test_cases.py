@@ -276,3 +276,22 @@ def test_og_title_single_quotes_and_attribute_order(spark):
 def test_dom_without_body_tag_skips_head():
     r = extract_dom("<html><head><title>Only title</title></head><p>Text here</p></html>")
     assert r["content"] == "Text here" and r["title"] == "Only title"
+
+
+def test_js_whitespace_semantics_random(spark):
+    """trim / collapse over the JS whitespace set (NBSP, U+2028, BOM, ...), checked against plain Python."""
+    import random
+    import re
+
+    ws_cp = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+             0xFEFF]
+    ws = "".join(map(chr, ws_cp))
+    not_ws = ["a", "é", "​", "\x1c", "x y"]  # zero-width space and \x1c are not JS whitespace
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(list(ws) + not_ws) for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    got = {r["i"]: (r["t"], r["c"]) for r in
+           df.select("i", P.js_trim("v").alias("t"), P.collapse_ws("v").alias("c")).collect()}
+    run = re.compile("[" + re.escape(ws) + "]+")
+    for i, t in enumerate(texts):
+        assert got[i] == (t.strip(ws), run.sub(" ", t).strip(" ")), repr(t)
