@@ -1,15 +1,18 @@
 """Depth-first pre-order walk of a bookmark tree stored as an adjacency table.
 
-The walk is a recursive CTE: each level is one distributed join of the
-frontier with the children, so the depth, not the width, bounds the number
-of steps.  Pre-order is a sortable path of zero-padded sibling keys, so the
-order is a plain sort (range-partitioned) instead of a walk on the driver.
+The walk goes one level at a time: the next level is one distributed join of
+the current level with the node table, so the depth, not the width, bounds
+the number of steps.  Each level is `checkpoint()`ed to the shared checkpoint
+folder: that cuts the lineage (a deep tree never recomputes the levels above),
+and the emptiness test and the final union read the written level instead of
+recomputing the join.  Pre-order is a sortable path of zero-padded sibling
+keys, so the order is a plain sort (range-partitioned), never a walk on the
+driver.  (A `WITH RECURSIVE` CTE gives the same rows; on Spark 4.1 it was
+4-5x slower here, mostly in per-iteration planning.)
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +24,24 @@ def flatten_tree(nodes: DataFrame, max_depth: int = 100, ordered: bool = True) -
     `path` is the pre-order key; `ordered=False` skips the global sort for
     callers that only need the key (e.g. "first per url" as a `min_by`).
     """
-    spark = nodes.sparkSession
-    view = f"vellum_tree_{uuid.uuid4().hex[:10]}"
-    nodes.select("id", "parent_id", "title", "url", "sort_key").createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk (id, title, url, path, depth) AS (
-          SELECT id, title, url, sort_key, 0 FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT t.id, t.title, t.url, concat(w.path, '/', t.sort_key), w.depth + 1
-          FROM {view} t JOIN walk w ON t.parent_id = w.id
-        )
-        SELECT id, title, url, path, depth FROM walk""")
-    spark.catalog.dropTempView(view)  # the plan is already resolved; keep the catalog clean
+    from vellum.session import checkpoint_dir
+
+    checkpoint_dir(nodes.sparkSession)
+    n = nodes.select("id", "parent_id", "title", "url", "sort_key")
+    level = n.where(F.col("parent_id").isNull()).select(
+        "id", "title", "url", F.col("sort_key").alias("path"), F.lit(0).alias("depth")).checkpoint()
+    levels = [level]
+    for depth in range(1, max_depth + 1):
+        parents = level.select(F.col("id").alias("_pid"), F.col("path").alias("_ppath"))
+        nxt = n.join(parents, n["parent_id"] == parents["_pid"]).select(
+            "id", "title", "url", F.concat("_ppath", F.lit("/"), "sort_key").alias("path"),
+            F.lit(depth).alias("depth")).checkpoint()
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        level = nxt
+    walked = levels[0]
+    for lv in levels[1:]:
+        walked = walked.unionByName(lv)
     marks = walked.where(F.col("url").isNotNull() & (F.col("url") != ""))
     return marks.orderBy("path") if ordered else marks
