@@ -305,3 +305,17 @@ def test_dense_hot_key_is_scored_exactly_without_pairs(spark):
     exact = batch_topk(lib, q, 5, qvec_col="qv")
     cluster = lambda df: sorted((r["qid"], r["id"], r["rank"]) for r in df.where(F.col("qid") < 120).collect())
     assert cluster(got) == cluster(exact)  # inside the dense key the result is exact
+
+
+def test_changes_refresh_summary_and_keep_notes(spark):
+    from vellum.plans.derived import changes, library, table
+    from vellum.streaming.changes import apply_changes
+
+    lib = library(spark, SF_SMALL)
+    out = apply_changes(lib, changes(spark, SF_SMALL), pages=table(spark, SF_SMALL, "pages"))
+    patched = out.where(F.col("updated_at").isNotNull()).select("text", "metadata").collect()
+    assert patched
+    for r in patched:
+        m = r["metadata"]
+        assert m["summary"] and f"Summary: {m['summary']}" in r["text"]
+        assert (not m["notes"]) or f"Notes: {m['notes']}" in r["text"]

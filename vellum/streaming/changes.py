@@ -86,15 +86,21 @@ def fold_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 LOOKUP_IDS = 100_000
 
 
-def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embedder=None, now=None) -> DataFrame:
+def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embedder=None, now=None,
+                 summaries: DataFrame | None = None) -> DataFrame:
     """The library delta of a set of key states: library columns plus `_kind` (insert / patch / delete).
 
     `matches` is (key, id) of the first record per key (J3, id null when
-    none), `old_meta` is (id, metadata) of the matched records.  A removed key
-    deletes its record; a live key with a record patches text, embedding and
-    metadata (dimensions, model and time stay, as the change handler leaves
-    them); a live key without one inserts a new bookmark record.
+    none), `old_meta` is (id, metadata) of the matched records, `summaries`
+    is an optional (url, summary) of freshly summarised pages.  A removed key
+    deletes its record.  A live key with a record is patched: the summary is
+    refreshed when a new one is truthy (H12), the text is recomposed from the
+    new title and url with that summary and the stored notes, re-embedded,
+    and text, embedding and metadata are replaced (dimensions, model and time
+    stay, as the change handler leaves them).  A live key without a record
+    inserts a new bookmark record.
     """
+    from vellum.functions.text import compose_text, refresh_summary
     from vellum.operators.embed import HASH_MODEL, embed_udf
     from vellum.operators.library import METADATA_TYPE, add_records, conform
 
@@ -102,45 +108,64 @@ def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embe
     st = state.join(matches, "key", "left")
     deletes = conform(st.where(~F.col("live") & F.col("id").isNotNull()).select("id")) \
         .withColumn("_kind", F.lit("delete"))
-    live = st.where(F.col("live")).withColumn("_e", embed_udf(embedder)(F.col("text")))
-    patches = live.where(F.col("id").isNotNull() & F.col("_e.success")).join(
-        old_meta.select("id", F.col("metadata").alias("_old")), "id").select(
+    live = st.where(F.col("live"))
+    live = live.join(summaries.select("url", F.col("summary").alias("_new_summary")), "url", "left") \
+        if summaries is not None else live.withColumn("_new_summary", F.lit(None).cast("string"))
+    fallback = F.concat(F.coalesce("title", F.lit("")), F.lit(" - "), F.coalesce("url", F.lit("")))
+    upd = live.where(F.col("id").isNotNull()).join(old_meta.select("id", F.col("metadata").alias("_old")), "id")
+    upd = upd.withColumn("_summary", refresh_summary(F.col("_new_summary"), F.col("_old.summary")))
+    upd = upd.withColumn("text", F.coalesce(F.nullif(compose_text(F.col("title"), F.col("url"), F.col("_summary"),
+                                                                  F.col("_old.notes")), F.lit("")), fallback))
+    upd = upd.withColumn("_e", embed_udf(embedder)(F.col("text")))
+    patches = upd.where(F.col("_e.success")).select(
         "id", "text", F.col("_e.embedding").alias("embedding"), now.alias("updated_at"),
-        F.col("_old").withField("title", F.col("title")).withField("url", F.col("url")).alias("metadata"))
+        F.col("_old").withField("title", F.col("title")).withField("url", F.col("url"))
+        .withField("summary", F.col("_summary")).alias("metadata"))
     patches = conform(patches).withColumn("_kind", F.lit("patch"))
-    fresh = live.where(F.col("id").isNull() & F.col("_e.success")).select(
+    new = live.where(F.col("id").isNull()).withColumn("text", F.coalesce(F.nullif(
+        compose_text(F.col("title"), F.col("url"), F.col("_new_summary"), F.lit("")), F.lit("")), fallback))
+    new = new.withColumn("_e", embed_udf(embedder)(F.col("text")))
+    fresh = new.where(F.col("_e.success")).select(
         F.col("text"), F.col("_e.embedding").alias("embedding"), F.size("_e.embedding").alias("dimensions"),
         F.lit(HASH_MODEL).alias("model"), F.col("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("key").alias("bookmark_id"),
-                 F.col("ts").alias("date_added"), F.lit(None).cast("string").alias("summary"),
+                 F.col("ts").alias("date_added"), F.col("_new_summary").alias("summary"),
                  F.lit("").alias("notes")).cast(METADATA_TYPE).alias("metadata"))
     inserts = add_records(None, fresh, id_cols=["metadata.bookmark_id", "text"]).withColumn("_kind", F.lit("insert"))
     return deletes.unionByName(patches).unionByName(inserts)
 
 
 def resolve_delta(delta: DataFrame) -> DataFrame:
-    """Fold every id's deltas (ordered by `_batch`) into one row: deleted?, inserted record, last patch."""
+    """Fold every id's deltas (ordered by `_batch`) into one row.
+
+    `_kind`: the latest kind (a delete hides the record, a later patch revives
+    it); `_last`: the latest patch; `_ins`: the inserted record, if any.
+    """
     from vellum.operators.library import LIBRARY_COLUMNS
 
     patch = F.struct("_kind", "text", "embedding", "metadata", "updated_at")
     record = F.struct(*[F.col(c) for c in LIBRARY_COLUMNS])
     is_ins = F.col("_kind") == "insert"
-    return delta.groupBy("id").agg(F.max_by(patch, "_batch").alias("_last"),
-                                   F.max_by(F.when(is_ins, record), F.when(is_ins, F.col("_batch"))).alias("_ins"))
+    is_patch = F.col("_kind") == "patch"
+    return delta.groupBy("id").agg(
+        F.max_by("_kind", "_batch").alias("_kind"),
+        F.max_by(F.when(is_patch, patch), F.when(is_patch, F.col("_batch"))).alias("_last"),
+        F.max_by(F.when(is_ins, record), F.when(is_ins, F.col("_batch"))).alias("_ins"))
 
 
-def apply_delta(library: DataFrame, delta: DataFrame) -> DataFrame:
+def apply_delta(library: DataFrame, delta: DataFrame, keep_deleted: bool = False) -> DataFrame:
     """Merge-on-read: base records patched or dropped by their latest delta, plus inserted records.
 
     The resolved delta is small and is broadcast after a size check; the
-    base is never shuffled.
+    base is never shuffled.  `keep_deleted` also returns deleted records in
+    their last state (what a revived key is patched from).
     """
     from vellum.operators.library import LIBRARY_SCHEMA, conform, sized_broadcast
 
     res = resolve_delta(delta if "_batch" in delta.columns else delta.withColumn("_batch", F.lit(0)))
     last, ins = F.col("_last"), F.col("_ins")
-    gone = last["_kind"] == "delete"
-    patched = last["_kind"] == "patch"
+    gone = F.lit(False) if keep_deleted else (F.col("_kind") == "delete")
+    patched = last.isNotNull()
     j = conform(library).join(sized_broadcast(res), "id", "left") \
         .where(~F.coalesce(gone, F.lit(False)) & ins.isNull())
     cols = []
@@ -158,17 +183,34 @@ def apply_delta(library: DataFrame, delta: DataFrame) -> DataFrame:
     return base.unionByName(added)
 
 
-def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=None) -> DataFrame:
-    """T1 on the library (batch): match by bookmark id (J3), then apply the change delta."""
+def page_summaries(urls: DataFrame, pages: DataFrame, summarizer=None) -> DataFrame:
+    """(url, summary) for each distinct url that has a page: extract once, summarise once."""
+    from vellum.functions.html import extract_content
+    from vellum.operators.summarize import summarize_frame
+
+    u = urls.select("url").distinct().join(pages.select("url", "html"), "url")
+    u = u.withColumn("_x", extract_content(F.col("html")))
+    return summarize_frame(u, "url", "_x", "summary", summarizer).select("url", "summary")
+
+
+def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=None,
+                  pages: DataFrame | None = None) -> DataFrame:
+    """T1 on the library (batch): match by bookmark id (J3), then apply the change delta.
+
+    With `pages`, the page of every live key is summarised and refreshes the
+    stored summary (H12), as the change handler does.
+    """
     from vellum.operators.dedupe import match_by_key
 
     st = key_state(changes)
     matches = match_by_key(library, st.select("key"))
-    delta = change_delta(matches, library.select("id", "metadata"), st, embedder, now)
+    summaries = page_summaries(st.where(F.col("live")), pages) if pages is not None else None
+    delta = change_delta(matches, library.select("id", "metadata"), st, embedder, now, summaries)
     return apply_delta(library, delta)
 
 
-def library_view(spark: SparkSession, base: str, root: str, upto: int | None = None) -> DataFrame:
+def library_view(spark: SparkSession, base: str, root: str, upto: int | None = None,
+                 keep_deleted: bool = False) -> DataFrame:
     """The library as of the deltas written so far (merge-on-read over `root/delta/batch=<n>`)."""
     from vellum.sources.library_io import scan_library
 
@@ -179,7 +221,7 @@ def library_view(spark: SparkSession, base: str, root: str, upto: int | None = N
         return lib
     paths = [os.path.join(delta_root, f"batch={b}") for b in done]
     delta = spark.read.option("basePath", delta_root).parquet(*paths).withColumnRenamed("batch", "_batch")
-    return apply_delta(lib, delta)
+    return apply_delta(lib, delta, keep_deleted)
 
 
 def key_index(lib: DataFrame) -> DataFrame:
@@ -248,7 +290,7 @@ def library_writer(root: str, initial: str, embedder=None):
         index = spark.read.parquet(idx_prev) if idx_prev else key_index(scan_library(initial, spark))
         matches = touched.select("key").join(index, "key", "left")
         ids = matches.where(F.col("id").isNotNull()).select("id")
-        view = library_view(spark, initial, root, upto=batch_id).select("id", "metadata")
+        view = library_view(spark, initial, root, upto=batch_id, keep_deleted=True).select("id", "metadata")
         n = ids.limit(LOOKUP_IDS + 1).count()
         if n <= LOOKUP_IDS:
             old_meta = view.where(F.col("id").isin([r["id"] for r in ids.collect()]))
@@ -258,11 +300,10 @@ def library_writer(root: str, initial: str, embedder=None):
         delta_path = os.path.join(delta_root, f"batch={batch_id}")
         delta.write.mode("overwrite").parquet(delta_path)
 
+        # a deleted record keeps its index entry: a later live state of the key revives it
         d = spark.read.parquet(delta_path)
-        gone = d.where(F.col("_kind") == "delete").select("id")
         added = d.where(F.col("_kind") == "insert").select(F.col("metadata.bookmark_id").alias("key"), "id")
-        new_index = index.join(gone, "id", "left_anti").unionByName(added.select("key", "id")) \
-            .groupBy("key").agg(F.min("id").alias("id"))
+        new_index = index.unionByName(added.select("key", "id")).groupBy("key").agg(F.min("id").alias("id"))
         new_index.write.mode("overwrite").parquet(os.path.join(index_root, f"batch={batch_id}"))
 
     return write
