@@ -27,6 +27,15 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_toxicity")
+def op1(spark, sf):
+    from vellum.llm.toxicity import fit_documents, held_out, score
+    docs = table(spark, sf, "documents")
+    model = fit_documents(docs, table(spark, sf, "labels"))
+    return score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op5_token_file")
 def op5(spark, sf):
     from vellum.llm.token_store import round_trip
