@@ -7,12 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm.common import cut, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the lexicon is learned from the labelled ones among `docs`."""
+    from vellum.llm.toxicity import fit_documents, score
+    model = fit_documents(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, out="__score").filter("__score < 0.5").drop("__score")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the least id."""
     from vellum.llm.simhash import keep_one
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    from vellum.llm.decontam import drop_contaminated
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences of 2048 tokens."""
     from vellum.llm.packing import pack_documents
@@ -20,7 +33,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("simhash", near_duplicates), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("simhash", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
 #: Tokenizers and learned weights have no SQL form; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None

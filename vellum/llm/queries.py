@@ -36,6 +36,12 @@ def op1(spark, sf):
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op3_decontamination")
+def op3(spark, sf):
+    from vellum.llm.decontam import find_items
+    return find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op5_token_file")
 def op5(spark, sf):
     from vellum.llm.token_store import round_trip
