@@ -36,6 +36,12 @@ def op1(spark, sf):
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op2_fingerprints")
+def op2(spark, sf):
+    from vellum.llm.iblt import fingerprint_documents
+    return fingerprint_documents(table(spark, sf, "documents"))
+
+
 @query("op3_decontamination")
 def op3(spark, sf):
     from vellum.llm.decontam import find_items
