@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.words import mix, runs, text_words
+
 MIN_WORDS = 5  # shorter items are no passage
 SIMILARITY = 0.8  # edit distance of at most a fifth of the item's words
 STRIDE = 4  # document windows start at every fourth word, item windows at every word
@@ -28,69 +30,6 @@ TARGET_RECALL = 0.95
 EDIT_RATE = 0.12  # share of words edited in the copies that the repetitions are chosen on
 MAX_WALKS = 12
 BLOCK_BYTES = 16 << 20  # benchmark text indexed, and broadcast, at a time
-CHUNK = 1 << 20  # bytes of text that a task turns into words at a time
-
-# bytes of words: A-Z lower-cased, digits, and all bytes of characters beyond ASCII
-_FOLD = np.zeros(256, np.uint8)
-for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
-    _FOLD[_b] = _b
-for _b in range(65, 91):
-    _FOLD[_b] = _b + 32
-
-_BASE = 0x100000001B3
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(CHUNK * 2, 1 << (n - 1).bit_length())
-    if size not in _POWERS:
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size + 1, base, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS.clear()
-        _POWERS[size] = both[0], both[1]
-    return _POWERS[size]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def words_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of texts that lie one after the other, and each text's first word.
-
-    `starts` are the texts' first bytes. Upper-case Latin-1 letters count as
-    lower-case ones. A word never runs from one text into the next.
-    """
-    b = _FOLD[raw]
-    if len(b) > 1:
-        accented = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        b[1:][accented] += 0x20
-    inside = b > 0
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    at = starts[starts < len(b)]
-    first[at] = inside[at]
-    begin = np.flatnonzero(first)
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    at = at[at > 0] - 1
-    last[at] = inside[at]
-    end = np.flatnonzero(last) + 1
-    up, down = _powers(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(b * up[:len(b)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin]), begin, np.searchsorted(begin, starts)
-
-
-def text_words(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return words_of(raw, np.zeros(1, np.int64))[0] if len(raw) else np.zeros(0, np.uint64)
-
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, seed: int, samples: list[list[int]]) -> list[np.ndarray]:
     """For each repetition, the hash of the sampled positions of the walks that begin at `starts`."""
@@ -281,30 +220,6 @@ def benchmark_index(rows: list, similarity: float = SIMILARITY) -> Index | None:
     return Index([rows[i]["item_id"] for i in keep], words, list(range(walks)), samples, stride, similarity).build()
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, each row's first word) of about CHUNK bytes of text at a time; one long text in parts."""
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-        a, b = int(offsets[row]), int(offsets[stop])
-        if b - a <= 2 * CHUNK:
-            words, _, firsts = words_of(data[a:b], offsets[row:stop] - a) if b > a else (np.zeros(0, np.uint64), None, np.zeros(stop - row, np.int64))
-        else:  # hashed in parts that end between words
-            parts, at = [], a
-            while at < b:
-                end = min(b, at + CHUNK)
-                while end < b and _FOLD[data[end - 1]]:
-                    end += 1
-                parts.append(words_of(data[at:end], np.zeros(1, np.int64))[0])
-                at = end
-            words, firsts = np.concatenate(parts), np.zeros(1, np.int64)
-        yield row, words, firsts
-        row = stop
-
-
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, item_words, similarity, word_at): one row per document row and item that it holds.
@@ -333,7 +248,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             index = sent.value
             for batch in batches:
                 found = []
-                for row, words, firsts in _runs(batch.column("text")):
+                for row, words, firsts in runs(batch.column("text")):
                     for (d, i), (k, at) in index.verified(words, firsts).items():
                         n = len(index.words[i])
                         found.append((row + d, index.ids[i], k, n, 1 - k / n, at))

@@ -48,6 +48,12 @@ def op3(spark, sf):
     return find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op4_licenses")
+def op4(spark, sf):
+    from vellum.llm.licenses import scan
+    return scan(table(spark, sf, "documents"))
+
+
 @query("op5_token_file")
 def op5(spark, sf):
     from vellum.llm.token_store import round_trip
@@ -106,3 +112,10 @@ def op9(spark, sf):
     from vellum.llm.urlfilter import filter_urls, rule_table
     pages = table(spark, sf, "pages").select("page_id", "url")
     return filter_urls(pages, rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_token_counts")
+def op10(spark, sf):
+    from vellum.llm.wordpiece import count_tokens
+    return count_tokens(table(spark, sf, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json")) \
+        .select("doc_id", "n_words", "n_tokens")
