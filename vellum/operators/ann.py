@@ -14,10 +14,11 @@ their keys are broadcast; every library partition computes its own keys,
 looks up the queries that share one (sorted-key search in numpy), scores those
 pairs exactly and keeps its top-K per query.  The library is not shuffled.
 
-Join plan (query side over the budget, e.g. a graph over the whole library):
-`(id, key)` rows of both sides equi-join on `key` (AQE splits skewed keys),
-pairs are de-duplicated, vectors are joined back by id, and the same exact
-score and window run.  Only ids travel through the key join.
+Grid plan (query side over the budget, e.g. a graph over the whole library):
+`(key, id, vector)` rows of both sides meet by key in blocks
+(`search.grid_topk`); a hot key gets more blocks, so it is spread without
+losing a pair, and a task holds two blocks.  Both plans score the same pairs:
+those that share a key.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions.vectors import cosine_similarity, dimension_ok
-from vellum.operators.search import (MAX_QUERY_BYTES, SIM_DIGITS, _collect_queries, _pandas_batch, _stack, _unit_rows,
-                                     flat_topk, rank_window)
+from vellum.functions.vectors import dimension_ok
+from vellum.operators.search import (MAX_QUERY_BYTES, SIM_DIGITS, _pandas_batch, _query_size, _stack, _unit_rows,
+                                     flat_topk, grid_topk, rank_window)
 
-DEFAULT_TABLES = 32
+DEFAULT_TABLES = 64
 DEFAULT_BITS = 6
 # Candidate pairs scored at once inside one task (bounds memory under a hot bucket).
 PAIR_BUDGET = 1 << 21
@@ -150,8 +151,10 @@ def _probe(library: DataFrame, id_col: str, vec_col: str, qid_col: str, qids, Q,
 
 
 def _key_rows(df: DataFrame, id_col: str, vec_col: str, keys, dim: int, query: bool) -> DataFrame:
+    """(key, id, _v): one row per vector and key."""
     bc = df.sparkSession.sparkContext.broadcast(keys)
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("key", T.LongType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField(id_col, df.schema[id_col].dataType),
+                           T.StructField("_v", df.schema[vec_col].dataType)])
 
     def run(it):
         ks = bc.value
@@ -160,176 +163,19 @@ def _key_rows(df: DataFrame, id_col: str, vec_col: str, keys, dim: int, query: b
                 continue
             X = _unit_rows(_stack(pdf[vec_col], dim))
             kk = ks.query_keys(X) if query else ks.record_keys(X)
-            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), kk.shape[1]), "key": kk.ravel()})
+            at = np.repeat(np.arange(len(pdf)), kk.shape[1])
+            yield pd.DataFrame({"key": kk.ravel(), id_col: pdf[id_col].to_numpy()[at], "_v": pdf[vec_col].to_numpy()[at]})
 
     return df.select(id_col, vec_col).where(dimension_ok(F.col(vec_col), dim)).mapInPandas(run, schema)
 
 
-def refine_planes(level: int, extra: int, dim: int) -> np.ndarray:
-    """+-1 planes used to split hot keys at refinement `level` (md5('r<level>:j:i'))."""
-    h = np.empty((extra, dim), dtype=np.float64)
-    for j in range(extra):
-        for i in range(dim):
-            h[j, i] = 1.0 if int(hashlib.md5(f"r{level}:{j}:{i}".encode()).hexdigest()[0], 16) < 8 else -1.0
-    return h
-
-
-def _refine(rows: DataFrame, vecs: DataFrame, id_col: str, vec_col: str, level: int, extra: int,
-            dim: int) -> DataFrame:
-    """New key = key * 2^extra + sign bits of the row's vector against this level's planes."""
-    bc = rows.sparkSession.sparkContext.broadcast(refine_planes(level, extra, dim))
-    weights = (1 << np.arange(extra)).astype(np.int64)
-    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("key", T.LongType())])
-
-    def run(it):
-        H = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = _unit_rows(_stack(pdf[vec_col], dim))
-            sub_ = ((X @ H.T) >= 0).astype(np.int64) @ weights
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "key": pdf["key"].to_numpy() * (1 << extra) + sub_})
-
-    return rows.join(vecs, id_col).select(id_col, "key", vec_col).mapInPandas(run, schema)
-
-
-# A key holding more library rows than this is split before the join.
-HOT_KEY_ROWS = 50_000
-REFINE_BITS = 4
-MAX_REFINE = 6
-
-
-def _key_pairs(lk: DataFrame, qk: DataFrame, lib_vecs: DataFrame, q_vecs: DataFrame, id_col: str, qid_col: str,
-               vec_col: str, dim: int, k: int, hot_rows: int, levels: int = MAX_REFINE):
-    """Candidate pairs sharing a key, with hot keys split instead of joined whole.
-
-    Returns (pairs, dense): `pairs` is (qid, id) for ordinary keys; `dense`
-    is None or the (key-rows of library, key-rows of queries) of keys still
-    hot after the last level, which are scored by `_dense_probe` instead of
-    being expanded into pairs.
-
-    A key with more than `hot_rows` library rows is re-keyed with extra sign
-    bits (new planes per level) until it is small.  A key still hot after the
-    last level whose rows all hold the same vector keeps only its k+1
-    smallest ids: equal vectors score equally and ties go by id, so that cut
-    is exact.
-    """
-    parts = []
-    dense = None
-    for level in range(levels + 1):
-        lk = lk.checkpoint()
-        hot = lk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key")
-        n_hot = hot.count()
-        if n_hot == 0:
-            break
-        hot = F.broadcast(hot) if n_hot <= 1_000_000 else hot
-        if level == levels:
-            hv = lk.join(hot, "key").join(lib_vecs, id_col)
-            kinds = hv.groupBy("key").agg(F.count_distinct(F.xxhash64(vec_col)).alias("nv"))
-            same = kinds.where(F.col("nv") == 1).select("key")
-            rest = kinds.where(F.col("nv") > 1).select("key")
-            w = Window.partitionBy("key").orderBy(id_col)
-            firsts = lk.join(same, "key").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1) \
-                .drop("_r")
-            dense = (lk.join(rest, "key"), qk.join(rest, "key"))
-            qk = qk.join(rest, "key", "left_anti")
-            lk = lk.join(same, "key", "left_anti").join(rest, "key", "left_anti").unionByName(firsts)
-            break
-        parts.append(qk.join(hot, "key", "left_anti").join(lk.join(hot, "key", "left_anti"), "key"))
-        lk = _refine(lk.join(hot, "key", "left_semi"), lib_vecs, id_col, vec_col, level, REFINE_BITS, dim)
-        qk = _refine(qk.join(hot, "key", "left_semi"), q_vecs, qid_col, vec_col, level, REFINE_BITS, dim)
-    parts.append(qk.join(lk, "key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(qid_col, id_col), dense
-
-
-def _dense_probe(lib_rows: DataFrame, q_rows: DataFrame, lib_vecs: DataFrame, q_vecs: DataFrame, id_col: str,
-                 qid_col: str, vec_col: str, dim: int, k: int, exclude_self: bool, schema: T.StructType,
-                 max_query_bytes: int) -> DataFrame:
-    """Exact scores inside keys too dense to split: broadcast key-sharing queries, top-K per task.
-
-    Like the probe plan, restricted to these keys: the queries (in batches
-    under the byte budget) are broadcast with their key, each library task
-    scores the pairs that share a key block by block and keeps its top-K per
-    query row; nothing quadratic is materialised or shuffled.
-    """
-    spark = lib_rows.sparkSession
-    lib = lib_rows.join(lib_vecs, id_col)
-    qs = q_rows.join(q_vecs, qid_col)
-    n = qs.count()
-    n_batches = max(1, math.ceil(n * max(dim, 1) * 8 / max_query_bytes))
-    outs = []
-    for b in range(n_batches):
-        part = qs if n_batches == 1 else qs.where(F.pmod(F.xxhash64(qid_col, "key"), F.lit(n_batches)) == b)
-        pdf = part.select(qid_col, "key", vec_col).toPandas()
-        qids = pdf[qid_col].to_numpy()
-        if qids.dtype == object:
-            qids = qids.astype(str)
-        Q = _unit_rows(_stack(pdf[vec_col], dim))
-        bc = spark.sparkContext.broadcast((qids, Q, pdf["key"].to_numpy().astype(np.int64)[:, None]))
-
-        def run(it, bc=bc):
-            qids_, Q_, qk = bc.value
-            acc_c, acc_s, acc_i = np.zeros(0, np.int64), np.zeros(0), None
-            step = max(1, PAIR_BUDGET // max(len(qids_), 1))
-            for chunk in it:
-                if len(chunk) == 0:
-                    continue
-                X_all = _unit_rows(_stack(chunk[vec_col], dim))
-                ids_all = chunk[id_col].to_numpy()
-                if ids_all.dtype == object:
-                    ids_all = ids_all.astype(str)
-                keys_all = chunk["key"].to_numpy().astype(np.int64)[:, None]
-                for s in range(0, len(chunk), step):
-                    X, ids = X_all[s:s + step], ids_all[s:s + step]
-                    rows, cols = _pairs(keys_all[s:s + step], qk)
-                    if exclude_self and len(rows):
-                        keep = ids[rows] != qids_[cols]
-                        rows, cols = rows[keep], cols[keep]
-                    if not len(rows):
-                        continue
-                    sims = np.round(np.einsum("ij,ij->i", X[rows], Q_[cols]), SIM_DIGITS)
-                    acc_c = np.concatenate([acc_c, cols])
-                    acc_s = np.concatenate([acc_s, sims])
-                    acc_i = ids[rows] if acc_i is None else np.concatenate([acc_i, ids[rows]])
-                    acc_c, acc_s, acc_i = flat_topk(acc_c, acc_s, acc_i, k)
-            if acc_i is not None and len(acc_c):
-                yield pd.DataFrame({qid_col: qids_[acc_c], id_col: acc_i, "sim": acc_s})
-
-        outs.append(lib.select(id_col, "key", vec_col).mapInPandas(run, schema))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
-def _join_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, dim, exclude_self,
-               hot_rows: int = HOT_KEY_ROWS, levels: int = MAX_REFINE, max_query_bytes: int = MAX_QUERY_BYTES):
+def _grid_plan(library, queries, id_col, vec_col, qid_col, qvec_col, keys, k, dim, exclude_self, schema,
+               block_rows: int | None = None):
+    """Candidates by key in blocks; a pair that shares several keys is scored in each and kept once."""
     lk = _key_rows(library, id_col, vec_col, keys, dim, query=False)
-    qk = _key_rows(queries.select(F.col(qid_col), F.col(qvec_col).alias(vec_col)), qid_col, vec_col, keys, dim,
-                   query=True)
-    lib_vecs = library.select(id_col, vec_col)
-    q_vecs = queries.select(qid_col, F.col(qvec_col).alias(vec_col))
-    pairs, dense = _key_pairs(lk, qk, lib_vecs, q_vecs, id_col, qid_col, vec_col, dim, k, hot_rows, levels)
-    pairs = pairs.distinct()
-    if exclude_self:
-        pairs = pairs.where(F.col(qid_col) != F.col(id_col))
-    lv = library.select(id_col, F.col(vec_col).alias("_v"))
-    qv = queries.select(qid_col, F.col(qvec_col).alias("_qv"))
-    scored = (pairs.join(lv, id_col).join(qv, qid_col)
-              .select(qid_col, id_col, F.round(cosine_similarity(F.col("_v"), F.col("_qv"), on_mismatch="null"), SIM_DIGITS)
-                      .alias("sim")))
-    if dense is not None:
-        schema = T.StructType([T.StructField(qid_col, queries.schema[qid_col].dataType),
-                               T.StructField(id_col, library.schema[id_col].dataType),
-                               T.StructField("sim", T.DoubleType())])
-        # the dense probe batches its own queries under the standard broadcast budget
-        extra = _dense_probe(dense[0], dense[1], lib_vecs, q_vecs, id_col, qid_col, vec_col, dim, k, exclude_self,
-                             schema, MAX_QUERY_BYTES)
-        scored = scored.unionByName(extra).groupBy(qid_col, id_col).agg(F.max("sim").alias("sim"))
-    return scored
+    qk = _key_rows(queries, qid_col, qvec_col, keys, dim, query=True)
+    scored = grid_topk(lk, qk, k, id_col, "_v", qid_col, dim, exclude_self, schema, block_rows)
+    return scored.groupBy(qid_col, id_col).agg(F.max("sim").alias("sim"))
 
 
 # IVF centers are trained on at most this many vectors (a seeded sample); every
@@ -364,25 +210,23 @@ def build_keys(library: DataFrame, vec_col: str, dim: int, method: str = "lsh",
 def ann_topk(library: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
              qid_col: str = "qid", qvec_col: str | None = None, method: str = "lsh", tables: int = DEFAULT_TABLES,
              bits: int = DEFAULT_BITS, cells: int | None = None, nprobe: int = 4, exclude_self: bool = False,
-             keys=None, max_query_bytes: int = MAX_QUERY_BYTES, hot_rows: int = HOT_KEY_ROWS,
-             refine_levels: int = MAX_REFINE) -> DataFrame:
+             keys=None, max_query_bytes: int = MAX_QUERY_BYTES, block_rows: int | None = None) -> DataFrame:
     """K4: approximate top-k -> (qid, id, sim, rank); every candidate is scored exactly."""
     qvec_col = qvec_col or vec_col
-    d, batches = _collect_queries(queries, qid_col, qvec_col, max_query_bytes)
+    n, d = _query_size(queries, qvec_col)
     out_id = id_col if id_col != qid_col else f"{id_col}_hit"
     lib = library.withColumnRenamed(id_col, out_id) if out_id != id_col else library
     schema = T.StructType([T.StructField(qid_col, queries.schema[qid_col].dataType),
                            T.StructField(out_id, library.schema[id_col].dataType),
                            T.StructField("sim", T.DoubleType())])
-    if not batches:
+    if n == 0:
         return library.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
     keys = keys or build_keys(library, vec_col, d, method, tables, bits, cells, nprobe)
-    if len(batches) == 1:
-        qids, Q = _pandas_batch(batches[0], qid_col, qvec_col, d)
+    if n * d * 8 <= max_query_bytes:
+        qids, Q = _pandas_batch(queries, qid_col, qvec_col, d)
         scored = _probe(lib, out_id, vec_col, qid_col, qids, Q, keys, k, exclude_self, schema)
     else:
-        scored = _join_plan(lib, queries, out_id, vec_col, qid_col, qvec_col, keys, k, d, exclude_self, hot_rows,
-                            refine_levels, max_query_bytes)
+        scored = _grid_plan(lib, queries, out_id, vec_col, qid_col, qvec_col, keys, k, d, exclude_self, schema, block_rows)
     return rank_window(scored, qid_col, out_id, k)
 
 
@@ -394,19 +238,16 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_co
 
 
 def knn_graph(vectors: DataFrame, m: int = 16, id_col: str = "id", vec_col: str = "embedding",
-              method: str = "auto", max_exact_bytes: int = 4 * MAX_QUERY_BYTES, **ann_args) -> DataFrame:
+              method: str = "exact", **ann_args) -> DataFrame:
     """K7: each vector's m nearest others -> (src, dst, dist, rank), ascending distance.
 
-    `auto` is exact while all vectors fit a few broadcast batches (each batch
-    is one scan of the library) and approximate (LSH join plan) beyond that.
+    Exact by default at every size (pairs of blocks beyond the broadcast
+    budget); `method="lsh"` or `"ivf"` asks for the approximate graph.
     """
     from vellum.operators.search import batch_topk
 
     q = vectors.select(F.col(id_col).alias("src"), F.col(vec_col).alias("_qv"))
     lib = vectors.select(F.col(id_col).alias("dst"), F.col(vec_col))
-    if method == "auto":
-        st = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-        method = "exact" if (st["n"] or 0) * (st["d"] or 0) * 8 <= max_exact_bytes else "lsh"
     if method == "exact":
         hits = batch_topk(lib, q, m, id_col="dst", vec_col=vec_col, qid_col="src", qvec_col="_qv",
                           exclude_self=True)

@@ -1,15 +1,15 @@
 """Exact cosine top-K.
 
-Plan for many queries (K2): the query side is collected once, bounded by a
-byte budget that is checked before collection, and broadcast; each library
-partition does an Arrow block product `X @ Q.T` in numpy and keeps only its
-own top-K per query (ties: smaller id first).  One window over `qid` then
-picks the global top-K, which Spark plans as a `WindowGroupLimit` on each side
-of the shuffle.  The library is scanned once per query batch and never
-shuffled; the shuffle carries at most K rows per query per partition.
-
-A query side over the budget is split by a hash of `qid` into batches that
-each fit, and the batches are unioned; no pair is ever materialised.
+Plan for many queries (K2).  A query side under a byte budget, checked before
+it is collected, is broadcast: each library partition does an Arrow block
+product `X @ Q.T` in numpy and keeps its own top-K per query (ties: smaller id
+first), and the library is not shuffled.  Beyond the budget both sides are cut
+into blocks by a hash of their ids and meet in a grid: every library block
+goes to each query block once, a task scores one pair of blocks and keeps the
+top-K per query, and nothing passes through the driver.  One window over `qid`
+then picks the global top-K, which Spark plans as a `WindowGroupLimit` on each
+side of the shuffle.  Both plans score the same pairs, so the rows of a query
+do not depend on the plan or on the queries that come with it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from vellum.functions.vectors import dimension_ok, dot, l2_norm
 MAX_QUERY_BYTES = 256 << 20
 # Cells of one score block (rows x queries) held in memory at a time.
 BLOCK_CELLS = 4 << 20
+# Float64 bytes of one block of vectors in the grid plan.
+GRID_BYTES = 32 << 20
 # Similarities are kept to 12 decimals so equal vectors tie exactly (ties then go by id).
 SIM_DIGITS = 12
 
@@ -76,25 +78,15 @@ def _schema(id_type: T.DataType, qid_type: T.DataType, qid_col: str, id_col: str
                          T.StructField("sim", T.DoubleType())])
 
 
-def _collect_queries(queries: DataFrame, qid_col: str, qvec_col: str, max_bytes: int):
-    """Measure the query side, then split it into batches that each fit the byte budget.
-
-    Returns (dimension, list of query DataFrames); nothing is collected here.
-    """
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n == 0:
-        return d, []
-    n_batches = max(1, math.ceil(n * max(d, 1) * 8 / max_bytes))
-    batches = []
-    for b in range(n_batches):
-        part = queries if n_batches == 1 else queries.where(F.pmod(F.xxhash64(qid_col), F.lit(n_batches)) == b)
-        batches.append(part)
-    return d, batches
+def _query_size(queries: DataFrame, qvec_col: str) -> tuple[int, int]:
+    """(number, dimension) of the query vectors; null and empty vectors do not count."""
+    v = F.col(qvec_col)
+    st = queries.where(v.isNotNull() & (F.size(v) > 0)).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(v)).alias("d")).first()
+    return int(st["n"] or 0), int(st["d"] or 0)
 
 
 def _pandas_batch(part: DataFrame, qid_col: str, qvec_col: str, d: int):
-    pdf = part.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()).toPandas()
+    pdf = part.select(qid_col, qvec_col).where(dimension_ok(F.col(qvec_col), d)).toPandas()
     qids = pdf[qid_col].to_numpy()
     if qids.dtype == object:
         qids = qids.astype(str)
@@ -114,27 +106,17 @@ def _score_partitions(library: DataFrame, id_col: str, vec_col: str, qid_col: st
         acc_c = np.zeros(0, dtype=np.int64)
         acc_s = np.zeros(0)
         acc_i = None
-        step = max(1, BLOCK_CELLS // max(q, 1))
         for pdf in it:
             if len(pdf) == 0 or q == 0:
                 continue
-            X_all = _unit_rows(_stack(pdf[vec_col], dim))
-            ids_all = pdf[id_col].to_numpy()
-            if ids_all.dtype == object:
-                ids_all = ids_all.astype(str)
-            for s in range(0, len(pdf), step):
-                X, ids = X_all[s:s + step], ids_all[s:s + step]
-                S = np.round(X @ Q_.T, SIM_DIGITS)
-                if exclude_self:
-                    S[ids[:, None] == qids_[None, :]] = -np.inf
-                c, sv, iv = block_topk(S, ids, k)
-                if exclude_self:
-                    fin = np.isfinite(sv)
-                    c, sv, iv = c[fin], sv[fin], iv[fin]
-                acc_c = np.concatenate([acc_c, c])
-                acc_s = np.concatenate([acc_s, sv])
-                acc_i = iv if acc_i is None else np.concatenate([acc_i, iv])
-                acc_c, acc_s, acc_i = flat_topk(acc_c, acc_s, acc_i, k)
+            ids = pdf[id_col].to_numpy()
+            if ids.dtype == object:
+                ids = ids.astype(str)
+            c, sv, iv = score_block(ids, _unit_rows(_stack(pdf[vec_col], dim)), qids_, Q_, k, exclude_self)
+            acc_c = np.concatenate([acc_c, c])
+            acc_s = np.concatenate([acc_s, sv])
+            acc_i = iv if acc_i is None else np.concatenate([acc_i, iv])
+            acc_c, acc_s, acc_i = flat_topk(acc_c, acc_s, acc_i, k)
         if acc_i is not None and len(acc_c):
             yield pd.DataFrame({qid_col: qids_[acc_c], id_col: acc_i, "sim": acc_s})
 
@@ -144,6 +126,55 @@ def _score_partitions(library: DataFrame, id_col: str, vec_col: str, qid_col: st
     return spread(lib).mapInPandas(run, schema)
 
 
+def score_block(ids, X: np.ndarray, qids, Q: np.ndarray, k: int, exclude_self: bool):
+    """(query row, sim, id) of the k best library rows per query in one pair of blocks."""
+    acc_c, acc_s, acc_i = np.zeros(0, np.int64), np.zeros(0), ids[:0]
+    step = max(1, BLOCK_CELLS // max(len(qids), 1))
+    held = 0
+    for s in range(0, len(ids), step):
+        S = np.round(X[s:s + step] @ Q.T, SIM_DIGITS)
+        if exclude_self:
+            S[ids[s:s + step, None] == qids[None, :]] = -np.inf
+        c, sv, iv = block_topk(S, ids[s:s + step], k)
+        fin = np.isfinite(sv)
+        acc_c, acc_s, acc_i = (np.concatenate(p) for p in ((acc_c, c[fin]), (acc_s, sv[fin]), (acc_i, iv[fin])))
+        if len(acc_c) > 2 * held:  # sort what is kept only when it has doubled
+            acc_c, acc_s, acc_i = flat_topk(acc_c, acc_s, acc_i, k)
+            held = max(len(acc_c), k)
+    return flat_topk(acc_c, acc_s, acc_i, k)
+
+
+def grid_topk(lib: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str, dim: int,
+              exclude_self: bool, schema: T.StructType, block_rows: int | None = None) -> DataFrame:
+    """Top-K per query among the library rows of equal `key`, by a grid of blocks per key.
+
+    `lib` is (key, id, vector), `queries` is (key, qid, vector); a key is what
+    an index calls a bucket or cell, or one constant for an exact search.  A
+    key with many rows on either side gets as many blocks as it needs: library
+    rows repeat once per query block of their key and queries once per library
+    block, so that a hot key is spread and no pair is lost.
+    """
+    block_rows = block_rows or max(1, GRID_BYTES // (8 * max(dim, 1)))
+    blocks = lambda df, c: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(c))
+    shape = blocks(lib, "_nl").join(blocks(queries, "_nq"), "key")
+    spread_out = lambda df, own, n_own, other, n_other, by: (
+        df.join(shape, "key").withColumn(own, F.pmod(F.xxhash64(by), F.col(n_own)))
+        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).drop("_nl", "_nq"))
+    left = spread_out(lib, "_lb", "_nl", "_qb", "_nq", id_col)
+    right = spread_out(queries, "_qb", "_nq", "_lb", "_nl", qid_col)
+    name = vec_col
+
+    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 0 or len(asked) == 0:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        ids, qids = (c.astype(str) if c.dtype == object else c for c in (rows[id_col].to_numpy(), asked[qid_col].to_numpy()))
+        c, s, i = score_block(ids, _unit_rows(_stack(rows[name], dim)), qids, _unit_rows(_stack(asked[name], dim)), k, exclude_self)
+        return pd.DataFrame({qid_col: qids[c], id_col: i, "sim": s})
+
+    at = ["key", "_lb", "_qb"]
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(score, schema)
+
+
 def rank_window(df: DataFrame, part_col: str, id_col: str, k: int | None, score: str = "sim",
                 ascending: bool = False, rank_col: str = "rank") -> DataFrame:
     """Order within `part_col` by score (desc by default) then id, keep the first k."""
@@ -158,7 +189,8 @@ def batch_topk(library: DataFrame, queries: DataFrame, k: int, id_col: str = "id
                max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """K2: for every query, the k most similar library rows -> (qid, id, sim, rank).
 
-    Rows whose vector length differs from the queries' are skipped (P8).
+    Library rows and queries whose vector is null, empty or of another length
+    than the longest query vector are skipped (P8).
     """
     qvec_col = qvec_col or vec_col
     id_type = library.schema[id_col].dataType
@@ -166,16 +198,17 @@ def batch_topk(library: DataFrame, queries: DataFrame, k: int, id_col: str = "id
     out_id = id_col if id_col != qid_col else f"{id_col}_hit"
     lib = library.withColumnRenamed(id_col, out_id) if out_id != id_col else library
     schema = _schema(id_type, qid_type, qid_col, out_id)
-    d, batches = _collect_queries(queries, qid_col, qvec_col, max_query_bytes)
-    parts = []
-    for part in batches:
-        qids, Q = _pandas_batch(part, qid_col, qvec_col, d)
-        parts.append(_score_partitions(lib, out_id, vec_col, qid_col, qids, Q, k, exclude_self, schema))
-    if not parts:
+    n, d = _query_size(queries, qvec_col)
+    if n == 0:
         return library.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    if n * d * 8 <= max_query_bytes:
+        qids, Q = _pandas_batch(queries, qid_col, qvec_col, d)
+        scored = _score_partitions(lib, out_id, vec_col, qid_col, qids, Q, k, exclude_self, schema)
+    else:
+        whole = F.lit(0).alias("key")
+        rows = lib.where(dimension_ok(F.col(vec_col), d)).select(whole, out_id, F.col(vec_col).alias("_v"))
+        asked = queries.where(dimension_ok(F.col(qvec_col), d)).select(whole, qid_col, F.col(qvec_col).alias("_v"))
+        scored = grid_topk(rows, asked, k, out_id, "_v", qid_col, d, exclude_self, schema)
     return rank_window(scored, qid_col, out_id, k)
 
 
@@ -219,18 +252,16 @@ def adaptive_topk(library: DataFrame, queries: DataFrame, k: int | None, id_col:
                   vec_col: str = "embedding", qid_col: str = "qid", **ann_args) -> DataFrame:
     """K5: exact when the library is empty, k is unset or k >= N, or the index fails; else approximate."""
     from vellum.operators.ann import ann_topk
+    from vellum.session import scratch_path
 
-    usable = library.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0))
-    if k is None:
-        return batch_topk(library, queries, max(1, usable.count()), id_col, vec_col, qid_col)
-    # "k >= N" needs at most k+1 rows read, not a count of the whole library
-    n = usable.limit(k + 1).count()
-    if n == 0:
-        return batch_topk(library.limit(0), queries, 1, id_col, vec_col, qid_col)
-    if k >= n:
-        return batch_topk(library, queries, k, id_col, vec_col, qid_col)
+    n = library.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).count()
+    if k is None or k >= n:
+        return batch_topk(library, queries, max(1, n), id_col, vec_col, qid_col)
     try:
-        return ann_topk(library, queries, k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, **ann_args)
+        found = ann_topk(library, queries, k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, **ann_args)
+        path = scratch_path(library.sparkSession, "ann")
+        found.write.parquet(path)  # the search runs here, where a failure is caught
+        return library.sparkSession.read.schema(found.schema).parquet(path)
     except Exception:  # noqa: BLE001 - the exact path is always correct
         return batch_topk(library, queries, k, id_col, vec_col, qid_col)
 
