@@ -355,3 +355,52 @@ def test_changes_refresh_summary_and_keep_notes(spark):
         m = r["metadata"]
         assert m["summary"] and f"Summary: {m['summary']}" in r["text"]
         assert (not m["notes"]) or f"Notes: {m['notes']}" in r["text"]
+
+
+def _records(spark, rows):
+    from vellum.operators.library import conform
+
+    return conform(spark.createDataFrame(rows, "id string, text string, model string").withColumn(
+        "metadata", F.expr("named_struct('type', 'x', 'url', 'http://a', 'title', text, 'bookmark_id', '', "
+                           "'date_added', CAST(NULL AS TIMESTAMP), 'summary', 'old', 'notes', 'n')")))
+
+
+def test_patches_by_id_are_unique_and_null_wins(spark):
+    from vellum.operators.library import apply_patch, deep_patch_metadata, update_notes
+
+    lib = _records(spark, [("a", "x", "m"), ("b", "y", "m")])
+    patch = spark.createDataFrame([("a", (None, "t1")), ("a", (None, "t0"))], "id string, metadata struct<summary: string, title: string>")
+    deep = {r["id"]: r["metadata"] for r in deep_patch_metadata(lib, patch).collect()}
+    assert len(deep) == 2 and deep["a"]["summary"] is None and deep["a"]["title"] == "t1" and deep["a"]["url"] == "http://a"
+    assert deep["b"]["summary"] == "old"
+    assert deep_patch_metadata(lib, patch).count() == apply_patch(lib, patch).count() == 2
+    notes = spark.createDataFrame([("a", "one"), ("a", "two"), ("zz", "no")], "id string, note string")
+    out = {r["id"]: r for r in update_notes(lib, notes).collect()}
+    assert len(out) == 2 and out["a"]["metadata"]["notes"] == "two" and out["b"]["text"] == "y" and out["a"]["dimensions"] == 64
+
+
+def test_equal_content_gets_its_own_ids_that_do_not_depend_on_the_clock(spark):
+    from vellum.operators.library import add_records
+
+    new = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
+    ids = lambda **kw: sorted(r["id"] for r in add_records(None, new, **kw).collect())
+    first = ids()
+    assert len(set(first)) == 3 and ids(now=F.lit("2001-01-01").cast("timestamp")) == first and ids(batch="x") != first
+
+
+def test_the_model_sees_each_stale_record_once(spark):
+    from vellum.operators.library import regenerate_all
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def run(texts):
+            calls.add(len(texts))
+            return np.ones((len(texts), 4), np.float32)
+        return run
+
+    lib = _records(spark, [(f"id{i}", f"t{i}", "new" if i % 4 == 0 else "old") for i in range(40)])
+    out = regenerate_all(lib, selected="new", embedder=counting, model="new")
+    rows = out.collect()
+    assert calls.value == 30 and all(r["model"] == "new" for r in rows)
+    assert sum(r["dimensions"] == 4 for r in rows) == 30

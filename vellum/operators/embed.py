@@ -10,6 +10,7 @@ without model files.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -114,11 +115,14 @@ def onnx_embedder(model_dir: str, max_length: int = 256, batch_size: int = 64):
 
 
 _MODELS: dict = {}
+KEPT_MODELS = 4
 
 
 def _model(key, factory):
     fn = _MODELS.get(key)
     if fn is None:
+        if len(_MODELS) >= KEPT_MODELS:  # the oldest goes; it is built again if asked for
+            _MODELS.pop(next(iter(_MODELS)))
         fn = _MODELS[key] = factory()
     return fn
 
@@ -130,30 +134,32 @@ _EMBED_SCHEMA = T.StructType([
 ])
 
 
-def embed_udf(factory=None, key: str | None = None):
+def embed_udf(factory=None, key: str | None = None, skip_null: bool = False):
     """Wrap an embedder factory as an Arrow UDF returning {success, embedding, error}.
 
     A batch that raises is retried row by row so one bad text fails alone,
-    as each item's failure is reported on its own.
+    as each item's failure is reported on its own.  With `skip_null` a null
+    text is no item: the model does not see it and it has no success.
+    Workers keep the model under `key`; without one, every wrapper has its own.
     """
     factory = factory or hash_embedder()
-    key = key or f"{getattr(factory, '__qualname__', 'f')}-{id(factory)}"
+    key = key or uuid.uuid4().hex
 
     @F.pandas_udf(_EMBED_SCHEMA)
     def _embed(texts: pd.Series) -> pd.DataFrame:
         fn = _model(key, factory)
         vals = texts.tolist()
-        n = len(vals)
-        ok = [True] * n
-        err: list = [None] * n
-        vecs: list = [None] * n
+        at = [i for i, v in enumerate(vals) if not (skip_null and v is None)]
+        ok, err, vecs = [False] * len(vals), [None] * len(vals), [None] * len(vals)
         try:
-            arr = np.asarray(fn(vals), dtype=np.float32)
-            vecs = [row for row in arr]
+            found = np.asarray(fn([vals[i] for i in at]), dtype=np.float32) if at else []
+            for i, vec in zip(at, found):
+                ok[i], vecs[i] = True, vec
         except Exception:  # isolate the failing rows
-            for i, v in enumerate(vals):
+            for i in at:
                 try:
-                    vecs[i] = np.asarray(fn([v]), dtype=np.float32)[0]
+                    vecs[i] = np.asarray(fn([vals[i]]), dtype=np.float32)[0]
+                    ok[i] = True
                 except Exception as exc:  # noqa: BLE001 - reported per row
                     ok[i], err[i] = False, str(exc) or type(exc).__name__
         return pd.DataFrame({"success": ok, "embedding": vecs, "error": err})

@@ -8,7 +8,7 @@ snapshot directory by the caller.  Nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,17 +39,43 @@ LIBRARY_SCHEMA = T.StructType([
 LIBRARY_COLUMNS = [f.name for f in LIBRARY_SCHEMA.fields]
 
 
-# Change sets up to this many rows are broadcast into the join with the library.
-BROADCAST_ROWS = 2_000_000
+# Change sets up to this many bytes are broadcast into the join with the library.
+BROADCAST_BYTES = 64 << 20
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` only when a count shows it is small; otherwise both sides shuffle on the key.
+def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast `df` only when its bytes, summed over all rows, are under the bound; otherwise both sides shuffle.
 
     A mutation usually touches a few records of a large library: broadcasting
-    the change set keeps the library where it is instead of shuffling all of it.
+    the change set keeps the library where it is instead of shuffling all of
+    it.  The measure is a partial sum (one row per partition travels) and runs
+    `df`: give it change sets as they are stored, before any model call.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    def width(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(t, T.ArrayType):
+            each = F.lit(16) if not isinstance(t.elementType, (T.FloatType, T.DoubleType)) else F.lit(8)
+            return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * each + 16
+        if isinstance(t, T.StructType):
+            return sum((width(c[f.name], f.dataType) for f in t.fields), F.lit(8))
+        if isinstance(t, T.MapType):
+            return F.coalesce(F.length(F.to_json(c)), F.lit(0)) * 2 + 32
+        return F.lit(16)
+
+    row = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32))
+    size = df.agg(F.sum(row.cast("long")).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def one_per_id(patch: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per id: the last by `order`, else the greatest row, so that a repeated id cannot repeat its record."""
+    cols = [c for c in patch.columns if c != "id"]
+    if not cols:
+        return patch.distinct()
+    # the json text orders rows of any type, maps and arrays included
+    by = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*cols)))
+    return patch.groupBy("id").agg(F.max_by(F.struct(*cols), by).alias("_one")).select("id", "_one.*")
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -106,9 +132,11 @@ def apply_patch(current: DataFrame, patch: DataFrame, now: Column | None = None)
     """Shallow merge by id; every column the patch has wins (null included); metadata replaced whole.
 
     Returns the new table; `updated_at` is set on patched rows.  Patches for
-    unknown ids are dropped here (see `update_records` for the rejects).
+    unknown ids are dropped here (see `update_records` for the rejects); of
+    several patches for one id the greatest row counts (`one_per_id`).
     """
     now = now if now is not None else F.current_timestamp()
+    patch = one_per_id(patch)
     pcols = [c for c in patch.columns if c != "id"]
     p = patch.select("id", *[F.col(c).alias(f"_p_{c}") for c in pcols]).withColumn("_hit", F.lit(True))
     j = current.join(sized_broadcast(p), "id", "left")
@@ -131,7 +159,13 @@ def apply_patch(current: DataFrame, patch: DataFrame, now: Column | None = None)
 
 
 def deep_patch_metadata(current: DataFrame, patch: DataFrame) -> DataFrame:
-    """P5: view-side merge; metadata keys merge one by one (patch wins where it has a value)."""
+    """P5: view-side merge; every field and metadata key that the patch has wins, null included.
+
+    A key that the patch's schema lacks keeps its old value; so does all
+    metadata where the patch's metadata is null as a whole.
+    """
+    patch = one_per_id(patch)
+    given = set(patch.schema["metadata"].dataType.fieldNames()) if "metadata" in patch.columns else set()
     pcols = [c for c in patch.columns if c != "id"]
     p = patch.select("id", *[F.col(c).alias(f"_p_{c}") for c in pcols]).withColumn("_hit", F.lit(True))
     j = current.join(sized_broadcast(p), "id", "left")
@@ -141,9 +175,9 @@ def deep_patch_metadata(current: DataFrame, patch: DataFrame) -> DataFrame:
         c = f.name
         if c == "metadata" and "metadata" in pcols:
             pm = _patch_metadata(patch, "_p_metadata")
-            merged = F.struct(*[F.coalesce(pm[m.name], F.col("metadata")[m.name]).alias(m.name)
+            merged = F.struct(*[(pm[m.name] if m.name in given else F.col("metadata")[m.name]).alias(m.name)
                                 for m in METADATA_TYPE.fields])
-            out.append(F.when(hit, merged).otherwise(F.col("metadata")).alias(c))
+            out.append(F.when(hit & F.col("_p_metadata").isNotNull(), merged).otherwise(F.col("metadata")).alias(c))
         elif c in pcols and c != "id":
             out.append(F.when(hit, F.col(f"_p_{c}").cast(f.dataType)).otherwise(F.col(c)).alias(c))
         else:
@@ -163,15 +197,26 @@ def record_id_from(*cols: Column) -> Column:
 
 
 def add_records(current: DataFrame | None, new: DataFrame, id_cols: list[str] | None = None,
-                now: Column | None = None) -> DataFrame:
-    """M1: assign ids, default the time to now, normalise metadata, append."""
+                now: Column | None = None, batch: str = "") -> DataFrame:
+    """M1: assign ids, default a missing or zero time to now, normalise metadata, append.
+
+    The id hashes the optional `batch` token and the given values of
+    `id_cols`, which must tell the rows apart (an origin, a position); never
+    the clock, so the same input and token give the same ids again.  Without
+    `id_cols` it hashes text and time, and rows equal in both are numbered, so
+    that every record has an id of its own.
+    """
     now = now if now is not None else F.current_timestamp()
-    id_cols = id_cols or ["text", "ts"]
     n = new
     if "ts" not in n.columns:
         n = n.withColumn("ts", F.lit(None).cast("timestamp"))
-    n = n.withColumn("ts", F.coalesce(F.col("ts"), now))
-    n = n.withColumn("id", record_id_from(*[F.col(c) for c in id_cols]))
+    parts = ([F.lit(batch)] if batch else []) + [F.col(c) for c in id_cols or ["text", "ts"]]
+    n = n.withColumn("id", record_id_from(*parts))
+    if id_cols is None:
+        twin = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.to_json(F.struct(*new.columns)))))
+        n = n.withColumn("_twin", twin).withColumn("id", F.when(F.col("_twin") > 1, record_id_from(F.col("id"), F.col("_twin")))
+                                                   .otherwise(F.col("id"))).drop("_twin")
+    n = n.withColumn("ts", F.when(F.unix_millis(F.col("ts").cast("timestamp")) != 0, F.col("ts")).otherwise(now))
     if "metadata" not in n.columns:
         n = n.withColumn("metadata", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in METADATA_TYPE.fields]))
     n = normalize_metadata(conform(n))
@@ -194,21 +239,29 @@ def update_notes(current: DataFrame, notes: DataFrame, embedder=None, model: str
 
     `notes` is (id, note); records without a note row are untouched.
     """
-    from vellum.operators.embed import HASH_MODEL, embed_udf
+    from vellum.operators.embed import HASH_MODEL
 
     now = now if now is not None else F.current_timestamp()
-    n = notes.select("id", P.normalize_note(F.col("note")).alias("_note"))
-    j = current.join(n, "id", "inner")
+    n = one_per_id(notes.select("id", P.normalize_note(F.col("note")).alias("_note"))).withColumn("_hit", F.lit(True))
+    j = current.join(sized_broadcast(n), "id", "left")
     m = F.col("metadata")
     text = F.coalesce(F.nullif(P.compose_text(m["title"], m["url"], m["summary"], F.col("_note")), F.lit("")),
                       F.col("text"))
-    j = j.withColumn("_text", text).withColumn("_e", embed_udf(embedder)(F.col("_text")))
-    ok = j.where(F.col("_e.success"))
-    patch = ok.select(
-        "id", F.col("_text").alias("text"), F.col("_e.embedding").alias("embedding"),
-        F.size("_e.embedding").alias("dimensions"), F.lit(model or HASH_MODEL).alias("model"), now.alias("ts"),
-        m.withField("notes", F.col("_note")).alias("metadata"))
-    return apply_patch(current, patch, now)
+    return _reembedded(j.withColumn("_text", F.when(F.col("_hit"), text)), embedder, model or HASH_MODEL, now,
+                       m.withField("notes", F.col("_note")))
+
+
+def _reembedded(df: DataFrame, embedder, model: str, now: Column, metadata: Column | None = None) -> DataFrame:
+    """Records with a `_text` get it with a new vector, where the model succeeds: one projection, one call per record."""
+    from vellum.operators.embed import embed_udf
+
+    df = df.withColumn("_e", embed_udf(embedder, skip_null=True)(F.col("_text")))
+    hit = F.col("_text").isNotNull() & F.coalesce(F.col("_e.success"), F.lit(False))
+    new = {"text": F.col("_text"), "embedding": F.col("_e.embedding"), "dimensions": F.size("_e.embedding"), "model": F.lit(model),
+           "ts": now, "updated_at": now} | ({"metadata": metadata} if metadata is not None else {})
+    return normalize_metadata(df.select(*[
+        (F.when(hit, new[f.name].cast(f.dataType)).otherwise(F.col(f.name)) if f.name in new else F.col(f.name)).alias(f.name)
+        for f in LIBRARY_SCHEMA.fields]))
 
 
 def stale_model(df: DataFrame, selected: str) -> DataFrame:
@@ -223,18 +276,14 @@ def regenerate_all(current: DataFrame, selected: str | None = None, embedder=Non
     With `selected` set only stale records (J4) are re-embedded; the
     reference re-embeds everything, which is `selected=None`.
     """
-    from vellum.operators.embed import HASH_MODEL, embed_udf
+    from vellum.operators.embed import HASH_MODEL
 
     now = now if now is not None else F.current_timestamp()
-    todo = current if selected is None else stale_model(current, selected)
     m = F.col("metadata")
     text = F.coalesce(F.nullif(P.compose_text(m["title"], m["url"], m["summary"], m["notes"]), F.lit("")),
                       F.col("text"))
-    t = todo.select("id", text.alias("_text")).withColumn("_e", embed_udf(embedder)(F.col("_text")))
-    patch = t.where(F.col("_e.success")).select(
-        "id", F.col("_text").alias("text"), F.col("_e.embedding").alias("embedding"),
-        F.size("_e.embedding").alias("dimensions"), F.lit(model or HASH_MODEL).alias("model"), now.alias("ts"))
-    return apply_patch(current, patch, now)
+    stale = F.lit(True) if selected is None else ~F.coalesce(F.col("model") == selected, F.lit(False))
+    return _reembedded(current.withColumn("_text", F.when(stale, text)), embedder, model or HASH_MODEL, now)
 
 
 def library_card(lib: DataFrame) -> DataFrame:

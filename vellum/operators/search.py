@@ -267,15 +267,15 @@ def adaptive_topk(library: DataFrame, queries: DataFrame, k: int | None, id_col:
 
 
 def hydrate(hits: DataFrame, records: DataFrame, k: int, id_col: str = "id", qid_col: str = "qid",
-            score: str = "sim", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+            score: str = "sim") -> DataFrame:
     """K6: neighbour ids -> full records, ids not found dropped, re-sorted, cut to k.
 
     The hit list is at most k rows per query; it is broadcast only when its
-    row count is under the bound, else both sides shuffle on id.
+    size is under the bound, else both sides shuffle on id.
     """
     from vellum.operators.library import sized_broadcast
 
-    h = sized_broadcast(hits.select(qid_col, id_col, score), max_broadcast_rows)
+    h = sized_broadcast(hits.select(qid_col, id_col, score))
     joined = records.join(h, id_col, "inner")
     return rank_window(joined, qid_col, id_col, k, score=score)
 
