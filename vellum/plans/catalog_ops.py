@@ -382,8 +382,8 @@ agg AS (SELECT k, count(*) AS n, string_agg(s, ' ' ORDER BY pos) AS joined, min(
 summ AS (
   SELECT pg.bid, pg.title, pg.url,
     CASE WHEN a.n IS NULL THEN NULL WHEN a.n = 1 THEN a.only
-         ELSE coalesce(nullif({S.js_trim(S.summary120('substr(a.joined, 1, 4000)'))}, ''),
-                       {S.js_trim('substr(a.joined, 1, 4000)')}) END AS summary
+         ELSE coalesce(nullif({S.js_trim(S.summary120('a.joined'))}, ''),
+                       {S.js_trim('a.joined')}) END AS summary
   FROM pg LEFT JOIN agg a ON a.k = pg.bid)
 SELECT bid AS bookmark_id, title, url, summary,
   coalesce(nullif({S.compose('title', 'url', 'summary', "''")}, ''), coalesce(title, '') || ' - ' || coalesce(url, ''))

@@ -24,6 +24,7 @@ def trunc(x: str, n: int) -> str:
 
 
 def decode(x: str) -> str:
+    # The named character references decoded in titles.
     for k, v in [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"),
                  ("&nbsp;", "chr(160)"), ("&amp;", "'&'")]:
         x = f"replace({x}, '{k}', {v})"
@@ -31,6 +32,7 @@ def decode(x: str) -> str:
 
 
 def strip_noise(x: str) -> str:
+    # Elements removed before main-text selection, in this order.
     for t in ["script", "style", "nav", "header", "footer", "aside"]:
         x = f"regexp_replace({x}, '(?i)<{t}[\\s\\S]*?</{t}>', ' ', 'g')"
     return x
@@ -48,7 +50,7 @@ def strip_tags(x: str) -> str:
 
 
 def extract(x: str) -> str:
-    return f"substr({collapse(strip_tags(select_main(strip_noise(x))))}, 1, 5000)"
+    return collapse(strip_tags(select_main(strip_noise(x))))
 
 
 def page_title(x: str) -> str:

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 100, ordered: bool = True) -> DataFrame:
+def flatten_tree(nodes: DataFrame, ordered: bool = True) -> DataFrame:
     """Bookmarks (nodes with a url) in pre-order -> (id, title, url, path, depth).
 
     `nodes` has (id, parent_id, title, url, sort_key); roots have a null parent.
+    Every depth is walked; a cycle that a root leads to is an error.
     `path` is the pre-order key; `ordered=False` skips the global sort for
     callers that only need the key (e.g. "first per url" as a `min_by`).
     """
@@ -31,7 +32,11 @@ def flatten_tree(nodes: DataFrame, max_depth: int = 100, ordered: bool = True) -
     level = n.where(F.col("parent_id").isNull()).select(
         "id", "title", "url", F.col("sort_key").alias("path"), F.lit(0).alias("depth")).checkpoint()
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    n_nodes, depth = n.count(), 0
+    while True:
+        depth += 1
+        if depth > n_nodes:  # only rows that repeat an id can lead back to a node above
+            raise ValueError("the tree has a cycle")
         parents = level.select(F.col("id").alias("_pid"), F.col("path").alias("_ppath"))
         nxt = n.join(parents, n["parent_id"] == parents["_pid"]).select(
             "id", "title", "url", F.concat("_ppath", F.lit("/"), "sort_key").alias("path"),
