@@ -9,6 +9,17 @@ from __spark_entry__ import oracle_sql, queries
 
 NAMES = sorted(queries())
 
+# Without a SQL form; each is held against a brute-force version or a hand-made case elsewhere.
+WITHOUT_SQL = {"extract_content_dom", "extract_with_fallback", "micro_batches"}
+
+
+def _training_data_names():
+    from __spark_entry__ import _training_data
+    return set(_training_data())  # their tests are next to theirs
+
+
+NAMES = [n for n in NAMES if n not in _training_data_names()]
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -17,13 +28,13 @@ def con():
 
 def test_every_query_is_registered_with_a_callable():
     assert len(NAMES) >= 90
-    assert set(oracle_sql()) <= set(NAMES)
+    assert set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, SF_SMALL)
-    assert r["status"] in ("ok", "no-oracle"), r
+    assert r["status"] == ("no-oracle" if name in WITHOUT_SQL else "ok"), r
 
 
 def test_entry_smoke(spark):

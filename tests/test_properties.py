@@ -404,3 +404,46 @@ def test_the_model_sees_each_stale_record_once(spark):
     rows = out.collect()
     assert calls.value == 30 and all(r["model"] == "new" for r in rows)
     assert sum(r["dimensions"] == 4 for r in rows) == 30
+
+
+def test_patches_carry_dimensions_and_model_and_two_crawls_are_one_page(spark, tmp_path):
+    from vellum.operators.embed import hash_embedder
+    from vellum.plans.derived import changes, library, table
+    from vellum.sources.library_io import scan_library, write_library
+    from vellum.streaming.changes import apply_changes, read_changes_batch, run_library_stream
+
+    init = write_library(library(spark, SF_SMALL), str(tmp_path / "lib0"), files=2)
+    ch = read_changes_batch(changes(spark, SF_SMALL))
+    pages = table(spark, SF_SMALL, "pages")
+    twice = pages.unionByName(pages.withColumn("html", F.concat(F.lit(" "), "html")))
+    batch = apply_changes(scan_library(init, spark), ch, embedder=hash_embedder(32), pages=twice, model="h32")
+    rows = batch.where(F.col("model") == "h32").select("dimensions", F.size("embedding").alias("n")).distinct().collect()
+    assert [(r["dimensions"], r["n"]) for r in rows] == [(32, 32)]
+    assert batch.count() == batch.select("id").distinct().count()
+    src = str(tmp_path / "src")
+    ch.repartition(2).write.parquet(src)
+    streamed = run_library_stream(spark, src, init, str(tmp_path / "libs"), str(tmp_path / "ck"), 1,
+                                  embedder=hash_embedder(32), pages=twice, model="h32")
+
+    def view(df):
+        m = F.col("metadata")
+        return sorted(map(tuple, df.where(m["bookmark_id"].isNotNull()).select(
+            m["bookmark_id"], m["title"], m["summary"], "text", "dimensions", "model").collect()), key=str)
+
+    assert view(streamed) == view(batch)
+
+
+def test_import_skips_stored_and_repeated_urls_and_keeps_dates(spark):
+    from vellum.plans.import_job import bulk_import
+
+    nodes = spark.createDataFrame(
+        [("r", None, "root", None, None, "0"), ("a", "r", "A", "http://x/1", 5, "1"), ("b", "r", "B", "http://x/1", 6, "2"),
+         ("c", "r", "C", "http://x/2", 7, "3")],
+        "id string, parent_id string, title string, url string, added long, sort_key string") \
+        .withColumn("date_added", F.timestamp_seconds("added"))
+    pages = spark.createDataFrame([("http://x/1", "<p>one</p>"), ("http://x/1", "<p>one two</p>")], "url string, html string")
+    stored = spark.createDataFrame([("http://x/2",)], "url string")
+    recs, status = bulk_import(nodes, pages, stored)
+    got = recs.select("metadata.bookmark_id", "metadata.summary", F.unix_seconds("metadata.date_added").alias("d")).collect()
+    assert [tuple(r) for r in got] == [("a", "one two", 5)]
+    assert sorted((r["pos"], r["status"]) for r in status.collect()) == [("0/1", "success"), ("0/2", "skip"), ("0/3", "skip")]

@@ -291,7 +291,7 @@ def library_card(lib: DataFrame) -> DataFrame:
     from vellum.plans.derived import millis
 
     m = F.col("metadata")
-    return lib.select(
+    cards = lib.select(
         "id",
         P.record_kind(m["url"]).alias("kind"),
         P.display_title(m["title"], F.col("text")).alias("title_line"),
@@ -303,6 +303,7 @@ def library_card(lib: DataFrame) -> DataFrame:
         F.concat(F.col("dimensions").cast("string"), F.lit("d")).alias("dim_chip"),
         millis(F.col("ts")).alias("ts_ms"),
     )
+    return cards.orderBy(F.col("ts_ms").desc_nulls_last(), "id")
 
 
 def result_card(hits: DataFrame) -> DataFrame:

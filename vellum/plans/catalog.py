@@ -116,7 +116,10 @@ def q_bookmark_changes(spark, sf):
                                                          "event_id", "title", "url")
 
 
-@query("progress_sink", None)
+@query("progress_sink", S.with_(S.ITEMS) + """
+SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'success') AS success,
+       count(*) FILTER (WHERE status = 'skip') AS skipped,
+       count(*) FILTER (WHERE status NOT IN ('success', 'skip') OR status IS NULL) AS failed FROM items""")
 def q_progress_sink(spark, sf):
     from vellum.operators.progress import observed_counters
     return observed_counters(items(spark, sf))

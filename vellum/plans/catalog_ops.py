@@ -403,6 +403,21 @@ def q_bulk_import(spark, sf):
                        m["type"].alias("type"))
 
 
+@query("bulk_import_status", S.with_(S.TREE, """
+twalk AS (
+  SELECT id, url, sort_key AS path FROM tree WHERE parent_id IS NULL
+  UNION ALL
+  SELECT t.id, t.url, w.path || '/' || t.sort_key FROM tree t JOIN twalk w ON t.parent_id = w.id)""") + """
+SELECT path AS pos, url,
+       CASE WHEN url LIKE 'https://%' OR row_number() OVER (PARTITION BY url ORDER BY path) > 1 THEN 'skip' ELSE 'success' END AS status,
+       CAST(NULL AS VARCHAR) AS error
+FROM twalk WHERE url <> ''""")
+def q_bulk_import_status(spark, sf):
+    from vellum.plans.import_job import bulk_import
+    _recs, status = bulk_import(tree(spark, sf), table(spark, sf, "pages"), existing_urls(spark, sf))
+    return status
+
+
 # ---------------------------------------------------------------- U2, U3: summariser and item callbacks
 @query("summarizer", "WITH RECURSIVE " + chunk_sql("documents", "doc_id", "text")
        + f"\nSELECT k AS doc_id, CAST(pos AS BIGINT) AS pos, {S.summary120('chunk', 40)} AS summary FROM kept")

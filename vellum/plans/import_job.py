@@ -20,6 +20,7 @@ from vellum.operators.dedupe import dedupe_batch, new_only
 from vellum.operators.embed import HASH_MODEL, embed_udf
 from vellum.operators.library import METADATA_TYPE, add_records
 from vellum.operators.summarize import summarize_frame
+from vellum.sources.library_io import one_page_per_url
 from vellum.sources.tree import flatten_tree
 
 
@@ -28,7 +29,7 @@ def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder
     """M6: (new records, item statuses (pos, url, status, error))."""
     marks = flatten_tree(tree, ordered=False)
     todo = dedupe_batch(new_only(marks, existing), url_col="url", pos_col="path")
-    j = todo.join(pages.select("url", "html"), "url", "left")
+    j = todo.join(one_page_per_url(pages, todo), "url", "left")
     j = j.withColumn("_x", extract_content(F.col("html")))
     j = summarize_frame(j, "url", "_x", "summary", summarizer)
     composed = P.compose_text(F.col("title"), F.col("url"), F.col("summary"), F.lit(""))
@@ -40,13 +41,16 @@ def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder
         "text", F.col("_e.embedding").alias("embedding"), F.size("_e.embedding").alias("dimensions"),
         F.lit(model).alias("model"), F.lit(None).cast("timestamp").alias("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("id").alias("bookmark_id"),
-                 F.lit(None).cast("timestamp").alias("date_added"), F.col("summary"),
+                 F.col("date_added"), F.col("summary"),
                  F.lit("").alias("notes")).cast(METADATA_TYPE).alias("metadata")),
         id_cols=["metadata.bookmark_id", "text"])
-    status = j.select(F.col("path").alias("pos"), "url",
-                      F.when(F.col("_e.success"), F.lit("success")).otherwise(F.lit("failure")).alias("status"),
-                      F.col("_e.error").alias("error"))
-    return recs, status
+    done = j.select(F.col("path").alias("pos"), "url",
+                    F.when(F.col("_e.success"), F.lit("success")).otherwise(F.lit("failure")).alias("status"),
+                    F.col("_e.error").alias("error"))
+    # every other item names a url that is stored already, or that an item before it brought in
+    rest = marks.join(done.select(F.col("pos").alias("path")), "path", "left_anti")
+    skipped = rest.select(F.col("path").alias("pos"), "url", F.lit("skip").alias("status"), F.lit(None).cast("string").alias("error"))
+    return recs, done.unionByName(skipped)
 
 
 def process_bookmarks(created: DataFrame, pages: DataFrame | None = None, embedder=None, summarizer=None,
@@ -60,7 +64,7 @@ def process_bookmarks(created: DataFrame, pages: DataFrame | None = None, embedd
     c = created.where(P.truthy(F.col("url")))
     if pages is not None:
         # each distinct url is fetched and summarised once, however many events name it
-        urls = c.select("url").distinct().join(pages.select("url", "html"), "url")
+        urls = one_page_per_url(pages, c)
         urls = urls.withColumn("_x", extract_content(F.col("html")))
         sums = summarize_frame(urls, "url", "_x", "summary", summarizer).select("url", "summary")
         c = c.join(sums, "url", "left")

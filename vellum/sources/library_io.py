@@ -189,3 +189,16 @@ def ingest_text(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     return e.select(*keep, F.col(f"emb.text").alias("text"), F.col("emb.embedding").alias("embedding"),
                     F.col("emb.dimensions").alias("dimensions"), F.col("emb.model").alias("model"),
                     F.col("emb.success").alias("success"), F.col("emb.error").alias("error"))
+
+
+def one_page_per_url(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, html) for the distinct `urls`: of several crawls of a url the longest page, then the greatest.
+
+    The urls are broadcast into the scan while they are small, so that the
+    html of other pages is dropped where it is read.
+    """
+    from vellum.operators.library import sized_broadcast
+
+    wanted = urls.select("url").where(F.col("url").isNotNull()).distinct()
+    found = pages.select("url", "html").join(sized_broadcast(wanted), "url", "left_semi")
+    return found.groupBy("url").agg(F.max_by("html", F.struct(F.length("html"), "html")).alias("html"))

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 
 def flatten_tree(nodes: DataFrame, ordered: bool = True) -> DataFrame:
-    """Bookmarks (nodes with a url) in pre-order -> (id, title, url, path, depth).
+    """Bookmarks (nodes with a url) in pre-order -> (id, title, url, date_added, path, depth).
 
-    `nodes` has (id, parent_id, title, url, sort_key); roots have a null parent.
+    `nodes` has (id, parent_id, title, url, sort_key) and may have date_added; roots have a null parent.
     Every depth is walked; a cycle that a root leads to is an error.
     `path` is the pre-order key; `ordered=False` skips the global sort for
     callers that only need the key (e.g. "first per url" as a `min_by`).
@@ -28,9 +28,10 @@ def flatten_tree(nodes: DataFrame, ordered: bool = True) -> DataFrame:
     from vellum.session import checkpoint_dir
 
     checkpoint_dir(nodes.sparkSession)
-    n = nodes.select("id", "parent_id", "title", "url", "sort_key")
+    added = F.col("date_added") if "date_added" in nodes.columns else F.lit(None).cast("timestamp")
+    n = nodes.select("id", "parent_id", "title", "url", added.alias("date_added"), "sort_key")
     level = n.where(F.col("parent_id").isNull()).select(
-        "id", "title", "url", F.col("sort_key").alias("path"), F.lit(0).alias("depth")).checkpoint()
+        "id", "title", "url", "date_added", F.col("sort_key").alias("path"), F.lit(0).alias("depth")).checkpoint()
     levels = [level]
     n_nodes, depth = n.count(), 0
     while True:
@@ -39,7 +40,7 @@ def flatten_tree(nodes: DataFrame, ordered: bool = True) -> DataFrame:
             raise ValueError("the tree has a cycle")
         parents = level.select(F.col("id").alias("_pid"), F.col("path").alias("_ppath"))
         nxt = n.join(parents, n["parent_id"] == parents["_pid"]).select(
-            "id", "title", "url", F.concat("_ppath", F.lit("/"), "sort_key").alias("path"),
+            "id", "title", "url", "date_added", F.concat("_ppath", F.lit("/"), "sort_key").alias("path"),
             F.lit(depth).alias("depth")).checkpoint()
         if nxt.isEmpty():
             break

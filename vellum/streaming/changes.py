@@ -81,13 +81,13 @@ def fold_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     return latest_per_key(state.select(*cols).unionByName(new.select(*cols))).select(*cols)
 
 
-# Most ids whose metadata one micro-batch may look up by an IN filter (row-group pruning);
-# beyond this the lookup is a semi-join.
-LOOKUP_IDS = 100_000
+
+#: Columns that a patch replaces.
+PATCHED = ("text", "embedding", "dimensions", "model", "ts", "metadata", "updated_at")
 
 
 def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embedder=None, now=None,
-                 summaries: DataFrame | None = None) -> DataFrame:
+                 summaries: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """The library delta of a set of key states: library columns plus `_kind` (insert / patch / delete).
 
     `matches` is (key, id) of the first record per key (J3, id null when
@@ -96,15 +96,15 @@ def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embe
     deletes its record.  A live key with a record is patched: the summary is
     refreshed when a new one is truthy (H12), the text is recomposed from the
     new title and url with that summary and the stored notes, re-embedded,
-    and text, embedding and metadata are replaced (dimensions, model and time
-    stay, as the change handler leaves them).  A live key without a record
-    inserts a new bookmark record.
+    and the vector goes in with its dimensions, model and time.  A live key
+    without a record inserts a new bookmark record.
     """
     from vellum.functions.text import compose_text, refresh_summary
     from vellum.operators.embed import HASH_MODEL, embed_udf
     from vellum.operators.library import METADATA_TYPE, add_records, conform
 
     now = now if now is not None else F.current_timestamp()
+    model = model or HASH_MODEL
     st = state.join(matches, "key", "left")
     deletes = conform(st.where(~F.col("live") & F.col("id").isNotNull()).select("id")) \
         .withColumn("_kind", F.lit("delete"))
@@ -118,7 +118,8 @@ def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embe
                                                                   F.col("_old.notes")), F.lit("")), fallback))
     upd = upd.withColumn("_e", embed_udf(embedder)(F.col("text")))
     patches = upd.where(F.col("_e.success")).select(
-        "id", "text", F.col("_e.embedding").alias("embedding"), now.alias("updated_at"),
+        "id", "text", F.col("_e.embedding").alias("embedding"), F.size("_e.embedding").alias("dimensions"),
+        F.lit(model).alias("model"), "ts", now.alias("updated_at"),
         F.col("_old").withField("title", F.col("title")).withField("url", F.col("url"))
         .withField("summary", F.col("_summary")).alias("metadata"))
     patches = conform(patches).withColumn("_kind", F.lit("patch"))
@@ -127,7 +128,7 @@ def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embe
     new = new.withColumn("_e", embed_udf(embedder)(F.col("text")))
     fresh = new.where(F.col("_e.success")).select(
         F.col("text"), F.col("_e.embedding").alias("embedding"), F.size("_e.embedding").alias("dimensions"),
-        F.lit(HASH_MODEL).alias("model"), F.col("ts"),
+        F.lit(model).alias("model"), F.col("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("key").alias("bookmark_id"),
                  F.col("ts").alias("date_added"), F.col("_new_summary").alias("summary"),
                  F.lit("").alias("notes")).cast(METADATA_TYPE).alias("metadata"))
@@ -143,7 +144,7 @@ def resolve_delta(delta: DataFrame) -> DataFrame:
     """
     from vellum.operators.library import LIBRARY_COLUMNS
 
-    patch = F.struct("_kind", "text", "embedding", "metadata", "updated_at")
+    patch = F.struct("_kind", *PATCHED)
     record = F.struct(*[F.col(c) for c in LIBRARY_COLUMNS])
     is_ins = F.col("_kind") == "insert"
     is_patch = F.col("_kind") == "patch"
@@ -171,14 +172,13 @@ def apply_delta(library: DataFrame, delta: DataFrame, keep_deleted: bool = False
     cols = []
     for f in LIBRARY_SCHEMA.fields:
         c = f.name
-        if c in ("text", "embedding", "metadata", "updated_at"):
+        if c in PATCHED:
             cols.append(F.when(F.coalesce(patched, F.lit(False)), last[c]).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
     base = j.select(*cols)
     added = res.where(ins.isNotNull() & ~gone).select(*[
-        (F.when(patched, last[f.name]).otherwise(ins[f.name]) if f.name in ("text", "embedding", "metadata",
-                                                                           "updated_at") else ins[f.name]).alias(f.name)
+        (F.when(patched, last[f.name]).otherwise(ins[f.name]) if f.name in PATCHED else ins[f.name]).alias(f.name)
         for f in LIBRARY_SCHEMA.fields])
     return base.unionByName(added)
 
@@ -187,14 +187,15 @@ def page_summaries(urls: DataFrame, pages: DataFrame, summarizer=None) -> DataFr
     """(url, summary) for each distinct url that has a page: extract once, summarise once."""
     from vellum.functions.html import extract_content
     from vellum.operators.summarize import summarize_frame
+    from vellum.sources.library_io import one_page_per_url
 
-    u = urls.select("url").distinct().join(pages.select("url", "html"), "url")
+    u = one_page_per_url(pages, urls)
     u = u.withColumn("_x", extract_content(F.col("html")))
     return summarize_frame(u, "url", "_x", "summary", summarizer).select("url", "summary")
 
 
 def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=None,
-                  pages: DataFrame | None = None) -> DataFrame:
+                  pages: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """T1 on the library (batch): match by bookmark id (J3), then apply the change delta.
 
     With `pages`, the page of every live key is summarised and refreshes the
@@ -205,7 +206,7 @@ def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=Non
     st = key_state(changes)
     matches = match_by_key(library, st.select("key"))
     summaries = page_summaries(st.where(F.col("live")), pages) if pages is not None else None
-    delta = change_delta(matches, library.select("id", "metadata"), st, embedder, now, summaries)
+    delta = change_delta(matches, library.select("id", "metadata"), st, embedder, now, summaries, model)
     return apply_delta(library, delta)
 
 
@@ -250,7 +251,7 @@ def snapshot_writer(root: str):
     return write
 
 
-def library_writer(root: str, initial: str, embedder=None):
+def library_writer(root: str, initial: str, embedder=None, pages: DataFrame | None = None, model: str | None = None):
     """`foreachBatch` function: T1 on a library kept as a base snapshot plus per-batch deltas.
 
     Per micro-batch:
@@ -259,9 +260,8 @@ def library_writer(root: str, initial: str, embedder=None):
        every key the batch touched;
     2. match keys to records through the key index (`root/index/batch=<id>`,
        one small row per bookmark id), never through the library itself;
-    3. read the metadata of the matched records only: an IN filter on the
-       id-sorted base prunes files and row groups (a semi-join past
-       LOOKUP_IDS ids);
+    3. read the metadata of the matched records only, by a semi-join with
+       the matched ids (broadcast while they are small);
     4. write the delta (inserts, patches, deletes) to `root/delta/batch=<id>`
        and the updated index.
     Every write is an overwrite keyed by batch id, so a replayed batch
@@ -291,12 +291,9 @@ def library_writer(root: str, initial: str, embedder=None):
         matches = touched.select("key").join(index, "key", "left")
         ids = matches.where(F.col("id").isNotNull()).select("id")
         view = library_view(spark, initial, root, upto=batch_id, keep_deleted=True).select("id", "metadata")
-        n = ids.limit(LOOKUP_IDS + 1).count()
-        if n <= LOOKUP_IDS:
-            old_meta = view.where(F.col("id").isin([r["id"] for r in ids.collect()]))
-        else:
-            old_meta = view.join(sized_broadcast(ids), "id", "left_semi")
-        delta = change_delta(matches, old_meta, touched)
+        old_meta = view.join(sized_broadcast(ids), "id", "left_semi")
+        summaries = page_summaries(touched.where(F.col("live")), pages) if pages is not None else None
+        delta = change_delta(matches, old_meta, touched, embedder, None, summaries, model)
         delta_path = os.path.join(delta_root, f"batch={batch_id}")
         delta.write.mode("overwrite").parquet(delta_path)
 
@@ -310,10 +307,11 @@ def library_writer(root: str, initial: str, embedder=None):
 
 
 def run_library_stream(spark: SparkSession, source: str, initial: str, root: str, checkpoint: str,
-                       max_files_per_trigger: int | None = None) -> DataFrame:
+                       max_files_per_trigger: int | None = None, embedder=None, pages: DataFrame | None = None,
+                       model: str | None = None) -> DataFrame:
     """T1 end to end: change files -> micro-batches -> deltas; returns the library view after them."""
     stream = read_changes_stream(spark, source, max_files_per_trigger)
-    q = (stream.writeStream.foreachBatch(library_writer(root, initial))
+    q = (stream.writeStream.foreachBatch(library_writer(root, initial, embedder, pages, model))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return library_view(spark, initial, root)
@@ -333,7 +331,15 @@ def run_change_stream(spark: SparkSession, source: str, state_root: str, checkpo
 
 
 def _batches(spark: SparkSession, root: str) -> list[int]:
-    return sorted(int(d.split("=")[1]) for d in _list_dirs(spark, root) if d.startswith("batch="))
+    """Committed batches: those whose folder has Spark's success marker, so that none is read half-written."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def committed(name: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(os.path.join(root, name, "_SUCCESS"))
+        return p.getFileSystem(conf).exists(p)
+
+    return sorted(int(d.split("=")[1]) for d in _list_dirs(spark, root) if d.startswith("batch=") and committed(d))
 
 
 def _list_dirs(spark: SparkSession, root: str) -> list[str]:
