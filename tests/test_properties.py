@@ -447,3 +447,23 @@ def test_import_skips_stored_and_repeated_urls_and_keeps_dates(spark):
     got = recs.select("metadata.bookmark_id", "metadata.summary", F.unix_seconds("metadata.date_added").alias("d")).collect()
     assert [tuple(r) for r in got] == [("a", "one two", 5)]
     assert sorted((r["pos"], r["status"]) for r in status.collect()) == [("0/1", "success"), ("0/2", "skip"), ("0/3", "skip")]
+
+
+def test_json_lines_backups_read_every_row(spark, tmp_path):
+    from vellum.plans.derived import flat_library, library
+    from vellum.sources.library_io import conform, export_backup, import_backup, read_backup
+
+    lib = conform(library(spark, SF_SMALL))
+    path = export_backup(lib.repartition(2), str(tmp_path / "lines"), lines=True)
+    assert sorted(map(str, flat_library(read_backup(spark, path, lines=True)).collect())) == sorted(map(str, flat_library(lib).collect()))
+    kept = lib.where("embedding IS NOT NULL AND text <> ''").count()
+    assert import_backup(spark, path, lines=True, batch="b").count() == kept
+
+
+def test_snapshots_pass_when_the_count_rose(spark):
+    from vellum.operators.progress import emit_on_increase
+
+    rows = [(1, 25, 24, 25, 100, "failure"), (1, 50, 24, 50, 100, "success"), (1, 75, 30, 75, 100, "skip"), (1, 100, 40, 100, 100, "success")]
+    df = spark.createDataFrame(rows, "run_id long, pos long, success_count long, processed long, total long, status string")
+    for block in (10, 60, 1000):
+        assert sorted(r["pos"] for r in emit_on_increase(df, block=block).collect()) == [25, 75]

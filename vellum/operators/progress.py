@@ -150,26 +150,15 @@ def blocked_lag(df: DataFrame, part: str, order: str, value: str, out: str, bloc
         .drop("_b", "_carry")
 
 
-def blocked_cumsum(df: DataFrame, part: str, order: str, value: str, out: str, block: int = BLOCK,
-                   tie: str | None = None) -> DataFrame:
-    """Running sum of `value` within `part` by (`order`, `tie`): block totals, then a scan inside each block."""
-    keys = [F.col(order)] + ([F.col(tie)] if tie else [])
-    b = df.withColumn("_b", F.floor(F.col(order) / block))
-    tot = b.groupBy(part, "_b").agg(F.sum(value).alias("_t"))
-    wb = Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    pre = tot.select(part, "_b", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_pre"))
-    wi = Window.partitionBy(part, "_b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    return b.join(pre, [part, "_b"]).withColumn(out, F.col("_pre") + F.sum(value).over(wi)).drop("_b", "_pre")
-
-
-def emit_on_increase(progress: DataFrame) -> DataFrame:
-    """T5: pass a running-progress row only when the success count rose while the task is running.
+def emit_on_increase(progress: DataFrame, part: str = "run_id", order: str = "pos", block: int = BLOCK) -> DataFrame:
+    """T5: pass a running-progress row only when the success count is above every earlier one while the task runs.
 
-    The count is cumulative, so it rises exactly on a successful item; this
-    needs no window at all.
+    The count never falls within a run, so the row before holds the highest
+    count so far, whether rows come per item or as snapshots of many items.
     """
-    running = F.col("processed") < F.col("total")
-    return progress.where(_is_success() & running & (F.col("success_count") > 0))
+    lagged = blocked_lag(progress, part, order, "success_count", "_prev", block)
+    rose = F.col("success_count") > F.coalesce(F.col("_prev"), F.lit(0))
+    return lagged.where(rose & (F.col("processed") < F.col("total"))).drop("_prev")
 
 
 def suppress_repeats(df: DataFrame, part: str, order: str, key: str, block: int = BLOCK) -> DataFrame:

@@ -97,14 +97,18 @@ def backup_file_name(ts_col=None):
     return F.concat(F.lit("embeddings-backup-"), F.regexp_replace(iso, "[:.]", "-"), F.lit(".json"))
 
 
-def export_backup(df: DataFrame, path: str) -> str:
+def export_backup(df: DataFrame, path: str, lines: bool = False) -> str:
     """Write the library as JSON-array backup files, one per partition; returns the path.
 
-    Rows are rendered with `to_json` on the JVM side; a streaming pass per
+    With `lines` the files are JSON Lines, written by Spark alone: the form
+    to choose for a large library, as its files can be split when read.  Rows are rendered with `to_json` on the JVM side; a streaming pass per
     partition adds the brackets and commas with one row of look-ahead, so no
     partition is ever gathered into one value.
     """
     rec = _to_backup(conform(df))
+    if lines:
+        rec.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        return path
     js = rec.select(F.concat(F.lit("  "), F.to_json(F.struct(*rec.columns), {"ignoreNullFields": "false"}))
                     .alias("line"))
 
@@ -129,9 +133,9 @@ def export_backup(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_backup(spark: SparkSession, path: str) -> DataFrame:
-    """Read backup files (JSON arrays, or JSON Lines) into the library schema, ids kept."""
-    raw = spark.read.schema(BACKUP_SCHEMA).option("multiLine", "true").json(path)
+def read_backup(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Read backup files (JSON arrays, or with `lines` JSON Lines) into the library schema, ids kept."""
+    raw = spark.read.schema(BACKUP_SCHEMA).option("multiLine", str(not lines).lower()).json(path)
     return conform(_from_backup(raw))
 
 
@@ -146,7 +150,7 @@ def check_backup_is_array(spark: SparkSession, path: str) -> None:
 
 
 def import_backup(spark: SparkSession, path: str, on_conflict: str | None = None,
-                  current: DataFrame | None = None, batch: str | None = None) -> DataFrame:
+                  current: DataFrame | None = None, batch: str | None = None, lines: bool = False) -> DataFrame:
     """Keep items with a present embedding and non-empty text; every item gets a new id.
 
     The new id hashes the import batch, the file and the row's position in
@@ -155,8 +159,9 @@ def import_backup(spark: SparkSession, path: str, on_conflict: str | None = None
     `on_conflict="skip"`, items whose content (text, time, model) is already
     in `current` are dropped instead.
     """
-    check_backup_is_array(spark, path)
-    recs = read_backup(spark, path).where(is_importable(F.col("embedding"), F.col("text")))
+    if not lines:
+        check_backup_is_array(spark, path)
+    recs = read_backup(spark, path, lines).where(is_importable(F.col("embedding"), F.col("text")))
     token = F.lit(batch) if batch is not None else F.concat(F.lit(path), F.current_timestamp().cast("string"))
     recs = recs.withColumn("_origin", F.concat_ws("#", token, F.input_file_name(),
                                                   F.monotonically_increasing_id().cast("string")))
