@@ -96,17 +96,28 @@ def q_read_pages(spark, sf):
                                                         _long(F.length("html")).alias("n_chars"))
 
 
-@query("ingest_text", S.with_(S.hash_buckets_cte("hb", "(SELECT conv_id * 1000 + turn AS k0, text FROM conversations)",
-                                                  "k0", "text")) + """
-SELECT c.conv_id, c.turn, CAST(64 AS BIGINT) AS dimensions, 'vellum/hash-embed' AS model,
-       CAST(coalesce(n.nnz, 0) AS BIGINT) AS nonzero
-FROM conversations c LEFT JOIN (SELECT k, count(*) AS nnz FROM hb GROUP BY k) n ON n.k = c.conv_id * 1000 + c.turn""")
+_CONV = "(SELECT conv_id * 1000 + turn AS k0, text FROM conversations)"
+
+
+@query("ingest_text", S.with_(S.hash_buckets_cte("hb", _CONV, "k0", "text"), S.hash_vec_cte("hv", "hb")) + """
+SELECT k // 1000 AS conv_id, k % 1000 AS turn, CAST(64 AS BIGINT) AS dimensions, 'vellum/hash-embed' AS model,
+       CAST(pos AS BIGINT) AS pos, round(value, 6) AS value FROM hv""")
 def q_ingest_text(spark, sf):
+    from vellum.plans.catalog_vectors import vector_rows
     from vellum.sources.library_io import ingest_text
-    conv = table(spark, sf, "conversations")
-    rec = ingest_text(conv, text_col="text", keep=["conv_id", "turn"])
-    return rec.select("conv_id", "turn", _long(F.col("dimensions")).alias("dimensions"), "model",
-                      _long(F.size(F.filter("embedding", lambda x: x != 0))).alias("nonzero"))
+    rec = ingest_text(table(spark, sf, "conversations"), text_col="text", keep=["conv_id", "turn"])
+    return vector_rows(rec, "embedding", "conv_id", "turn", _long(F.col("dimensions")).alias("dimensions"), "model")
+
+
+@query("store_texts", LIB + """
+SELECT id, text, dimensions, model, type FROM library
+UNION ALL
+SELECT 'emb_' || substr(sha256(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR) || '|' || coalesce(text, '')), 1, 24),
+       text, CAST(64 AS BIGINT), 'vellum/hash-embed', 'text' FROM conversations""")
+def q_store_texts(spark, sf):
+    from vellum.sources.library_io import store_texts
+    out = store_texts(table(spark, sf, "conversations"), library(spark, sf), text_col="text", keep=["conv_id", "turn"])
+    return out.select("id", "text", _long(F.col("dimensions")).alias("dimensions"), "model", F.col("metadata.type").alias("type"))
 
 
 @query("bookmark_changes", S.with_(S.CHANGES) + "SELECT op, key, ts_ms, event_id, title, url FROM changes")

@@ -21,16 +21,20 @@ def _r(c):
 _DOC_HB = S.hash_buckets_cte("hb", "documents", "doc_id", "text")
 
 
-@query("embed", S.with_(_DOC_HB) + """
-SELECT d.doc_id, true AS success, CAST(64 AS BIGINT) AS dimensions, 'vellum/hash-embed' AS model,
-       CAST(coalesce(n.nnz, 0) AS BIGINT) AS nonzero
-FROM documents d LEFT JOIN (SELECT k, count(*) AS nnz FROM hb GROUP BY k) n ON n.k = d.doc_id""")
+def vector_rows(df, vec: str, *keep):
+    """One row per non-zero component: `keep`, pos, value."""
+    x = df.select(*keep, F.posexplode(vec).alias("pos", "v")).where(F.col("v") != 0)
+    return x.withColumn("pos", _long(F.col("pos"))).withColumn("value", _r(F.col("v").cast("double"))).drop("v")
+
+
+@query("embed", S.with_(_DOC_HB, S.hash_vec_cte("hv", "hb")) + """
+SELECT k AS doc_id, true AS success, CAST(64 AS BIGINT) AS dimensions, 'vellum/hash-embed' AS model,
+       CAST(pos AS BIGINT) AS pos, round(value, 6) AS value FROM hv""")
 def q_embed(spark, sf):
     from vellum.operators.embed import embed
     e = embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return e.select("doc_id", F.col("emb.success").alias("success"), _long(F.col("emb.dimensions")).alias("dimensions"),
-                    F.col("emb.model").alias("model"),
-                    _long(F.size(F.filter("emb.embedding", lambda x: x != 0))).alias("nonzero"))
+    return vector_rows(e, "emb.embedding", "doc_id", F.col("emb.success").alias("success"),
+                       _long(F.col("emb.dimensions")).alias("dimensions"), F.col("emb.model").alias("model"))
 
 
 @query("hash_embed", S.with_(_DOC_HB, S.hash_vec_cte("hv", "hb"))
@@ -38,8 +42,7 @@ def q_embed(spark, sf):
 def q_hash_embed(spark, sf):
     from vellum.operators.embed import hash_embed
     e = hash_embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    x = e.select("doc_id", F.posexplode("embedding").alias("pos", "v")).where(F.col("v") != 0)
-    return x.select("doc_id", _long(F.col("pos")).alias("pos"), _r(F.col("v").cast("double")).alias("value"))
+    return vector_rows(e, "embedding", "doc_id")
 
 
 _COMPS = "(SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"
@@ -89,11 +92,10 @@ def q_cosine_distance(spark, sf):
     return _pairs(spark, sf).select("vec_id", _r(V.cosine_distance("embedding", "next")).alias("dist"))
 
 
-@query("to_float32", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, "
-                     "round(CAST(CAST(embedding[1] AS FLOAT) AS DOUBLE), 6) AS first FROM embeddings")
+@query("to_float32", f"SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 6) AS value "
+                     f"FROM {_COMPS} WHERE x <> 0")
 def q_to_float32(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", V.to_float32("embedding").alias("v"))
-    return e.select("vec_id", _long(F.size("v")).alias("dims"), _r(F.element_at("v", 1).cast("double")).alias("first"))
+    return vector_rows(table(spark, sf, "embeddings").select("vec_id", V.to_float32("embedding").alias("v32")), "v32", "vec_id")
 
 
 @query("dimension_check", LIB + "SELECT id, coalesce(embedding IS NOT NULL AND len(embedding) > 0 "
@@ -174,9 +176,9 @@ SELECT r.qid, l.id, CAST(r.rank AS BIGINT) AS rank, {S.match_percent('r.sim')} A
 FROM ranked r JOIN library l ON l.doc_id = r.doc_id WHERE r.rank <= 5""")
 def q_result_card(spark, sf):
     from vellum.operators.library import result_card
-    hits = _search(spark, sf)
-    lib = library(spark, sf).drop("embedding")
-    return result_card(hits.join(lib, "doc_id")).withColumn("rank", F.col("rank").cast("long"))
+    from vellum.operators.search import hydrate
+    found = hydrate(_search(spark, sf), library(spark, sf).drop("embedding"), 5, id_col="doc_id")
+    return result_card(found).withColumn("rank", F.col("rank").cast("long"))
 
 
 def lsh_sql(tables: int = DEFAULT_TABLES, bits: int = DEFAULT_BITS, dim: int = 64, k: int = 5) -> str:
@@ -288,12 +290,10 @@ def q_sort_truncate(spark, sf):
 
 
 # ---------------------------------------------------------------- U1: a custom embedder through the hook
-@query("embedder", S.with_(S.hash_buckets_cte("hb", "documents", "doc_id", "text", 32)) + """
-SELECT d.doc_id, CAST(32 AS BIGINT) AS dimensions, CAST(coalesce(n.nnz, 0) AS BIGINT) AS nonzero
-FROM documents d LEFT JOIN (SELECT k, count(*) AS nnz FROM hb GROUP BY k) n ON n.k = d.doc_id""")
+@query("embedder", S.with_(S.hash_buckets_cte("hb", "documents", "doc_id", "text", 32), S.hash_vec_cte("hv", "hb", 32))
+       + "SELECT k AS doc_id, CAST(32 AS BIGINT) AS dimensions, CAST(pos AS BIGINT) AS pos, round(value, 6) AS value FROM hv")
 def q_embedder(spark, sf):
     from vellum.operators.embed import embed_udf, hash_embedder
     udf = embed_udf(hash_embedder(32), key="hash-32")
     d = table(spark, sf, "documents").select("doc_id", udf(F.col("text")).alias("e"))
-    return d.select("doc_id", _long(F.size("e.embedding")).alias("dimensions"),
-                    _long(F.size(F.filter("e.embedding", lambda x: x != 0))).alias("nonzero"))
+    return vector_rows(d, "e.embedding", "doc_id", _long(F.size("e.embedding")).alias("dimensions"))

@@ -196,6 +196,20 @@ def ingest_text(df: DataFrame, text_col: str = "text", keep: list[str] | None =
                     F.col("emb.success").alias("success"), F.col("emb.error").alias("error"))
 
 
+def store_texts(df: DataFrame, current: DataFrame | None, text_col: str = "text", keep: list[str] | None = None,
+                factory=None, now=None) -> DataFrame:
+    """S8 stored: `current` with a record for every text that could be embedded: id, time, vector, model.
+
+    `keep` names the columns that tell the texts apart (they go into the id);
+    without it, equal texts are numbered.
+    """
+    keep = keep or []
+    e = ingest_text(df, text_col, keep, factory=factory)
+    blank = F.struct(*[(F.lit("text") if f.name == "type" else F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA_TYPE.fields])
+    new = e.select(*keep, "text", "embedding", "dimensions", "model", blank.alias("metadata"))
+    return add_records(current, new, id_cols=[*keep, "text"] if keep else None, now=now)
+
+
 def one_page_per_url(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """(url, html) for the distinct `urls`: of several crawls of a url the longest page, then the greatest.
 
