@@ -467,3 +467,22 @@ def test_snapshots_pass_when_the_count_rose(spark):
     df = spark.createDataFrame(rows, "run_id long, pos long, success_count long, processed long, total long, status string")
     for block in (10, 60, 1000):
         assert sorted(r["pos"] for r in emit_on_increase(df, block=block).collect()) == [25, 75]
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_unknown_metadata_keys_survive(spark, tmp_path, lines):
+    from vellum.operators.library import deep_patch_metadata
+    from vellum.sources.library_io import export_backup, import_backup, read_backup
+
+    src = tmp_path / "in.json"
+    record = '{"id": "a", "text": "x", "embedding": [1.0], "metadata": {"url": "http://a", "folder": "news", "stars": 5, "q": null}}'
+    src.write_text(record if lines else f"[{record}]")
+    lib = read_backup(spark, str(src), lines)
+    want = {"folder": "news", "stars": "5", "q": None}
+    assert lib.first()["metadata"]["extra"] == want and lib.first()["metadata"]["url"] == "http://a"
+    path = export_backup(lib, str(tmp_path / "out"), lines)
+    again = import_backup(spark, path, batch="1", lines=lines).first()
+    assert again["metadata"]["extra"] == want and again["metadata"]["notes"] == ""
+    patch = spark.createDataFrame([("a", ({"stars": "4", "new": "y"},))], "id string, metadata struct<extra: map<string,string>>")
+    merged = deep_patch_metadata(lib, patch).first()["metadata"]
+    assert merged["extra"] == {**want, "stars": "4", "new": "y"} and merged["url"] == "http://a"

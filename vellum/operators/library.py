@@ -23,6 +23,7 @@ METADATA_TYPE = T.StructType([
     T.StructField("date_added", T.TimestampType()),
     T.StructField("summary", T.StringType()),
     T.StructField("notes", T.StringType()),
+    T.StructField("extra", T.MapType(T.StringType(), T.StringType())),  # any other key, as text
 ])
 
 LIBRARY_SCHEMA = T.StructType([
@@ -78,12 +79,20 @@ def one_per_id(patch: DataFrame, order: str | None = None) -> DataFrame:
     return patch.groupBy("id").agg(F.max_by(F.struct(*cols), by).alias("_one")).select("id", "_one.*")
 
 
+def metadata_struct(col: Column, names) -> Column:
+    """A metadata struct that has the fields `names`, widened to the full metadata type (absent keys null)."""
+    fields = [(col[f.name] if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA_TYPE.fields]
+    return F.when(col.isNotNull(), F.struct(*fields))
+
+
 def conform(df: DataFrame) -> DataFrame:
-    """Select the library columns in schema order, adding missing ones as nulls."""
+    """Select the library columns in schema order, adding missing columns and metadata fields as nulls."""
     cols = []
     for f in LIBRARY_SCHEMA.fields:
-        cols.append(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
-                    else F.lit(None).cast(f.dataType).alias(f.name))
+        c = F.col(f.name) if f.name in df.columns else F.lit(None)
+        if f.name == "metadata" and isinstance(df.schema[f.name].dataType if f.name in df.columns else None, T.StructType):
+            c = metadata_struct(c, df.schema[f.name].dataType.fieldNames())
+        cols.append(c.cast(f.dataType).alias(f.name))
     return df.select(*cols)
 
 
@@ -121,11 +130,7 @@ def patch_from_labels(labels: DataFrame) -> DataFrame:
 
 def _patch_metadata(patch: DataFrame, col: str) -> Column:
     """A patch's metadata struct widened to the full metadata type (absent keys null)."""
-    names = set(patch.schema["metadata"].dataType.fieldNames())
-    pm = F.col(col)
-    fields = [(pm[f.name] if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
-              for f in METADATA_TYPE.fields]
-    return F.struct(*fields)
+    return metadata_struct(F.col(col), patch.schema["metadata"].dataType.fieldNames())
 
 
 def apply_patch(current: DataFrame, patch: DataFrame, now: Column | None = None) -> DataFrame:
@@ -175,8 +180,11 @@ def deep_patch_metadata(current: DataFrame, patch: DataFrame) -> DataFrame:
         c = f.name
         if c == "metadata" and "metadata" in pcols:
             pm = _patch_metadata(patch, "_p_metadata")
-            merged = F.struct(*[(pm[m.name] if m.name in given else F.col("metadata")[m.name]).alias(m.name)
-                                for m in METADATA_TYPE.fields])
+            old = F.col("metadata")
+            empty = F.create_map().cast("map<string,string>")
+            both = F.map_concat(F.coalesce(old["extra"], empty), F.coalesce(pm["extra"], empty))  # the patch's keys win
+            merged = F.struct(*[(both if m.name == "extra" and m.name in given else pm[m.name] if m.name in given
+                                 else old[m.name]).alias(m.name) for m in METADATA_TYPE.fields])
             out.append(F.when(hit & F.col("_p_metadata").isNotNull(), merged).otherwise(F.col("metadata")).alias(c))
         elif c in pcols and c != "id":
             out.append(F.when(hit, F.col(f"_p_{c}").cast(f.dataType)).otherwise(F.col(c)).alias(c))

@@ -73,6 +73,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("ts").alias("date_added"),
             F.when(F.col("lang") == "en", F.substring("text", 1, 120)).alias("summary"),
             F.coalesce(F.col("note"), F.lit("")).alias("notes"),
+            F.lit(None).cast("map<string,string>").alias("extra"),
         ).alias("metadata"),
     )
 

@@ -42,7 +42,7 @@ def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder
         F.lit(model).alias("model"), F.lit(None).cast("timestamp").alias("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("id").alias("bookmark_id"),
                  F.col("date_added"), F.col("summary"),
-                 F.lit("").alias("notes")).cast(METADATA_TYPE).alias("metadata")),
+                 F.lit("").alias("notes"), F.lit(None).cast("map<string,string>").alias("extra")).cast(METADATA_TYPE).alias("metadata")),
         id_cols=["metadata.bookmark_id", "text"])
     done = j.select(F.col("path").alias("pos"), "url",
                     F.when(F.col("_e.success"), F.lit("success")).otherwise(F.lit("failure")).alias("status"),
@@ -78,5 +78,5 @@ def process_bookmarks(created: DataFrame, pages: DataFrame | None = None, embedd
         F.size("_e.embedding").alias("dimensions"), F.lit(model).alias("model"), F.col("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("key").alias("bookmark_id"),
                  F.coalesce(F.col("ts"), F.current_timestamp()).alias("date_added"),
-                 F.col("summary"), F.lit("").alias("notes")).cast(METADATA_TYPE)
+                 F.col("summary"), F.lit("").alias("notes"), F.lit(None).cast("map<string,string>").alias("extra")).cast(METADATA_TYPE)
         .alias("metadata"))

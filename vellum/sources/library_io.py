@@ -15,7 +15,18 @@ from pyspark.sql import types as T
 
 from vellum.operators.library import LIBRARY_SCHEMA, METADATA_TYPE, add_records, conform, is_importable
 
-# JSON backup record: the store's field names, times as epoch millis.
+# Backup metadata: the store's field names, times as epoch millis. Any other key goes to and comes from `extra`.
+BACKUP_METADATA = T.StructType([
+    T.StructField("type", T.StringType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("bookmarkId", T.StringType()),
+    T.StructField("dateAdded", T.LongType()),
+    T.StructField("summary", T.StringType()),
+    T.StructField("notes", T.StringType()),
+])
+
+# JSON backup record; metadata is read as its JSON text, then split into known and other keys.
 BACKUP_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("text", T.StringType()),
@@ -24,15 +35,7 @@ BACKUP_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("timestamp", T.LongType()),
     T.StructField("updatedAt", T.LongType()),
-    T.StructField("metadata", T.StructType([
-        T.StructField("type", T.StringType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("bookmarkId", T.StringType()),
-        T.StructField("dateAdded", T.LongType()),
-        T.StructField("summary", T.StringType()),
-        T.StructField("notes", T.StringType()),
-    ])),
+    T.StructField("metadata", T.StringType()),
 ])
 
 
@@ -67,27 +70,37 @@ def scan_newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("ts").desc_nulls_last(), F.col("id").asc())
 
 
-def _to_backup(df: DataFrame) -> DataFrame:
+def _backup_lines(df: DataFrame) -> DataFrame:
+    """(line): each record as one line of JSON, the other keys next to the known ones in its metadata."""
     m = F.col("metadata")
-    return df.select(
+    every = {"ignoreNullFields": "false"}
+    record = F.to_json(F.struct(
         "id", "text", F.col("embedding").cast("array<double>").alias("embedding"),
         F.col("dimensions").cast("long").alias("dimensions"), "model",
-        F.unix_millis("ts").alias("timestamp"), F.unix_millis("updated_at").alias("updatedAt"),
-        F.struct(m["type"].alias("type"), m["url"].alias("url"), m["title"].alias("title"),
-                 m["bookmark_id"].alias("bookmarkId"), F.unix_millis(m["date_added"]).alias("dateAdded"),
-                 m["summary"].alias("summary"), m["notes"].alias("notes")).alias("metadata"))
+        F.unix_millis("ts").alias("timestamp"), F.unix_millis("updated_at").alias("updatedAt")), every)
+    known = F.to_json(F.struct(
+        m["type"].alias("type"), m["url"].alias("url"), m["title"].alias("title"),
+        m["bookmark_id"].alias("bookmarkId"), F.unix_millis(m["date_added"]).alias("dateAdded"),
+        m["summary"].alias("summary"), m["notes"].alias("notes")), every)
+    other = F.to_json(m["extra"], every)
+    inner = lambda c: F.substring(c, 2, F.length(c) - 2)  # noqa: E731 - without its braces
+    meta = F.when(F.coalesce(F.size(m["extra"]), F.lit(0)) > 0, F.concat(F.lit("{"), inner(known), F.lit(","), inner(other), F.lit("}"))) \
+        .otherwise(known)
+    return conform(df).select(F.concat(F.lit("{"), inner(record), F.lit(',"metadata":'), meta, F.lit("}")).alias("line"))
 
 
 def _from_backup(df: DataFrame) -> DataFrame:
-    m = F.col("metadata")
+    m = F.from_json("metadata", BACKUP_METADATA)
+    other = F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, _v: ~k.isin(BACKUP_METADATA.fieldNames()))
     return df.select(
         "id", "text", F.col("embedding").cast("array<float>").alias("embedding"),
         F.col("dimensions").cast("int").alias("dimensions"), "model",
         F.timestamp_millis("timestamp").alias("ts"), F.timestamp_millis("updatedAt").alias("updated_at"),
-        F.when(m.isNotNull(), F.struct(
+        F.when(F.col("metadata").isNotNull(), F.struct(
             m["type"].alias("type"), m["url"].alias("url"), m["title"].alias("title"),
             m["bookmarkId"].alias("bookmark_id"), F.timestamp_millis(m["dateAdded"]).alias("date_added"),
-            m["summary"].alias("summary"), m["notes"].alias("notes"))).cast(METADATA_TYPE).alias("metadata"))
+            m["summary"].alias("summary"), m["notes"].alias("notes"),
+            F.when(F.size(other) > 0, other).alias("extra"))).cast(METADATA_TYPE).alias("metadata"))
 
 
 def backup_file_name(ts_col=None):
@@ -105,12 +118,11 @@ def export_backup(df: DataFrame, path: str, lines: bool = False) -> str:
     partition adds the brackets and commas with one row of look-ahead, so no
     partition is ever gathered into one value.
     """
-    rec = _to_backup(conform(df))
+    rec = _backup_lines(df)
     if lines:
-        rec.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        rec.write.mode("overwrite").text(path)
         return path
-    js = rec.select(F.concat(F.lit("  "), F.to_json(F.struct(*rec.columns), {"ignoreNullFields": "false"}))
-                    .alias("line"))
+    js = rec.select(F.concat(F.lit("  "), "line").alias("line"))
 
     def frame(it):
         import pandas as pd

@@ -131,7 +131,7 @@ def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embe
         F.lit(model).alias("model"), F.col("ts"),
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("key").alias("bookmark_id"),
                  F.col("ts").alias("date_added"), F.col("_new_summary").alias("summary"),
-                 F.lit("").alias("notes")).cast(METADATA_TYPE).alias("metadata"))
+                 F.lit("").alias("notes"), F.lit(None).cast("map<string,string>").alias("extra")).cast(METADATA_TYPE).alias("metadata"))
     inserts = add_records(None, fresh, id_cols=["metadata.bookmark_id", "text"]).withColumn("_kind", F.lit("insert"))
     return deletes.unionByName(patches).unionByName(inserts)
 
