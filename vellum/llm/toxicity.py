@@ -39,6 +39,7 @@ MIN_DOCS = 8  # toxic documents that an entry occurs in, at least
 MIN_Z = 4.0  # log-odds over its standard error
 MAX_ENTRIES = 5_000  # size of the model, heaviest evidence first
 MAX_EXCEPTIONS = 5_000
+BROADCAST_LABELS = 1_000_000  # (id, label) rows of 64 bytes or less each
 FIT_ROWS = 20_000  # labelled rows that the logistic curve is fitted on
 
 _LOOK = str.maketrans(LOOK_ALIKES)
@@ -180,15 +181,21 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
              .orderBy("w", "phrase").limit(MAX_EXCEPTIONS).collect())
     model.exceptions = {r["phrase"] for r in found}
 
-    sample = rows.orderBy(F.xxhash64("text"), "y").limit(FIT_ROWS)
+    # by hash, with a margin, before the texts are read; the narrow measures decide who is in
+    share = min(1.0, 1.3 * FIT_ROWS / max(1, rows.count()))
+    at = F.pmod(F.xxhash64("text", "y"), F.lit(1 << 30))
+    sample = rows.withColumn("h", at).filter(F.col("h") <= int(share * (1 << 30)))
     sent2 = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto = sent2.value.automaton()
         for t in batches:
-            yield pd.DataFrame([(*features(auto, text), y) for text, y in zip(t["text"], t["y"])], columns=["a", "b", "c", "d", "y"])
+            yield pd.DataFrame([(*features(auto, text), y, h) for text, y, h in zip(t["text"], t["y"], t["h"])],
+                               columns=["a", "b", "c", "d", "y", "h"])
 
-    got = np.array([tuple(r) for r in sample.repartition(8).mapInPandas(measured, "a double, b double, c double, d double, y double").collect()])
+    taken = sample.mapInPandas(measured, "a double, b double, c double, d double, y double, h long") \
+        .orderBy("h", "y", "a", "b", "c", "d").limit(FIT_ROWS).drop("h").collect()
+    got = np.array([tuple(r) for r in taken])
     if len(got) and 0 < got[:, 4].sum() < len(got):
         got = got[np.lexsort(got.T)]  # the same sums whatever order the rows came in
         model.curve = _curve(got[:, :4], got[:, 4])
@@ -219,6 +226,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> Model:
-    """Model of the documents' labelled rows that are not held out."""
-    known = labels.filter(~held_out(id_col)).select(id_col, label_col).dropDuplicates([id_col])
-    return fit(docs.select(id_col, "text").join(known, id_col), "text", label_col)
+    """Model of the documents' labelled rows that are not held out; of several labels of an id the highest counts.
+
+    Labels go to the texts by broadcast while they are few, else the labelled
+    rows are stored once for the passes over them.
+    """
+    known = labels.filter(~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    texts = docs.select(id_col, "text")
+    if known.count() <= BROADCAST_LABELS:
+        return fit(texts.join(F.broadcast(known), id_col), "text", label_col)
+    return fit(cut(texts.join(known, id_col), "toxic-labelled"), "text", label_col)
