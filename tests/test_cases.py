@@ -333,3 +333,27 @@ def test_dom_takes_any_depth_and_implied_end_tags():
     assert extract_dom("<body><p class=ad>buy<p>real content")["content"] == "real content"
     assert extract_dom("<body><ul><li class=ad>buy<li>kept</ul>")["content"] == "kept"
     assert len(extract_dom("<body>" + "x" * 9000)["content"]) == 9000
+
+
+def test_cancelled_and_failed_runs(spark):
+    from vellum.operators.progress import TASK_TEXT, task_flags, task_summary
+
+    rows = [("import", 10, 4, 3, 0, 1, None, True), ("import", 10, 4, 3, 0, 1, "broken", False), ("regeneration", 10, 10, 9, 0, 1, None, False),
+            ("import", 0, 0, 0, 0, 0, "no start", False)]
+    df = spark.createDataFrame(rows, "task string, total long, processed long, success long, skipped long, failed long, error string, stop boolean")
+    out = task_flags(task_summary(df, is_processing=F.lit(False), cancelled=F.col("stop")), F.col("stop")).collect()
+    fill = lambda r, kind: TASK_TEXT[r["task"]][kind].format(
+        percent=round(100 * r["processed"] / r["total"]) if r["total"] else 0, **{c: r[c] for c in ("processed", "total", "success", "skipped", "failed")})
+    by = {(r["task"], r["error"]): r for r in out}
+    assert by["import", None]["text"] == fill(by["import", None], "cancelled") and by["import", None]["type"] == "success"
+    assert by["import", "broken"]["type"] == "error" and by["import", "broken"]["has_activity"]
+    assert by["regeneration", None]["text"] == fill(by["regeneration", None], "finished") and not by["regeneration", None]["has_remaining_work"]
+    assert by["import", "no start"]["has_activity"] and not by["import", "no start"]["has_remaining_work"]
+
+
+def test_checkpoint_folder_is_the_sessions(spark):
+    from vellum.session import checkpoint_dir, scratch_path
+
+    where = checkpoint_dir(spark)
+    assert where == spark.conf.get("spark.checkpoint.dir") and scratch_path(spark, "x").startswith(where)
+

@@ -72,18 +72,22 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and snapshots.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names; only when the
-    session leaves it unset (local tests) do we make a private one.
+    It is what ``spark.checkpoint.dir`` names, else the folder the context was
+    given.  Only a local session without either gets a private one; on a
+    cluster that would be a folder no other machine sees, and is an error.
     """
     global _LOCAL_CKPT
-    ckpt = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    ckpt = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not ckpt:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="vellum-ckpt-")
         ckpt = _LOCAL_CKPT
         spark.conf.set("spark.checkpoint.dir", ckpt)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(ckpt)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(ckpt)
     return ckpt
 
 
