@@ -35,14 +35,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def in_order(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
     """Range-partitioned written copy of a narrow table with its partition number as `part`.
 
     Order questions (running sums, next row) are then answered inside each part
     and carried across parts by one small row per part, so no task sees all rows.
     Nulls come first.
     """
-    n = shuffle_partitions(df.sparkSession)
+    n = parts or shuffle_partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
     return cut(ranged, name)
 
@@ -56,18 +56,3 @@ def running_start(df: DataFrame, order: list[str], weight: str, out: str) -> Dat
     inside = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (df.withColumn("__inside", inside).join(F.broadcast(starts), "part")
             .withColumn(out, (F.col("__before") + F.col("__inside")).cast("long")).drop("__before", "__inside"))
-
-
-def following(df: DataFrame, order: list[str], cols: list[str], prefix: str) -> DataFrame:
-    """Add `prefix + c` for each of `cols`: its value in the next row, the first row's after the last (table of `in_order`)."""
-    w = Window.partitionBy("part").orderBy(*order)
-    pack = F.struct(*[F.col(c).alias(c) for c in cols])
-    numbered = df.withColumn("__next", F.lead(pack).over(w)).withColumn("__rn", F.row_number().over(w))
-    heads = numbered.filter("__rn = 1").select("part", pack.alias("__head"))  # one row per part
-    lone = Window.orderBy("part")
-    heads = heads.select("part", F.coalesce(F.lead("__head").over(lone),
-                                            F.first("__head").over(lone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__wrap"))
-    out = numbered.join(F.broadcast(heads), "part").withColumn("__next", F.coalesce("__next", "__wrap"))
-    for c in cols:
-        out = out.withColumn(prefix + c, F.col(f"__next.{c}"))
-    return out.drop("__next", "__rn", "__wrap")
