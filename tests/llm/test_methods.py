@@ -255,3 +255,51 @@ def test_pipeline_filters_take_effect(spark):
     assert kept[0] > kept[1] >= kept[2] == kept[3]
     whole = corpus_pipeline.run(spark, SF_SMALL)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_licenses_keep_their_own_names():
+    """Standard notices that TEMPLATES does not hold in these words, and whole texts with a neighbour's notice inside."""
+    from vellum.llm.licenses import OPENINGS, TEMPLATES, Templates, whole_texts
+    from vellum.llm.words import text_words
+    texts = dict(whole_texts())
+    known = Templates.of([*TEMPLATES, *OPENINGS, *whole_texts()])
+
+    def named(text):
+        return {name for _, name in known.matches(text_words(f"first some other words {text} and some after it"), np.zeros(1, np.int64))}
+
+    warranty = ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+                "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details.")
+    for name, of, version in (("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+                              ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("AGPL-3.0", "GNU Affero General Public License", "3")):
+        assert named(f"Foo is free software: you can redistribute it and/or modify it under the terms of the {of} as published by the Free "
+                     f"Software Foundation, either version {version} of the License, or (at your option) any later version. "
+                     + warranty.format(of)) == {name}
+    for code, title in (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike"),
+                        ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike")):
+        for version in ("4.0 International", "3.0 Unported"):
+            assert named(f"The photos are licensed under a Creative Commons {title} {version} License") == {f"CC-{code}-{version[:3]}"}
+    assert named("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                 "conditions are met:") == {"BSD-family"}
+    assert named("This software is licensed under the GNU General Public License") == {"GPL-family"}
+    rng = random.Random(4)
+    for name, text in texts.items():
+        words = text.split()
+        for i in rng.sample(range(len(words)), len(words) // 50):
+            words[i] = "other"
+        assert named(" ".join(words)) == {name}
+
+
+def test_licenses_windows_equal_counted_bags():
+    from collections import Counter
+    from vellum.llm.licenses import Templates, bigrams
+    from vellum.llm.words import text_words
+    rng = random.Random(6)
+    for _ in range(200):
+        template, docs = [" ".join(rng.choices("abc", k=rng.randint(4, 12))) for _ in range(1)][0], [rng.choices("abcd", k=rng.randint(0, 30)) for _ in range(4)]
+        known = Templates.of([("T", template)], 0.7)
+        got = known.matches(text_words(" ".join(w for d in docs for w in d)), np.cumsum([0, *map(len, docs[:-1])]))
+        n, bag = known.sizes[0], known.bags[0]
+        for i, doc in enumerate(docs):
+            pairs = bigrams(text_words(" ".join(doc))).tolist()
+            want = max([2 * sum((Counter(pairs[p:p + n]) & bag).values()) / (n + min(n, len(pairs) - p)) for p in range(len(pairs))], default=0.0)
+            assert got.get((i, "T"), (0.0,))[0] == (want if want >= 0.7 else 0.0)
