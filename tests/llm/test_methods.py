@@ -303,3 +303,23 @@ def test_licenses_windows_equal_counted_bags():
             pairs = bigrams(text_words(" ".join(doc))).tolist()
             want = max([2 * sum((Counter(pairs[p:p + n]) & bag).values()) / (n + min(n, len(pairs) - p)) for p in range(len(pairs))], default=0.0)
             assert got.get((i, "T"), (0.0,))[0] == (want if want >= 0.7 else 0.0)
+
+
+def test_toxicity_keeps_all_firm_entries(spark, monkeypatch):
+    """6,000 words of toxic rows only, and a frequent word that is hardly skewed."""
+    import pytest
+    from vellum.llm import toxicity
+    rng = random.Random(8)
+    words = list({"".join(rng.choices("bcdfghjklmnpqrstvw", k=9)) for _ in range(6000)})
+    plain = [f"x{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij"]
+    rows = [(" ".join(["often", *words[g::10]]), 1) for g in range(10) for _ in range(20)]
+    rows += [(" ".join([*rng.sample(plain, 600), *["often"] * (i < 1400)]), 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(4)
+    model = toxicity.fit(df)
+    auto = model.automaton()
+    assert all(toxicity.matched(auto, f" {w} ") for w in words)
+    assert not toxicity.matched(auto, " often ")
+    assert not any(w <= model.entries.get(e[:k], -1.0) for e, w in model.entries.items() for k in range(5, len(e)))
+    monkeypatch.setattr(toxicity, "MAX_MODEL_BYTES", 1000)
+    with pytest.raises(ValueError, match="broadcast"):
+        toxicity.fit(df)

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, without
@@ -37,8 +37,8 @@ PREFIX = range(4, 11)  # lengths of word beginnings that may enter the lexicon
 MAX_WORD = 40
 MIN_DOCS = 8  # toxic documents that an entry occurs in, at least
 MIN_Z = 4.0  # log-odds over its standard error
-MAX_ENTRIES = 5_000  # size of the model, heaviest evidence first
-MAX_EXCEPTIONS = 5_000
+MIN_ODDS = 0.5  # log-odds, at least, however many documents make a smaller value firm
+MAX_MODEL_BYTES = 8 << 20  # entries, weights and exceptions, which are broadcast; a larger model is an error
 BROADCAST_LABELS = 1_000_000  # (id, label) rows of 64 bytes or less each
 FIT_ROWS = 20_000  # labelled rows that the logistic curve is fitted on
 
@@ -121,15 +121,26 @@ def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
+def _bounded(rows: DataFrame, key: str, used: int, name: str) -> list[Row]:
+    """All rows, in order of `key`; an error if they and `used` bytes are over MAX_MODEL_BYTES."""
+    rows = cut(rows, name)
+    size = used + (rows.agg(F.sum(F.octet_length(key) + 8)).first()[0] or 0)
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(f"the toxicity model would be {size} bytes and is broadcast with at most {MAX_MODEL_BYTES}; raise MIN_Z, MIN_ODDS or MIN_DOCS")
+    return sorted(rows.collect(), key=lambda r: r[key])
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn entries, exceptions and the curve from labelled rows (label 0 or 1; rows with other labels do not count).
 
     Words are counted by document over all labelled rows, beginnings are summed
-    from the words' counts, and the entries with the firmest log-odds stay: at
-    most MAX_ENTRIES, as the model is broadcast. An exception is a matched word
-    with the word before or after it that clean documents use at least as
-    readily as toxic ones. The curve is fitted on FIT_ROWS rows of the least
-    text hash. Without labels of both kinds the model knows no entries.
+    from the words' counts, and all entries of firm and large log-odds stay but
+    those no heavier than a shorter one that they begin with, which never count.
+    An exception is a matched word with the word before or after it that clean
+    documents use at least as readily as toxic ones; all of them stay. A model
+    over MAX_MODEL_BYTES raises ValueError. The curve is fitted on FIT_ROWS rows
+    of the least text hash. Without labels of both kinds the model knows no
+    entries.
     """
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
 
@@ -152,8 +163,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
         .groupBy("entry").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     odds: Column = F.log((F.col("c1") + 0.5) / n["n1"]) - F.log((F.col("c0") + 0.5) / n["n0"])
     firm = odds / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
-    best = (entries.filter(F.col("c1") >= MIN_DOCS).select("entry", odds.alias("w"), firm.alias("z")).filter(F.col("z") >= MIN_Z)
-            .orderBy(F.desc("z"), "entry").limit(MAX_ENTRIES).collect())
+    passing = cut(entries.filter(F.col("c1") >= MIN_DOCS).select("entry", odds.alias("w"), firm.alias("z"))
+                  .filter((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_ODDS)).select("entry", "w"), "toxic-entries")
+    shorter = F.transform(F.filter(F.array(*[F.lit(k + 1) for k in PREFIX]), lambda k: k < F.length("entry")), lambda k: F.col("entry").substr(F.lit(1), k))
+    # a word counts with its heaviest entry, and an entry's beginnings match wherever it does
+    idle = (passing.select(F.explode(shorter).alias("begin"), F.col("entry").alias("long"), F.col("w").alias("v"))
+            .join(passing, F.col("begin") == F.col("entry")).filter("v <= w").select(F.col("long").alias("entry")).distinct())
+    best = _bounded(passing.join(idle, "entry", "left_anti"), "entry", 0, "toxic-lexicon")
     model = Model({r["entry"]: float(r["w"]) for r in best})
     if not model.entries:
         return model
@@ -177,8 +193,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
             yield pd.DataFrame({"phrase": keys, "c1": [seen[1][k] for k in keys], "c0": [seen[0][k] for k in keys]})
 
     found = (rows.mapInPandas(phrases, "phrase string, c1 long, c0 long").groupBy("phrase").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-             .filter(F.col("c0") >= MIN_DOCS).withColumn("w", odds).filter("w <= 0")
-             .orderBy("w", "phrase").limit(MAX_EXCEPTIONS).collect())
+             .filter(F.col("c0") >= MIN_DOCS).withColumn("w", odds).filter("w <= 0").select("phrase", "w"))
+    found = _bounded(found, "phrase", sum(len(e.encode()) + 8 for e in model.entries), "toxic-exceptions")
     model.exceptions = {r["phrase"] for r in found}
 
     # by hash, with a margin, before the texts are read; the narrow measures decide who is in
