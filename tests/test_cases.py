@@ -357,3 +357,33 @@ def test_checkpoint_folder_is_the_sessions(spark):
     where = checkpoint_dir(spark)
     assert where == spark.conf.get("spark.checkpoint.dir") and scratch_path(spark, "x").startswith(where)
 
+
+
+def test_onnx_embedder_pools_all_windows_of_long_texts(tmp_path, monkeypatch):
+    import sys
+    import types
+
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from vellum.operators.embed import onnx_embedder
+
+    tok = Tokenizer(models.WordLevel({"[PAD]": 0, "a": 1, "b": 2, "c": 3}, unk_token="[PAD]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "tokenizer.json"))
+    (tmp_path / "model.onnx").write_bytes(b"")
+
+    class Session:  # a token's state is its one-hot id
+        def __init__(self, *_, **__):
+            pass
+
+        def get_inputs(self):
+            return []
+
+        def run(self, _, feed):
+            return [np.eye(4)[feed["input_ids"]]]
+
+    monkeypatch.setitem(sys.modules, "onnxruntime", types.SimpleNamespace(InferenceSession=Session))
+    got = onnx_embedder(str(tmp_path), max_length=4, batch_size=2)()(["a b", "a " * 4 + "b " * 3 + "c " * 12, None, "c"])
+    want = np.array([[0, 1, 1, 0], [0, 4, 3, 12], [0, 0, 0, 0], [0, 0, 0, 1]], float)
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9))

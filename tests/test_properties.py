@@ -486,3 +486,15 @@ def test_unknown_metadata_keys_survive(spark, tmp_path, lines):
     patch = spark.createDataFrame([("a", ({"stars": "4", "new": "y"},))], "id string, metadata struct<extra: map<string,string>>")
     merged = deep_patch_metadata(lib, patch).first()["metadata"]
     assert merged["extra"] == {**want, "stars": "4", "new": "y"} and merged["url"] == "http://a"
+
+
+def test_progress_stream_raises_without_the_last_batch(spark, tmp_path, monkeypatch):
+    from vellum.streaming import progress
+
+    src = str(tmp_path / "items")
+    spark.createDataFrame([("success",)], "status string").withColumn("error", F.lit(None).cast("string")) \
+        .withColumn("thrown", F.lit(False)).write.parquet(src)
+    monkeypatch.setattr(progress, "PROGRESS_WAIT_S", 0.2, raising=False)
+    monkeypatch.setattr(progress.ProgressListener, "onQueryProgress", lambda self, event: None)
+    with pytest.raises(TimeoutError):
+        progress.run_progress_stream(spark, src, "status string, error string, thrown boolean", str(tmp_path / "ckpt"))

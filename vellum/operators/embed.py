@@ -78,7 +78,9 @@ def onnx_embedder(model_dir: str, max_length: int = 256, batch_size: int = 64):
     """U1 factory for a sentence-embedding model exported to ONNX (`model.onnx` + `tokenizer.json`).
 
     The model is loaded once per Python worker (the factory runs there); the
-    output is the token-level hidden state, mean-pooled and normalised.
+    output is the token-level hidden state, mean-pooled and normalised. A text
+    over `max_length` tokens goes through the model in windows of that many,
+    special tokens included, and its tokens' states are pooled over all windows.
     Needs `onnxruntime` and `tokenizers`; no model files ship with this repo.
     """
 
@@ -92,21 +94,35 @@ def onnx_embedder(model_dir: str, max_length: int = 256, batch_size: int = 64):
         if not (os.path.exists(model) and os.path.exists(vocab)):
             raise FileNotFoundError(f"expected model.onnx and tokenizer.json in {model_dir}")
         tok = Tokenizer.from_file(vocab)
-        tok.enable_truncation(max_length)
+        tok.enable_truncation(max_length)  # the rest comes as overflowing windows
         tok.enable_padding()
         sess = ort.InferenceSession(model, providers=["CPUExecutionProvider"])
         names = {i.name for i in sess.get_inputs()}
+        pad = (tok.padding or {}).get("pad_id", 0)
 
         def embed(texts):
             parts = []
             for s in range(0, len(texts), batch_size):
                 enc = tok.encode_batch([t or "" for t in texts[s:s + batch_size]])
-                ids = np.array([e.ids for e in enc], dtype=np.int64)
-                mask = np.array([e.attention_mask for e in enc], dtype=np.int64)
-                feed = {"input_ids": ids, "attention_mask": mask}
-                if "token_type_ids" in names:
-                    feed["token_type_ids"] = np.zeros_like(ids)
-                parts.append(pool_and_normalize(sess.run(None, feed)[0], mask))
+                windows = [w for e in enc for w in (e, *e.overflowing)]
+                owner = np.repeat(np.arange(len(enc)), [1 + len(e.overflowing) for e in enc])
+                sums = counts = None
+                for w in range(0, len(windows), batch_size):
+                    some = windows[w:w + batch_size]
+                    length = max(len(e.ids) for e in some)  # windows of a batch are padded alike, overflowing ones on their own
+                    ids = np.array([e.ids + [pad] * (length - len(e.ids)) for e in some], dtype=np.int64)
+                    mask = np.array([e.attention_mask + [0] * (length - len(e.ids)) for e in some], dtype=np.int64)
+                    feed = {"input_ids": ids, "attention_mask": mask}
+                    if "token_type_ids" in names:
+                        feed["token_type_ids"] = np.zeros_like(ids)
+                    hidden = sess.run(None, feed)[0].astype(np.float64) * mask[..., None]
+                    if sums is None:
+                        sums, counts = np.zeros((len(enc), hidden.shape[-1])), np.zeros(len(enc))
+                    np.add.at(sums, owner[w:w + batch_size], hidden.sum(axis=1))
+                    np.add.at(counts, owner[w:w + batch_size], mask.sum(axis=1))
+                pooled = sums / np.maximum(counts, 1e-9)[:, None]
+                norm = np.linalg.norm(pooled, axis=1, keepdims=True)
+                parts.append(pooled / np.where(norm == 0, 1.0, norm))
             return np.vstack(parts) if parts else np.zeros((0, 0))
 
         return embed

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from vellum.operators.progress import _is_failed, _is_skipped, _is_success
 
 METRICS = "progress"
+PROGRESS_WAIT_S = 30  # for the last batch's progress event, after the stream has ended
 
 
 def observe_items(items: DataFrame, name: str = METRICS) -> DataFrame:
@@ -55,7 +56,10 @@ class ProgressListener(StreamingQueryListener):
 
 def run_progress_stream(spark: SparkSession, items_path: str, schema: str, checkpoint: str,
                         max_files_per_trigger: int = 1) -> DataFrame:
-    """Stream item files in micro-batches and return one cumulative progress row per batch."""
+    """Stream item files in micro-batches and return one cumulative progress row per batch.
+
+    Raises TimeoutError when the last batch's progress does not arrive.
+    """
     listener = ProgressListener()
     spark.streams.addListener(listener)
     try:
@@ -66,10 +70,12 @@ def run_progress_stream(spark: SparkSession, items_path: str, schema: str, check
         q.awaitTermination()
         # listener events arrive asynchronously: wait until the last batch's progress is in
         last = (q.lastProgress or {}).get("batchId")
-        deadline = time.time() + 30
+        deadline = time.time() + PROGRESS_WAIT_S
         while last is not None and not any(b["batch_id"] == last for b in listener.batches) \
                 and time.time() < deadline:
             time.sleep(0.05)
+        if last is not None and not any(b["batch_id"] == last for b in listener.batches):
+            raise TimeoutError(f"progress of batch {last} did not arrive in {PROGRESS_WAIT_S} s; the counts are not whole")
     finally:
         spark.streams.removeListener(listener)
     cols = "batch_id long, processed long, success long, skipped long, failed long, " \
