@@ -119,3 +119,18 @@ def op10(spark, sf):
     from vellum.llm.wordpiece import count_tokens
     return count_tokens(table(spark, sf, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json")) \
         .select("doc_id", "n_words", "n_tokens")
+
+
+_OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, c.rn AS other, list_inner_product(q.e, c.e)::BIGINT AS score
+           FROM v q JOIN v c ON q.rn <> c.rn AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id NULLS LAST, other)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op12_topk_join", _OP12_SQL)
+def op12(spark, sf):
+    from vellum.llm.knn_join import knn_join
+    return knn_join(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
