@@ -134,3 +134,26 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 def op12(spark, sf):
     from vellum.llm.knn_join import knn_join
     return knn_join(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(*)::BIGINT AS big_n, sum(len(terms))::BIGINT AS big_l FROM d WHERE len(terms) > 0),
+normal AS (SELECT rn, doc_id, 75 + (25 * len(terms)::BIGINT * big_n) // big_l AS m FROM d, total WHERE len(terms) > 0),
+post AS (SELECT rn, term, count(*)::BIGINT AS tf FROM (SELECT rn, unnest(terms) AS term FROM d) GROUP BY rn, term),
+weight AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM post, total GROUP BY term, big_n),
+q AS (SELECT row_number() OVER () AS qn, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+asked AS (SELECT qn, item_id, term, count(*)::BIGINT AS c FROM (SELECT qn, item_id, unnest({_TERMS}) AS term FROM q) GROUP BY qn, item_id, term),
+scored AS (SELECT qn, item_id, rn, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+           FROM asked JOIN weight USING (term) JOIN post USING (term) JOIN normal USING (rn) GROUP BY qn, item_id, rn, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query("op11_lexical_search", _OP11_SQL)
+def op11(spark, sf):
+    from vellum.llm.lexical import build_index, query_terms, search
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    return search(build_index(table(spark, sf, "documents"), query_terms(items)), items, k=20)
