@@ -68,3 +68,112 @@ def test_knn_join_messy(spark):
     one = spark.createDataFrame(rows[:1], schema)
     assert knn_join(one, F.col("vec_id") % 50 == 0).count() == 0  # no other row
     assert inner(np.array([[2.0 ** 60, 1]]), np.array([[8.0, 3], [0, 5]])).tolist() == [[(1 << 63) - 1, 5]]
+
+
+def test_lexical_search_equals_its_oracle(spark):
+    import harness
+    for name in ("op11_lexical_search", "op12_topk_join"):
+        assert harness.compare(spark, harness.duck(SF_SMALL), name, SF_SMALL)["status"] == "ok"
+
+
+def brute_search(docs, items, k):
+    from collections import Counter
+    from vellum.llm.lexical import terms_of
+    bags = [(i, Counter(terms_of(t))) for i, t in docs]
+    n = sum(1 for _, b in bags if b)
+    total = sum(b.total() for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in set(items):
+        if text is None:
+            continue
+        hits = []
+        for i, b in bags:
+            m = b and 75 + 25 * b.total() * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * b[t] // (1000 * b[t] + 12 * m)) for t in terms_of(text) if b[t])
+            if s > 0:
+                hits.append((-s, i is None, i or 0))
+        out += [(item, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(hits)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def test_lexical_search_by_brute_force(spark, monkeypatch):
+    from vellum.llm import lexical
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)] + ["ÄÖ", "x-y", "Don't", "中文", "A"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([3, 3, 3, 8, 20, 90])))) for i in range(700)]
+    docs += [(None, "w1 w2 w3"), (None, "w1 w2 w3"), (5, "w1 w2"), (900, None), (901, ""), (902, " .,- "), (903, "w1 " * 30000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 4, 12])))) for i in range(12)] + [(3, "w1 w1 w1"), (3, "w1 w1 w1"), (20, None), (21, "nowhere"), (None, "w2 W3")]
+    monkeypatch.setattr(lexical, "FIRST_DOCS", 40)
+    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, score string").repartition(3)
+    q = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, rank int")
+    want = brute_search(docs, items, 7)
+    full = lexical.build_index(d, segment=64)
+    assert full.segments.agg({"docs": "max"}).first()[0] < 120  # one stratum holds most documents
+    for index in (full, lexical.build_index(d, lexical.query_terms(q), segment=64)):
+        got = lexical.search(index, q, k=7)
+        assert got.dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    monkeypatch.setattr(lexical, "QUERY_BYTES", 500)  # queries in blocks
+    assert sorted((tuple(r) for r in lexical.search(full, q, k=7).collect()), key=str) == want
+    assert lexical.search(full, q.limit(0)).count() == 0
+    assert lexical.search(lexical.build_index(d.limit(0), lexical.query_terms(q)), q).count() == 0
+
+
+def brute_alignment(docs):
+    import hashlib
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from vellum.llm.queries import tokenizer
+    from vellum.llm.tokens import byte_letters
+    a_lib, letters = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), byte_letters()
+    a_lib.encode_special_tokens = True
+    b_lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+
+    def ranges(ids, raws):
+        ends = np.cumsum([len(r) for r in raws]).tolist()
+        return list(zip(ids, [0, *ends[:-1]], ends))
+
+    seen = []
+    for i, text in docs:
+        links, groups, n_a, n_b = [], [], 0, 0
+        if text:
+            ids = a_lib.encode(" " + text, add_special_tokens=False).ids
+            raw = [bytes(letters[c] for c in a_lib.id_to_token(t)) for t in ids]
+            other = b_lib.encode(text)
+            raw_b = [bytes([int(p[3:5], 16)]) if b_lib.is_byte(t) else p.replace("▁", " ").encode() for t in other for p in [b_lib.id_to_piece(t)]]
+            if b"".join(raw) == b"".join(raw_b) == b" " + text.encode():
+                a, b = ranges(ids, raw), ranges(other, raw_b)
+                n_a, n_b = len(a), len(b)
+                ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
+                start = 0
+                for e in ends:
+                    groups.append(",".join(str(t) for t, s, f in a if start <= s and f <= e) + "|" + ",".join(str(t) for t, s, f in b if start <= s and f <= e))
+                    start = e
+                links = [(x, y) for x, s, e in a for y, u, v in b if s < v and u < e]
+        seen.append((i, n_a, n_b, groups, links))
+    count = Counter(p for *_, links in seen for p in set(links))
+    best = Counter()
+    for (x, _), c in count.items():
+        best[x] = max(best[x], c)
+    return sorted(((i, n_a, n_b, len(groups), len(links), sum(count[p] == best[p[0]] for p in links), sum(count[p] for p in links),
+                    hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "") for i, n_a, n_b, groups, links in seen), key=str)
+
+
+@pytest.mark.parametrize("hot_pairs", [1 << 20, 50, 0])
+def test_alignment_by_brute_force(spark, hot_pairs):
+    from vellum.llm.align import align_documents
+    from vellum.llm.queries import tokenizer
+    rng = random.Random(6)
+    pieces = ["the ", "cat", "  ", "\n", "\t", "naïve", "中文", "🙂", "▁", "<0x41>", "<s>", "<|endoftext|>", "\x00", "é", "'ll", "2024", "　", " ​", "ation"]
+    docs = [(i, "".join(rng.choices(pieces, k=rng.randint(1, 25)))) for i in range(150)]
+    docs += [(200, None), (201, ""), (202, " "), (203, "x" * 3000), (None, docs[0][1]), (None, docs[0][1]), (7, docs[3][1])] + [(300 + i, docs[5][1]) for i in range(300)]
+    docs += [(r["doc_id"], r["text"][:1500]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(40).collect()]
+    df = spark.createDataFrame([(*d, "n") for d in docs], "doc_id long, text string, n_a string").repartition(4)
+    got = align_documents(df, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), hot_pairs=hot_pairs)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_alignment(docs)
+    if not hot_pairs:
+        assert align_documents(df.limit(0), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")).count() == 0

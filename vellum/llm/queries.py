@@ -157,3 +157,9 @@ def op11(spark, sf):
     from vellum.llm.lexical import build_index, query_terms, search
     items = table(spark, sf, "benchmark").select("item_id", "text")
     return search(build_index(table(spark, sf, "documents"), query_terms(items)), items, k=20)
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf):
+    from vellum.llm.align import align_documents
+    return align_documents(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
