@@ -21,6 +21,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: keys that `hot_join` broadcasts at most, and the least count of such a key
+HOT_KEYS, HOT_ROWS = 1000, 256
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, total: int, count: str = "__n") -> DataFrame:
+    """Inner join of `many` with `one`, which has a row for each key and in `count` the rows of `many` that hold it.
+
+    Keys with at least a thousandth of the `total` rows of `many`, of which
+    there are HOT_KEYS at most, are broadcast, so that none of them gathers its
+    rows in one task; the others are shuffled. `count` is dropped.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, rest = one.filter(F.col(count) >= least), one.filter(F.col(count) < least)
+    left = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return many.join(F.broadcast(hot), key).unionByName(left).drop(count)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` less the columns that an operator is about to add (compared as Spark does, ignoring case)."""
     low = {n.lower() for n in names}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, without
+from vellum.llm.common import cut, hot_join, without
 from vellum.llm.components import components
 
 SHINGLE = 4
@@ -168,6 +168,20 @@ def ball_links(fps: DataFrame, max_bits: int = MAX_BITS, block_variants: int = B
     return sent.groupBy("block").applyInPandas(link, "u long, v long")
 
 
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """Stored table (id, th, fp): id, hash of the text and fingerprint of every row."""
+    if max_bits % 2:
+        raise ValueError("max_bits must be even: both sides emit variants within half of it")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return cut(add_fingerprints(rows, "text", "fp", shingle).select("id", "th", "fp"), "simhash-rows")
+
+
+def _rooted(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """A stored table with one row for each `fp`, and `root`, the least fingerprint of its component."""
+    comp = components(ball_links(nodes.select("fp"), max_bits))
+    return nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint, component_id, fp) for every row of `docs`.
@@ -176,30 +190,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the least id reachable over links, the row's own included.
     Null and empty texts have fingerprint zero and link like any other. A null
     id takes part; its component_id is the least id that is not null, or null.
-    Repeated rows stay repeated. Other columns of `docs` are not read.
+    Repeated rows stay repeated. An empty table gives no rows. Other columns of
+    `docs` are not read. Fingerprints of many rows and components of many
+    fingerprints reach their rows by broadcast (`hot_join`).
     """
-    if max_bits % 2:
-        raise ValueError("max_bits must be even: both sides emit variants within half of it")
-    rows = cut(add_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", shingle)
-               .select("id", "fp"), "simhash-rows")
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    comp = components(ball_links(nodes.select("fp"), max_bits))
-    grouped = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                                         "component_id", "fp")
+    rows = _fingerprints(docs, id_col, text_col, shingle, max_bits)
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "simhash-nodes")
+    grouped = cut(_rooted(nodes, max_bits), "simhash-roots")
+    total = grouped.agg(F.count("*").alias("n"), F.sum("copies").alias("c")).first()
+    named = hot_join(grouped, grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n")), "root", total["n"])
+    named = cut(named.select("fp", "component_id", F.col("copies").alias("__n")), "simhash-named")
+    return hot_join(rows, named, "fp", total["c"] or 0).select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """`docs` with one document of each group: the row with the group's least id.
+    """`docs` with exactly one row of each group of near-duplicates, its columns unchanged.
 
-    Of rows that repeat that id the one with the least text stays. Rows
-    without an id cannot be told apart by it and all stay.
+    Rows are judged by id and text, not by id alone: of a group's rows the one
+    with the least id stays (null ids last; of equal ids the least hash of the
+    text), so that a repeated or missing id loses no group. Rows equal in both
+    are one. Null and empty texts have fingerprint zero and form a group like
+    any other. An empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))
-    left = left.withColumn("__rn", first).filter("__rn = 1").drop("__rn")
-    return left.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = _fingerprints(docs, id_col, text_col, shingle, max_bits)
+    row = F.struct(F.isnull("id").alias("no_id"), "id", "th")
+    nodes = cut(rows.groupBy("fp").agg(F.min(row).alias("best")), "simhash-nodes")
+    best = _rooted(nodes, max_bits).groupBy("root").agg(F.min("best").alias("best"))
+    zero = F.lit(0).cast(docs.schema[id_col].dataType)  # stands for a missing id beside the flag
+    key = ["__no_id", "__id", "__th"]
+    winners = best.select(F.col("best.no_id").alias("__no_id"), F.coalesce("best.id", zero).alias("__id"), F.col("best.th").alias("__th"))
+    told = docs.withColumns({"__no_id": F.isnull(id_col), "__id": F.coalesce(F.col(id_col), zero), "__th": F.xxhash64(text_col)})
+    # equal rows shrink to one before they are shuffled; the join keeps that partitioning
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("__th"))
+    return told.withColumn("__rn", first).filter("__rn = 1").join(winners, key, "left_semi").select(*docs.columns)
