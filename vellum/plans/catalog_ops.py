@@ -257,6 +257,24 @@ def q_suppress_repeats(spark, sf):
     return suppress_repeats(it, "run_id", "pos", "status", block=512)
 
 
+@query("progress_stream", S.with_(S.ITEMS, _PROGRESS) + """
+SELECT run_id, pos, CAST(row_number() OVER w AS BIGINT) AS seq, CAST(total AS BIGINT) AS total, CAST(processed AS BIGINT) AS processed,
+       CAST(success_count AS BIGINT) AS success_count, CAST(skipped_count AS BIGINT) AS skipped_count,
+       CAST(failed_count AS BIGINT) AS failed_count,
+       success_count > coalesce(max(success_count) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         AND processed < total AS rose,
+       status IS DISTINCT FROM lag(status) OVER w AS changed
+FROM progress WINDOW w AS (PARTITION BY run_id ORDER BY pos)""")
+def q_progress_stream(spark, sf):
+    from vellum.session import scratch_path
+    from vellum.streaming.item_progress import numbered_items, run_item_progress
+    src = scratch_path(spark, "items-src")
+    it = numbered_items(items(spark, sf))
+    it.repartition(2, F.xxhash64("pos")).write.parquet(src)  # files hold items of all runs, in no order
+    out = run_item_progress(spark, src, scratch_path(spark, "items-progress"), scratch_path(spark, "items-ckpt"))
+    return out.select("run_id", "pos", "seq", "total", "processed", "success_count", "skipped_count", "failed_count", "rose", "changed")
+
+
 # ---------------------------------------------------------------- M: mutations
 @query("add_records", """
 SELECT 'emb_' || substr(sha256(CAST(d.doc_id AS VARCHAR) || '|' || d.text), 1, 24) AS id,
