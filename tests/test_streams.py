@@ -104,3 +104,107 @@ def test_stream_equals_batch_on_the_tables(spark, tmp_path):
     assert same(got.select(cols), batch.select(cols))
     assert same(emitted(got).select("run_id", "pos"), emit_on_increase(batch).select("run_id", "pos"))
     assert same(without_repeats(got).select("run_id", "pos"), suppress_repeats(it, "run_id", "pos", "status").select("run_id", "pos"))
+
+
+def events(rows):
+    """(op, key, second, event_id, title) as change events."""
+    t0 = dt.datetime(2024, 1, 1)
+    return [(op, key, t0 + dt.timedelta(seconds=s), e, title, None if title is None else f"http://x/{key}") for op, key, s, e, title in rows]
+
+
+def flat(df):
+    m = F.col("metadata")
+    rows = df.select("id", "text", "embedding", "dimensions", "model", "ts", m["type"], m["url"], m["title"], m["bookmark_id"], m["summary"], m["notes"]).collect()
+    return sorted(([str(x) for x in r] for r in rows))
+
+
+def make_library(spark, path, n):
+    from vellum.sources.library_io import write_library
+    lib = spark.range(n).selectExpr(
+        "format_string('emb_%08d', id) AS id", "concat('text ', id) AS text", "array(1f, 0f) AS embedding", "2 AS dimensions", "'m' AS model",
+        "timestamp'2023-01-01' AS ts", "named_struct('type', 'bookmark', 'url', concat('http://x/', id), 'title', concat('t', id), 'bookmark_id', "
+        "cast(id AS string), 'date_added', timestamp'2023-01-01', 'summary', 's', 'notes', if(id % 2 = 0, 'note', '')) AS metadata")
+    return write_library(lib, path, files=3)
+
+
+def test_change_log_equals_batch_in_any_order(spark, tmp_path, monkeypatch):
+    from vellum.sources.library_io import scan_library
+    from vellum.streaming import change_log
+    from vellum.streaming.changes import CHANGE_SCHEMA, apply_changes, read_changes_batch
+    monkeypatch.setattr(change_log, "SLOT_ROWS", 32)
+    monkeypatch.setattr(change_log, "FAN", 2)
+    rng = random.Random(9)
+    base = make_library(spark, str(tmp_path / "base"), 100)
+    rows = []
+    for e in range(160):
+        op = rng.choice(["created", "changed", "changed", "removed"])
+        rows.append((op, str(rng.randrange(60, 140)), rng.randrange(50), e, None if op == "removed" or rng.random() < 0.1 else f"v{e}"))
+    rows += [("removed", "1", 1, 1000, None), ("other", "2", 1, 1001, "x")]
+    rng.shuffle(rows)
+    want = flat(apply_changes(scan_library(base, spark), read_changes_batch(spark.createDataFrame(events(rows), CHANGE_SCHEMA))))
+    log = change_log.ChangeLog(spark, str(tmp_path / "log"), base)
+    for i in range(4):
+        part = spark.createDataFrame(events(rows[i::4]), CHANGE_SCHEMA)
+        log.apply(part, i)
+        if i == 1:
+            before = flat(log.view())
+            log.apply(part, i)  # the same batch again
+            assert flat(log.view()) == before
+        if i == 2:
+            before = flat(log.view())
+            log.compact(str(tmp_path / "base2"))
+            assert flat(log.view()) == before and len(log.runs()) == 1
+    assert flat(log.view()) == want
+    log.apply(spark.createDataFrame(events(rows[:40]), CHANGE_SCHEMA), 4)  # late, older events
+    assert flat(log.view()) == want
+    assert max(r.level for r in change_log.ChangeLog(spark, str(tmp_path / "log"), base).runs()) >= 0  # opened again
+
+
+def test_change_log_reads_with_the_batch_not_the_library(spark, tmp_path, monkeypatch):
+    from vellum.streaming import change_log
+    from vellum.streaming.changes import CHANGE_SCHEMA
+    monkeypatch.setattr(change_log, "SLOT_ROWS", 64)
+    batch = spark.createDataFrame(events([("changed", str(k), 1, k, "new") for k in (3, 77, 1500, 900000)]), CHANGE_SCHEMA)
+    read = []
+    for n in (2000, 16000):
+        log = change_log.ChangeLog(spark, str(tmp_path / f"log{n}"), make_library(spark, str(tmp_path / f"base{n}"), n))
+        read.append(log.apply(batch, 0)["rows"])
+        again = log.apply(batch, 1)  # known events: the batch's own run is read too, and no record changes
+        assert again["rows"] <= read[-1] + 8 and log.view().where("text LIKE '%new%'").count() == 4
+    assert all(0 < r <= 5 * 2 * 64 for r in read)  # the slots of a few keys, at either size
+
+
+def test_failed_batch_leaves_the_log_as_it_was(spark, tmp_path):
+    import pytest
+    from vellum.streaming import change_log
+    from vellum.streaming.changes import CHANGE_SCHEMA
+    log = change_log.ChangeLog(spark, str(tmp_path / "log"), make_library(spark, str(tmp_path / "base"), 20))
+    before, batch = flat(log.view()), spark.createDataFrame(events([("changed", "3", 1, 1, "new")]), CHANGE_SCHEMA)
+    commit = log._commit
+    log._commit = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        log.apply(batch, 0)
+    assert flat(log.view()) == before
+    log._commit = commit
+    log.apply(batch, 0)
+    assert sum("new" in r[1] for r in flat(log.view())) == 1
+
+
+def test_changes_call_the_model_once_a_key(spark, tmp_path):
+    from vellum.sources.library_io import scan_library
+    from vellum.streaming.changes import CHANGE_SCHEMA, apply_changes
+    seen = str(tmp_path / "seen")
+    open(seen, "w").close()
+
+    def counting():
+        def run(texts):
+            with open(seen, "a") as f:
+                f.writelines("x\n" for _ in texts)
+            return [[1.0, 0.0] for _ in texts]
+        return run
+
+    base = make_library(spark, str(tmp_path / "base"), 20)
+    rows = events([("changed", str(k), 1, k, "new") for k in range(5)] + [("created", str(k), 1, k, "new") for k in range(100, 103)])
+    out = apply_changes(scan_library(base, spark), spark.createDataFrame(rows, CHANGE_SCHEMA).coalesce(1), embedder=counting)
+    assert out.where("text LIKE '%new%'").count() == 8
+    assert len(open(seen).readlines()) == 8

@@ -132,7 +132,8 @@ def change_delta(matches: DataFrame, old_meta: DataFrame, state: DataFrame, embe
         F.struct(F.lit("bookmark").alias("type"), F.col("url"), F.col("title"), F.col("key").alias("bookmark_id"),
                  F.col("ts").alias("date_added"), F.col("_new_summary").alias("summary"),
                  F.lit("").alias("notes"), F.lit(None).cast("map<string,string>").alias("extra")).cast(METADATA_TYPE).alias("metadata"))
-    inserts = add_records(None, fresh, id_cols=["metadata.bookmark_id", "text"]).withColumn("_kind", F.lit("insert"))
+    # the id hangs on the key alone: the same record whichever of its events came first
+    inserts = add_records(None, fresh, id_cols=["metadata.bookmark_id"], batch="change").withColumn("_kind", F.lit("insert"))
     return deletes.unionByName(patches).unionByName(inserts)
 
 
@@ -199,15 +200,20 @@ def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=Non
     """T1 on the library (batch): match by bookmark id (J3), then apply the change delta.
 
     With `pages`, the page of every live key is summarised and refreshes the
-    stored summary (H12), as the change handler does.
+    stored summary (H12), as the change handler does.  The delta is written
+    to scratch when this is called.
     """
     from vellum.operators.dedupe import match_by_key
 
+    from vellum.session import scratch_path
+
     st = key_state(changes)
     matches = match_by_key(library, st.select("key"))
     summaries = page_summaries(st.where(F.col("live")), pages) if pages is not None else None
     delta = change_delta(matches, library.select("id", "metadata"), st, embedder, now, summaries, model)
-    return apply_delta(library, delta)
+    path = scratch_path(library.sparkSession, "change-delta")
+    delta.write.parquet(path)  # resolved more than once below; the model sees each text once
+    return apply_delta(library, library.sparkSession.read.schema(delta.schema).parquet(path))
 
 
 def library_view(spark: SparkSession, base: str, root: str, upto: int | None = None,
@@ -410,8 +416,9 @@ def debounce_stream(events: DataFrame, key: str, ts: str, gap: str, watermark: s
     """T2 streaming: watermark on event time, session windows, append mode emits closed bursts."""
     e = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", watermark)
     pay = F.col(payload) if payload else F.struct(*[F.col(c) for c in events.columns])
+    order = F.struct("_t", *[F.col(c) for c in ("event_id",) if c in events.columns])
     return e.groupBy(F.col(key), F.session_window("_t", gap).alias("session")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.max_by(pay, F.col("_t")).alias("last"))
+        F.count(F.lit(1)).alias("n_events"), F.max_by(pay, order).alias("last"))
 
 
 def micro_batches(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str,
