@@ -209,6 +209,45 @@ def q_apply_changes(spark, sf):
     return key_state(changes(spark, sf)).select("key", "live", "title", "url", "text", "event_id")
 
 
+_APPLIED = S.with_(S.LIBRARY, S.CHANGES) + f"""
+, eff AS (SELECT * FROM changes WHERE op IN ('created', 'changed') AND url <> '' OR op = 'removed'),
+last AS (SELECT key, arg_max(op, (ts, event_id)) AS op, arg_max(title, (ts, event_id)) AS title,
+                arg_max(url, (ts, event_id)) AS url FROM eff GROUP BY key),
+matched AS (SELECT l.*, (SELECT min(id) FROM library r WHERE r.bookmark_id = l.key) AS id FROM last l),
+kept AS (
+  SELECT r.id, CASE WHEN m.key IS NULL THEN r.text ELSE {S.compose('m.title', 'm.url', 'r.summary', 'r.notes')} END AS text,
+         CASE WHEN m.key IS NULL THEN r.dimensions ELSE 64 END AS dimensions, CASE WHEN m.key IS NULL THEN r.model ELSE 'vellum/hash-embed' END AS model,
+         r.type, CASE WHEN m.key IS NULL THEN r.url ELSE m.url END AS url, CASE WHEN m.key IS NULL THEN r.title ELSE m.title END AS title,
+         r.bookmark_id, r.summary, r.notes
+  FROM library r LEFT JOIN matched m ON m.id = r.id WHERE m.key IS NULL OR m.op <> 'removed')
+SELECT * FROM kept UNION ALL
+SELECT 'emb_' || substr(sha256('change|' || key), 1, 24), {S.compose('title', 'url', 'NULL', "''")}, 64, 'vellum/hash-embed', 'bookmark', url, title, key,
+       NULL, '' FROM matched WHERE id IS NULL AND op <> 'removed'"""
+
+
+def _applied(out):
+    m = F.col("metadata")
+    return out.select("id", "text", _long(F.col("dimensions")).alias("dimensions"), "model",
+                      *[m[c].alias(c) for c in ("type", "url", "title", "bookmark_id", "summary", "notes")])
+
+
+@query("apply_changes_library", _APPLIED)
+def q_apply_changes_library(spark, sf):
+    from vellum.streaming.changes import apply_changes, read_changes_batch
+    return _applied(apply_changes(library(spark, sf), read_changes_batch(changes(spark, sf))))
+
+
+@query("apply_changes_log", _APPLIED)
+def q_apply_changes_log(spark, sf):
+    from vellum.session import scratch_path
+    from vellum.sources.library_io import write_library
+    from vellum.streaming.change_log import run_logged_stream
+    from vellum.streaming.changes import read_changes_batch
+    base, src = write_library(library(spark, sf), scratch_path(spark, "log-base")), scratch_path(spark, "log-changes")
+    read_changes_batch(changes(spark, sf)).repartition(2, F.xxhash64("event_id")).write.parquet(src)
+    return _applied(run_logged_stream(spark, src, base, scratch_path(spark, "log"), scratch_path(spark, "log-ckpt"), 1)[0])
+
+
 _GAP_US = 6 * 3600 * 1_000_000
 
 
