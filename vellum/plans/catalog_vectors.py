@@ -219,6 +219,16 @@ def q_ann_topk(spark, sf):
     return _ann(spark, sf).select("qid", "vec_id", _r(F.col("sim")).alias("sim"), _long(F.col("rank")).alias("rank"))
 
 
+@query("ann_index_topk", None)
+def q_ann_index_topk(spark, sf):
+    from vellum.operators.pq_index import build_index
+    from vellum.session import scratch_path
+    e = table(spark, sf, "embeddings")
+    index = build_index(e, scratch_path(spark, "pq-index"), id_col="vec_id", k=5)
+    q = e.select(F.col("vec_id").alias("qid"), "embedding")
+    return index.search(q, 5, id_col="vec_id", exclude_self=True).select("qid", "vec_id", _r(F.col("sim")).alias("sim"), _long(F.col("rank")).alias("rank"))
+
+
 @query("adaptive_topk", lsh_sql() + _ANN_OUT)
 def q_adaptive_topk(spark, sf):
     return _ann(spark, sf, adaptive=True).select("qid", "vec_id", _r(F.col("sim")).alias("sim"),
