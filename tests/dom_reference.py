@@ -1,4 +1,4 @@
-"""H6 / H8: DOM-based main-text extraction as an Arrow UDF.
+"""A page tree built per page, to hold the DataFrame form of H6 against.
 
 Selector matching needs a tree, which SQL expressions cannot build, so this
 one step runs in Python: the stdlib `html.parser` builds a small element tree

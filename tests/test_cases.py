@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vellum.functions import html as H
 from vellum.functions import text as P
 from vellum.functions.chunk import chunk_text
-from vellum.functions.dom import extract_dom
+from dom_reference import extract_dom
 from vellum.functions.vectors import cosine_similarity, dimension_check
 
 

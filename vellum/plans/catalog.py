@@ -382,13 +382,11 @@ def q_extract_content(spark, sf):
                     _long(F.length("r.content")).alias("n_chars"))
 
 
-@query("extract_content_dom", None)
+@query("extract_content_dom", "WITH " + S.document_ctes("pages", "page_id", "html") + """
+SELECT id AS page_id, success, content, title FROM document""")
 def q_extract_content_dom(spark, sf):
-    from vellum.functions.dom import extract_content_dom
-    p = heavy_table(spark, sf, "pages")
-    r = extract_content_dom(F.col("html"))
-    return p.select("page_id", r["success"].alias("success"), r["content"].alias("content"),
-                    r["title"].alias("title"))
+    from vellum.operators.page_text import extract_pages
+    return extract_pages(heavy_table(spark, sf, "pages")).select("page_id", "success", "content", "title")
 
 
 @query("page_title", f"SELECT page_id, {S.page_title('html')} AS title FROM pages")
@@ -396,12 +394,11 @@ def q_page_title(spark, sf):
     return heavy_table(spark, sf, "pages").select("page_id", H.page_title("html").alias("title"))
 
 
-@query("extract_with_fallback", None)
+@query("extract_with_fallback", "WITH " + S.document_ctes("pages", "page_id", "html") + f"""
+SELECT id AS page_id, html IS NOT NULL AS success, {S.fallback_content()} AS content FROM document""")
 def q_extract_with_fallback(spark, sf):
-    from vellum.functions.dom import extract_with_fallback
-    p = heavy_table(spark, sf, "pages")
-    r = extract_with_fallback(F.col("html"))
-    return p.select("page_id", r["success"].alias("success"), r["content"].alias("content"))
+    from vellum.operators.page_text import extract_with_fallback
+    return extract_with_fallback(heavy_table(spark, sf, "pages")).select("page_id", "success", "content")
 
 
 def chunk_sql(src: str, key: str, text: str, size: int = 4000, max_chunks: int = 1 << 30) -> str:

@@ -400,11 +400,12 @@ def q_regenerate_all(spark, sf):
     return out.select("id", "text", "model", _long(F.col("dimensions")).alias("dimensions"))
 
 
-_CREATED = f"""(SELECT c.event_id, c.key, c.title, c.url, {S.extract('p.html')} AS content
-  FROM changes c LEFT JOIN pages p ON p.url = c.url WHERE c.op = 'created' AND c.url <> '')"""
+_CREATED = f"""(SELECT c.event_id, c.key, c.title, c.url, {S.fallback_content('d')} AS content
+  FROM changes c LEFT JOIN document d ON d.id = c.url WHERE c.op = 'created' AND c.url <> '')"""
+_BY_URL = S.document_ctes("(SELECT url, arg_max(html, (length(html), html)) AS html FROM pages WHERE url IS NOT NULL GROUP BY url)", "url", "html")
 
 
-@query("process_bookmark", "WITH RECURSIVE " + S.CHANGES.strip() + ", " + summary_ctes(_CREATED, "event_id", "content", "url")
+@query("process_bookmark", "WITH RECURSIVE " + S.CHANGES.strip() + "," + _BY_URL + ", " + summary_ctes(_CREATED, "event_id", "content", "url")
        + f"""
 SELECT c.event_id, c.key, s.summary,
        coalesce(nullif({S.compose('c.title', 'c.url', 's.summary', "''")}, ''),
@@ -419,6 +420,17 @@ def q_process_bookmark(spark, sf):
                        _long(F.col("dimensions")).alias("dimensions"), F.col("metadata.bookmark_id").alias("bookmark_id"))
 
 
+@query("create_bookmarks", S.with_(S.LIBRARY, S.CHANGES) + f"""
+SELECT id, text, notes, bookmark_id FROM library UNION ALL
+SELECT 'emb_' || substr(sha256('create|' || event_id || '|' || key), 1, 24), {S.compose('title', 'url', 'NULL', "''")}, '', key
+FROM changes WHERE op = 'created' AND url <> ''""")
+def q_create_bookmarks(spark, sf):
+    from vellum.plans.import_job import add_bookmarks
+    out = add_bookmarks(library(spark, sf), changes(spark, sf).where(F.col("op") == "created"))
+    m = F.col("metadata")
+    return out.select("id", "text", m["notes"].alias("notes"), m["bookmark_id"].alias("bookmark_id"))
+
+
 def _bulk_import_sql() -> str:
     flat = """
 twalk AS (
@@ -428,8 +440,8 @@ twalk AS (
 bm AS (SELECT id, title, url, path FROM twalk WHERE url <> ''),
 fresh AS (SELECT * FROM bm WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE 'https://%')),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY path) AS rn FROM fresh) WHERE rn = 1),
-pg AS (SELECT f.id AS bid, f.title, f.url, """ + S.extract("p.html") + """ AS content
-       FROM firsts f LEFT JOIN pages p ON p.url = f.url),"""
+pg AS (SELECT f.id AS bid, f.title, f.url, """ + S.fallback_content("d") + """ AS content
+       FROM firsts f LEFT JOIN document d ON d.id = f.url),"""
     chunks = chunk_sql("(SELECT * FROM pg WHERE regexp_matches(url, '(?i)^https?://') AND content <> '')",
                        "bid", "content")
     rest = f""",
@@ -447,7 +459,7 @@ SELECT bid AS bookmark_id, title, url, summary,
     AS text,
   CAST(64 AS BIGINT) AS dimensions, 'bookmark' AS type
 FROM summ"""
-    return "WITH RECURSIVE " + S.TREE.strip() + "," + flat + chunks + rest
+    return "WITH RECURSIVE " + S.TREE.strip() + "," + _BY_URL + "," + flat + chunks + rest
 
 
 @query("bulk_import", _bulk_import_sql())

@@ -2,7 +2,7 @@
 
 Bulk import is one DataFrame plan:
     tree -> pre-order bookmarks (S6) -> not already stored (J1, anti-join)
-    -> first per url (J2) -> join pages by url -> extract (H5) -> summary (H11)
+    -> first per url (J2) -> join pages by url -> extract (H8) -> summary (H11)
     -> compose (P1) -> embed (V1) -> records (M1) and per-item statuses (A4)
 The batch loop, pause and cancel flag of the item-at-a-time original have no
 counterpart: Spark schedules the partitions.  The anti-join runs before the
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as P
-from vellum.functions.html import extract_content
 from vellum.operators.dedupe import dedupe_batch, new_only
 from vellum.operators.embed import HASH_MODEL, embed_udf
 from vellum.operators.library import METADATA_TYPE, add_records
@@ -24,19 +23,49 @@ from vellum.sources.library_io import one_page_per_url
 from vellum.sources.tree import flatten_tree
 
 
+def page_contents(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, extracted) for the distinct `urls` that have a page: the document's text, else the fetch path's (H8)."""
+    from vellum.operators.page_text import extract_with_fallback
+
+    found = extract_with_fallback(one_page_per_url(pages, urls), "url", "html")
+    return found.select("url", F.struct("success", "content", F.col("title"), "error").alias("extracted"))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to scratch and read back: later steps read it without working it out again."""
+    from vellum.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder=None, summarizer=None,
                 model: str = HASH_MODEL) -> tuple[DataFrame, DataFrame]:
-    """M6: (new records, item statuses (pos, url, status, error))."""
-    marks = flatten_tree(tree, ordered=False)
-    todo = dedupe_batch(new_only(marks, existing), url_col="url", pos_col="path")
-    j = todo.join(one_page_per_url(pages, todo), "url", "left")
-    j = j.withColumn("_x", extract_content(F.col("html")))
-    j = summarize_frame(j, "url", "_x", "summary", summarizer)
-    composed = P.compose_text(F.col("title"), F.col("url"), F.col("summary"), F.lit(""))
-    fallback = F.concat(F.coalesce("title", F.lit("")), F.lit(" - "), F.coalesce("url", F.lit("")))
-    j = j.withColumn("text", F.coalesce(F.nullif(composed, F.lit("")), fallback))
-    j = j.withColumn("_e", embed_udf(embedder)(F.col("text")))
-    ok = j.where(F.col("_e.success"))
+    """M6: (new records, item statuses (pos, url, status, error)).
+
+    Of the items that name one new url the first is tried; where it fails the
+    next one is, and so on.  Every round is a stored table, so that the model
+    sees an item once; there are as many rounds as failed items of one url.
+    """
+    marks = _stored(flatten_tree(tree, ordered=False), "import-marks")
+    left = new_only(marks, existing)
+    contents = _stored(page_contents(pages, left), "import-pages")
+    done = None
+    while True:
+        j = dedupe_batch(left, url_col="url", pos_col="path").join(contents, "url", "left")
+        j = summarize_frame(j, "url", "extracted", "summary", summarizer)
+        composed = P.compose_text(F.col("title"), F.col("url"), F.col("summary"), F.lit(""))
+        fallback = F.concat(F.coalesce("title", F.lit("")), F.lit(" - "), F.coalesce("url", F.lit("")))
+        j = j.withColumn("text", F.coalesce(F.nullif(composed, F.lit("")), fallback)).drop("extracted")
+        j = _stored(j.withColumn("_e", embed_udf(embedder)(F.col("text"))), "import-tried")
+        done = j if done is None else done.unionByName(j)
+        failed = j.where(~F.col("_e.success"))
+        left = left.join(failed.select("url"), "url", "left_semi").join(done.select("path"), "path", "left_anti")
+        if not failed.limit(1).count() or not left.limit(1).count():
+            break
+        left = _stored(left, "import-left")
+    ok = done.where(F.col("_e.success"))
     recs = add_records(None, ok.select(
         "text", F.col("_e.embedding").alias("embedding"), F.size("_e.embedding").alias("dimensions"),
         F.lit(model).alias("model"), F.lit(None).cast("timestamp").alias("ts"),
@@ -44,13 +73,13 @@ def bulk_import(tree: DataFrame, pages: DataFrame, existing: DataFrame, embedder
                  F.col("date_added"), F.col("summary"),
                  F.lit("").alias("notes"), F.lit(None).cast("map<string,string>").alias("extra")).cast(METADATA_TYPE).alias("metadata")),
         id_cols=["metadata.bookmark_id", "text"])
-    done = j.select(F.col("path").alias("pos"), "url",
-                    F.when(F.col("_e.success"), F.lit("success")).otherwise(F.lit("failure")).alias("status"),
-                    F.col("_e.error").alias("error"))
+    tried = done.select(F.col("path").alias("pos"), "url",
+                        F.when(F.col("_e.success"), F.lit("success")).otherwise(F.lit("failure")).alias("status"),
+                        F.col("_e.error").alias("error"))
     # every other item names a url that is stored already, or that an item before it brought in
-    rest = marks.join(done.select(F.col("pos").alias("path")), "path", "left_anti")
+    rest = marks.join(done.select("path"), "path", "left_anti")
     skipped = rest.select(F.col("path").alias("pos"), "url", F.lit("skip").alias("status"), F.lit(None).cast("string").alias("error"))
-    return recs, done.unionByName(skipped)
+    return recs, tried.unionByName(skipped)
 
 
 def process_bookmarks(created: DataFrame, pages: DataFrame | None = None, embedder=None, summarizer=None,
@@ -64,9 +93,7 @@ def process_bookmarks(created: DataFrame, pages: DataFrame | None = None, embedd
     c = created.where(P.truthy(F.col("url")))
     if pages is not None:
         # each distinct url is fetched and summarised once, however many events name it
-        urls = one_page_per_url(pages, c)
-        urls = urls.withColumn("_x", extract_content(F.col("html")))
-        sums = summarize_frame(urls, "url", "_x", "summary", summarizer).select("url", "summary")
+        sums = summarize_frame(page_contents(pages, c), "url", "extracted", "summary", summarizer).select("url", "summary")
         c = c.join(sums, "url", "left")
     else:
         c = c.withColumn("summary", F.lit(None).cast("string"))
@@ -80,3 +107,15 @@ def process_bookmarks(created: DataFrame, pages: DataFrame | None = None, embedd
                  F.coalesce(F.col("ts"), F.current_timestamp()).alias("date_added"),
                  F.col("summary"), F.lit("").alias("notes"), F.lit(None).cast("map<string,string>").alias("extra")).cast(METADATA_TYPE)
         .alias("metadata"))
+
+
+def add_bookmarks(current: DataFrame, created: DataFrame, pages: DataFrame | None = None, embedder=None, summarizer=None,
+                  model: str = HASH_MODEL) -> DataFrame:
+    """M8 stored: `current` with a record, id included, for every created bookmark that could be embedded.
+
+    The id hangs on the event, so that the same event gives the same record
+    again; a bookmark that is created twice has two records, as each create
+    adds one.
+    """
+    new = process_bookmarks(created, pages, embedder, summarizer, model)
+    return add_records(current, new, id_cols=["event_id", "key"], batch="create")

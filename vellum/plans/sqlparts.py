@@ -193,3 +193,83 @@ def hash_vec_cte(name: str, buckets: str, dim: int = 64) -> str:
          CAST(CAST(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY k)) AS FLOAT) AS DOUBLE) AS value
   FROM {buckets}
 )"""
+
+
+def _names(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def document_ctes(src: str, key: str, html: str) -> str:
+    """CTEs ending in `document(id, success, content, title)`: main text and title of the pages in `src` by element spans (H6)."""
+    from html.entities import html5
+
+    from vellum.operators import page_text as D
+
+    q = lambda x: x.replace("'", "''")
+    token, tag, last = q(D.TOKEN), q(D.TAG), D.LAST
+    refs = ", ".join(f"('{n}', '{q(v)}')" for n, v in sorted(html5.items()))
+
+    def attr(name: str) -> str:
+        return "(" + " || ".join(f"regexp_extract(token, '{q(D.attribute_pattern(name))}', {i})" for i in (1, 2, 3)) + ")"
+
+    def part(t: str) -> str:
+        code = (f"CASE WHEN length({t}) > 12 THEN -1 WHEN regexp_matches({t}, '^&#[0-9]') THEN TRY_CAST(regexp_extract({t}, '^&#([0-9]+)', 1) AS BIGINT) "
+                f"ELSE TRY_CAST('0x' || regexp_extract({t}, '^&#[xX]([0-9A-Fa-f]+)', 1) AS BIGINT) END")
+        return (f"CASE WHEN starts_with({t}, '&#') AND length({t}) > 2 THEN (SELECT CASE WHEN c <= 0 OR c > 1114111 OR c BETWEEN 55296 AND 57343 "
+                f"THEN chr(65533) ELSE chr(CAST(c AS INTEGER)) END FROM (SELECT {code} AS c)) ELSE coalesce(r.stands, {t}) END")
+
+    families = ""
+    for f, (items, enders, scopes) in D.ITEMS.items():
+        families += f""",
+dx_{f}0 AS (SELECT *, coalesce(sum(CASE WHEN tag IN {_names(scopes)} THEN CASE WHEN open THEN 1 ELSE -1 END ELSE 0 END) OVER (
+    PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nest FROM dx_level WHERE tag IN {_names(enders + scopes)}),
+dx_{f} AS (SELECT id, pos, stop FROM (SELECT id, pos, tag, open, lead(pos) OVER (PARTITION BY id, nest ORDER BY pos) AS stop FROM dx_{f}0
+    WHERE NOT (tag IN {_names(scopes)} AND open)) WHERE open AND tag IN {_names(items)})"""
+    sooner = " UNION ALL ".join(f"SELECT * FROM dx_{f}" for f in ["p", *D.ITEMS])
+    tests = {"tag": "tag = '{}'", "role": "role = '{}'", "id": "ident = '{}'", "class": "list_contains(css, '{}')"}
+    nth = " ".join(f"WHEN {tests[k].format(v)} THEN {i}" for i, (k, v) in enumerate(D.CONTENT_SELECTORS))
+    return f"""
+dx_ref(name, stands) AS (VALUES {refs}),
+dx_page AS (SELECT {key} AS id, {html} AS html FROM {src}),
+dx_tok0 AS (SELECT id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT id, regexp_extract_all(html, '{token}', 1) AS t FROM dx_page)),
+dx_tok1 AS (SELECT *, lower(regexp_extract(token, '{tag}', 1)) AS tag FROM dx_tok0),
+dx_tok AS (SELECT *, tag <> '' AND starts_with(token, '</') AS close, tag <> '' AND NOT starts_with(token, '</') AND NOT ends_with(token, '/>')
+    AND tag NOT IN {_names([*D.VOID, 'script', 'style', 'title'])} AS open FROM dx_tok1),
+dx_level AS (SELECT *, CASE WHEN open THEN depth ELSE depth + 1 END AS lv FROM (
+    SELECT *, sum(CASE WHEN open THEN 1 ELSE -1 END) OVER (PARTITION BY id, tag ORDER BY pos) AS depth FROM dx_tok WHERE open OR close)),
+dx_own AS (SELECT * FROM (SELECT id, pos, tag, open, coalesce(lead(pos) OVER (PARTITION BY id, tag, lv ORDER BY pos), {last}) AS stop FROM dx_level) WHERE open),
+dx_p AS (SELECT id, pos, stop FROM (SELECT id, pos, tag, open, lead(pos) OVER (PARTITION BY id ORDER BY pos) AS stop FROM dx_level
+    WHERE tag IN {_names(D.ENDS_P)}) WHERE open AND tag = 'p'){families},
+dx_span AS (SELECT o.id, o.pos, o.tag, least(o.stop, coalesce(s.stop, {last})) AS stop FROM dx_own o LEFT JOIN ({sooner}) s ON s.id = o.id AND s.pos = o.pos),
+dx_body AS (SELECT id, min(pos) AS b, arg_min(stop, pos) AS e FROM dx_span WHERE tag = 'body' GROUP BY id),
+dx_open AS (SELECT t.id, t.pos, t.tag, s.stop, b.b, {attr('role')} AS role, {attr('id')} AS ident,
+    string_split_regex({attr('class')}, '[\\t\\n\\f\\r ]+') AS css,
+    (SELECT count(*) FROM dx_span a WHERE a.id = t.id AND a.tag = 'article' AND a.pos <= t.pos AND t.pos < a.stop) AS articles
+  FROM dx_tok t JOIN dx_span s ON s.id = t.id AND s.pos = t.pos LEFT JOIN dx_body b ON b.id = t.id WHERE t.open),
+dx_noise AS (SELECT id, pos, stop FROM dx_open WHERE tag IN {_names(D.DROP_TAGS)} OR (tag IN {_names(D.DROP_OUTSIDE_ARTICLE)} AND articles = 0)
+    OR role IN {_names(D.DROP_ROLES)} OR ident IN {_names(D.DROP_IDS)} OR list_has_any(css, {list(D.DROP_CLASSES)}) OR (tag = 'head' AND b IS NULL)),
+dx_kept AS (SELECT t.* FROM dx_tok t LEFT JOIN dx_body b ON b.id = t.id WHERE (b.b IS NULL OR (t.pos > b.b AND t.pos < b.e))
+    AND NOT EXISTS (SELECT 1 FROM dx_noise n WHERE n.id = t.id AND n.pos <= t.pos AND t.pos < n.stop)),
+dx_box AS (SELECT id, min(nth * 1000000000 + pos) AS first, arg_min(pos, nth * 1000000000 + pos) AS pos, arg_min(stop, nth * 1000000000 + pos) AS stop
+  FROM (SELECT o.id, o.pos, o.stop, CASE {nth} END AS nth FROM dx_open o SEMI JOIN dx_kept k ON k.id = o.id AND k.pos = o.pos) WHERE nth IS NOT NULL GROUP BY id),
+dx_text AS (SELECT k.id, k.pos, {part('k.token')} AS part FROM dx_kept k LEFT JOIN dx_box x ON x.id = k.id
+    LEFT JOIN dx_ref r ON k.token = '&' || r.name
+  WHERE k.tag = '' AND NOT regexp_matches(k.token, '^<[!?/]') AND (x.id IS NULL OR (k.pos > x.pos AND k.pos < x.stop))),
+dx_content AS (SELECT id, {collapse("string_agg(part, '' ORDER BY pos)")} AS content FROM dx_text GROUP BY id),
+dx_raw AS (
+  SELECT id, true AS og, arg_min({attr('content')}, pos) AS raw FROM dx_tok WHERE tag = 'meta' AND NOT close AND {attr('property')} = 'og:title' GROUP BY id
+  UNION ALL SELECT id, false, arg_min(regexp_extract(token, '(?i)^<title\\b[^>]*>([\\s\\S]*?)(?:</title\\s*>|\\z)', 1), pos) FROM dx_tok
+  WHERE tag = 'title' AND NOT close GROUP BY id),
+dx_tparts AS (SELECT id, og, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (
+    SELECT id, og, regexp_extract_all(raw, '({D.REFERENCE}|[^&]+|&)', 1) AS t FROM dx_raw)),
+dx_titles AS (SELECT p.id, p.og, string_agg({part('p.token')}, '' ORDER BY p.pos) AS title FROM dx_tparts p LEFT JOIN dx_ref r ON p.token = '&' || r.name GROUP BY p.id, p.og),
+dx_title AS (SELECT id, coalesce(max(title) FILTER (WHERE og AND title <> ''),
+    max(trim(regexp_replace(title, '[\\t\\n\\f\\r ]+', ' ', 'g'))) FILTER (WHERE NOT og)) AS title FROM dx_titles GROUP BY id),
+document AS (SELECT p.id, p.html IS NOT NULL AS success, CASE WHEN p.html IS NOT NULL THEN coalesce(c.content, '') END AS content,
+    CASE WHEN p.html IS NOT NULL THEN coalesce(t.title, '') END AS title, p.html
+  FROM dx_page p LEFT JOIN dx_content c ON c.id = p.id LEFT JOIN dx_title t ON t.id = p.id)"""
+
+
+def fallback_content(d: str = "document") -> str:
+    """H8's text of a row of `document`: its content, else the fetch path's."""
+    return f"CASE WHEN {d}.success AND {d}.content <> '' THEN {d}.content ELSE {extract(d + '.html')} END"

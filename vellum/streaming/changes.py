@@ -186,13 +186,10 @@ def apply_delta(library: DataFrame, delta: DataFrame, keep_deleted: bool = False
 
 def page_summaries(urls: DataFrame, pages: DataFrame, summarizer=None) -> DataFrame:
     """(url, summary) for each distinct url that has a page: extract once, summarise once."""
-    from vellum.functions.html import extract_content
     from vellum.operators.summarize import summarize_frame
-    from vellum.sources.library_io import one_page_per_url
+    from vellum.plans.import_job import page_contents
 
-    u = one_page_per_url(pages, urls)
-    u = u.withColumn("_x", extract_content(F.col("html")))
-    return summarize_frame(u, "url", "_x", "summary", summarizer).select("url", "summary")
+    return summarize_frame(page_contents(pages, urls), "url", "extracted", "summary", summarizer).select("url", "summary")
 
 
 def apply_changes(library: DataFrame, changes: DataFrame, embedder=None, now=None,
