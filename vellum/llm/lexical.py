@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import cut
 
-SEGMENT = 2048  # documents in a segment on average, at most
+SEGMENT = 1024  # documents in a segment on average, at most
 VOCABULARY = 64 << 20  # bytes of query terms, with what a worker needs to hold them, up to which they are broadcast
 QUERY_BYTES = 4 << 20  # bytes of query text in a block
 VISIT_BYTES = 64 << 20  # bytes of visits up to which they are broadcast
 FIRST_DOCS = 4000  # documents in the strata that a query visits first, about
-CELLS = 1 << 22  # scores that a worker holds at a time
+CELLS = 1 << 20  # scores, and postings, that a worker holds at a time
 EXACT = 1 << 53
 
 # bytes of terms: ASCII letters (A-Z lower-cased) and digits, and all bytes of characters beyond ASCII; others part terms
@@ -153,6 +153,22 @@ def impact(tf: np.ndarray, m: int) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 12 * m)
 
 
+def _portions(queries: list[tuple[int, list]], held: np.ndarray, docs: int) -> Iterator[list]:
+    """Queries with a term in the segment, in portions of about CELLS scores and postings (a query at least)."""
+    some, cells, postings = [], 0, 0
+    for q, terms in queries:
+        if not terms:
+            continue
+        n = int(held[[t for t, _ in terms]].sum())
+        if some and (cells + docs > CELLS or postings + n > CELLS):
+            yield some
+            some, cells, postings = [], 0, 0
+        some.append((q, terms))
+        cells, postings = cells + docs, postings + n
+    if some:
+        yield some
+
+
 def score_segment(seg: dict, queries: list[tuple[int, dict[str, int]]], floor: dict[int, int], k: int) -> list[tuple]:
     """(query, score, id) of the segment's best documents for each query: those of the k best scores, ties included by id."""
     place = {t: i for i, t in enumerate(seg["terms"])}
@@ -162,14 +178,10 @@ def score_segment(seg: dict, queries: list[tuple[int, dict[str, int]]], floor: d
     docs, out = len(seg["ids"]), []
     last = (1 << 63) - 1
     ids = np.array([last if i is None else i for i in seg["ids"]])
-    step = max(1, CELLS // max(1, docs))
-    for at in range(0, len(queries), step):
-        some = queries[at:at + step]
-        pairs = [(j, place[t], w) for j, (_, terms) in enumerate(some) for t, w in terms.items() if t in place]
-        if not pairs:
-            continue
-        j, t, w = (np.array(c, np.int64) for c in zip(*pairs))
-        a, n = ends[spans[t]].astype(np.int64), (ends[spans[t + 1]] - ends[spans[t]]).astype(np.int64)
+    held = ends[spans[1:]] - ends[spans[:-1]]
+    for some in _portions([(q, [(place[t], w) for t, w in terms.items() if t in place]) for q, terms in queries], held, docs):
+        j, t, w = (np.array(c, np.int64) for c in zip(*[(j, t, w) for j, (_, terms) in enumerate(some) for t, w in terms]))
+        a, n = ends[spans[t]].astype(np.int64), held[t].astype(np.int64)
         which = np.repeat(np.arange(len(t)), n)
         posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[which]
         cell = j[which] * docs + postings[posting]
