@@ -23,7 +23,8 @@ def messy(spark):
     """Nulls, empty and blank texts, a very long text, ties, repeated rows, clashing columns."""
     texts = [(1, "alpha beta gamma delta epsilon zeta"), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (6, "alpha beta gamma delta epsilon zeta"),
              (None, "alpha beta gamma delta epsilon zeta"), (None, None), (7, "ünï çödé 🙂 \u0085 a\u00a0b  c"), (8, f"before it {PASSAGE} and after"),
-             (8, f"before it {PASSAGE} and after"), (9, "x" * 5000), (10, "one"), (12, f"{LONG} tail"), (11, "Released under the MIT License.")]
+             (8, f"before it {PASSAGE} and after"), (9, "x" * 5000), (10, "one"), (12, f"{LONG} tail"), (11, "Released under the MIT License."),
+             (13, "a <|endoftext|> b <|startoftext|><|ENDOFTEXT|>")]
     return spark.createDataFrame([row(*t) for t in texts], SCHEMA).repartition(3)
 
 

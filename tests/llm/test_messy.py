@@ -70,7 +70,6 @@ def test_token_files(spark, messy, nothing, file):
     from vellum.llm.token_store import read_tokens, write_tokens
     from vellum.session import scratch_path
     lib = Tokenizer.from_file(tokenizer(file))
-    lib.encode_special_tokens = True
     manifest = write_tokens(messy, scratch_path(spark, "t"), tokenizer(file))
     got = sorted(read_tokens(manifest).collect(), key=lambda r: r["start"])
     want = sorted(((r["doc_id"], r["text"] or "") for r in messy.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
@@ -96,7 +95,16 @@ def test_packing(messy, nothing):
             assert offset == at
             at += length
         assert at == 2048 or at & (at - 1) == 0
-    assert sum(r["doc_tokens"] for r in got if r["start"] == 0) == sum(r["length"] for r in got)
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    due = []
+    for r in messy.collect():
+        ids = np.array([*lib.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        due.append((r["doc_id"], ids))
+    for r in got:  # every piece is a run of its document's ids
+        assert any(i == r["doc_id"] and len(ids) == r["doc_tokens"]
+                   and zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for i, ids in due)
+    assert sum(r["doc_tokens"] for r in got if r["start"] == 0) == sum(r["length"] for r in got) == sum(len(ids) for _, ids in due)
     assert sum(r["start"] == 0 for r in got) == messy.count()
     assert pack_documents(nothing, tokenizer("byte_bpe_50k.json")).count() == 0
 

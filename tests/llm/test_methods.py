@@ -116,20 +116,39 @@ def test_packed_bits():
         assert (unpack(raw, bits, 5001) == ids).all() and (unpack(raw, bits, 77, 1234) == ids[1234:1311]).all()
 
 
-def test_kept_pieces_equal_the_library():
+def test_token_ids_equal_the_library():
+    from tokenizers import Tokenizer
     from vellum.llm.queries import tokenizer
     from vellum.llm.tokens import Encoder
     rng = random.Random(5)
-    alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", " '", "1", "é", "e\u0301", "!", "?", "\x85", "\xa0", "\u2003", "\x1c", "\x01", "\u200b", "\r\n",
-                "Σ", "İ", "<|endoftext|>", "中", "🙂", "\u3000", "\u180e", "\ufeff", "A", "long" * 20]
-    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(4000)] + [None]
+    alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", " '", "'S", "1", "é", "e\u0301", "!", "?", "_", "\x85", "\xa0", "\u2003", "\x1c", "\x01",
+                "\u200b", "\r\n", "Σ", "İ", "ſ", "²", "½", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "中", "🙂", "\u3000", "\u180e", "\ufeff",
+                "A", "long" * 20]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(4000)] + [None, "x" * 30000, " " * 30000 + "y", "ab" * 9000]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCéßñ'. 1", k=rng.randint(1, 60))) for _ in range(4000)]
+    texts += ["".join(rng.choices(["'", "'s", "'re", "'ll", "'d", "a", "l", "é", "7", "!", " ", "\n", "\x1f", "_"], k=rng.randint(1, 12))) for _ in range(6000)]
     for file in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        enc = Encoder(tokenizer(file))
-        want = enc.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)
-        for _ in range(2):
+        for plain in (False, True):
+            enc, lib = Encoder(tokenizer(file), plain), Tokenizer.from_file(tokenizer(file))
+            lib.encode_special_tokens = plain
+            want = lib.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            assert enc.core is not None
             assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(texts)] == [w.ids for w in want]
 
 
+def test_files_without_a_core_go_to_the_library(tmp_path):
+    import json
+
+    from vellum.llm.queries import tokenizer
+    from vellum.llm.tokens import Encoder
+    with open(tokenizer("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][1:] + spec["model"]["merges"][:1]  # ids no longer in merge order
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    enc = Encoder(str(tmp_path / "t.json"))
+    assert enc.core is None and enc.ids("the end").tolist() == enc.lib.encode("the end").ids
+
+
 def test_least_squares_fill_the_histogram():
     from vellum.llm.packing import combinations_of, slots, solve, whole_counts
     rng = np.random.default_rng(1)
@@ -323,3 +342,29 @@ def test_toxicity_keeps_all_firm_entries(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_MODEL_BYTES", 1000)
     with pytest.raises(ValueError, match="broadcast"):
         toxicity.fit(df)
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    from vellum.llm.simhash import keep_one, simhash64
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "an own text that stands by itself here")
+    near = a + " iota"
+    rows = [(1, b), (5, a), (5, b), (7, a), (None, a), (None, a), (None, c), (None, c), (9, None), (8, ""), (5, a), (3, near)]
+    got = [tuple(r) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    groups = []  # by brute force over the fingerprints
+    for r in rows:
+        linked = [g for g in groups if any((simhash64(r[1]) ^ simhash64(o[1])).bit_count() <= 4 for o in g)]
+        groups = [g for g in groups if g not in linked] + [sum(linked, []) + [r]]
+    assert len(got) == len(groups)
+    for g in groups:
+        least = min((r[0] is None, r[0] or 0) for r in g)
+        assert [x for x in got if x in g] and all((x[0] is None, x[0] or 0) == least for x in got if x in g)
+
+
+def test_joins_with_hot_keys(spark):
+    from pyspark.sql import functions as F
+    from vellum.llm.common import hot_join
+    many = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id")
+    one = many.groupBy("k").agg(F.count("*").alias("__n"), F.max("id").alias("top"))
+    got = hot_join(many, one, "k", 5000)
+    want = many.join(one.drop("__n"), "k")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

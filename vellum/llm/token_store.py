@@ -27,6 +27,7 @@ from vellum.session import scratch_path
 
 MAGIC = b"VLTOK1\0\0"
 BLOCK = 1 << 16  # ids in a block
+FILE_BYTES = 256 << 20  # bytes of text that go to one file on average
 NO_ID = -(1 << 63)  # stands for a null document id in the files
 
 
@@ -147,15 +148,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Encode every whole text, append END_ID, write files in ascending id order; returns the stored manifest.
 
     The documents are range-partitioned by id, one file a task, so files and
-    rows in them ascend (nulls first, equal ids by text). A null text is empty
+    rows in them ascend (nulls first, equal ids by a hash of the text across
+    files and by text inside one). There are as many files as shuffle
+    partitions, more where a file would hold over FILE_BYTES of text. A null text is empty
     and has the end id alone. Manifest: file, part, n_docs, n_ids, start (ids
     in all files before). Texts and ids stream through a task; an empty table
     gives a manifest without rows. Other columns are not read. `path` must be
     a folder that all executors share.
     """
-    n = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-int(size) // FILE_BYTES))
+    spread = F.xxhash64("text")  # null and repeated ids are many files' too; equal ids lie in order of their texts inside a file
     ordered = (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-               .repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+               .repartitionByRange(n, F.col("id"), spread).sortWithinPartitions("id", "text")
                .withColumn("part", F.spark_partition_id()))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

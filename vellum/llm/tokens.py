@@ -1,136 +1,176 @@
-"""Token ids by the tokenizers library, with the ids of repeated words kept per worker.
+"""Token ids of whole texts for a tokenizer file of the tokenizers library.
 
-The library cuts a text into pre-tokens before it merges, so a text's ids are
-its pre-tokens' ids in order. Texts are cut where both patterns below certainly
-cut, only distinct pieces go to the library, and each worker keeps what it has
-seen. The ids equal those of the library on the whole text (tested on random
-texts), at a fraction of its time.
+The byte-pair merges run in tiktoken's core, fed with the file's own
+vocabulary in merge order, at a fraction of the library's time. A file, or a
+text, that this core can't treat like the library goes to the library itself;
+the tests hold both against an untouched `Tokenizer`.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 END_ID = 1
-KEEP = 500_000  # pieces in each of the two generations that a worker keeps
-LONG = 48  # longer pieces are not kept
-JOINED = 2_000  # new pieces that go to the library as one text
 
-# White space as the Unicode standard has it (property White_Space).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: ends every piece where the vocabulary marks word ends; texts that hold it go to the library
+MARK = "\x01"
+#: characters beyond these may be normalised in ways that only the library knows
+UNUSUAL = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]|İ")
+#: characters of one kind in a row from which on a text goes to the library, whose pattern engine has no such limit
+LONG_RUN = re.compile(r"\S{20000}|\s{20000}")
 
-#: A space belongs to the word after it; of a run of white space before a word, the last one stands alone or joins it.
-SPACE_JOINS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-SPACE_DROPS = re.compile(f"[^{WHITE}]+")
-HAS_WHITE = re.compile(f"[{WHITE}\x1c-\x1f]")
+#: Fixed value: the pattern of the byte-level pre-tokenizer, which the files name but don't hold.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: Fixed value: the pattern of the pre-tokenizer that `marked` follows on texts without UNUSUAL characters.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# kinds of bytes in such texts: white space 0, letters (all beyond ASCII are) 1, digits 2, others 3
+_KIND = np.array([0 if b in b"\t\n\v\f\r " else 2 if 48 <= b <= 57 else 1 if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 3
+                  for b in range(256)], np.uint8)
 
 _ENCODERS: dict = {}
 
 
+def marked(text: str) -> str:
+    """The pieces of WORD_PATTERN in a text without UNUSUAL characters, each with MARK after it."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    kind = _KIND[raw]
+    first = kind > 0
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    quote = np.flatnonzero((raw[:-1] == 39) & first[:-1])  # a contraction begins where a piece does
+    if len(quote):
+        after = np.append(raw, [0, 0])
+        one, two = after[quote + 1], after[quote + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 108) & (two == 108)) | (((one == 114) | (one == 118)) & (two == 101))
+        first[quote[short | long] + 1] = False
+        for ends in (quote[short] + 2, quote[long] + 3):
+            ends = ends[ends < len(raw)]
+            first[ends] = kind[ends] > 0
+    at = np.flatnonzero(kind)
+    starts = np.cumsum(first[at])
+    if not len(at):
+        return ""
+    out = np.full(len(at) + int(starts[-1]), ord(MARK), np.uint8)
+    out[np.arange(len(at)) + starts - 1] = raw[at]
+    return out.tobytes().decode()
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for.
+
+    Printable Latin-1 characters stand for themselves, the other bytes, in
+    order, for the characters from 256 on.
+    """
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
-    """Ids of one tokenizer file as little-endian bytes of a fixed width."""
+    """Ids of one tokenizer file as little-endian bytes of a fixed width.
+
+    The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`:
+    a special token's string in a text is that token. With `plain_specials`
+    such strings are ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = plain_specials
         self.vocab_size = self.lib.get_vocab_size()
         self.dtype = "<u2" if self.vocab_size <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
-        # where white space is dropped, pieces are words; else a piece is a space or line break and the word after it
-        self.drops = not self.lib.encode(" \n ", add_special_tokens=False).ids
-        # a mark that is a pre-token of its own between any two pieces, and whose id no piece without it has
-        self.mark, self.glue = ("\x01", " \x01 ") if self.drops else ("\n", "\n")
-        self.mark_id = self._ids(self.mark)[0]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-
-    def _take(self, pieces: list[str], texts: list[str]) -> None:
-        """Ids of many pieces from one text in which marks part them."""
-        line = self.mark_id.tobytes()
-        for at in range(0, len(pieces), JOINED):
-            part = pieces[at:at + JOINED]
-            ids = np.array(self.lib.encode_batch_fast([self.glue.join(texts[at:at + JOINED])], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:
-                raise ValueError("the tokenizer does not keep the mark apart")
-            raw, width = ids.tobytes(), self.width
-            starts = [0, *((ends + 1) * width).tolist()]
-            stops = [*(ends * width).tolist(), len(raw)]
-            self.young.update((p, raw[a:b] if self.drops or p[0] != "\n" else line + raw[a:b])
-                              for p, a, b in zip(part, starts, stops))
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if len(p) <= LONG and not (self.drops and self.mark in p)]
-        # the library sees the word with its space, or without its line break
-        self._take(plain, plain if self.drops else [p[1:] if p[0] == "\n" else " " + p for p in plain])
-        for p in set(pieces).difference(plain):
-            self.young[p] = self._ids(p if self.drops or p[0] == "\n" else " " + p).tobytes()
-
-    def _pieces(self, text: str | None) -> list[str]:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.specials = [] if plain_specials else [t["content"] for t in added]
+        self.pieces = None  # finds a normalised text's pieces where the vocabulary marks word ends
+        self.core = self._core(spec)
+
+    def _core(self, spec: dict):
+        """tiktoken's core for the file, or None where only the library can read it."""
+        model, before, clean = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        vocab = model["vocab"]
+        order = [vocab.get(a + b, -1) for a, b in merges]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        odd = self.specials and any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"])
+        if model["type"] != "BPE" or not plain or odd or order != sorted(set(order)) or -1 in order:
+            return None
+        suffix = model.get("end_of_word_suffix") or ""
+        if not suffix and not clean and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+            pattern = BYTE_LEVEL_PATTERN
+        elif suffix and (cut := self._word_pattern(clean, before)):
+            import regex
+            self.pieces, pattern = regex.compile(cut), f"[^{MARK}]+{MARK}"
+            self.plain_words = cut == WORD_PATTERN
+        else:
+            return None
+        letters = byte_letters()
+        ranks = {}
+        for token, i in vocab.items():
+            body = token.removesuffix(suffix) if suffix else token
+            if any(c not in letters for c in body):
+                return None
+            ranks[bytes(letters[c] for c in body) + (MARK.encode() if body != token else b"")] = i
+        singles = [ranks.get(bytes([b]), len(vocab)) for b in range(256)] + [ranks.get(bytes([b]) + MARK.encode(), len(vocab)) for b in range(256) if suffix]
+        if len(ranks) != len(vocab) or max(singles) >= (order[0] if order else len(vocab)):
+            return None  # every byte, with and without the word's end, comes before the first merge
+        import tiktoken
+        return tiktoken.Encoding("core", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _word_pattern(clean: dict | None, before: dict) -> str | None:
+        steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (clean or {}).get("normalizers", [])]
+        cuts = before.get("pretokenizers", [])
+        if steps != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] or len(cuts) != 2:
+            return None
+        split, level = cuts
+        if split.get("type") != "Split" or split.get("behavior") != "Removed" or not split.get("invert") or level.get("type") != "ByteLevel" \
+                or level.get("use_regex") or level.get("add_prefix_space"):
+            return None
+        return split["pattern"].get("Regex")
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Ids of one text (null: empty)."""
         if not text:
-            return []
-        if self.drops:
-            return SPACE_DROPS.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        return f"\n{text}".replace("\n", " \n").split(" ")[1:]
-
-    def _odd(self, piece: str) -> bool:
-        """Whether a piece's white space may depend on its neighbours (never where white space is dropped)."""
-        word = piece[1:] if piece[:1] == "\n" else piece
-        return not word or bool(HAS_WHITE.search(word))
+            return np.zeros(0, self.dtype)
+        if self.core is None or any(s in text for s in self.specials) or (self.pieces and MARK in text) \
+                or (len(text) >= 20000 and LONG_RUN.search(text)):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype)
+        if self.pieces:
+            if self.plain_words and not UNUSUAL.search(text):
+                text = marked(unicodedata.normalize("NFC", text).lower())
+            else:
+                text = "".join([p + MARK for p in self.pieces.findall(self.lib.normalizer.normalize_str(text))])
+            if not text:
+                return np.zeros(0, self.dtype)
+        return np.array(self.core.encode_ordinary(text), self.dtype)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as bytes, without an end id."""
-        if len(self.young) > KEEP:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        cut = [self._pieces(t) for t in texts]
-        got = [list(map(young.get, pieces)) for pieces in cut]
-        need = {p for pieces, ids in zip(cut, got) if None in ids for p, i in zip(pieces, ids) if i is None}
-        new, odd = [], set()
-        for p in need:
-            ids = old.get(p)
-            if ids is not None:
-                young[p] = ids
-            elif not self.drops and self._odd(p):
-                odd.add(p)
-            else:
-                new.append(p)
-        self._learn(new)
-        out = []
-        for text, pieces, ids in zip(texts, cut, got):
-            if odd and not odd.isdisjoint(pieces):
-                out.append(b"".join([self._ids(p).tobytes() for p in SPACE_JOINS.findall(text)]))
-                continue
-            if None in ids:
-                ids = [young[p] if i is None else i for p, i in zip(pieces, ids)]
-            if self.drops:
-                out.append(b"".join(ids))
-            else:  # the line break before the text is not its own
-                out.append(b"".join(ids)[self.width:])
-        for p in new:
-            if len(p) > LONG:
-                del young[p]
-        return out
-
-
-def encoder(path: str) -> Encoder:
+        return [self.ids(t).tobytes() for t in texts]
+
+
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain_specials) not in _ENCODERS:
+        _ENCODERS[path, plain_specials] = Encoder(path, plain_specials)
+    return _ENCODERS[path, plain_specials]
 
 
 def in_chunks(texts, chars: int = 1 << 21):
-    """Index ranges of about `chars` characters, so that a worker holds the pieces of a few texts at a time."""
+    """Index ranges of about `chars` characters, so that a worker holds the ids of a few texts at a time."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
