@@ -64,3 +64,35 @@ def test_cells_follow_the_size():
         who = np.flatnonzero(at == c)
         made = found.cells[c] + np.concatenate([found.books[0][codes[who, 0]], found.books[1][codes[who, 1]]], axis=1)
         assert np.allclose(found.scores(x[:7], c, codes[who]), x[:7] @ made.T)
+
+
+def graph_recall(found, exact):
+    hit = exact.select("src", "dst").join(found.select("src", "dst"), ["src", "dst"]).count()
+    return hit / exact.count()
+
+
+def test_neighbour_descent_recall(spark):
+    from vellum.operators.ann import knn_graph
+    from vellum.operators.nn_descent import descend
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    found = descend(e, 16, id_col="vec_id")
+    exact = knn_graph(e, 16, id_col="vec_id")
+    assert graph_recall(found.graph, exact) >= 0.9
+    same = found.graph.alias("a").join(exact.alias("b"), ["src", "dst"]).agg(F.max(F.abs(F.col("a.dist") - F.col("b.dist")))).first()[0]
+    assert same <= 2e-12 and found.changed == sorted(found.changed, reverse=True)
+
+
+def test_neighbour_descent_work_grows_with_the_vectors(spark):
+    from vellum.operators.ann import knn_graph
+    from vellum.operators.nn_descent import descend
+    rng = np.random.default_rng(5)
+    per_node = []
+    for n in (1000, 4000):
+        x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 24)) + rng.normal(size=(n, 24)) * 0.05
+        rows = [(f"v{i}", [float(c) for c in v]) for i, v in enumerate(x)] + [("z", None), ("y", [1.0])]
+        df = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(4)
+        found = descend(df, 8, pool=12)
+        assert graph_recall(found.graph, knn_graph(df, 8)) >= 0.95
+        per_node.append(sum(found.scored[1:]) / n)
+    assert per_node[1] < 1.5 * per_node[0]  # four times the vectors, about the same work each
+    assert descend(df.where("id = 'z'")).graph.count() == 0

@@ -266,6 +266,13 @@ def q_knn_graph(spark, sf):
     return g.select("src", "dst", _r(F.col("dist")).alias("dist"), _long(F.col("rank")).alias("rank"))
 
 
+@query("knn_graph_descent", None)
+def q_knn_graph_descent(spark, sf):
+    from vellum.operators.nn_descent import descend
+    g = descend(table(spark, sf, "embeddings"), 16, id_col="vec_id").graph
+    return g.select("src", "dst", _r(F.col("dist")).alias("dist"), _long(F.col("rank")).alias("rank"))
+
+
 @query("symmetrize_prune", S.with_(_KNN) + """
 , both_dirs AS (SELECT src, dst, 1 - sim AS dist FROM knn UNION ALL SELECT dst, src, 1 - sim FROM knn),
 dedup AS (SELECT src, dst, min(dist) AS dist FROM both_dirs GROUP BY 1, 2)
