@@ -158,16 +158,15 @@ def q_text_fallback(spark, sf):
 
 
 @query("normalize_metadata", S.with_(S.LIBRARY) + """
-SELECT l.id, coalesce(c.text, '') AS notes, l.summary, l.summary IS NULL AS summary_missing
-FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 1""")
+SELECT l.id, c.turn, coalesce(c.text, '') AS notes, l.summary, l.summary IS NULL AS summary_missing
+FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id""")
 def q_normalize_metadata(spark, sf):
     from vellum.operators.library import normalize_metadata
     lib = library(spark, sf)
-    raw_notes = table(spark, sf, "conversations").where(F.col("turn") == 1) \
-        .select(F.col("conv_id").alias("doc_id"), F.col("text").alias("raw"))
+    raw_notes = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("raw"))
     j = lib.join(raw_notes, "doc_id", "left").withColumn("metadata", F.col("metadata").withField("notes", F.col("raw")))
-    out = normalize_metadata(j)
-    return out.select("id", F.col("metadata.notes").alias("notes"), F.col("metadata.summary").alias("summary"),
+    return j.select("id", "turn", "metadata").transform(normalize_metadata).select(
+        "id", "turn", F.col("metadata.notes").alias("notes"), F.col("metadata.summary").alias("summary"),
                       F.col("metadata.summary").isNull().alias("summary_missing"))
 
 
@@ -297,16 +296,15 @@ def q_has_summary(spark, sf):
 
 
 @query("note_changed", S.with_(S.LIBRARY) + f"""
-SELECT l.id, coalesce({S.js_trim("coalesce(c.text, l.notes || '  ')")}, '') <> coalesce({S.js_trim('l.notes')}, '')
+SELECT l.id, c.turn, coalesce({S.js_trim("coalesce(c.text, l.notes || '  ')")}, '') <> coalesce({S.js_trim('l.notes')}, '')
        AS changed
-FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 1""")
+FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id""")
 def q_note_changed(spark, sf):
     lib = library(spark, sf)
-    drafts = table(spark, sf, "conversations").where(F.col("turn") == 1) \
-        .select(F.col("conv_id").alias("doc_id"), F.col("text").alias("draft"))
+    drafts = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("draft"))
     j = lib.join(drafts, "doc_id", "left")
     draft = F.coalesce(F.col("draft"), F.concat(F.col("metadata.notes"), F.lit("  ")))
-    return j.select("id", P.note_changed(draft, F.col("metadata.notes")).alias("changed"))
+    return j.select("id", "turn", P.note_changed(draft, F.col("metadata.notes")).alias("changed"))
 
 
 @query("normalize_note", f"SELECT item_id, coalesce({S.js_trim('text')}, '') AS normalized, "
@@ -477,14 +475,13 @@ def q_summarize_doc(spark, sf):
 
 
 @query("refresh_summary", S.with_(S.LIBRARY) + """
-SELECT l.id, coalesce(nullif(c.text, ''), l.summary) AS summary
-FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 2""")
+SELECT l.id, c.turn, coalesce(nullif(c.text, ''), l.summary) AS summary
+FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id""")
 def q_refresh_summary(spark, sf):
     lib = library(spark, sf)
-    new = table(spark, sf, "conversations").where(F.col("turn") == 2) \
-        .select(F.col("conv_id").alias("doc_id"), F.col("text").alias("new"))
+    new = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("new"))
     return lib.join(new, "doc_id", "left").select(
-        "id", P.refresh_summary(F.col("new"), F.col("metadata.summary")).alias("summary"))
+        "id", "turn", P.refresh_summary(F.col("new"), F.col("metadata.summary")).alias("summary"))
 
 
 @query("preview", LIB + f"""

@@ -376,12 +376,13 @@ SELECT l.id,
   CASE WHEN c.conv_id IS NULL THEN l.notes ELSE coalesce({S.js_trim('c.text')}, '') END AS notes,
   CASE WHEN c.conv_id IS NULL THEN l.dimensions ELSE 64 END AS dimensions,
   CASE WHEN c.conv_id IS NULL THEN l.model ELSE 'vellum/hash-embed' END AS model
-FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 1""")
+FROM library l LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) c
+  ON c.conv_id = l.doc_id""")
 def q_update_notes(spark, sf):
     from vellum.operators.library import update_notes
     lib = library(spark, sf)
-    notes = table(spark, sf, "conversations").where(F.col("turn") == 1).select(
-        F.concat(F.lit("emb_"), F.lpad(F.col("conv_id").cast("string"), 12, "0")).alias("id"), F.col("text").alias("note"))
+    last = table(spark, sf, "conversations").where(F.col("text").isNotNull()).groupBy("conv_id").agg(F.max_by("text", "turn").alias("note"))
+    notes = last.select(F.concat(F.lit("emb_"), F.lpad(F.col("conv_id").cast("string"), 12, "0")).alias("id"), "note")
     out = update_notes(lib, notes)
     return out.select("id", "text", F.col("metadata.notes").alias("notes"), _long(F.col("dimensions")).alias("dimensions"),
                       "model")

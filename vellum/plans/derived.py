@@ -49,8 +49,8 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
     pages = heavy_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url",
                                                        page_title(F.col("html")).alias("title"))
-    notes = (table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-             .select(F.col("conv_id").alias("doc_id"), F.col("text").alias("note")))
+    notes = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()) \
+        .groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("note"))
     j = docs.join(emb, "doc_id", "left").join(ev, "doc_id", "left").join(pages, "doc_id", "left") \
         .join(notes, "doc_id", "left")
     models = F.array(*[F.lit(m) for m in LIBRARY_MODELS])

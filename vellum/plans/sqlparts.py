@@ -120,7 +120,7 @@ library AS (
   LEFT JOIN embeddings e ON e.vec_id = d.doc_id
   LEFT JOIN events ev ON ev.event_id = d.doc_id
   LEFT JOIN (SELECT page_id, url, {page_title('html')} AS title FROM pages) p ON p.page_id = d.doc_id
-  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON c.conv_id = d.doc_id
+  LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) c ON c.conv_id = d.doc_id
 )"""
 
 CHANGES = """
