@@ -64,13 +64,33 @@ def test_edit_distance_and_recall(spark):
         pad = noise.integers(1, 1 << 62, 31 + i % 7, np.int64).astype(np.uint64)
         exact += (0, i) in index.verified(np.concatenate((pad, w, pad)), np.zeros(1, np.int64))
         for _ in range(5):
-            copy = edited(w, 0.1, noise)
+            copy = edited(w, len(w) // 10, noise)
             if brute(w.tolist(), copy.tolist()) <= 0.2 * len(w):
                 due += 1
                 close += (0, i) in index.verified(np.concatenate((pad, copy, pad)), np.zeros(1, np.int64))
     assert exact == len(items) and close >= 0.9 * due
 
 
+def test_decontamination_recall_in_every_length_class():
+    from vellum.llm.decontam import CLASSES, Parts, benchmark_index, recall
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [{"item_id": i, "text": " ".join(rng.choice(vocabulary, n))} for i, n in enumerate([n for n in (1, 3, 5, 8, 10, 12, 15, 20, 24, 30, 45, 80) for _ in range(60)])]
+    index = benchmark_index(rows)
+    assert sorted(i for items, _ in index.parts for i in items.tolist()) == list(range(len(rows))) and len(index.parts) == len(CLASSES)
+    for items, part in index.parts:
+        assert recall(part, list(range(len(items))), seed=77) >= 0.9
+    assert any(isinstance(part, Parts) for _, part in index.parts) and any(not isinstance(part, Parts) for _, part in index.parts)
+
+
+def test_short_benchmark_items_are_found_exactly(spark):
+    from vellum.llm.decontam import find_items
+    docs = spark.createDataFrame([(1, "say Yes, please do it"), (2, "nothing here"), (3, None), (4, "please yes do")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes please"), (2, "nothing"), (3, " - "), (4, None), (5, "do it now then")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in find_items(docs, bench).collect())
+    assert got == [(1, 1, 0), (2, 2, 0)]
+
+
 def test_decontamination_finds_exact_passages(spark):
     from vellum.llm.decontam import text_words
     from vellum.llm.queries import REGISTRY

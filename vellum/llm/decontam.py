@@ -6,6 +6,12 @@ random bits is set, so that few edits leave most of the written sequence as it
 was: edit distance becomes Hamming distance. A repetition samples a few
 positions of the sequence; windows of documents and items whose samples agree
 are candidates, and the edit distance between item and text decides.
+
+Items are indexed by length class, so that a window is no longer than the
+class's items. Where the walks do not reach the target recall on copies of a
+class's items with all edits allowed (short items), and for items too short for
+an edit, candidates come from whole parts of the items instead: of k + 1 parts
+one is left alone by k edits, so that none is missed.
 """
 
 from __future__ import annotations
@@ -21,15 +27,15 @@ from pyspark.sql import functions as F
 
 from vellum.llm.words import mix, runs, text_words
 
-MIN_WORDS = 5  # shorter items are no passage
+CLASSES = (1, 5, 10, 15, 24, 40)  # least words of each length class
 SIMILARITY = 0.8  # edit distance of at most a fifth of the item's words
 STRIDE = 4  # document windows start at every fourth word, item windows at every word
 STEPS = 24  # steps of a walk
 SAMPLES = 5  # positions in a repetition
 TARGET_RECALL = 0.95
-EDIT_RATE = 0.12  # share of words edited in the copies that the repetitions are chosen on
+DRAWN = 200  # items of a class, drawn at random, that the walks are chosen on
 MAX_WALKS = 12
-BLOCK_BYTES = 16 << 20  # benchmark text indexed, and broadcast, at a time
+BLOCK_BYTES = 1 << 20  # benchmark text indexed, and broadcast, at a time; an index takes 128 to 768 bytes a word
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, seed: int, samples: list[list[int]]) -> list[np.ndarray]:
     """For each repetition, the hash of the sampled positions of the walks that begin at `starts`."""
@@ -109,20 +115,25 @@ class Index:
         """Words that the shortest repetition may read."""
         return 1 + min(max(s) for s in self.samples)
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, word at which the item would begin), distinct, for one run of words."""
+    def _keys(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first words, keys) of a text's windows, for each repetition."""
         starts = np.arange(0, len(words), self.stride)
-        found_i, found_at = [], []
         for seed in self.seeds:
             for k in walk_keys(words, starts, seed, self.samples):
-                some = np.flatnonzero(self.near[(k >> np.uint64(44)).astype(np.int64)])
-                if not len(some):
-                    continue
-                low = np.searchsorted(self.keys, k[some], "left")
-                n = np.searchsorted(self.keys, k[some], "right") - low
-                hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found_i.append(self.items[hit].astype(np.int64))
-                found_at.append(np.repeat(starts[some], n) - self.offsets[hit])
+                yield starts, k
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, word at which the item would begin), distinct, for one run of words."""
+        found_i, found_at = [], []
+        for starts, k in self._keys(words):
+            some = np.flatnonzero(self.near[(k >> np.uint64(44)).astype(np.int64)])
+            if not len(some):
+                continue
+            low = np.searchsorted(self.keys, k[some], "left")
+            n = np.searchsorted(self.keys, k[some], "right") - low
+            hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found_i.append(self.items[hit].astype(np.int64))
+            found_at.append(np.repeat(starts[some], n) - self.offsets[hit])
         if not found_i:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         pairs = np.unique(np.stack([np.concatenate(found_i), np.concatenate(found_at)]), axis=1)
@@ -139,7 +150,7 @@ class Index:
         docs = np.searchsorted(firsts, np.clip(at + half[item], 0, max(0, len(words) - 1)), "right") - 1 if len(item) else item
         for i, a, d in zip(item.tolist(), at.tolist(), docs.tolist()):
             key, w = (d, i), self.words[i]
-            allowed = math.floor((1 - self.similarity) * len(w) + 1e-9)
+            allowed = allowed_edits(len(w), self.similarity)
             slack = allowed + self.stride
             got = best.get(key)
             if got and (got[0] == 0 or a - last[key] <= slack):
@@ -171,35 +182,92 @@ def sample_positions(shortest: int, seed: int = 7) -> tuple[int, list[list[int]]
     return stride, [pick(early), pick(early), pick(max(early, STEPS * 2 // 3)), pick(max(early, STEPS))]
 
 
-def edited(words: np.ndarray, rate: float, rng: np.random.Generator) -> np.ndarray:
-    """A copy in which a share of the words is replaced, left out or doubled by another word."""
+class Parts(Index):
+    """Items cut into one part more than the edits allowed, by the hash of each part: no copy within them is missed."""
+
+    def build(self) -> Parts:
+        keys, items, offsets, sizes = [], [], [], []
+        for i, w in enumerate(self.words):
+            edges = np.linspace(0, len(w), allowed_edits(len(w), self.similarity) + 2).astype(int)
+            for a, b in zip(edges, edges[1:]):
+                keys.append(_run_keys(w[a:b], int(b - a))[0])
+                items.append(i)
+                offsets.append(a)
+                sizes.append(b - a)
+        by = np.argsort(np.array(keys, np.uint64), kind="stable")
+        self.keys = np.array(keys, np.uint64)[by]
+        self.items, self.offsets = np.array(items, np.int32)[by], np.array(offsets, np.int32)[by]
+        self.samples = sorted(set(map(int, sizes)))  # lengths of parts
+        self.near = np.zeros(1 << 20, bool)
+        self.near[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        return self
+
+    def _keys(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for n in self.samples:
+            if len(words) >= n:
+                yield np.arange(len(words) - n + 1), _run_keys(words, n)
+
+
+def _run_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of n words, and of n."""
+    key = np.full(len(words) - n + 1, n, np.uint64)
+    for j in range(n):
+        key = mix(key * np.uint64(0x100000001B3) ^ words[j:len(words) - n + 1 + j])
+    return key
+
+
+def allowed_edits(n: int, similarity: float = SIMILARITY) -> int:
+    return math.floor((1 - similarity) * n + 1e-9)
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """A copy in which so many words, drawn at random, are each replaced, left out or followed by another word."""
+    where = set(rng.choice(len(words), min(edits, len(words)), replace=False).tolist())
     out = []
-    for w in words.tolist():
-        r = rng.random()
-        other = int(rng.integers(1, 1 << 62))
-        out += [w] if r >= rate else [other] if r < rate / 3 else [] if r < 2 * rate / 3 else [w, other]
+    for i, w in enumerate(words.tolist()):
+        other, kind = int(rng.integers(1, 1 << 62)), int(rng.integers(3))
+        out += [w] if i not in where else ([other], [], [w, other])[kind]
     return np.array(out, np.uint64)
 
 
-def choose_walks(words: list[np.ndarray], similarity: float, target: float = TARGET_RECALL, rate: float = EDIT_RATE) -> int:
-    """Number of walks with which edited copies of the items, in random text, are found at the target rate (a multiple of 2)."""
+def recall(index: Index, items: list[int], seed: int = 11) -> float:
+    """The share of copies of some items, with all edits allowed, that the index finds in random text."""
+    rng = np.random.default_rng(seed)
+    found = due = 0
+    for i in items:
+        w = index.words[i]
+        copy = edited(w, allowed_edits(len(w), index.similarity), rng)
+        noise = rng.integers(1, 1 << 62, 40 + int(rng.integers(0, 8)), np.int64).astype(np.uint64)
+        text = np.concatenate((noise, copy, noise))
+        due += 1
+        found += (0, i) in index.verified(text, np.zeros(1, np.int64))
+    return found / max(1, due)
+
+
+def class_index(words: list[np.ndarray], similarity: float = SIMILARITY, target: float = TARGET_RECALL) -> Index:
+    """Index of one length class: the fewest walks that reach the target on items drawn at random, else parts."""
     stride, samples = sample_positions(min(map(len, words)))
-    some = words[:200]
-    for n in range(2, MAX_WALKS + 1, 2):
-        rng = np.random.default_rng(11)
-        index = Index(list(range(len(some))), some, list(range(n)), samples, stride, similarity).build()
-        found = due = 0
-        for i, w in enumerate(some):
-            copy = edited(w, rate, rng)
-            noise = rng.integers(1, 1 << 62, 40 + int(rng.integers(0, 8)), np.int64).astype(np.uint64)
-            text = np.concatenate((noise, copy, noise))
-            if distance(w.tolist(), text.tolist()) > (1 - similarity) * len(w):
-                continue
-            due += 1
-            found += (0, i) in index.verified(text, np.zeros(1, np.int64))
-        if found >= target * due:
-            break
-    return n
+    drawn = np.random.default_rng(5).permutation(len(words))[:DRAWN].tolist()
+    if allowed_edits(min(map(len, words)), similarity):
+        some = [words[i] for i in drawn]
+        for n in range(2, MAX_WALKS + 1, 2):
+            trial = Index(list(range(len(some))), some, list(range(n)), samples, stride, similarity).build()
+            if recall(trial, list(range(len(some)))) >= target:
+                return Index(list(range(len(words))), words, list(range(n)), samples, stride, similarity).build()
+    return Parts(list(range(len(words))), words, [], [], 1, similarity).build()
+
+
+@dataclass
+class Classes:
+    """The indexes of all length classes of one block of the benchmark."""
+
+    ids: list
+    words: list[np.ndarray]
+    parts: list[tuple[np.ndarray, Index]]  # the items of each class, and their index
+
+    def verified(self, words: np.ndarray, firsts: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """(text, item) -> (least edit distance, word of the text at which the match is) for texts that begin at `firsts`."""
+        return {(d, int(items[i])): v for items, index in self.parts for (d, i), v in index.verified(words, firsts).items()}
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
@@ -209,15 +277,18 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     return [items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
 
 
-def benchmark_index(rows: list, similarity: float = SIMILARITY) -> Index | None:
+def benchmark_index(rows: list, similarity: float = SIMILARITY) -> Classes | None:
     words = [text_words(r["text"]) for r in rows]
-    keep = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
+    keep = [i for i, w in enumerate(words) if len(w)]
     if not keep:
         return None
     words = [words[i] for i in keep]
-    stride, samples = sample_positions(min(map(len, words)))
-    walks = choose_walks(words, similarity)
-    return Index([rows[i]["item_id"] for i in keep], words, list(range(walks)), samples, stride, similarity).build()
+    sizes = np.searchsorted(CLASSES, [len(w) for w in words], "right")
+    parts = []
+    for c in np.unique(sizes):
+        items = np.flatnonzero(sizes == c)
+        parts.append((items, class_index([words[i] for i in items], similarity)))
+    return Classes([rows[i]["item_id"] for i in keep], words, parts)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -227,12 +298,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A document holds an item if some run of its words is within
     floor((1 - similarity) x item words) word edits of the item; the least
     distance found is returned. Words are runs of letters and digits, case
-    apart (ASCII and Latin-1). Items below MIN_WORDS words are no passages and
-    are not searched; null texts hold nothing; null ids are returned as they
-    are; repeated rows give repeated results. The benchmark is indexed and
-    broadcast in blocks of at most about `block_bytes` of text, all documents
-    against each block. Unedited copies are always found, edited ones at
-    TARGET_RECALL for the benchmark's own items (`choose_walks`).
+    apart (ASCII and Latin-1). Items below five words allow no edit and are
+    found exactly; items without a word are not searched; null texts hold
+    nothing; null ids are returned as they are; repeated rows give repeated
+    results; an empty table of documents or items gives no rows. The benchmark
+    is indexed and broadcast in blocks of at most about `block_bytes` of text,
+    all documents against each block. Unedited copies are always found, edited
+    ones at TARGET_RECALL in every length class (`class_index`).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -267,7 +339,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text holds a benchmark item; all rows of a contaminated id go, rows without an id are judged by text."""
+    """`docs` without the rows whose text holds a benchmark item; rows are judged by their own id and text, null ids included."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     bad = find_items(docs.withColumn("__key", key), benchmark, "__key", text_col).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
