@@ -72,6 +72,18 @@ def q_distinct_urls(spark, sf):
     return distinct_urls(library(spark, sf).select(F.col("metadata.url").alias("url")))
 
 
+@query("distinct_urls_estimate", "SELECT event_type, count(DISTINCT user_id) AS n_exact, true AS within_bound FROM events GROUP BY event_type")
+def q_distinct_urls_estimate(spark, sf):
+    """Distinct users' urls per kind of event: sketches of two halves united, held against the exact count."""
+    from vellum.operators.sketch import STANDARD_ERROR, estimates, united, url_sketches
+    ev = table(spark, sf, "events").select("event_type", F.concat(F.lit("http://user/"), F.col("user_id").cast("string")).alias("url"), "event_id")
+    halves = url_sketches(ev.where("event_id % 2 = 0"), ["event_type"]).unionByName(url_sketches(ev.where("event_id % 2 = 1"), ["event_type"]))
+    exact = ev.groupBy("event_type").agg(F.countDistinct("url").alias("n_exact"))
+    both = estimates(united(halves, ["event_type"])).join(exact, "event_type")
+    within = F.abs(F.col("n_urls") - F.col("n_exact")) <= F.greatest(F.lit(1.0), 3 * STANDARD_ERROR * F.col("n_exact"))
+    return both.select("event_type", "n_exact", within.alias("within_bound"))
+
+
 _COUNTERS = """
 counters AS (
   SELECT run_id, task, count(*) AS total, count(*) AS processed,
