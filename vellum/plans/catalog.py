@@ -474,6 +474,23 @@ def q_summarize_doc(spark, sf):
     return p.select("page_id", summarize_doc(F.col("url"), F.col("r")).alias("summary"))
 
 
+@query("summarize_ranked", "WITH RECURSIVE " + chunk_sql("documents", "doc_id", "text") + f""",
+cut AS (SELECT k, pos AS chunk, unnest(range(len(t))) AS pos, unnest(t) AS raw FROM (
+  SELECT k, pos, regexp_extract_all(chunk, '([^.!?]*[.!?]+|[^.!?]+)', 1) AS t FROM kept)),
+parts AS (SELECT * FROM (SELECT k, chunk, pos, {S.js_trim('raw')} AS sentence FROM cut) WHERE sentence <> ''),
+words AS (SELECT k, chunk, pos, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) AS word FROM parts),
+counts AS (SELECT k, word, count(*) AS tf FROM words GROUP BY k, word),
+rarity AS (SELECT word, CAST(floor(1000 * ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1))) AS BIGINT) AS r FROM counts GROUP BY word),
+scores AS (SELECT w.k, w.chunk, w.pos, CAST(sum(c.tf * r.r) AS BIGINT) // count(*) AS score
+  FROM (SELECT DISTINCT * FROM words) w JOIN counts c ON c.k = w.k AND c.word = w.word JOIN rarity r ON r.word = w.word GROUP BY 1, 2, 3),
+ranked AS (SELECT p.k, p.chunk, p.sentence, row_number() OVER (PARTITION BY p.k, p.chunk ORDER BY coalesce(s.score, 0) DESC, p.pos) AS rn
+  FROM parts p LEFT JOIN scores s ON s.k = p.k AND s.chunk = p.chunk AND s.pos = p.pos)
+SELECT k AS doc_id, string_agg(sentence, ' ' ORDER BY chunk) AS summary FROM ranked WHERE rn = 1 GROUP BY k""")
+def q_summarize_ranked(spark, sf):
+    from vellum.operators.rank_sentences import ranked_summaries
+    return ranked_summaries(heavy_table(spark, sf, "documents"))
+
+
 @query("refresh_summary", S.with_(S.LIBRARY) + """
 SELECT l.id, c.turn, coalesce(nullif(c.text, ''), l.summary) AS summary
 FROM library l LEFT JOIN conversations c ON c.conv_id = l.doc_id""")
