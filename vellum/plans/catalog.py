@@ -77,6 +77,16 @@ def q_export_backup(spark, sf):
     return flat_library(read_backup(spark, path))
 
 
+@query("read_backup_split", LIB + f"SELECT {LIB_COLS} FROM library")
+def q_read_backup_split(spark, sf):
+    """The library exported as one array file, which many tasks read."""
+    from vellum.session import scratch_path
+    from vellum.sources.library_io import export_backup, read_backup
+    path = scratch_path(spark, "backup-one")
+    export_backup(library(spark, sf).coalesce(1), path)
+    return flat_library(read_backup(spark, path, split=True))
+
+
 @query("flatten_tree", S.with_(S.TREE, """
 walk AS (
   SELECT id, title, url, sort_key AS path FROM tree WHERE parent_id IS NULL

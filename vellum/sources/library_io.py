@@ -145,8 +145,15 @@ def export_backup(df: DataFrame, path: str, lines: bool = False) -> str:
     return path
 
 
-def read_backup(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Read backup files (JSON arrays, or with `lines` JSON Lines) into the library schema, ids kept."""
+def read_backup(spark: SparkSession, path: str, lines: bool = False, split: bool = False) -> DataFrame:
+    """Read backup files (JSON arrays, or with `lines` JSON Lines) into the library schema, ids kept.
+
+    With `split` an array file is read by many tasks (`json_array`), and one that is no array is an error.
+    """
+    if split:
+        from vellum.sources.json_array import read_json_array
+
+        return conform(_from_backup(read_json_array(spark, path).select(F.from_json("json", BACKUP_SCHEMA).alias("r")).select("r.*")))
     raw = spark.read.schema(BACKUP_SCHEMA).option("multiLine", str(not lines).lower()).json(path)
     return conform(_from_backup(raw))
 
