@@ -243,27 +243,34 @@ def search_text(library: DataFrame, queries: DataFrame, k: int | None = 5, id_co
 
     q = queries.select(qid_col, js_trim(F.col(qtext_col)).alias("_q")).where(F.col("_q") != "")
     q = q.withColumn("_qv", embed_udf(embedder)(F.col("_q"))["embedding"]).select(qid_col, "_qv")
-    if k is None:
+    if k is None:  # every record for every query: as many rows as pairs, which the caller asks for
         k = max(1, library.count())
     return batch_topk(library, q, k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col="_qv")
 
 
 def adaptive_topk(library: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id",
                   vec_col: str = "embedding", qid_col: str = "qid", **ann_args) -> DataFrame:
-    """K5: exact when the library is empty, k is unset or k >= N, or the index fails; else approximate."""
-    from vellum.operators.ann import ann_topk
-    from vellum.session import scratch_path
+    """K5: exact when the library is empty, k is unset or k >= N, or no index can be built; else approximate.
+
+    Only a failure to build the index falls back, with a warning; a failure of
+    the search itself (a full disk, a wrong column) is raised.
+    """
+    import logging
+
+    from vellum.operators.ann import ann_topk, build_keys
 
     n = library.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).count()
     if k is None or k >= n:
         return batch_topk(library, queries, max(1, n), id_col, vec_col, qid_col)
-    try:
-        found = ann_topk(library, queries, k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, **ann_args)
-        path = scratch_path(library.sparkSession, "ann")
-        found.write.parquet(path)  # the search runs here, where a failure is caught
-        return library.sparkSession.read.schema(found.schema).parquet(path)
-    except Exception:  # noqa: BLE001 - the exact path is always correct
-        return batch_topk(library, queries, k, id_col, vec_col, qid_col)
+    asked, dim = _query_size(queries, vec_col)
+    built = {a: ann_args.pop(a) for a in ("method", "tables", "bits", "cells", "nprobe") if a in ann_args}
+    if asked and "keys" not in ann_args:
+        try:
+            ann_args["keys"] = build_keys(library, vec_col, dim, **built)
+        except Exception as exc:  # noqa: BLE001 - whatever an index method raises
+            logging.getLogger(__name__).warning("no index (%s), exact search instead", exc)
+            return batch_topk(library, queries, k, id_col, vec_col, qid_col)
+    return ann_topk(library, queries, k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, **ann_args)
 
 
 def hydrate(hits: DataFrame, records: DataFrame, k: int, id_col: str = "id", qid_col: str = "qid",

@@ -9,6 +9,8 @@ Lines directories are accepted too.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,7 +183,7 @@ def import_backup(spark: SparkSession, path: str, on_conflict: str | None = None
     if not lines:
         check_backup_is_array(spark, path)
     recs = read_backup(spark, path, lines).where(is_importable(F.col("embedding"), F.col("text")))
-    token = F.lit(batch) if batch is not None else F.concat(F.lit(path), F.current_timestamp().cast("string"))
+    token = F.lit(batch if batch is not None else f"{path}#{uuid.uuid4().hex}")  # fixed here: every action on the frame gives the same ids
     recs = recs.withColumn("_origin", F.concat_ws("#", token, F.input_file_name(),
                                                   F.monotonically_increasing_id().cast("string")))
     if on_conflict == "skip" and current is not None:
