@@ -77,3 +77,21 @@ def test_hydrate_searches_once(spark):
     hits = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.75)], "qid long, id string, sim double").mapInPandas(count, "qid long, id string, sim double")
     out = search.hydrate(hits, spark.createDataFrame([("a", "x")], "id string, text string"), 5).collect()
     assert [(r["id"], r["rank"]) for r in out] == [("a", 1)] and n.value == 2
+
+
+def test_index_search_deals_no_whole_blocks(spark, tmp_path, monkeypatch):
+    """Probes carry places, not vectors, and parts of cells give the same rows as all of them at once."""
+    from vellum.operators import pq_index
+
+    vec = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.sin(F.col("id") * (i + 1)).cast("float"))
+    lib = spark.range(1500).select("id", vec.alias("embedding"))
+    index = pq_index.build_index(lib, str(tmp_path / "index"), k=3)
+    q = lib.where("id % 5 = 0").select(F.col("id").alias("qid"), "embedding")
+    stored = {}
+    before = pq_index._stored
+    monkeypatch.setattr(pq_index, "_stored", lambda df, name: stored.setdefault(name, df) is None or before(df, name))
+    key = lambda df: sorted((r["qid"], r["id"], r["rank"], r["sim"]) for r in df.collect())
+    whole = key(index.search(q, 3))
+    assert set(stored["pq-probes"].columns) == {"cell", "qb", "at"}
+    monkeypatch.setattr(pq_index, "PART_BYTES", 4000)
+    assert key(index.search(q, 3)) == whole and len(whole) == 900

@@ -6,7 +6,8 @@ over is coded in a byte for every few dimensions.  The index is a table of
 blocks partitioned by cell.  A search names the cells that its queries probe,
 reads the codes of those partitions alone, keeps each query's most promising
 vectors by their codes, and scores just these exactly, from the blocks that
-hold them.  How many cells to probe and how many vectors to score is measured
+hold them.  A task takes a block of queries and a bounded part of the cells; what
+is dealt to it are codes and the vectors asked for, not whole blocks.  How many cells to probe and how many vectors to score is measured
 against exact search on a sample of the library when the index is built.
 
 The driver holds centres, codebooks and bounded training samples, no vectors
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from vellum.functions.vectors import dimension_ok
-from vellum.operators.search import SIM_DIGITS, _unit_rows, batch_topk, rank_window
+from vellum.operators.search import SIM_DIGITS, _unit_rows, batch_topk, flat_topk, rank_window
 
 #: Vectors that centres and codebooks are trained on at most, and per sub-cell.
 MAX_TRAIN = 50_000
@@ -37,6 +40,8 @@ QUERY_BLOCK = 1024
 #: Dimensions that share a code byte.
 CODE_DIMS = 4
 MAX_CELLS = 1 << 17
+#: Bytes of codes or vectors dealt to a task with a block of queries, about.
+PART_BYTES = 64 << 20
 #: Cells named in a scan's filter at most.
 MAX_NAMED = 10_000
 SAMPLE_QUERIES = 200
@@ -87,12 +92,13 @@ class Cells:
         s = q @ self.cells.T
         return np.argsort(-s, axis=1, kind="stable")[:, :n]
 
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """What the codes of a cell's vectors stand for."""
+        return self.cells[cell] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
+
     def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Products of queries with coded vectors of a cell, up to the coding error."""
-        out = np.repeat((q @ self.cells[cell])[:, None], len(codes), axis=1)
-        for j, book in enumerate(self.books):
-            out += (q[:, self.cuts[j]:self.cuts[j + 1]] @ book.T)[:, codes[:, j]]
-        return out
+        return q @ self.decode(cell, codes).astype(q.dtype).T
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -173,51 +179,90 @@ class PQIndex:
                     edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
                     yield pa.RecordBatch.from_pydict({
                         "cell": pa.array(cell[edges[:-1]].astype(np.int32)), "qb": pa.array([batch.column("qb")[i].as_py()] * (len(edges) - 1), pa.int64()),
-                        "at": pa.array([row[a:b].tolist() for a, b in zip(edges, edges[1:])], pa.list_(pa.int32())),
-                        "q": pa.array([q[row[a:b]].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+                        "at": pa.array([row[a:b].tolist() for a, b in zip(edges, edges[1:])], pa.list_(pa.int32()))})
 
-        probes = _stored(asked.mapInArrow(ask, "cell int, qb long, at array<int>, q binary"), "pq-probes")
+        probes = _stored(asked.mapInArrow(ask, "cell int, qb long, at array<int>"), "pq-probes")
         named = [r["cell"] for r in probes.select("cell").distinct().limit(MAX_NAMED + 1).collect()]
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan(seen: pa.Table, asked: pa.Table) -> pa.Table:
+            """The `rerank` most promising vectors of every query of a block, by the codes of some of the cells."""
             cells = sent.value
-            for batch in batches:
-                for r in batch.to_pylist():
-                    codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, len(cells.books))
-                    q = np.frombuffer(r["q"], np.float64).reshape(-1, dim)
-                    s = cells.scores(q, r["cell"], codes)
-                    m = min(rerank, len(codes))
-                    best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(codes) else np.tile(np.arange(m), (len(q), 1))
-                    yield pa.RecordBatch.from_pydict({
-                        "qb": pa.array(np.full(best.size, r["qb"])), "at": pa.array(np.repeat(np.array(r["at"], np.int32), m)),
-                        "cell": pa.array(np.full(best.size, r["cell"], np.int32)), "block": pa.array(np.full(best.size, r["block"])),
-                        "place": pa.array(best.ravel().astype(np.int32)), "guess": pa.array(np.take_along_axis(s, best, 1).ravel())})
+            best = (np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64))
+            blocks = np.zeros(0, np.int64)
+            if len(seen) and len(asked):
+                q = np.frombuffer(asked.column("vecs")[0].as_py(), np.float64).reshape(-1, dim).astype(np.float32)
+                least, held = np.full(len(q), -np.inf, np.float32), 0
+                seen = seen.sort_by("block")
+                blocks = seen.column("block").to_numpy()
+                for i in range(len(seen)):
+                    codes = np.frombuffer(seen.column("codes")[i].as_py(), np.uint8).reshape(-1, len(cells.books))
+                    at = seen.column("at")[i].values.to_numpy()
+                    s = cells.scores(q[at], seen.column("cell")[i].as_py(), codes)
+                    if rerank < len(codes):  # only a block's own best can be among the best of all
+                        s[s < np.partition(s, -rerank, axis=1)[:, -rerank, None]] = -np.inf
+                    row, place = np.nonzero((s >= least[at, None]) & (s > -np.inf))
+                    best = tuple(map(np.concatenate, zip(best, (at[row], s[row, place], i * BLOCK + place))))
+                    if len(best[0]) > max(2 * held, 1 << 20) or i == len(seen) - 1:  # cut what is kept only when it has doubled
+                        best = flat_topk(*best, rerank)
+                        held = len(best[0])
+                        full = np.bincount(best[0], minlength=len(q)) >= rerank
+                        np.minimum.at(low := np.full(len(q), np.inf, np.float32), best[0], best[1])
+                        least = np.where(full, low, least)
+            return pa.table({"qb": pa.array(np.full(len(best[0]), asked.column("qb")[0].as_py() if len(asked) else 0), pa.int64()),
+                             "at": pa.array(best[0].astype(np.int32)), "block": pa.array(blocks[best[2] // BLOCK], pa.int64()),
+                             "place": pa.array((best[2] % BLOCK).astype(np.int32)), "guess": pa.array(best[1].astype(np.float64))})
 
         from vellum.operators.library import sized_broadcast
 
-        seen = self.blocks(named).select("cell", "block", "codes").join(sized_broadcast(probes), "cell") \
-            .mapInArrow(scan, "qb long, at int, cell int, block long, place int, guess double")
+        def dealt(rows: DataFrame, by: str, row_bytes: int):
+            """`rows` and the blocks of queries, by block of queries and part."""
+            parts = max(1, -(-self.n * row_bytes // PART_BYTES))
+            every = asked.select("qb", "qids", "vecs", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+            return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).groupBy("qb", "part").cogroup(every.groupBy("qb", "part"))
+
+        seen = self.blocks(named).select("cell", "block", "codes").join(sized_broadcast(probes), "cell")
+        seen = dealt(seen, "block", len(self.cells.books)).applyInArrow(scan, "qb long, at int, block long, place int, guess double")
         first = Window.partitionBy("qb", "at").orderBy(F.desc("guess"), "block", "place")
         short = _stored(seen.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= rerank).drop("rn", "guess"), "pq-short")
-        pairs = short.groupBy("cell", "block", "qb").agg(F.collect_list(F.struct("at", "place")).alias("pairs"))  # of one block of queries
-        wanted = [r["cell"] for r in short.select("cell").distinct().limit(MAX_NAMED + 1).collect()]
+        pairs = short.groupBy("block", "qb").agg(F.collect_list(F.struct("at", "place")).alias("pairs"))  # of one block of queries
         kind = T.StructType([T.StructField("qid", queries.schema[qid_col].dataType), T.StructField(id_col, self.id_type), T.StructField("sim", T.DoubleType())])
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(len(batch)):
-                    ids, qids = batch.column("ids")[i].values, batch.column("qids")[i].values
-                    raw = batch.column("vecs")[i].as_py()
+        def take(block: pa.Table, wanted: pa.Table) -> pa.Table:
+            """For every block of queries the vectors of one block that it asks for."""
+            out = {n: [] for n in ("qb", "block", "at", "place", "ids", "vecs")}
+            for i in range(len(wanted) if len(block) else 0):
+                ids, raw = block.column("ids")[0].values, block.column("vecs")[0].as_py()
+                x = np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(ids) else "<f8").reshape(-1, dim)
+                both = wanted.column("pairs")[i].values
+                used, place = np.unique(both.field("place").to_numpy(), return_inverse=True)
+                for n, v in (("qb", wanted.column("qb")[i].as_py()), ("block", wanted.column("block")[i].as_py()), ("at", both.field("at").to_pylist()),
+                             ("place", place.tolist()), ("ids", ids.take(pa.array(used)).to_pylist()), ("vecs", x[used].tobytes())):
+                    out[n].append(v)
+            return pa.table(out, schema=sent_kind)
+
+        id_arrow = to_arrow_schema(T.StructType([T.StructField("ids", T.ArrayType(self.id_type))])).field("ids").type
+        sent_kind = pa.schema([("qb", pa.int64()), ("block", pa.int64()), ("at", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("ids", id_arrow), ("vecs", pa.binary())])
+        taken = T.StructType([T.StructField("qb", T.LongType()), T.StructField("block", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType())),
+                              T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(self.id_type)), T.StructField("vecs", T.BinaryType())])
+        out_kind = to_arrow_schema(kind)
+
+        def score(near: pa.Table, asked: pa.Table) -> pa.Table:
+            out = []
+            if len(near) and len(asked):
+                q = np.frombuffer(asked.column("vecs")[0].as_py(), np.float64).reshape(-1, dim)
+                qids = asked.column("qids")[0].values
+                for i in range(len(near)):
+                    ids, raw = near.column("ids")[i].values, near.column("vecs")[i].as_py()
                     x = np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(ids) else "<f8").reshape(-1, dim)
-                    q = np.frombuffer(batch.column("q")[i].as_py(), np.float64).reshape(-1, dim)
-                    both = batch.column("pairs")[i].values
-                    at, place = both.field("at").to_numpy(), both.field("place").to_numpy()
-                    sims = np.round(np.einsum("ij,ij->i", _unit_rows(x[place]), q[at]), SIM_DIGITS)
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), ids.take(pa.array(place)), pa.array(sims)], names=["qid", id_col, "sim"])
-
-        near = self.blocks(wanted).select("block", "ids", "vecs").join(pairs.drop("cell"), "block") \
-            .join(asked.select("qb", "qids", F.col("vecs").alias("q")), "qb")
-        scored = near.mapInArrow(score, kind)
+                    at, place = near.column("at")[i].values.to_numpy(), near.column("place")[i].values.to_numpy()
+                    sims = np.round(np.einsum("ij,ij->i", _unit_rows(x)[place], q[at]), SIM_DIGITS)
+                    out.append(pa.table([qids.take(pa.array(at)), ids.take(pa.array(place)), pa.array(sims)], schema=out_kind))
+            return pa.concat_tables(out) if out else out_kind.empty_table()
+
+        wanted = [r["cell"] for r in self.blocks(named).select("cell", "block").join(short.select("block").distinct(), "block", "left_semi")
+                  .select("cell").distinct().limit(MAX_NAMED + 1).collect()]
+        near = self.blocks(wanted).select("block", "ids", "vecs").groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(take, taken)
+        scored = dealt(near, "block", 8 * dim).applyInArrow(score, kind)
         if exclude_self:
             scored = scored.where(F.col("qid") != F.col(id_col))
         return rank_window(scored, "qid", id_col, k).withColumnRenamed("qid", qid_col)
@@ -318,7 +363,8 @@ def tune(index: PQIndex, usable: DataFrame, k: int, target: float) -> dict:
     cells = len(index.cells.cells)
     share = max(LEAST_RERANK, math.floor(MAX_SHARE * index.n))
     tried = [(p, min(share, max(LEAST_RERANK, 10 * k))) for p in sorted({max(1, math.ceil(cells * f)) for f in (0.05, 0.1, 0.2, 0.4, 0.7, 1)})]
-    tried += [(cells, share), (cells, 4 * share), (cells, index.n)]
+    more = [r for r in (max(LEAST_RERANK, 10 * k) << i for i in range(1, 32)) if r < share]  # no more than is needed
+    tried += [(cells, r) for r in [*more, share, 4 * share, index.n]]
     for probe, rerank in tried:
         got = index.search(asked, k, qvec_col="vec", exclude_self=True, probe=probe, rerank=min(rerank, index.n)).select("qid", "id").collect()
         recall = len(exact & {(r["qid"], r["id"]) for r in got}) / max(1, len(exact))
