@@ -42,3 +42,20 @@ def test_every_chunk_gives_a_sentence(spark):
     picked = re.findall(r"[^.]+\.", whole)
     assert len(chunks) > 3 and len(picked) == len(chunks)
     assert all(p.strip() in c for p, c in zip(picked, chunks)) and sum("topic" in p for p in picked) >= len(chunks) - 1
+
+
+def test_rare_words_by_shuffle_give_the_same(spark, monkeypatch):
+    from vellum.operators import rank_sentences
+    docs = [(i, f"the start number {i}. Rare{i} rare{i} word here! the the the? ... tail {i % 3}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    key = lambda: sorted(map(tuple, rank_sentences.ranked_summaries(df).collect()))
+    whole = key()
+    monkeypatch.setattr(rank_sentences, "MAX_WORDS", 0)
+    assert key() == whole and dict(whole) == brute(docs, 4000)
+
+
+def test_words_are_dealt_by_the_bytes_of_the_texts(spark, monkeypatch):
+    """Tasks grow in number with the texts, not in size."""
+    from vellum.session import parts_for
+    df = spark.range(50).selectExpr("id", "repeat('ab', 1000) AS text")
+    assert parts_for(df, "text", 1000) == 100 and parts_for(df, "text", 1 << 30) == int(spark.conf.get("spark.sql.shuffle.partitions"))
