@@ -14,13 +14,13 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"), "__n")
+    least = cut(_least(both).select("u", F.least("u", "m").alias("m"), "__n"), "cc-least")
     return hot_join(both.filter("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = cut(_least(down), "cc-least")
     moved = hot_join(down, least, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.filter("u <> v").select("u", "v").distinct(), "cc-edges")
     seen = _mark(now)
     while True:
-        star = _large_star(now, seen[0])  # as many links as before
+        star = cut(_large_star(now, seen[0]), "cc-star")  # as many links as before
         now = cut(_small_star(star, seen[0]).filter("u <> v").distinct(), "cc-round")
         mark = _mark(now)
         if mark == seen:
