@@ -47,6 +47,8 @@ TOKEN = ("(?i)(" + "|".join([
     REFERENCE, r"[^<&]+", r"[<&]"]) + ")")
 TAG = r"^</?([A-Za-z][^\s/>]*)"
 LAST = 1 << 40  # the end of a span that no tag ends
+#: Bytes of pages whose tokens a task holds, about: tokens and their sorts take a hundred times as much.
+TASK_BYTES = 4 << 20
 
 
 def attribute_pattern(name: str) -> str:
@@ -115,10 +117,13 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     A null page is an empty response.  A page without a body tag is all body
     but for its head.  `&name;` is decoded where the standard lists the name,
     numbers where they name a character, else U+FFFD.  The tokens are dealt by
-    page once; every step up to the joined text is a window over that.
+    page once, over as many tasks as the pages' bytes ask for; every step up to
+    the joined text is a window over that.
     """
+    from vellum.session import parts_for
+
     pages = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    tok = _with_ends(page_tokens(pages).repartition("id"))
+    tok = _with_ends(page_tokens(pages.repartition(parts_for(pages, "html", TASK_BYTES), "id")))
     here = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     page = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 

@@ -27,7 +27,8 @@ def page_contents(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """(url, extracted) for the distinct `urls` that have a page: the document's text, else the fetch path's (H8)."""
     from vellum.operators.page_text import extract_with_fallback
 
-    found = extract_with_fallback(one_page_per_url(pages, urls), "url", "html")
+    # stored: its size is measured, and two extractions read it
+    found = extract_with_fallback(_stored(one_page_per_url(pages, urls), "url-pages"), "url", "html")
     return found.select("url", F.struct("success", "content", F.col("title"), "error").alias("extracted"))
 
 
