@@ -52,10 +52,10 @@ def _start(rows: DataFrame, dim: int, n: int, keep: int) -> DataFrame:
     Half of its edges come from each, so that the graph does not fall apart into cells.
     """
     spark = rows.sparkSession
-    cells = train(rows, dim, n, cells=max(1, math.ceil(n / (START_BLOCK // 2))))
+    cells = train(rows.select(F.col("vec").cast("array<double>").alias("vec")), dim, n, cells=max(1, math.ceil(n / (START_BLOCK // 2))))
     sent = spark.sparkContext.broadcast(cells)
     kind = rows.schema["id"].dataType
-    place = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("id", kind), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    place = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("id", kind), T.StructField("vec", rows.schema["vec"].dataType)])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,6 +103,8 @@ def _candidates(edges: DataFrame, rows: DataFrame, dim: int, keep: int) -> DataF
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", "new")
     both = edges.select("src", "dst", "sim", "new").unionByName(_best(back, keep))
     around = both.groupBy("src", "dst").agg(F.max("new").alias("new"))
+    # vectors go only to nodes that have a new neighbour: the pairs of the others are known
+    around = around.withColumn("due", F.max("new").over(Window.partitionBy("src"))).where("due").drop("due")
     known = rows.join(least, rows["id"] == least["node"]).select("id", "vec", "least")
     near = around.join(known, around["dst"] == known["id"]).groupBy("src").agg(
         F.collect_list(F.struct("id", "new", "least", "vec")).alias("near"))  # at most twice `keep`
@@ -142,7 +144,9 @@ def descend(vectors: DataFrame, m: int = 16, id_col: str = "id", vec_col: str =
     if first is None:
         return Descent(spark.createDataFrame([], T.StructType([*schema.fields[:2], T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])))
     keep = pool or max(2 * m, 32)
-    rows = _stored(vectors.where(dimension_ok(v, first)).select(F.col(id_col).alias("id"), v.cast("array<double>").alias("vec")), "descent-vectors")
+    # vectors travel at the precision they have; products are taken in doubles
+    vec = v if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else v.cast("array<double>")
+    rows = _stored(vectors.where(dimension_ok(v, first)).select(F.col(id_col).alias("id"), vec.alias("vec")), "descent-vectors")
     n = rows.count()
     edges = _stored(_best(_start(rows, first, n, keep), keep).withColumn("new", F.lit(True)), "descent-start")
     found = Descent(edges, scored=[n * min(n, START_BLOCK)])
@@ -152,7 +156,7 @@ def descend(vectors: DataFrame, m: int = 16, id_col: str = "id", vec_col: str =
         if not scored:
             break
         old = edges.select("src", "dst", "sim", F.lit(False).alias("new"))
-        some = cand.where("src IS NOT NULL").select("src", "dst", "sim").distinct().withColumn("new", F.lit(True))
+        some = cand.where("src IS NOT NULL").select("src", "dst", "sim").withColumn("new", F.lit(True))
         # an edge that was there stays known; `new` marks those that this round brought in
         merged = old.unionByName(some).groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
         edges = _stored(_best(merged, keep), "descent-round")
