@@ -320,9 +320,9 @@ def q_progress_stream(spark, sf):
     from vellum.session import scratch_path
     from vellum.streaming.item_progress import numbered_items, run_item_progress
     src = scratch_path(spark, "items-src")
-    it = numbered_items(items(spark, sf))
-    it.repartition(2, F.xxhash64("pos")).write.parquet(src)  # files hold items of all runs, in no order
-    out = run_item_progress(spark, src, scratch_path(spark, "items-progress"), scratch_path(spark, "items-ckpt"))
+    it, half = numbered_items(items(spark, sf)), -(-spark.sparkContext.defaultParallelism // 2)
+    it.repartition(2 * half, F.xxhash64("pos")).write.parquet(src)  # files hold items of all runs, in no order; half of them a micro-batch
+    out = run_item_progress(spark, src, scratch_path(spark, "items-progress"), scratch_path(spark, "items-ckpt"), half)
     return out.select("run_id", "pos", "seq", "total", "processed", "success_count", "skipped_count", "failed_count", "rose", "changed")
 
 

@@ -8,16 +8,19 @@ so that each item's row is emitted once, with the same counters as the batch
 query `running_progress` gives it.  State lives in the checkpoint: a restarted
 query goes on where it stopped, and items that a source delivers again are
 known by their number and dropped.
+
+Runs are dealt by hash to shards, the keys of the stream, and within a shard
+to pages, the entries of its state: many short runs share a call, a frame and
+an entry, and a micro-batch reads and writes the pages of its runs only.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,142 +40,261 @@ PROGRESS_SCHEMA = T.StructType([
     T.StructField("changed", T.BooleanType()),  # T6: the status differs from the item's before
 ])
 
-#: Numbers in a block of early items; a block is one entry of the state.
+#: Numbers in a block of early items; a block of a page is one entry of the state.
 SEQ_BLOCK = 4096
+#: Keys of the stream, and pages of runs in each; fixed for the life of a checkpoint.
+SHARDS = 1024
+PAGES = 8
+#: Items of a shard that are handled at once, and blocks of a run that are read ahead at most.
+HANDLED_ROWS = 1 << 19
+AHEAD = 64
 _ITEM = ["seq", "pos", "status", "error", "thrown"]
-#: Where a run stands: next number due, counters, items given up, status of the item before, task and total.
-_AT = T.StructType([T.StructField(n, T.LongType()) for n in ("due", "success", "skipped", "failed", "lost")]
-                   + [T.StructField("last", T.StringType()), T.StructField("task", T.StringType()), T.StructField("total", T.LongType())])
-_EARLY = T.StructType([T.StructField("items", T.StringType())])
+#: Where a run stands: next number due, counters, items given up, status of the item before, task, total and early items.
+_COUNTS = ["due", "success", "skipped", "failed", "lost", "total", "held"]
+_RUNS = pa.schema([("run_id", pa.int64())] + [(n, pa.int64()) for n in _COUNTS] + [("last", pa.string()), ("task", pa.string())])
+_EARLY = pa.schema([("run_id", pa.int64()), ("seq", pa.int64()), ("pos", pa.int64()), ("status", pa.string()), ("error", pa.string()),
+                    ("thrown", pa.bool_())])
+_WAITS = pa.schema([("run_id", pa.int64()), ("page", pa.int64())])
+#: Entries of the state are Arrow record batches of these columns.
+_ENTRY = T.StructType([T.StructField("rows", T.BinaryType())])
+
+
+def _objects(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    out = np.empty(len(column), dtype=object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def _passed(at: dict, i: np.ndarray, items: pa.Table) -> pd.DataFrame:
+    """Progress rows of `items`, of runs `i` in order, whose numbers follow on from `at` without a gap; `at` goes on past them."""
+    seq, status = items["seq"].to_numpy(), _objects(items["status"])
+    head = np.r_[True, i[1:] != i[:-1]]
+    first = np.flatnonzero(head)
+    last, of, runs = np.r_[first[1:], len(i)] - 1, np.cumsum(head) - 1, i[first]
+
+    def upto(flags: np.ndarray, name: str) -> np.ndarray:
+        c = np.cumsum(flags)
+        return at[name][i] + c - (c - flags)[first][of]
+
+    failed = (status == "failure").astype(bool) | items["thrown"].fill_null(False).to_numpy()
+    skipped = (status == "skip").astype(bool) & ~failed
+    success = ~failed & ~skipped
+    before = np.r_[at["last"][:1], status[:-1]]
+    before[first] = at["last"][runs]
+    changed = (before != status).astype(bool)
+    changed[first[at["due"][runs] - at["lost"][runs] == 1]] = True  # nothing came before the first item, not even a null status
+    out = items.select(_ITEM).to_pandas(integer_object_nulls=True)
+    out["task"], out["total"] = at["task"][i], at["total"][i]
+    out["success_count"], out["skipped_count"], out["failed_count"] = upto(success, "success"), upto(skipped, "skipped"), upto(failed, "failed")
+    out["lost_count"] = at["lost"][i]
+    out["processed"] = seq - at["lost"][i]
+    out["rose"] = success & (seq < at["total"][i])
+    out["changed"] = changed
+    at["due"][runs] = seq[last] + 1
+    for name in ("success", "skipped", "failed"):
+        at[name][runs] = out[f"{name}_count"].to_numpy()[last]
+    at["last"][runs] = status[last]
+    return out
 
 
 def advance(at: dict, items: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-    """Counters after each of `items`, whose numbers follow on from `at` without a gap; the state after the last."""
-    thrown = np.array([t is True or t is np.True_ for t in items["thrown"]], bool)
-    status = items["status"].to_numpy(dtype=object)
-    failed = (status == "failure") | thrown
-    skipped = (status == "skip") & ~failed
-    success = ~failed & ~skipped
-    out = items[_ITEM].copy()
-    out["task"], out["total"] = at["task"], at["total"]
-    out["success_count"] = at["success"] + np.cumsum(success)
-    out["skipped_count"] = at["skipped"] + np.cumsum(skipped)
-    out["failed_count"] = at["failed"] + np.cumsum(failed)
-    out["lost_count"] = at["lost"]
-    out["processed"] = out["seq"] - at["lost"]
-    out["rose"] = success & (out["seq"] < at["total"]).to_numpy()
-    before = np.concatenate(([at["last"]], status[:-1])) if len(status) else status
-    first = at["due"] - at["lost"] == 1  # nothing came before the first item, not even a null status
-    same = np.array([(a is None and b is None) or (a is not None and b is not None and a == b) for a, b in zip(before, status)], bool)
-    if first and len(same):
-        same[0] = False
-    out["changed"] = ~same
-    new = dict(at, due=int(items["seq"].iloc[-1]) + 1, success=int(out["success_count"].iloc[-1]), skipped=int(out["skipped_count"].iloc[-1]),
-               failed=int(out["failed_count"].iloc[-1]), last=status[-1])
-    return new, out
+    """Counters after each of one run's `items`, whose numbers follow on from `at` without a gap; the state after the last."""
+    some = {n: np.array([v], dtype=object if n in ("last", "task") else np.int64) for n, v in at.items()}
+    schema = pa.schema([_EARLY.field(n) for n in _ITEM])
+    out = _passed(some, np.zeros(len(items), np.int64), pa.Table.from_pandas(items[_ITEM], schema=schema, preserve_index=False))
+    return {n: v[0] if n in ("last", "task") else int(v[0]) for n, v in some.items()}, out
 
 
 class ItemProgress(StatefulProcessor):
-    """One run's state.  `patience_ms`: how long after the newest event time of its early items a gap is waited for; None: for ever."""
+    """The runs of one shard.  `patience_ms`: how long after the newest event time of its early items a run's gap is waited for; None: for ever."""
 
     def __init__(self, patience_ms: int | None = None):
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", _AT)
-        self.early = handle.getMapState("early", T.StructType([T.StructField("block", T.LongType())]), _EARLY)
+        key = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
+        self.runs = handle.getMapState("runs", key("page"), _ENTRY)
+        self.early = handle.getMapState("early", key("page", "block"), _ENTRY)
+        self.waits = handle.getMapState("waits", key("ms"), _ENTRY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, newest = self._now(), None
-        for part in rows:
-            if at["total"] is None:
-                at["task"], at["total"] = part["task"].iloc[0], int(part["total"].iloc[0])
+        newest: dict[tuple[int, int], int] = {}
+        for part in _joined(rows):
             if self.patience_ms is not None:
-                ms = part["ts"].max()
-                newest = max(newest or 0, int(ms.timestamp() * 1000)) if not pd.isna(ms) else newest
-            self._hold(at, part)
-        at, out = self._move(at)
-        self._store(at)
-        if newest is not None and self._waiting(at):
-            self.handle.registerTimer(newest + self.patience_ms)
-        yield self._rows(key, out)
+                for run, ts in part.groupby(["run_id", "page"])["ts"].max().dropna().items():
+                    newest[run] = max(newest.get(run, 0), int(ts.timestamp() * 1000))
+            pages, run, seq = (part[c].to_numpy(np.int64) for c in ("page", "run_id", "seq"))
+            at = self._runs_of(np.unique(pages))
+            self._begin(at, part, run)
+            i = at["index"].get_indexer(run)
+            due = np.flatnonzero((seq >= at["due"][i]) & (seq <= at["total"][i]))  # others are passed already or out of range
+            yield from self._move(at, i[due], _items(part.iloc[due]), np.unique(i))
+            self._store(at)
+        if newest:
+            at = self._runs_of(np.unique([page for _, page in newest]))
+            i = at["index"].get_indexer([run for run, _ in newest])
+            self._wait(at, i, np.array(list(newest.values()), np.int64) + self.patience_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """The wait for a gap is over: its items count as lost, and the early ones after it follow."""
-        at, out = self._now(), []
-        first = self._first_early(at)
-        if first is not None and at["total"] is not None:
-            at = dict(at, lost=at["lost"] + first - at["due"], due=first)
-            at, out = self._move(at)
-            self._store(at)
-            if self._waiting(at):
-                self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.patience_ms)
-        yield self._rows(key, out)
+        """The wait for a gap of some runs is over: its items count as lost, and the early ones after it follow."""
+        ms = int(expiredTimerInfo.getExpiryTimeInMs())
+        who = self._get(self.waits, (ms,), _WAITS)
+        if who is None:
+            return
+        self.waits.removeKey((ms,))
+        at = self._runs_of(np.unique(who["page"].to_numpy()))
+        i = at["index"].get_indexer(who["run_id"].to_numpy())
+        i = i[at["held"][i] > 0]
+        for k in i:
+            first = self._first_early(int(at["page"][k]), int(at["run_id"][k]))
+            at["lost"][k] += first - at["due"][k]
+            at["due"][k] = first
+        yield from self._move(at, i[:0], _EARLY.empty_table(), i)
+        self._store(at)
+        self._wait(at, i, np.full(len(i), ms + self.patience_ms))
 
     def close(self) -> None:
         pass
 
     # ---- state
 
-    def _now(self) -> dict:
-        names = [f.name for f in _AT.fields]
-        if self.at.exists():
-            return dict(zip(names, self.at.get()))
-        return dict(zip(names, (1, 0, 0, 0, 0, None, None, None)))
+    @staticmethod
+    def _get(state, key: tuple, schema: pa.Schema) -> pa.Table | None:
+        if not state.containsKey(key):
+            return None
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(state.getValue(key)[0])), schema)])
+
+    @staticmethod
+    def _put(state, key: tuple, rows: pa.Table) -> None:
+        state.updateValue(key, (rows.combine_chunks().to_batches()[0].serialize().to_pybytes(),))
+
+    def _runs_of(self, pages: np.ndarray) -> dict:
+        """All runs of `pages`, a column each; `index` finds a run's row, `stored` tells pages whose entry is behind."""
+        found = [(p, self._get(self.runs, (int(p),), _RUNS)) for p in pages]
+        rows = pa.concat_tables([_RUNS.empty_table()] + [t for _, t in found if t is not None])
+        at = {n: rows[n].to_numpy().copy() for n in ("run_id", *_COUNTS)} | {n: _objects(rows[n]) for n in ("last", "task")}
+        at["page"] = np.repeat(np.array([p for p, _ in found], np.int64), [0 if t is None else len(t) for _, t in found])
+        return at | {"index": pd.Index(at["run_id"]), "behind": set()}
+
+    @staticmethod
+    def _begin(at: dict, part: pd.DataFrame, run: np.ndarray) -> None:
+        """Rows for the runs of `part` that the state does not know; the first item tells task and total."""
+        new = np.flatnonzero(at["index"].get_indexer(run) < 0)
+        if not len(new):
+            return
+        new = new[np.sort(np.unique(run[new], return_index=True)[1])]
+        some = part.iloc[new]
+        zero, none = np.zeros(len(new), np.int64), np.full(len(new), None, dtype=object)
+        rows = {n: zero for n in _COUNTS} | {"run_id": run[new], "page": some["page"].to_numpy(np.int64), "due": zero + 1,
+                                             "total": some["total"].to_numpy(np.int64), "last": none,
+                                             "task": _objects(pa.array(some["task"], pa.string(), from_pandas=True))}
+        for n, v in rows.items():
+            at[n] = np.concatenate([at[n], v])
+        at["index"] = pd.Index(at["run_id"])
+        at["behind"].update(rows["page"].tolist())
 
     def _store(self, at: dict) -> None:
-        self.at.update(tuple(at[f.name] for f in _AT.fields))
-
-    def _hold(self, at: dict, part: pd.DataFrame) -> None:
-        """Put items into their blocks; numbers already passed or out of range are dropped, of equal numbers the first counts."""
-        part = part[(part["seq"] >= at["due"]) & (part["seq"] <= at["total"])]
-        for block, some in part.groupby(part["seq"] // SEQ_BLOCK, sort=True):
-            have = self._block(int(block))
-            for seq, pos, status, error, thrown in zip(*(some[c].tolist() for c in _ITEM)):
-                if str(seq) not in have:
-                    have[str(seq)] = [None if pd.isna(pos) else int(pos), status if isinstance(status, str) else None,
-                                      error if isinstance(error, str) else None, None if pd.isna(thrown) else bool(thrown)]
-            self.early.updateValue((int(block),), (json.dumps(have),))
-
-    def _block(self, block: int) -> dict:
-        return json.loads(self.early.getValue((block,))[0]) if self.early.containsKey((block,)) else {}
-
-    def _move(self, at: dict) -> tuple[dict, list[pd.DataFrame]]:
-        """Pass over the blocks from the number due on, as far as there is no gap."""
-        out = []
-        while at["total"] is not None and at["due"] <= at["total"]:
-            block = at["due"] // SEQ_BLOCK
-            have = self._block(block)
-            ready, seq = [], at["due"]
-            while str(seq) in have:
-                ready.append([seq, *have.pop(str(seq))])
-                seq += 1
-            if not ready:
+        for page in at["behind"]:
+            of = np.flatnonzero(at["page"] == page)
+            self._put(self.runs, (int(page),), pa.table([pa.array(at[f.name][of], f.type) for f in _RUNS], schema=_RUNS))
+        at["behind"] = set()
+
+    def _move(self, at: dict, i: np.ndarray, items: pa.Table, runs: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Hold `items` of the runs `i`, and pass over those of `runs` from the number due on, as far as there is no gap.
+
+        Of equal numbers the first counts.  Blocks that items fall into or that
+        hold a run's next number are read; those after them once it gets there.
+        """
+        had: dict[tuple[int, int], int] = {}
+        new = np.ones(len(i), bool)
+        want = set(zip(at["page"][i].tolist(), (items["seq"].to_numpy() // SEQ_BLOCK).tolist()))
+        ahead, grown = 1, set()
+        while True:
+            want |= {(int(at["page"][k]), b) for k in runs if at["due"][k] <= at["total"][k]
+                     for b in range(int(at["due"][k]) // SEQ_BLOCK, min(int(at["due"][k]) // SEQ_BLOCK + ahead, int(at["total"][k]) // SEQ_BLOCK + 1))}
+            want -= had.keys()
+            if not want:
                 break
-            at, rows = advance(at, pd.DataFrame(ready, columns=_ITEM))
-            out.append(rows)
-            if have:
-                self.early.updateValue((block,), (json.dumps(have),))
-                break  # what is left lies beyond a gap
-            self.early.removeKey((block,))
-        return at, out
+            found = {k: self._get(self.early, k, _EARLY) for k in sorted(want)}
+            had |= {k: 0 if t is None else len(t) for k, t in found.items()}
+            held = pa.concat_tables([_EARLY.empty_table()] + [t for t in found.values() if t is not None])
+            i = np.concatenate([at["index"].get_indexer(held["run_id"].to_numpy()), i])
+            new = np.concatenate([np.zeros(len(held), bool), new])
+            items = pa.concat_tables([held, items])
+            seq = items["seq"].to_numpy()
+            order = np.lexsort((seq, i))  # stable: what was held comes before what came, and that in its order
+            so, no = i[order], seq[order]
+            order = order[np.r_[True, (so[1:] != so[:-1]) | (no[1:] != no[:-1])]] if len(order) else order
+            i, new, items = i[order], new[order], items.take(pa.array(order))
+            seq = items["seq"].to_numpy()
+            head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+            nth = np.arange(len(i)) - np.repeat(head, np.diff(np.r_[head, len(i)]))
+            ready = seq - at["due"][i] == nth
+            runs, came = np.unique(i[ready]), i[ready & ~new]
+            if len(runs):
+                at["behind"].update(at["page"][runs].tolist())
+                np.subtract.at(at["held"], came, 1)
+                grown.update(zip(at["page"][came].tolist(), (seq[ready & ~new] // SEQ_BLOCK).tolist()))
+                of = i[ready]
+                yield self._rows(at, of, _passed(at, of, items.filter(pa.array(ready))))
+                i, new, items = i[~ready], new[~ready], items.filter(pa.array(~ready))
+            ahead, want = min(2 * ahead, AHEAD), set()
+        np.add.at(at["held"], i[new], 1)
+        at["behind"].update(at["page"][i[new]].tolist())
+        page, block = at["page"][i], items["seq"].to_numpy() // SEQ_BLOCK
+        grown.update(zip(page[new].tolist(), block[new].tolist()))
+        order = np.lexsort((block, page))
+        page, block, items = page[order], block[order], items.take(pa.array(order))
+        cuts = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]) | (block[1:] != block[:-1])]) if len(page) else []
+        left = {(int(page[a]), int(block[a])): items.slice(a, b - a) for a, b in zip(cuts, [*cuts[1:], len(page)])}
+        for k in sorted(grown):
+            if k in left:
+                self._put(self.early, k, left[k])
+            elif had[k]:
+                self.early.removeKey(k)
+
+    def _first_early(self, page: int, run: int) -> int:
+        for _, block in sorted(k for k in self.early.keys() if k[0] == page):
+            rows = self._get(self.early, (page, block), _EARLY)
+            seq = rows["seq"].to_numpy()[rows["run_id"].to_numpy() == run]
+            if len(seq):
+                return int(seq.min())
+        raise ValueError(f"run {run} holds no early items")
+
+    def _wait(self, at: dict, i: np.ndarray, until: np.ndarray) -> None:
+        """Timers for those of the runs `i` that still have a gap before early items."""
+        gap = (at["due"][i] <= at["total"][i]) & (at["held"][i] > 0)
+        for ms in np.unique(until[gap]).tolist():
+            who = i[gap & (until == ms)]
+            had = self._get(self.waits, (ms,), _WAITS) or _WAITS.empty_table()
+            now = pa.table([pa.array(at[c][who], pa.int64()) for c in _WAITS.names], schema=_WAITS)
+            self._put(self.waits, (ms,), pa.concat_tables([had, now]).group_by(_WAITS.names).aggregate([]).cast(_WAITS))
+            self.handle.registerTimer(ms)
 
-    def _waiting(self, at: dict) -> bool:
-        return at["total"] is not None and at["due"] <= at["total"] and self._first_early(at) is not None
+    @staticmethod
+    def _rows(at: dict, i: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+        rows["run_id"] = at["run_id"][i]
+        return rows[[f.name for f in PROGRESS_SCHEMA.fields]]
 
-    def _first_early(self, at: dict) -> int | None:
-        blocks = [k[0] for k in self.early.keys()]
-        return min((int(s) for s in self._block(min(blocks))), default=None) if blocks else None
 
-    @staticmethod
-    def _rows(key, out: list[pd.DataFrame]) -> pd.DataFrame:
-        names = [f.name for f in PROGRESS_SCHEMA.fields]
-        if not out:
-            return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-        rows = pd.concat(out, ignore_index=True)
-        rows["run_id"] = key[0]
-        return rows[names]
+def _joined(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames, joined to about HANDLED_ROWS rows each."""
+    some, n = [], 0
+    for part in rows:
+        some.append(part)
+        n += len(part)
+        if n >= HANDLED_ROWS:
+            yield pd.concat(some, ignore_index=True)
+            some, n = [], 0
+    if some:
+        yield pd.concat(some, ignore_index=True) if len(some) > 1 else some[0]
+
+
+def _items(part: pd.DataFrame) -> pa.Table:
+    cols = [pa.array(part[f.name], f.type, mask=part["no_pos"].to_numpy(bool)) if f.name == "pos" else
+            pa.array(part[f.name], f.type, from_pandas=True) for f in _EARLY]
+    return pa.table(cols, schema=_EARLY)
 
 
 def item_progress_stream(items: DataFrame, patience: str | None = None) -> DataFrame:
@@ -182,8 +304,9 @@ def item_progress_stream(items: DataFrame, patience: str | None = None) -> DataF
     minutes") event time counts: when the stream's newest time is that much
     past the newest of a run's early items, the missing ones are given up
     (`lost_count`) and the run goes on.  Rows without a run or a number are
-    dropped.  A run's items are handled by one task, a micro-batch of them at
-    a time; the state outside it is the blocks that hold early items.
+    dropped.  A run's items are handled by one task, HANDLED_ROWS of them at a
+    time; the state read and written is the pages of a micro-batch's runs and
+    the blocks its items fall into or reach.
     """
     from vellum.streaming.changes import _micros
 
@@ -191,8 +314,11 @@ def item_progress_stream(items: DataFrame, patience: str | None = None) -> DataF
     timed = patience is not None
     if timed:
         items = items.withWatermark("ts", patience)
+    page = F.pmod(F.xxhash64("run_id"), F.lit(SHARDS * PAGES))
+    cols = [F.coalesce(c, F.lit(0)).alias(c) if c == "pos" else F.col(c) for c in ITEM_SCHEMA.names if timed or c != "ts"]
+    items = items.select((page % SHARDS).alias("shard"), page.alias("page"), F.col("pos").isNull().alias("no_pos"), *cols)
     processor = ItemProgress(_micros(patience) // 1000 if timed else None)
-    return items.groupBy("run_id").transformWithStateInPandas(
+    return items.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=PROGRESS_SCHEMA, outputMode="Append", timeMode="EventTime" if timed else "None")
 
 
